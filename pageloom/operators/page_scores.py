@@ -134,7 +134,7 @@ def score_rating(pages: DataFrame, as_of: str) -> DataFrame:
         - F.when(F.col("published_at") < F.to_timestamp(F.lit(as_of)) - F.expr("interval 365 days"), 0.5).otherwise(0.0)
         - tier(F.col("ad_url_count"), [(10, 0.5), (5, 0.2)], 0.0, over=True)
     )
-    return pages.withColumn("rating", F.round(F.least(F.lit(5.0), F.greatest(F.lit(1.0), score + 1.0)), 1))
+    return pages.withColumn("rating", half_up(F.round(F.least(F.lit(5.0), F.greatest(F.lit(1.0), score + 1.0)) * 10, 6)) / 10)
 
 
 def combined_ads(pages: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
 
 
 def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").withColumn("k", F.expr(K))
+    return read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.expr(K))
 
 
 def v_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
