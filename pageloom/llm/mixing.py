@@ -30,7 +30,7 @@ def hash_key(id_col: str, seed: int) -> Column:
 def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target, epochs, rest): sizes has source and source_size. Sources by code point, null last, weigh weights in turn and share the given part of all sizes; a target stops at max_epochs times its source's size and the excess goes to the others by weight.
 
-    Sources stop in the order of size over weight, so the level is found with running sums over the sources; these are one row each. epochs whole passes and rest more words make the whole part of the target.
+    Sources stop in the order of size over weight, so the level is found with running sums over the sources, one row each: it is the first, and so the largest, level that the next source to stop wouldn't pass. epochs whole passes and rest more words make the whole part of the target.
     """
     n = len(weights)
     ranked = sizes.withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple = WEIGHT
     upto = everything.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
     stops = ranked.withColumns({"total": F.sum("source_size").over(whole) * share, "stopped": F.sum("most").over(upto), "open_w": F.sum("w").over(after), "next": F.lead(F.col("most") / F.col("w")).over(everything), "all_w": F.sum("w").over(whole), "first": F.min(F.col("most") / F.col("w")).over(whole)})
-    level = F.when(F.col("total") / F.col("all_w") <= F.col("first"), F.col("total") / F.col("all_w")).otherwise(F.min(F.when((F.col("total") - F.col("stopped")) / F.col("open_w") <= F.col("next"), (F.col("total") - F.col("stopped")) / F.col("open_w"))).over(whole))
+    level = F.when(F.col("total") / F.col("all_w") <= F.col("first"), F.col("total") / F.col("all_w")).otherwise(F.max(F.when((F.col("total") - F.col("stopped")) / F.col("open_w") <= F.col("next"), (F.col("total") - F.col("stopped")) / F.col("open_w"))).over(whole))
     target = F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("most").cast("double")))
     out = stops.withColumn("level", level).select("source", "source_size", target.alias("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")

@@ -90,7 +90,7 @@ a AS (
   FROM w),
 l AS (
   SELECT *, CASE WHEN total / all_w <= first THEN total / all_w
-                 ELSE min(CASE WHEN (total - stopped) / open_w <= next THEN (total - stopped) / open_w END) OVER () END AS level
+                 ELSE max(CASE WHEN (total - stopped) / open_w <= next THEN (total - stopped) / open_w END) OVER () END AS level
   FROM a),
 t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce(level * w, CAST(most AS DOUBLE))) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
