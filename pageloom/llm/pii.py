@@ -157,6 +157,14 @@ def entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(of(F.col(text_col))).alias("e")).groupBy("e.kind", "e.canonical").agg(F.min("e.surrogate").alias("surrogate"), F.count("*").alias("times"))
 
 
+def _surrogates(key: str, tweak: int):
+    @F.pandas_udf("string")
+    def of(kinds: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([canonical(k, surrogate(k, v, key, tweak)) for k, v in zip(kinds, values)], dtype=object)
+
+    return of
+
+
 def collisions(known: DataFrame, key: str, rounds: int = 8) -> DataFrame:
     """(kind, canonical, tweak) of entities whose first surrogate is that of another entity or is itself an entity of the corpus. Each gets the first tweak whose surrogate is neither, and which no other entity of the round took."""
     known = stored(known.select("kind", "canonical", "surrogate"), "entities")
@@ -169,12 +177,7 @@ def collisions(known: DataFrame, key: str, rounds: int = 8) -> DataFrame:
     for tweak in range(1, rounds + 1):
         if bad.isEmpty():
             break
-
-        @F.pandas_udf("string")
-        def again(kinds: pd.Series, values: pd.Series, tweak: int = tweak) -> pd.Series:
-            return pd.Series([canonical(k, surrogate(k, v, key, tweak)) for k, v in zip(kinds, values)])
-
-        tried = stored(bad.withColumn("value", again("kind", "canonical")), "tried")
+        tried = stored(bad.withColumn("value", _surrogates(key, tweak)("kind", "canonical")), "tried")
         free = tried.join(taken, ["kind", "value"], "left_anti").groupBy("kind", "value").agg(F.min("canonical").alias("canonical"))
         good = stored(free.select("kind", "canonical", "value", F.lit(tweak).alias("tweak")), "resolved")
         done = good if done is None else done.unionByName(good)
