@@ -94,7 +94,7 @@ class Index:
 
 def overlap(same: np.ndarray) -> int:
     """Matches in the best stretch of a diagonal in which at least SIMILARITY of the tokens match: the stretch of most score, where a match counts 1 and a mismatch what balances it at that share."""
-    gain = np.where(same, 1.0, -SIMILARITY / (1 - SIMILARITY))
+    gain = np.where(same, 1.0, -round(SIMILARITY / (1 - SIMILARITY), 9))
     total = np.r_[0.0, np.cumsum(gain)]
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
