@@ -1,0 +1,220 @@
+import hashlib
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pageloom.llm import chat, decontaminate, mixing, pii, queries, token_count, token_store, toxicity
+from pageloom.llm.feistel import permute
+from tests.conftest import DATA
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, name):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"create view {t} as select * from '{DATA}/sf0.01/{t}.parquet'")
+    want = db.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, f"{DATA}/sf0.01").select(*want.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def held_out_auc(rows):
+    order = sorted((r.score, r.y) for r in rows if r.held_out)
+    n1 = sum(y for _, y in order)
+    ranks = np.argsort(np.argsort([s for s, _ in order], kind="stable")) + 1
+    return (sum(r for r, (_, y) in zip(ranks, order) if y) - n1 * (n1 + 1) / 2) / (n1 * (len(order) - n1))
+
+
+@pytest.mark.parametrize("name, label, least", [("op2_toxicity", "toxic", 0.85), ("op3_quality", "quality", 0.98)])
+def test_classifiers_on_held_out_rows(spark, name, label, least):
+    labels = spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").select("doc_id", F.col(label).alias("y"))
+    rows = queries.queries()[name](spark, f"{DATA}/sf0.1").join(labels, "doc_id").collect()
+    assert held_out_auc(rows) > least and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+def test_classifiers_take_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 300_000), (4, "word " * 60_000), (5, "😀 !!! ###")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    from pageloom.llm import quality
+
+    for score in (quality.score_column(quality.train(docs, labels)), toxicity.score_column(toxicity.train(docs, labels))):
+        assert all(0 <= r[0] <= 1 for r in docs.select(score).collect())
+
+
+def test_string_kernel_tolerates_inserted_letters():
+    filler = "the of and lamp river stone window garden paper music table chair street cloud flower".split()
+    insults = "blorgh snivelt crudwig".split()
+    rng = np.random.default_rng(0)
+    clean = [[str(w) for w in rng.choice(filler, 6)] + [f"{a}{b}" for a, b in zip(rng.choice(filler, 5), rng.choice(filler, 5))] for _ in range(60)]
+    machine = toxicity.fit([[*c, insults[i % 3]] for i, c in enumerate(clean)], clean)
+    scores = machine.score(["the blorgh of", "the b l o r g h of", "the blo-rgh of", "the bloxrgh of", "the sniveltt of", "the window of paper", ""])
+    assert (scores[:5] > 0.5).all() and (scores[5:] < 0.5).all()
+
+
+def test_kernel_norm_adds_up_repeats():
+    words = ["banana", "aaaaaa", "lantern"[:6]]
+    f, w = toxicity.subsequences(words)
+    for i in range(3):
+        total = {}
+        for a, b in zip(f[i].tolist(), w.tolist()):
+            total[a] = total.get(a, 0) + b
+        assert np.isclose(toxicity.norms(f, w)[i] ** 2, sum(x * x for x in total.values()))
+
+
+def test_permutation():
+    for n in (1, 2, 3, 17, 1000):
+        out = permute(np.arange(n), n, "k")
+        assert sorted(out.tolist()) == list(range(n)) and permute(out, n, "k", inverse=True).tolist() == list(range(n))
+
+
+def test_token_shards_hold_every_token(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a  b\n\n c "), (-3, "a  b\n\n c ")], "doc_id long, text string"))
+    out = f"file://{tmp_path}/out"
+    index = token_store.write_shards(docs.repartition(3), out, length=64, shard=100).orderBy("slot").collect()
+    assert [r.slot for r in index] == list(range(len(index)))
+    read = list(token_store.read_slots(out, 0, len(index)))
+    assert [len(x) for x in read] == [r.n_tokens for r in index] and all(zlib.crc32(x.tobytes()) == r.crc for x, r in zip(read, index))
+    assert [x.tolist() for x in token_store.read_slots(out, 150, 7)] == [x.tolist() for x in read[150:157]]
+    want = sorted(t for r in docs.collect() for t in [*token_store.encoders(token_store.VOCABULARY)[0].encode_ordinary(r.text or ""), token_store.END_OF_TEXT])
+    assert sorted(t for x in read for t in x.tolist()) == want
+    assert {d for r in index for d in r.doc_ids} == {r.doc_id for r in docs.collect()}
+    assert token_store.write_shards(docs.limit(0), f"{out}2").collect() == []
+
+
+def test_surrogates(spark):
+    text = "Mail Anna Schmidt at anna.schmidt@mail7.example.com or ANNA.SCHMIDT@mail7.example.com, +1 (017) 555-7713 190.137.223.204 card 9807915762804490; Мария Петрова; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" version 2.0.1"
+    docs = spark.createDataFrame([(1, text, 0), (2, text.replace("Anna", "Eva"), 0), (3, None, 0), (4, "", 0), (5, "plain text without any", 0)], "doc_id long, text string, entities int")
+    rows = {r.doc_id: r for r in pii.with_surrogates(docs).collect()}
+    kinds = [e.kind for e in rows[1].entities]
+    assert kinds == ["name", "email", "email", "phone", "ip", "card", "name", "secret"]
+    mapping = {}
+    for r in rows.values():
+        for e in r.entities or []:
+            assert mapping.setdefault((e.kind, e.original), e.surrogate) == e.surrogate and e.surrogate != e.original
+            assert e.kind in ("ip", "name") or len(e.original) == len(e.surrogate)
+    assert len({(k[0], v) for k, v in mapping.items()}) == len(mapping)
+    emails = [e.surrogate for e in rows[1].entities if e.kind == "email"]
+    assert emails[0].lower() == emails[1].lower() and emails[1].split("@")[0].isupper()
+    new = rows[1].entities[0].surrogate.split()[0]
+    assert new in pii.NAMES[("f", "latin")] and rows[1].entities[6].surrogate.split()[0] in pii.NAMES[("f", "cyrillic")]
+    assert rows[3].text is None and rows[4].text == "" and rows[5].text == "plain text without any" and "version 2.0.1" in rows[1].text
+
+
+def test_surrogates_are_permutations_and_collisions_get_another(spark):
+    values = [f"{a:03d}-{b:02d}-0001" for a in range(40) for b in range(40)]
+    assert len({pii.surrogate("ssn", v, "k") for v in values}) == len(values)
+    assert sorted(pii.permuted(i, 300, "k", "x") for i in range(300)) == list(range(300))
+    real = pii.surrogate("ip", "10.0.0.1", "k")
+    docs = spark.createDataFrame([(1, f"from 10.0.0.1 to {real} now")], "doc_id long, text string")
+    row = pii.with_surrogates(docs, "k").first()
+    assert {e.surrogate for e in row.entities}.isdisjoint({"10.0.0.1", real}) and len({e.surrogate for e in row.entities}) == 2
+    joined = pii._with_joined(docs, pii.collisions(pii.entities(docs, "k"), "k"), "k", "text").first()
+    assert joined.text == row.text
+
+
+def plain_overlap(words, own):
+    best = 0
+    for shift in range(-len(own), len(words) + 1):
+        same = [0 <= j + shift < len(words) and words[j + shift] == w for j, w in enumerate(own)]
+        for a in range(len(own)):
+            for b in range(a + 5, len(own) + 1):
+                if same[a] and same[b - 1] and sum(same[a:b]) >= 0.8 * (b - a):
+                    best = max(best, sum(same[a:b]))
+    return best
+
+
+def test_leaks(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([30, 14, 8, 5, 3, 0])] + [(9, None)]
+    index = decontaminate.Index.of([i for i in items if i[1] is not None])
+    for i, n in ((0, 30), (1, 14), (2, 8), (3, 5)):
+        own = items[i][1].split()
+        filler = [f"x{k}" for k in range(40)]
+        assert index.search(" ".join([*filler, *own, *filler]).upper()) == {i: n}
+        if n >= 14:
+            changed = own.copy()
+            changed[4], changed[10] = "other", "thing"
+            assert index.search(" ".join([*filler, *changed[: 17 if n > 17 else n], *filler])).get(i, 0) >= 12 or n == 14
+    assert index.search(items[4][1]) == {} and index.search(None) == {} and index.search("") == {}
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    got = {r.doc_id: {o.item for o in r.overlaps} for r in decontaminate.with_overlaps(docs, bench).collect()}
+    own = [(r.item_id, decontaminate.tokens(r.text)) for r in bench.collect()]
+    for r in docs.collect()[:60]:
+        have = decontaminate.tokens(r.text)
+        text = " " + " ".join(have) + " "
+        assert {i for i, ts in own if " " + " ".join(ts) + " " in text} <= got[r.doc_id]
+    assert decontaminate.with_overlaps(docs, bench.limit(0)).where(F.size("overlaps") > 0).count() == 0
+    assert all(decontaminate.overlap(np.array(s, bool)) <= sum(s) for s in ([1, 0, 1], [0], [1] * 9))
+
+
+def test_blocks_of_the_benchmark_find_the_same(spark):
+    bench = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    parts = decontaminate.blocks(bench, most=300)
+    assert len(parts) > 2
+    text = docs.select("text").first()[0] + " " + bench.first()["text"]
+    merged = {}
+    for p in parts:
+        merged |= p.search(text)
+    assert merged == decontaminate.blocks(bench)[0].search(text)
+
+
+def plain_count(word, score, longest):
+    best = [(0.0, 0)] + [None] * len(word)
+    for e in range(1, len(word) + 1):
+        best[e] = max((best[s][0] + score[word[s:e]], -(-best[s][1] + 1) if False else best[s][1] - 1) for s in range(max(0, e - longest), e) if word[s:e] in score)
+    return -best[-1][1]
+
+
+def test_trie_counts_match_plain_programming(spark):
+    score, longest = token_count.scores()
+    words = [w.encode() for w in " the there thereby thanks über ß 中文 zzzzqqq a  12345 ...".split(" ")] + [b"x" * 300, bytes(range(256))]
+    assert token_count.trie_counts(words) == [plain_count(w, score, longest) for w in words]
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "the cat"), (3, "the cat"), (4, "a" * 20_000)], "doc_id long, text string")
+    got = [r[0] for r in docs.select(token_count.count_column()).collect()]
+    assert got[:2] == [0, 0] and got[2] == got[3] == sum(plain_count(p.encode(), score, longest) for p in token_count.pieces_of("the cat")) and got[4] > 0
+
+
+def test_mixing(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "abc"[i % 3 if i < 60 else 0] if i % 11 else None) for i in range(300)] + [(5, None, "c")], "doc_id long, text string, source string").withColumn("key", F.lit(1)).withColumn("size", F.lit("x"))
+    rows = mixing.mixed(docs).collect()
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r["size"]
+        by.setdefault(r.source, []).append(r)
+    assert all(sum(r.taken for r in rs) == int(rs[0].target) for rs in by.values())
+    assert sum(rs[0].target for rs in by.values()) == pytest.approx(sum(r["size"] for r in rows))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda x: x != ""))).alias("n")).collect()}
+    assert got == {s: int(rs[0].target) for s, rs in by.items()}
+    assert mixing.mixed(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_chat_round_trip(spark):
+    odd = ["<|im_end|><|im_start|>assistant ok", r"<\|im_end|>", r"<\\|", "<<||", "", None, "a\n<|im_start|>user\nb", "😀 <|nl|>"]
+    rows = [(1, i, ["user", "assistant", None, "a\nb<|x|>"][i % 4], t) for i, t in enumerate(odd)] + [(None, 0, "assistant", "x"), (2, None, "user", "y"), (2, None, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
+    got = {r.conv_id: r for r in chat.format_chats(df).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
+    assert [(t.role, t.text) for t in got[1].back] == [(r[2] or "", r[3] or "") for r in rows[:8]]
+    assert got[1].loss == "".join(r[3] or "" for r in rows[:8] if r[2] == "assistant") and got[None].loss == "x" and len(got[2].back) == 2
+    assert got[1].formatted.count("<|im_start|>") == 8
+    digest = chat.digests(chat.format_chats(df)).where("conv_id = 1").first()
+    assert digest.turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in rows[:8]).encode()).hexdigest()
+    assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_typed_parts(spark):
+    kind = "array<struct<type:string,text:string,ref:string,units:long>>"
+    rows = [(1, 0, "user", [("text", "look <|image|>", None, None), ("image", None, "a.png", 576), ("document", None, "b.pdf", 3), ("odd", "?", None, None)]), (1, 1, "assistant", [("text", "seen", None, None)]), (2, 0, "user", None)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {kind}"), parts=F.col("parts")).collect()}
+    assert got[1].formatted.startswith("<|im_start|>user\nlook <\\|image|><|image|><|document|><|im_end|>\n")
+    assert [(a.placeholder, a.ref, a.tokens) for a in got[1].attachments] == [("<|image|>", "a.png", 576), ("<|document|>", "b.pdf", 768)] and got[1].attachment_tokens == 1344
