@@ -32,6 +32,8 @@ LENGTH = 2_048
 SHARD = 2_048
 #: Each record: token count and checksum of its ids as two 32-bit integers, then LENGTH ids of 16 bits, little-endian, zeros after the last.
 HEADER = 8
+#: Compression of ids on their way to the shards, which are not compressed themselves.
+LEVEL = 6
 #: Tables of per-partition counts up to so many rows are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -113,7 +115,7 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     n_shards = max(1, -(-total // shard))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         held: list[pa.RecordBatch] = []
 
         def send() -> Iterator[pa.RecordBatch]:
