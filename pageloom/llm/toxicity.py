@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.quality import labelled_texts
 
 #: Labelled documents of each class that the model is fitted on, at most; landmarks of each class.
-SAMPLE, LANDMARKS = 1_500, 320
+SAMPLE, LANDMARKS = 1_000, 240
 #: A subsequence of three characters that spans s characters weighs DECAY ** s; wider ones than SPAN don't count. Characters fall into SYMBOLS classes.
 DECAY, SPAN, SYMBOLS = 0.8, 5, 64
 #: Weight of the hinge losses of each class against the norm of the weights.
@@ -59,8 +60,8 @@ def windows(word: str) -> list[str]:
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int64)
-    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % (SYMBOLS - 27))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int32)
+    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % (SYMBOLS - 27)).astype(np.int32)
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +86,20 @@ def norms(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def by_length(words: list[str]) -> dict[int, list[int]]:
+def by_length(words: list[str], most: int = 8_192) -> Iterator[list[int]]:
+    """Places of words of one length, so many at a time at most; words under three characters have no subsequences."""
     found: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         found.setdefault(len(w), []).append(i)
-    return {n: at for n, at in found.items() if n > 2}
+    for n, at in found.items():
+        if n > 2:
+            yield from (at[k : k + most] for k in range(0, len(at), most))
 
 
 def dense(words: list[str], columns: np.ndarray, width: int) -> np.ndarray:
     """Normalised feature rows, restricted to the features that columns maps to a place below width."""
     out = np.zeros((len(words), width), np.float32)
-    for at in by_length(words).values():
+    for at in by_length(words):
         f, w = subsequences([words[i] for i in at])
         to, value = columns[f], np.broadcast_to(w, f.shape) / norms(f, w)[:, None]
         hit = to >= 0
@@ -113,7 +117,7 @@ class Machine:
     def margins(self, words: list[str]) -> np.ndarray:
         """Decision values of words; words without any weight in favour get the bias."""
         out = np.full(len(words), self.bias)
-        for n, at in by_length(words).items():
+        for at in by_length(words):
             f, w = subsequences([words[i] for i in at])
             value = self.weights[f] @ w
             some = np.flatnonzero(value > 0)
@@ -149,18 +153,23 @@ class Machine:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, by Newton steps in the primal; classes weigh alike."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(float)
+    z = np.hstack([x, np.ones((len(x), 1), np.float32)])
     c = np.where(y > 0, cost / max(1, (y > 0).sum()), cost / max(1, (y < 0).sum()))
     w = np.zeros(z.shape[1])
     ridge = np.r_[np.ones(x.shape[1]), 1e-3]
-    for _ in range(30):
+    for turn in range(30):
         slack = 1 - y * (z @ w)
-        on = slack > 0
-        a = z[on]
-        target = np.linalg.solve((a * c[on, None]).T @ a + np.diag(ridge), a.T @ (c[on] * y[on]))
+        gram, right = np.diag(ridge), np.zeros(len(w))
+        on = np.flatnonzero(slack > 0)
+        for k in range(0, len(on), 2_048):
+            part = z[on[k : k + 2_048]].astype(float)
+            weight = c[on[k : k + 2_048]]
+            gram += (part * weight[:, None]).T @ part
+            right += part.T @ (weight * y[on[k : k + 2_048]])
+        target = np.linalg.solve(gram, right)
         if np.abs(target - w).max() < 1e-5:
             break
-        w = w + (target - w) * (1.0 if _ < 20 else 0.5)
+        w = w + (target - w) * (1.0 if turn < 20 else 0.5)
     return w
 
 
@@ -193,9 +202,9 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
     rng, size = np.random.default_rng(seed), SYMBOLS**3
     vocabulary = list(dict.fromkeys(w for ws in (*toxic, *clean) for w in ws if len(w) > 2))
     place = {w: i for i, w in enumerate(vocabulary)}
-    groups = {n: (at, *subsequences([vocabulary[i] for i in at])) for n, at in by_length(vocabulary).items()}
-    features: list[np.ndarray] = [np.zeros(0, np.int64)] * len(vocabulary)
-    for at, f, _ in groups.values():
+    groups = [(at, *subsequences([vocabulary[i] for i in at])) for at in by_length(vocabulary)]
+    features: list[np.ndarray] = [np.zeros(0, np.int32)] * len(vocabulary)
+    for at, f, _ in groups:
         for i, row in zip(at, f):
             features[i] = row
     counts = []
@@ -207,7 +216,7 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
         counts.append(np.log((count + 0.3) / (len(texts) + 0.6)))
     odds = counts[0] - counts[1]
     value = np.zeros(len(vocabulary))
-    for at, f, w in groups.values():
+    for at, f, w in groups:
         value[at] = (odds[f] @ w) / w.sum()
     seen = {w for ws in clean for w in ws}
     candidates = [np.array([place[w] for w in ws if w in place and w not in seen], np.int64) for ws in toxic]
@@ -220,8 +229,8 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
         witnesses = np.concatenate([c[np.argsort(-value[c])[: 3 if machine is None else 2]] for c in candidates])
         if machine is not None:
             witnesses = witnesses[value[witnesses] > min(0.0, np.quantile(value[witnesses], 0.3))]
-        hard = bad[np.argsort(-value[bad])[:4_000]]
-        others = np.unique(np.r_[hard, rng.choice(bad, min(12_000, len(bad)), replace=False)])
+        hard = bad[np.argsort(-value[bad])[:3_000]]
+        others = np.unique(np.r_[hard, rng.choice(bad, min(6_000, len(bad)), replace=False)])
         unique = np.unique(witnesses)
         marks = [vocabulary[i] for i in np.r_[rng.choice(unique, min(landmarks, len(unique)), replace=False), rng.choice(hard, min(landmarks, len(hard)), replace=False)]]
         columns = np.full(size, -1, np.int64)
@@ -235,7 +244,7 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
         positive = [vocabulary[i] for i in witnesses]
         positive += [inserted(w, rng) for w in positive]
         rows = [*positive, *(vocabulary[i] for i in others)]
-        x = np.vstack([dense(rows[k : k + 1024], columns, len(used)) @ base.T for k in range(0, len(rows), 1024)]) @ project
+        x = np.vstack([dense(rows[k : k + 256], columns, len(used)) @ base.T @ project.astype(np.float32) for k in range(0, len(rows), 256)])
         y = np.r_[np.ones(len(positive)), -np.ones(len(others))]
         w = fit_svm(x, y, COST)
         table = np.zeros(size, np.float32)
