@@ -90,7 +90,7 @@ def pattern_check(posts: DataFrame, patterns: DataFrame, text: str = "body", id_
     """(id, pattern_id, action, category): the active pattern of most priority that each post matches, posts without one left out. Phrases match anywhere in the text in any case; regex patterns are tried as such. patterns is a small list, held by every task."""
     p = patterns.where("active").select(F.col("id").alias("pattern_id"), "pattern", F.col("kind").alias("pattern_kind"), "category", "priority", "action")
     phrase = F.contains(F.lower(text), F.lower("pattern"))
-    hit = F.when(F.col("pattern_kind") == "phrase", phrase).otherwise(F.col(text).rlike(F.col("pattern")))
+    hit = F.when(F.col("pattern_kind") == "phrase", phrase).otherwise(F.rlike(F.col(text), F.col("pattern")))
     found = posts.select(id_col, text).join(F.broadcast(p), hit)
     best = Window.partitionBy(id_col).orderBy(F.desc("priority"), "pattern_id")
     return found.withColumn("i", F.row_number().over(best)).where("i = 1").select(id_col, "pattern_id", "action", "category")

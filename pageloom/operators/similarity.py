@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.columns import half_up, tokens
+from pageloom.functions.tables import materialised
 
 # Words that fingerprints leave out.
 STOP_WORDS = "der die das ein eine und oder ist sind hat war für mit von auf bei den dem the a an and or is are was for with".split()
@@ -35,23 +36,26 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_hashes(hashes: DataFrame, id_col: str = "doc_id", bits: int = MAX_BITS) -> DataFrame:
-    """(hash_a, hash_b, distance) of distinct fingerprints within bits of each other; zero never matches. Of bits + 1 bands at least one is equal, so the bands are joined; a pair is taken in its first common band only."""
-    n = bits + 1
+def near_hashes(hashes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """(hash_a, hash_b, distance) of distinct fingerprints within bits of each other; zero never matches. Of bits + 2 blocks at least two are equal, so pairs of blocks are joined, about 16 bits together; a pair of fingerprints is taken at its first two equal blocks only."""
+    n = bits + 2
     edges = [64 * i // n for i in range(n + 1)]
-    bands = [F.shiftrightunsigned(F.col("simhash"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)]
-    h = hashes.where("simhash <> 0").select("simhash").distinct()
-    rows = h.select("simhash", F.array(*bands).alias("all"), F.posexplode(F.array(*bands)).alias("band", "value"))
-    left, right = (rows.select(F.col("simhash").alias(f"hash_{x}"), F.col("all").alias(f"all_{x}"), "band", "value") for x in "ab")
-    first = F.array_position(F.zip_with("all_a", "all_b", lambda p, q: p == q), True) == F.col("band") + 1
-    pairs = left.join(right, ["band", "value"]).where((F.col("hash_a") < F.col("hash_b")) & first)
-    return pairs.select("hash_a", "hash_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("distance")).where(F.col("distance") <= bits)
+    blocks = [F.shiftrightunsigned(F.col("simhash"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)]
+    h = hashes.where("simhash <> 0").select("simhash").distinct().withColumn("all", F.array(*blocks))
+    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("all")[i].alias("x"), F.col("all")[j].alias("y")) for i in range(n) for j in range(i + 1, n)))
+    rows = materialised(h.select("simhash", F.explode(keys).alias("key")).select("simhash", "key.*"), "hash-blocks")
+    left, right = (rows.withColumnRenamed("simhash", f"hash_{x}") for x in "ab")
+    differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    same = F.filter(F.array(*(F.when(F.shiftrightunsigned(differ, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) == 0, k) for k in range(n))), lambda k: k.isNotNull())
+    near = left.join(right, ["i", "j", "x", "y"]).where((F.col("hash_a") < F.col("hash_b")) & (F.bit_count(differ) <= bits))
+    first = (F.element_at(same, 1) == F.col("i")) & (F.element_at(same, 2) == F.col("j"))
+    return near.where(first).select("hash_a", "hash_b", F.bit_count(differ).alias("distance"))
 
 
 def near_duplicates(hashes: DataFrame, id_col: str = "doc_id", bits: int = MAX_BITS) -> DataFrame:
     """(id, duplicate_of): each row whose fingerprint is equal or near to that of a row with a smaller id, with the smallest such id."""
     firsts = hashes.where("simhash <> 0").groupBy("simhash").agg(F.min(id_col).alias("first"))
-    near = near_hashes(hashes, id_col, bits)
+    near = materialised(near_hashes(hashes, bits), "near-hashes")
     both = near.select(F.col("hash_a").alias("h"), F.col("hash_b").alias("other")).unionByName(near.select(F.col("hash_b").alias("h"), F.col("hash_a").alias("other")))
     least = both.join(firsts.withColumnRenamed("simhash", "other"), "other").groupBy("h").agg(F.min("first").alias("near_first"))
     best = firsts.join(least, firsts.simhash == least.h, "left").select("simhash", F.least("first", "near_first").alias("duplicate_of"))
@@ -60,9 +64,9 @@ def near_duplicates(hashes: DataFrame, id_col: str = "doc_id", bits: int = MAX_B
 
 def shingle_sets(posts: DataFrame, text: str = "body") -> DataFrame:
     """posts with shingles: the distinct runs of four words, of texts of 40 characters and more that have four words."""
-    words = tokens(F.col(text))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
-    return posts.withColumn("shingles", F.when((F.length(text) >= MIN_SHINGLE_TEXT) & (F.size(words) >= SHINGLE), runs))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__words") - SHINGLE + 1), lambda i: F.array_join(F.slice("__words", i, SHINGLE), " ")))
+    out = posts.withColumn("__words", tokens(F.col(text)))  # a column of its own, so that it is cut once and not for every run
+    return out.withColumn("shingles", F.when((F.length(text) >= MIN_SHINGLE_TEXT) & (F.size("__words") >= SHINGLE), runs)).drop("__words")
 
 
 def shingle_classes(posts: DataFrame, text: str = "body") -> DataFrame:
@@ -77,6 +81,7 @@ def shingle_duplicates(posts: DataFrame, text: str = "body", least: float = MIN_
     By the prefix rule two sets of that similarity share one of their rarest shingles: of n shingles, ordered by how many texts have them, the first n - ceil(least * n) + 1 are enough. Only these are joined, so common passages make no pairs by themselves; pairs are then compared in full.
     """
     classes = shingle_sets(shingle_classes(posts, text), text).where("shingles is not null").select("scope", "id", F.transform("shingles", lambda s: F.xxhash64(s)).alias("shingles"))
+    classes = materialised(classes, "shingles")
     each = classes.select("scope", "id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("scope", "s").agg(F.count("*").alias("df"))
     order = Window.partitionBy("scope", "id").orderBy("df", "s")

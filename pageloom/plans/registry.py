@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.plans import behaviour, pages
+from pageloom.plans import behaviour, pages, posts, ranking
 
-MODULES = (pages, behaviour)
+MODULES = (pages, behaviour, ranking, posts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
