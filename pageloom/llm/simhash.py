@@ -17,6 +17,8 @@ from pageloom.llm.components import components
 SAMPLE = 16_384
 #: Fingerprints of a shard that one task compares; larger shards are compared in pairs of blocks.
 SHARD_CAP = 50_000
+#: Ids of dropped documents of up to this number (8 MB) are broadcast, so that texts needn't be shuffled; more are joined.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -157,8 +159,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """docs with one row of each group of near-duplicates: the one with the smallest id (of rows that repeat this id, one). Rows with null id are kept."""
     groups = stored(simhash_groups(docs, id_col, text_col, width, bits), "groups")
     ids = groups.select(F.col(id_col).alias("__id"), (F.col("component_id") == F.col(id_col)).alias("__first"))
-    drop = ids.where("not __first").select("__id").distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("__id"), "left_anti")
+    drop = stored(ids.where("not __first").select("__id").distinct(), "dropped")
+    small = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
+    kept = docs.join(small, F.col(id_col) == F.col("__id"), "left_anti")
     if ids.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
