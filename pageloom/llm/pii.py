@@ -25,30 +25,58 @@ NAMES = {
 }
 _LIST_OF = {n: key for key, names in NAMES.items() for n in names}
 
-_PART = r"[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+"
 _TYPES = [
-    ("email", r"[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("email", r"(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{1,64}(?:\.[A-Za-z0-9_+-]{1,64}){0,8}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("phone", r"(?<![\w+])\+\d{1,3}(?: \(\d{3}\) \d{3}-\d{4}(?!\d)|(?:[ -]\d{2,5}){2,4}(?![\d.-]*\d))"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])|(?<!\d)\d{13,19}(?!\d)"),
-    ("name", rf"(?<!\w)(?:{'|'.join(sorted(_LIST_OF, key=len, reverse=True))}) {_PART}(?!\w)"),
 ]
 _ANY = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _TYPES))
-#: Every type but names needs one of these; most texts have few, so most of a text is passed over quickly.
-_HINT = re.compile(r"[@\d]|" + "|".join(_LIST_OF))
+#: Every entity but a name starts in a token with a digit or an @, and ends within so many characters of that token's end; other tokens are passed over.
+_ANCHOR, _REACH = re.compile(r"[@\d]"), 80
+_SPACE = re.compile(r"\s")
+_PAIR = re.compile(r"([A-ZÀ-ÞА-Я][a-zß-ÿа-яё]+) (?=[A-ZÀ-ÞА-Я][a-zß-ÿа-яё])")
+_FAMILY = re.compile(r"[A-ZÀ-ÞА-Я][a-zß-ÿа-яё]+(?!\w)")
 
 _LOWER = ("bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзйклмнпрстфхцчшщ", "аеиоуыэюя", "0123456789")
 _HEX = "0123456789abcdef"
 
 
+def _end(text: str, start: int) -> int:
+    space = _SPACE.search(text, start)
+    return space.start() if space else len(text)
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of the entities of a whole text, left to right and apart; at one place the first type of the list wins."""
-    if not text or not _HINT.search(text):
+    if not text:
         return []
-    return [(m.lastgroup, *m.span()) for m in _ANY.finditer(text)]
+    found, done = [], 0
+    anchor = _ANCHOR.search(text)
+    while anchor:
+        start, end = anchor.start(), _end(text, anchor.start())
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        hit = _ANY.search(text, start, _end(text, min(len(text), end + _REACH)))
+        if hit and hit.start() < end:
+            found.append((hit.lastgroup, *hit.span()))
+        done = hit.end() if hit and hit.start() < end else end
+        anchor = _ANCHOR.search(text, done)
+    names = []
+    for pair in _PAIR.finditer(text):
+        if pair[1] in _LIST_OF and not (pair.start() and (text[pair.start() - 1].isalnum() or text[pair.start() - 1] == "_")):
+            if family := _FAMILY.match(text, pair.end()):
+                names.append(("name", pair.start(), family.end()))
+    if not names:
+        return found
+    kept: list[tuple[str, int, int]] = []
+    for entity in sorted(found + names, key=lambda e: e[1]):
+        if not kept or entity[1] >= kept[-1][2]:
+            kept.append(entity)
+    return kept
 
 
 def canonical(kind: str, value: str) -> str:
