@@ -22,7 +22,7 @@ DECAY, SPAN, SYMBOLS = 0.8, 5, 64
 COST = 3e4
 #: Longer words are scored in overlapping windows of this length.
 WINDOW = 24
-CACHE = 400_000
+CACHE = 150_000
 
 #: Digits and signs that stand for letters inside words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
