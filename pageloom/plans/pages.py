@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.operators import page_scores as P
+from pageloom.operators.lists import reputation
+from pageloom.operators.reliability import score_reliability
 from pageloom.sources import views as v
 from pageloom.sources.views import AS_OF, with_views
 
@@ -113,7 +115,23 @@ def domain_ages(spark, d):
     return P.domain_age_risk(domains, AS_OF).select("domain", "age_days", "risk")
 
 
+def linked_pages(spark, d):
+    """Pages with the urls of four others by arithmetic on page_id, every fifth a link to an encyclopedia."""
+    pages = v.v_pages(spark, d)
+    n = pages.count()
+    targets = pages.select(F.col("page_id").alias("t"), F.col("url").alias("link"))
+    each = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("t", (F.col("page_id") * 7 + F.col("i") * 13 + 1) % n)
+    links = each.join(targets, "t").select("page_id", F.struct("i", F.when((F.col("page_id") + F.col("i")) % 5 == 0, "https://en.wikipedia.org/x").otherwise(F.col("link")).alias("u")).alias("l"))
+    return pages.join(links.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["u"]).alias("outbound_links")), "page_id", "left")
+
+
+def source_reliability(spark, d):
+    pages = linked_pages(spark, d)
+    return score_reliability(pages, reputation(P.score_trust(v.v_pages(spark, d)), v.v_domain_votes(spark, d)))
+
+
 QUERIES = {
+    "source_reliability": (source_reliability, None),
     "page_features": (page_features, with_views("SELECT page_id, url, domain, title, language, word_count, secure, published_at, md5(content) AS content_md5 FROM v_pages", "v_pages")),
     "trust_scores": (trust_scores, SCORED + "SELECT page_id, trust_score, trust_level, CASE WHEN trust_score >= 80 THEN 'very trustworthy' WHEN trust_score >= 60 THEN 'trustworthy' WHEN trust_score >= 40 THEN 'check' WHEN trust_score >= 20 THEN 'doubtful' ELSE 'not trustworthy' END AS badge FROM trust"),
     "spam_scores": (spam_scores, SCORED + "SELECT page_id, spam_score, spam_level, is_spam FROM spam"),

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import behaviour, links, lists, moderation, page_scores, ranking, similarity, trends, votes
+from pageloom.operators import behaviour, links, lists, moderation, page_scores, ranking, reliability, similarity, trends, votes
 
 T0 = datetime(2024, 1, 1)
 
@@ -135,3 +135,11 @@ def test_trend_tiers(spark):
     past = spark.createDataFrame([("fifteen", (T0 + timedelta(days=10 + i)).date(), 60) for i in range(3)], "query string, search_date date, daily_count long")
     got = trends.scan_trends(spark.createDataFrame(log, "query string, ts timestamp"), past, str(as_of)).collect()
     assert [(r.query, r.n_recent, r.expected, r.factor, r.multiplier, r.score) for r in got] == [("fifteen", 15, 5.0, 3.0, 1.5, 9)]
+
+
+def test_good_links_count_in_order(spark):
+    urls = lambda *hosts: [f"https://{h}/x" for h in hosts]
+    pages = [(1, "self.com", urls("en.wikipedia.org", "good.com", "top.com", "arxiv.org", "github.com", "self.com")), (2, "b.com", urls("ads-net.com", "bad.com", "bad.com")), (3, "c.com", None)]
+    rep = [("good.com", None, 19, 1), ("top.com", 85.0, 0, 0), ("bad.com", 5.0, 1, 9), ("github.com", 15.0, 0, 0)]
+    got = reliability.score_reliability(spark.createDataFrame(pages, "page_id long, domain string, outbound_links array<string>"), spark.createDataFrame(rep, "domain string, trust double, positive long, negative long"))
+    assert sorted((r.page_id, r.reliability_penalty, r.reliability_bonus) for r in got.collect()) == [(1, 8, 4.5), (2, 23, 0.0), (3, 0, 0.0)]
