@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -11,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Token positions that each mask compares. Of any 13 tokens with two substitutions at least one mask and offset avoids both.
-MASKS = ((0, 2, 4, 5, 6, 7), (0, 1, 2, 5, 8, 10), (0, 2, 5, 6, 8, 9), (0, 2, 4, 6, 8, 9))
+#: Token positions that each mask compares. No overlap that counts escapes them: in a stretch of 13 and more matches of which at least 80 percent of the tokens match, and in items of 12 to 14 tokens, some four matches stand in a row, and in the shorter and the 15-token items that have no such row one of the other masks fits.
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 #: An overlap counts with so many matching tokens, or all but the allowed substitutions of a shorter item; of its length, so large a part must match.
 OVERLAP, SIMILARITY = 13, 0.8
 #: Items with fewer tokens are too short to tell and never match.
 SHORTEST = 5
+#: Hits, and tokens along diagonals, that a search looks at at once.
+CHUNK = 1_000_000
 #: Benchmark tokens that are held by tasks at once; a larger benchmark is searched in blocks of this size.
 BLOCK_TOKENS = 2_000_000
 
@@ -44,31 +49,34 @@ class Index:
     vocabulary: dict[str, int]
     items: list[tuple[int, np.ndarray]]
     seeds: list[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]  # mask; sorted hashes; item and place of each
+    flat: np.ndarray  # tokens of all items end to end, where each starts, and how many must match
+    starts: np.ndarray
+    least: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Index:
         vocabulary: dict[str, int] = {}
         items = [(i, np.array([vocabulary.setdefault(t, len(vocabulary) + 1) for t in ts], np.int64)) for i, text in rows if len(ts := tokens(text)) >= SHORTEST]
-        short = {tuple(range(len(ids))) for _, ids in items if len(ids) <= max(m[-1] for m in MASKS)}
         seeds = []
-        for mask in (*MASKS, *sorted(short)):
+        for mask in MASKS:
             found = []
             for n, (_, ids) in enumerate(items):
-                if len(ids) > mask[-1] and (mask in MASKS or len(ids) == len(mask)):
+                if mask == MASKS[0] or len(ids) <= 15:
                     places = np.arange(len(ids) - mask[-1])
                     found.append((_hashes(ids, mask, places), np.full(len(places), n), places))
             if found:
                 h, item, place = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(h, kind="stable")
                 seeds.append((mask, h[order], item[order], place[order]))
-        return cls(vocabulary, items, seeds)
+        flat = np.concatenate([np.zeros(0, np.int64), *(ids for _, ids in items)])
+        return cls(vocabulary, items, seeds, flat, np.cumsum([0, *(len(ids) for _, ids in items)]), np.array([needed(len(ids)) for _, ids in items], np.int64))
 
     def search(self, text: str | None) -> dict[int, int]:
         """Item id -> matching tokens of its longest verified overlap with the whole text."""
         number = self.vocabulary.get
         words = tokens(text)
         ids = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
-        known, diagonals = ids > 0, set()
+        known, keys, width = ids > 0, [np.zeros(0, np.int64)], len(ids) + self.starts[-1] + 1
         for mask, hashes, item, place in self.seeds:
             n = len(ids) - mask[-1]
             if n <= 0:
@@ -78,28 +86,55 @@ class Index:
                 continue
             h = _hashes(ids, mask, at)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for k in np.flatnonzero(high > low):
-                where = slice(low[k], high[k])
-                diagonals.update(zip(item[where].tolist(), (at[k] - place[where]).tolist()))
+            hit = np.flatnonzero(high > low)
+            for k in _chunks(high[hit] - low[hit]):
+                where = _ranges(low[hit[k]], high[hit[k]])
+                own = np.repeat(at[hit[k]], high[hit[k]] - low[hit[k]])
+                keys.append(np.unique(item[where] * width + own - place[where] + self.starts[-1]))
+        item, shift = np.divmod(np.unique(np.concatenate(keys)), width)
+        shift -= self.starts[-1]
+        sizes = np.diff(self.starts)[item]
+        start, end = np.maximum(0, -shift), np.minimum(sizes, len(ids) - shift)
         best: dict[int, int] = {}
-        for n, shift in diagonals:
-            item_id, own = self.items[n]
-            start, end = max(0, -shift), min(len(own), len(ids) - shift)
-            same = own[start:end] == ids[start + shift : end + shift]
-            matched = overlap(same)
-            if matched >= min(OVERLAP, max(SHORTEST, int(np.ceil(SIMILARITY * len(own))))):
-                best[item_id] = max(best.get(item_id, 0), matched)
+        for k in _chunks(end - start):
+            own = _ranges(self.starts[item[k]] + start[k], self.starts[item[k]] + end[k])
+            same = self.flat[own] == ids[_ranges(start[k] + shift[k], end[k] + shift[k])]
+            cuts = np.r_[0, np.cumsum(end[k] - start[k])]
+            total = np.r_[0, np.cumsum(same)]
+            for j in np.flatnonzero(total[cuts[1:]] - total[cuts[:-1]] >= self.least[item[k]]):
+                matched = overlap(same[cuts[j] : cuts[j + 1]])
+                if matched >= self.least[item[k][j]]:
+                    item_id = self.items[item[k][j]][0]
+                    best[item_id] = max(best.get(item_id, 0), matched)
         return best
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0]..high[0]-1, low[1]..high[1]-1 and so on."""
+    n = high - low
+    return np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of about CHUNK in all; one larger member is a slice of its own."""
+    block = np.cumsum(sizes) // CHUNK
+    cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(sizes)]
+    return (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
+
+
+def needed(n: int) -> int:
+    """Matching tokens with which an item of n tokens counts."""
+    return min(OVERLAP, max(SHORTEST, math.ceil(Fraction(str(SIMILARITY)) * n)))
+
+
 def overlap(same: np.ndarray) -> int:
-    """Matches in the best stretch of a diagonal in which at least SIMILARITY of the tokens match: the stretch of most score, where a match counts 1 and a mismatch what balances it at that share."""
-    gain = np.where(same, 1.0, -round(SIMILARITY / (1 - SIMILARITY), 9))
-    total = np.r_[0.0, np.cumsum(gain)]
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return int(same[start:end].sum())
+    """Most matches in a stretch of a diagonal in which at least SIMILARITY of the tokens match. Along the diagonal a match counts up and a mismatch down what balances it at that share; from each start the farthest end that isn't lower has the most matches."""
+    share = Fraction(str(SIMILARITY))
+    total = np.r_[0, np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))]
+    ahead = np.maximum.accumulate(total[::-1])[::-1]
+    far = np.searchsorted(-ahead, -total, "right") - 1
+    matches = np.r_[0, np.cumsum(same)]
+    return int((matches[far] - matches).max())
 
 
 def overlaps_column(index: Index, text_col: str = "text") -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -155,6 +156,22 @@ def test_leaks(spark):
     assert all(decontaminate.overlap(np.array(s, bool)) <= sum(s) for s in ([1, 0, 1], [0], [1] * 9))
 
 
+def test_every_overlap_that_counts_is_found():
+    rng = np.random.default_rng(7)
+    for n in range(5, 31):
+        own = [f"w{k}" for k in range(n)]
+        index = decontaminate.Index.of([(1, " ".join(own))])
+        least = min(13, max(5, -(-4 * n // 5)))
+        for swaps in range(n - least + 1):
+            sets = list(combinations(range(n), swaps)) if n < 17 else [tuple(rng.choice(n, swaps, replace=False)) for _ in range(40)]
+            for places in sets[:: max(1, len(sets) // 150)]:
+                words = ["x", "y", *("z" if k in places else w for k, w in enumerate(own)), "x"]
+                want = plain_overlap(words, own)
+                assert index.search(" ".join(words)) == ({1: want} if want >= least else {}), (n, places)
+    fifth = [f"w{k}" for k in range(60)]
+    assert decontaminate.Index.of([(1, " ".join(fifth))]).search(" ".join("z" if k % 5 == 4 else w for k, w in enumerate(fifth))) == {1: 48}
+
+
 def test_blocks_of_the_benchmark_find_the_same(spark):
     bench = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
