@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +29,17 @@ def hash_key(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
 
 
+def words_in(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A long that rows of one id and size share only if all their columns are equal, nulls apart from other values."""
+    odd = {f.name for f in docs.schema if any(t in f.dataType.simpleString() for t in ("map<", "variant"))}
+    values = [F.to_json(F.struct(F.col(c))) if c in odd else F.col(c) for c in docs.columns]
+    return F.xxhash64(*values, *(F.isnull(F.col(c)) for c in docs.columns))
+
+
 def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target, epochs, rest): sizes has source and source_size. Sources by code point, null last, weigh weights in turn and share the given part of all sizes; a target stops at max_epochs times its source's size and the excess goes to the others by weight.
 
@@ -47,17 +60,17 @@ def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple = WEIGHT
     return out.withColumn("epochs", epochs).withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 1) -> DataFrame:
-    """(id, size, source, key, source_size, target, epochs, start, taken) for every row: size is its words (null text: 0), taken how many of them the mix takes.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 1, tie: Column | None = None) -> DataFrame:
+    """(id, size, source, key, source_size, target, epochs, start, taken, rest, tie) for every row: size is its words (null text: 0), taken how many of them the mix takes.
 
-    Each source's rows are put in the order of a hash of the id (ties by id, size), every whole epoch takes all of them, and the last one is cut at the exact word of the source's budget. Rows that repeat are rows of their own, a null source is a source, an empty table gives an empty one and other columns are ignored.
+    Each source's rows are put in the order of a hash of the id (ties by id, size and tie), every whole epoch takes all of them, and the last one is cut at the exact word of the source's budget. Rows that repeat are rows of their own, a null source is a source, an empty table gives an empty one and other columns are ignored.
 
     Rows are range-partitioned by (source, key), so a source with a third of all rows lies in a third of the partitions. Each partition sums its own rows, and the sums of partitions, one row for each partition and source in it, are accumulated and joined back.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), hash_key(id_col, seed).alias("key")), "sizes")
-    order = ["source", "key", "id", "size"]
+    tie = F.lit(0).cast("long") if tie is None else tie
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), hash_key(id_col, seed).alias("key"), tie.alias("tie")), "sizes")
+    order = ["source", "key", "id", "size", "tie"]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, total = TaskContext.get().partitionId(), None, 0
@@ -81,28 +94,38 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     found = near.join(parts.withColumnsRenamed({"part": "p", "source": "s"}), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     start = F.col("before") + F.col("base")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return found.select("id", "size", "source", "key", "source_size", "target", "epochs", start.alias("start"), taken.cast("long").alias("taken"), "rest")
+    return found.select("id", "size", "source", "key", "source_size", "target", "epochs", start.alias("start"), taken.cast("long").alias("taken"), "rest", "tie")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mix itself, with the columns of docs: rows of every whole epoch, those of the last one before the cut, and the row at the cut with the words up to it. Rows of size 0 are as often there as the rows around them.
 
-    The cut of a source is one row (key, id, words), so texts are not shuffled: the cuts, one for each source, are joined to them.
+    The cut of a source is one place in the order (key, id, size, hash of the whole row) and the words up to it, so texts are not shuffled: the cuts, one for each source, are joined to them. Rows at that place are alike in all columns: one of them stands for as many copies as lie before the cut, and is cut itself.
     """
-    seed = settings.get("seed", 1)
-    rows = mixed(docs, id_col, text_col, source_col, **settings)
+    seed, place = settings.get("seed", 1), ["key", "id", "size", "tie"]
+    rows = mixed(docs, id_col, text_col, source_col, tie=row_hash(docs), **settings)
     at = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") >= F.col("rest"))
-    cuts = rows.groupBy("source", "epochs").agg(F.min(F.when(at, F.struct("key", "id", (F.col("rest") - F.col("start")).alias("words")))).alias("cut"))
+    cuts = rows.groupBy("source", "epochs").agg(F.min(F.when(at, F.struct(*place, "start", (F.col("rest") - F.col("start")).alias("words")))).alias("cut"))
     cuts = stored(cuts.select(F.col("source").alias("__of"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut")), "cuts")
-    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
-    joined = docs.join(small, F.col(source_col).eqNullSafe(F.col("__of"))).withColumn("__key", F.struct(hash_key(id_col, seed).alias("key"), F.col(id_col).alias("id")))
-    cut = F.struct(F.col("__cut.key").alias("key"), F.col("__cut.id").alias("id"))
-    before, here = F.coalesce(F.col("__key") < cut, F.lit(False)), F.coalesce(F.col("__key") == cut, F.lit(False))
+    near = F.broadcast if cuts.count() <= BROADCAST_ROWS else lambda df: df
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__cut.{c}")) for c in place))
+    alike = rows.join(near(cuts.where("__cut is not null")), F.col("source").eqNullSafe(F.col("__of"))).where(same & (F.col("start") < F.col("__cut.start")))
+    alike = alike.groupBy(F.col("__of").alias("__s")).agg(F.count("*").alias("__n"))
+    cuts = stored(cuts.join(alike, F.col("__of").eqNullSafe(F.col("__s")), "left").select("__of", "__epochs", "__cut", F.coalesce("__n", F.lit(0)).alias("__earlier")), "cuts-of-rows")
+    own = F.struct(hash_key(id_col, seed).alias("key"), F.col(id_col).alias("id"), words_in(text_col).alias("size"), row_hash(docs).alias("tie"))
+    joined = docs.withColumn("__own", own).join(near(cuts), F.col(source_col).eqNullSafe(F.col("__of")))
+    cut = F.when(F.col("__cut").isNotNull(), F.struct(*(F.col(f"__cut.{c}").alias(c) for c in place)))
+    before, here = F.coalesce(F.col("__own") < cut, F.lit(False)), F.coalesce(F.col("__own") == cut, F.lit(False))
     whole = joined.withColumn("__n", F.explode(F.sequence(F.lit(0), F.col("__epochs") + F.when(before, 1).otherwise(0)))).where("__n > 0").select(docs.columns)
+    last = joined.where(here).groupBy("__of").agg(F.first(F.struct(*docs.columns)).alias("__row"), F.first("__earlier").alias("__earlier"), F.first("__cut.words").alias("__words"))
+    last = stored(last, "cut-rows")
 
     @F.pandas_udf("string")
     def head(texts: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([re.match(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){%d}" % n, t)[0] if n else "" for t, n in zip(texts, words)])
 
-    some = joined.where(here & F.col(text_col).isNotNull()).withColumn(text_col, head(F.col(text_col), F.col("__cut.words"))).select(docs.columns)
-    return whole.unionByName(some)
+    # Copies of a row are made in blocks, so that no task makes all of very many.
+    deal = last.where("__earlier > 0").withColumn("__b", F.explode(F.sequence(F.lit(0), F.expr("(__earlier - 1) div 1000")))).repartition(partitions(docs.sparkSession))
+    copies = deal.withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("__earlier") - F.col("__b") * 1000)))).select("__row.*")
+    some = last.select("__row.*", "__words").withColumn(text_col, head(F.col(text_col), F.col("__words"))).select(docs.columns)
+    return whole.unionByName(copies).unionByName(some)

@@ -216,6 +216,20 @@ def test_mixing(spark):
     assert mixing.mixed(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: i % 2, lambda i: None if i % 3 else i])
+def test_one_row_is_cut_among_null_and_repeated_ids(spark, ids):
+    texts = lambda i, s: f"{s} " + "x y z " * 3 if i % 2 else f"{s} {i} " + "w " * (i % 5)
+    docs = spark.createDataFrame([(ids(i), texts(i, s), s, i % 2 or i) for s, n in (("a", 90), ("b", 120), (None, 60)) for i in range(n)], "doc_id long, text string, source string, other long")
+    rows = mixing.mixed(docs).collect()
+    target = {r.source: int(r.target) for r in rows}
+    got, out = {}, mixing.mix(docs).collect()
+    for r in out:
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == target
+    have = {(r.doc_id, r.text, r.source, r.other) for r in docs.collect()}
+    assert len([r for r in out if tuple(r) not in have]) <= len(target)
+
+
 def test_chat_round_trip(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", r"<\|im_end|>", r"<\\|", "<<||", "", None, "a\n<|im_start|>user\nb", "😀 <|nl|>"]
     rows = [(1, i, ["user", "assistant", None, "a\nb<|x|>"][i % 4], t) for i, t in enumerate(odd)] + [(None, 0, "assistant", "x"), (2, None, "user", "y"), (2, None, "user", "y")]
