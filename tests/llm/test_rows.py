@@ -1,6 +1,9 @@
 import hashlib
+import subprocess
+import sys
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,6 +14,7 @@ from pageloom.llm import chat, decontaminate, mixing, pii, queries, token_count,
 from pageloom.llm.feistel import permute
 from tests.conftest import DATA
 
+ROOT = Path(__file__).parents[2]
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
@@ -58,6 +62,13 @@ def test_string_kernel_tolerates_inserted_letters():
     assert (scores[:5] > 0.5).all() and (scores[5:] < 0.5).all()
 
 
+def test_spaced_words_take_linear_time():
+    run = "import sys; sys.path.insert(0, %r); from pageloom.llm.toxicity import tokens_of; [tokens_of(t) for t in (' ' + '_' * 300_000 + 'name', 'a_a_a_ ' * 40_000, 'a ' + '_ ' * 150_000, 'a b c' + ' ' * 300_000)]" % str(ROOT)
+    subprocess.run([sys.executable, "-c", run], check=True, timeout=60)
+    for spelled in ("b l o r g h", "b_l_o_r_g_h", "b.l.o.r.g.h", "b      l      o      r      g      h", "b_l_o_r_g_h_"):
+        assert any(toxicity.words_of(t)[-1] == "blorgh" for t in toxicity.tokens_of(f"the {spelled} of"))
+
+
 def test_kernel_norm_adds_up_repeats():
     words = ["banana", "aaaaaa", "lantern"[:6]]
     f, w = toxicity.subsequences(words)
