@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.token_store import PATTERN
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Longer pre-tokens are counted in pieces of so many bytes, so that one path of the trie stays short.
+#: Longer pre-tokens are counted on their own with the last scores only, so that one path of the trie stays short.
 LONGEST = 4_096
 CACHE = 300_000
 
@@ -62,6 +62,23 @@ def trie_counts(pretokens: list[bytes], path: str = VOCABULARY) -> list[int]:
     return [result[w] for w in pretokens]
 
 
+def long_count(word: bytes, path: str = VOCABULARY) -> int:
+    """The same for one long pre-token, in memory that doesn't grow with its length: place i of the forward scores is kept at i modulo the longest piece and one."""
+    score, longest = scores(path)
+    n = longest + 1
+    best, count = [0.0] * n, [0] * n
+    for end in range(1, len(word) + 1):
+        top, least = -math.inf, 0
+        for start in range(max(0, end - longest), end):
+            s = score.get(word[start:end])
+            if s is not None:
+                s += best[start % n]
+                if s > top or s == top and count[start % n] + 1 < least:
+                    top, least = s, count[start % n] + 1
+        best[end % n], count[end % n] = top, least
+    return count[len(word) % n]
+
+
 def pieces_of(text: str | None) -> list[str]:
     return _PIECES.findall(text) if text else []
 
@@ -84,7 +101,7 @@ def count_column(text_col: str = "text", path: str = VOCABULARY) -> Column:
             long_ = [i for i, r in enumerate(raw) if len(r) > LONGEST]
             cache.update(zip(new, trie_counts([r if len(r) <= LONGEST else b"" for r in raw], path)))
             for i in long_:
-                cache[new[i]] = sum(trie_counts([raw[i][k : k + LONGEST] for k in range(0, len(raw[i]), LONGEST)], path))
+                cache[new[i]] = long_count(raw[i], path)
             out += [sum(map(cache.__getitem__, ps)) for ps in own]
         return pd.Series(out, dtype="int64")
 

@@ -211,6 +211,15 @@ def test_trie_counts_match_plain_programming(spark):
     assert got[:2] == [0, 0] and got[2] == got[3] == sum(plain_count(p.encode(), score, longest) for p in token_count.pieces_of("the cat")) and got[4] > 0
 
 
+def test_long_pretokens_are_counted_whole(spark):
+    score, longest = token_count.scores()
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(letters), n)) for letters, n in (("etaoinshr", 9_001), ("中文的是不了人", 3_001), ("ae", 4_097))] + ["thereby" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in docs.select("doc_id", token_count.count_column()).collect()}
+    assert [got[i] for i in range(len(texts))] == [sum(plain_count(p.encode(), score, longest) for p in token_count.pieces_of(t)) for t in texts]
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7), "abc"[i % 3 if i < 60 else 0] if i % 11 else None) for i in range(300)] + [(5, None, "c")], "doc_id long, text string, source string").withColumn("key", F.lit(1)).withColumn("size", F.lit("x"))
     rows = mixing.mixed(docs).collect()
