@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.tables import materialised as stored
+from pageloom.functions.tables import shared_dir
+
+__all__ = ["WORD", "Generations", "Roots", "by_group", "buffered", "in_blocks", "partitions", "shared_dir", "small_batches", "stored", "table"]
+
 #: What separates words in every contract of this package, as a Java / RE2 character class.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,28 +30,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new folder where a local run has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-pageloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -73,20 +57,53 @@ def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple
         yield now, pd.concat(held, ignore_index=True)
 
 
-def in_blocks(rows: DataFrame, key: str, cap: int, spread: str) -> DataFrame:
+def buffered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Neighbouring batches put together until they have so many rows."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def in_blocks(rows: DataFrame, sizes: DataFrame, key: str, cap: int, spread: str) -> DataFrame:
     """Adds own, b1 and b2: members of a group of more than cap rows are dealt over blocks by a hash of spread, and each row goes to every pair of blocks
-    that holds its own, so that all pairs of a huge group meet in tasks of bounded size. Smaller groups are one block."""
-    sizes = rows.groupBy(key).count().where(F.col("count") > cap).select(key, F.ceil(F.col("count") / cap).alias("n_blocks"))
+    that holds its own, so that all pairs of a huge group meet in tasks of bounded size. Smaller groups are one block. sizes has key and n for every group."""
+    sizes = stored(sizes.where(F.col("n") > cap).select(key, F.ceil(F.col("n") / cap).alias("n_blocks")), "large-groups")
     whole = [F.lit(0).alias(c) for c in ("own", "b1", "b2")]
     if sizes.isEmpty():
         return rows.select("*", *whole)
-    sizes = stored(sizes, "large-groups")
     own = F.pmod(F.xxhash64(F.col(spread), F.lit(7)), F.coalesce("n_blocks", F.lit(1))).cast("int")
     dealt = rows.join(sizes, key, "left").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.coalesce("n_blocks", F.lit(1)) - 1).cast("int"))))
     return dealt.select(*rows.columns, "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
 
 
+class Generations(dict):
+    """Results that were asked for lately: of two generations of so many at most, the older one goes when the younger is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys without a result. All keys that have one are in the younger generation afterwards."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for k in keys:
+            if k not in self:
+                if k in self.older:
+                    self[k] = self.older[k]
+                else:
+                    new.append(k)
+        return new
+
+
 class Roots:
     """Union-find over 0..n-1 that takes arrays of pairs."""
 

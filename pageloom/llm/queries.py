@@ -8,25 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import chat, decontaminate, embeddings, mixing, pii, quality, simhash, token_count, token_store, toxicity
-from pageloom.llm.common import table
+from pageloom.llm.common import small_batches, table
 
 #: What both rows of conversation -1 say.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that a query reads; queries hand fewer rows at once to Python than Spark would."""
+    small_batches(spark)
+    return table(spark, sf_dir, name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    score = toxicity.score_column(toxicity.train(docs, table(spark, sf_dir, "labels")))
+    docs = _table(spark, sf_dir, "documents")
+    score = toxicity.score_column(toxicity.train(docs, _table(spark, sf_dir, "labels")))
     return _scored(docs, score, 0.7)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    score = quality.score_column(quality.train(docs, table(spark, sf_dir, "labels")))
+    docs = _table(spark, sf_dir, "documents")
+    score = quality.score_column(quality.train(docs, _table(spark, sf_dir, "labels")))
     return _scored(docs, score, 0.5)
 
 
@@ -35,37 +41,37 @@ def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.shards_of(spark, table(spark, sf_dir, "documents"))
+    return token_store.shards_of(spark, _table(spark, sf_dir, "documents"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.with_surrogates(table(spark, sf_dir, "documents"))
+    out = pii.with_surrogates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.with_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.with_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     matched = F.coalesce(F.array_max(F.transform("overlaps", lambda o: o["matched"])), F.lit(0))
     return out.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.transform("overlaps", lambda o: o["item"]).alias("item_ids"), matched.alias("matched_tokens"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", token_count.count_column().alias("n_tokens"))
+    return _table(spark, sf_dir, "documents").select("doc_id", token_count.count_column().alias("n_tokens"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    out = mixing.mixed(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql(f"select -1L as conv_id, turn, role, '{CONTROL}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
+    return embeddings.embedding_groups(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

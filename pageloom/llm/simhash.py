@@ -10,15 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import Roots, by_group, in_blocks, partitions, stored
+from pageloom.llm.common import Roots, buffered, by_group, in_blocks, partitions, stored
 from pageloom.llm.components import components
 
-#: Fingerprints that fit the trees; every fingerprint is dealt by them.
-SAMPLE = 16_384
+#: Fingerprints that fit the trees: one of SAMPLE_PART, between these two numbers (16 MB at most); every fingerprint is dealt by them. So trees have up to some 80,000 shards each.
+SAMPLE, MOST_SAMPLE, SAMPLE_PART = 16_384, 2_097_152, 256
+#: Points of a node on which its vantage points are tried.
+PROBE = 4_096
 #: Fingerprints of a shard that one task compares; larger shards are compared in pairs of blocks.
 SHARD_CAP = 50_000
-#: Ids of dropped documents of up to this number (8 MB) are broadcast, so that texts needn't be shuffled; more are joined.
-BROADCAST_IDS = 1_000_000
+#: Ids of dropped documents of up to this number (8 MB) are broadcast, so that texts needn't be shuffled. More are told from the others by a bitmap of hashes of so many bits at most (32 MB), and only texts that it marks are joined.
+BROADCAST_IDS, MOST_BITS = 1_000_000, 1 << 28
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -58,21 +60,22 @@ def fit_tree(points: np.ndarray, radius: int, per_point: float, leaf: float, see
             nodes[parent][2 + side] = len(nodes)
         best = None
         if len(own) * per_point > leaf and len(own) >= 24:
-            for vantage in rng.choice(own, min(12, len(own)), replace=False):
-                d = np.bitwise_count(own ^ vantage)
+            probe = own if len(own) <= PROBE else rng.choice(own, PROBE, replace=False)
+            for vantage in rng.choice(probe, min(12, len(probe)), replace=False):
+                d = np.bitwise_count(probe ^ vantage)
                 for cut in {int(x) for x in np.quantile(d, (0.3, 0.5, 0.7))}:
                     left, over = np.mean(d <= cut), np.mean((d > cut - radius) & (d <= cut + radius))
                     if 0.15 <= left <= 0.85 and over <= 0.6:
                         cost = over + 0.5 * abs(left - 0.5)
                         if best is None or cost < best[0]:
-                            best = (cost, vantage, cut, d)
+                            best = (cost, vantage, cut)
         if best is None:
             nodes.append([None, shards])
             shards += 1
         else:
             nodes.append([best[1], best[2], 0, 0])
-            here = len(nodes) - 1
-            todo += [(own[best[3] <= best[2]], here, 0), (own[best[3] > best[2]], here, 1)]
+            here, d = len(nodes) - 1, np.bitwise_count(own ^ best[1])
+            todo += [(own[d <= best[2]], here, 0), (own[d > best[2]], here, 1)]
     return [tuple(n) for n in nodes]
 
 
@@ -123,27 +126,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = stored(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, width).alias("fp")), "fingerprints")
     distinct = stored(each.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
     n = distinct.count()
-    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(SAMPLE).collect()]
+    size = min(MOST_SAMPLE, max(SAMPLE, n // SAMPLE_PART))
+    sample = distinct.select("fp", F.xxhash64("fp", F.lit(1)).alias("order"))
+    if n > 2 * size:  # so many at least come below this hash, but for odds that don't matter; fewer would do as well
+        sample = sample.where(F.col("order") < int(-(2**63) + 2**64 * 1.5 * size / n))
+    points = sample.orderBy("order", "fp").limit(size).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     leaf = min(20_000, max(256, n / (4 * partitions(spark))))
-    points = np.array(sample, np.int64).view(np.uint64)
-    halves = [(np.uint64(32 * h), fit_tree((points >> np.uint64(32 * h)) & np.uint64(0xFFFFFFFF), bits // 2, n / max(1, len(sample)), leaf, h)) for h in (0, 1)]
+    halves = [(np.uint64(32 * h), fit_tree((points >> np.uint64(32 * h)) & np.uint64(0xFFFFFFFF), bits // 2, n / max(1, len(points)), leaf, h)) for h in (0, 1)]
     first = sum(node[0] is None for node in halves[0][1])
 
     def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = batch["fp"].to_numpy().view(np.uint64)
+        for batch in buffered(batches, 65_536):
+            fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
             for h, (shift, nodes) in enumerate(halves):
                 rows, shards = deal(nodes, (fps >> shift) & np.uint64(0xFFFFFFFF), bits // 2)
                 yield pd.DataFrame({"shard": shards + h * first, "fp": fps[rows].view(np.int64)})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (_, b1, b2), group in by_group(batches, ["shard", "b1", "b2"]):
+            group = group.sort_values("fp")  # so that the root of a tree is its smallest member, and no root has many smaller neighbours
             fps = group["fp"].to_numpy()
             members, roots = _forest_edges(group["own"].to_numpy(), fps.view(np.uint64), b1 != b2, bits)
             if len(members):
                 yield pd.DataFrame({"a": fps[members], "b": fps[roots]})
 
-    dealt = in_blocks(distinct.select("fp").mapInPandas(to_shards, "shard long, fp long"), "shard", SHARD_CAP, "fp")
+    dealt = stored(distinct.select("fp").mapInPandas(to_shards, "shard long, fp long"), "shards")
+    dealt = in_blocks(dealt, dealt.groupBy("shard").agg(F.count("*").alias("n")), "shard", SHARD_CAP, "fp")
     dealt = dealt.repartitionByRange(max(4 * partitions(spark), 2), "shard", "b1", "b2").sortWithinPartitions("shard", "b1", "b2")
     links = stored(dealt.mapInPandas(search, "a long, b long"), "fingerprint-links")
     found = components(links, "a", "b")
@@ -160,8 +168,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     groups = stored(simhash_groups(docs, id_col, text_col, width, bits), "groups")
     ids = groups.select(F.col(id_col).alias("__id"), (F.col("component_id") == F.col(id_col)).alias("__first"))
     drop = stored(ids.where("not __first").select("__id").distinct(), "dropped")
-    small = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    kept = docs.join(small, F.col(id_col) == F.col("__id"), "left_anti")
+    kept = without(docs, drop, id_col)
     if ids.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+
+
+def without(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in drop, a table of distinct ids __id."""
+    n, same = drop.count(), F.col(id_col) == F.col("__id")
+    if n <= BROADCAST_IDS:
+        return docs.join(F.broadcast(drop), same, "left_anti")
+    bits = min(MOST_BITS, 1 << (16 * n).bit_length())
+    place = lambda id_: F.pmod(F.xxhash64(id_, F.lit(5)), F.lit(bits))
+    words = drop.select(place("__id").alias("at")).groupBy((F.col("at").bitwiseAND(~63) / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("marks"))
+    found, marks = words.toPandas(), np.zeros(bits // 64, np.int64)  # bits / 64 rows at most
+    marks[found["word"].to_numpy()] = found["marks"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0)
+
+    maybe = marked(place(F.col(id_col)))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(drop, same, "left_anti"))
