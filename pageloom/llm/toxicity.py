@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import Generations
 from pageloom.llm.quality import labelled_texts
 
 #: Labelled documents of each class that the model is fitted on, at most; landmarks of each class.
@@ -22,7 +23,7 @@ DECAY, SPAN, SYMBOLS = 0.8, 5, 64
 COST = 3e4
 #: Longer words are scored in overlapping windows of this length.
 WINDOW = 24
-CACHE = 150_000
+CACHE = 75_000
 
 #: Digits and signs that stand for letters inside words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -140,10 +141,8 @@ class Machine:
         best = np.full(len(texts), self.bias)
         for start in range(0, len(texts), 256):
             own = [tokens_of(t) for t in texts[start : start + 256]]
-            cache = self.__dict__.setdefault("_cache", {})
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list({t for ts in own for t in ts if t not in cache})
+            cache = self.__dict__.setdefault("_cache", Generations(CACHE))
+            new = cache.missing({t for ts in own for t in ts})
             cache.update(zip(new, self.token_margins(new)))
             best[start : start + 256] = [max(map(cache.__getitem__, ts), default=self.bias) for ts in own]
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -500, 500)))
@@ -258,19 +257,19 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fits the machine on a bounded sample of labelled rows; tasks cut their texts into distinct words."""
+    """Fits the machine on a bounded sample of labelled rows, in an order that doesn't depend on partitions; tasks cut their texts into distinct words. Repeated rows count as often, null texts have no words, other columns are ignored; without labels of both classes every text scores alike."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted({x for t in tokens_of(text) for w in words_of(t) for x in windows(w)}) for text in texts])
 
-    rows = labelled_texts(docs, labels, label, sample, id_col, text_col).select(cut("text").alias("words"), "label").orderBy("label", F.xxhash64("words")).toPandas()
-    own = {c: [list(ws) for ws in rows["words"][rows["label"] == c]] for c in (0, 1)}
+    rows = labelled_texts(docs, labels, label, sample, id_col, text_col).select(cut("__text").alias("words"), "__label").orderBy("__label", F.xxhash64("words"), "words").toPandas()
+    own = {c: [list(ws) for ws in rows["words"][rows["__label"] == c]] for c in (0, 1)}
     return fit(own[1], own[0])
 
 
 def score_column(machine: Machine, text_col: str = "text") -> Column:
-    """The score, 0 to 1, of every whole text; null and empty texts get that of a text without words."""
+    """The score, 0 to 1, of every whole text, of its words only: equal texts score alike, null and empty texts get that of a text without words, an empty table gives an empty one."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

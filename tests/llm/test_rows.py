@@ -52,6 +52,28 @@ def test_classifiers_take_odd_texts(spark):
         assert all(0 <= r[0] <= 1 for r in docs.select(score).collect())
 
 
+def test_classifiers_take_odd_tables(spark):
+    """Extra columns with clashing names, ids of text, repeated rows, and any partitioning."""
+    from pageloom.llm import quality
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("label"), F.lit("x").alias("most"))
+    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    docs = docs.unionByName(docs.limit(20))
+    for module in (quality, toxicity):
+        one, two = (module.train(d, labels) for d in (docs, docs.repartition(7, F.rand(1))))
+        scores = [[round(r[1], 9) for r in docs.select("doc_id", module.score_column(m).alias("s")).orderBy("doc_id", "s").collect()] for m in (one, two)]
+        assert scores[0] == scores[1] and len(set(scores[0])) > 10
+        assert docs.limit(0).select(module.score_column(one)).collect() == []
+        assert module.train(docs.limit(0), labels.limit(0)) is not None
+
+
+def test_features_follow_no_script():
+    from pageloom.llm import quality
+
+    latin, cyrillic = quality.features("eine kleine Maus läuft"), quality.features("одна малая Мышь бежит")
+    assert abs(latin[1] - cyrillic[1]) < 0.05 and quality.features(None).tolist() == [0.0] * 16
+
+
 def test_string_kernel_tolerates_inserted_letters():
     filler = "the of and lamp river stone window garden paper music table chair street cloud flower".split()
     insults = "blorgh snivelt crudwig".split()
@@ -198,7 +220,7 @@ def test_blocks_of_the_benchmark_find_the_same(spark):
 def plain_count(word, score, longest):
     best = [(0.0, 0)] + [None] * len(word)
     for e in range(1, len(word) + 1):
-        best[e] = max((best[s][0] + score[word[s:e]], -(-best[s][1] + 1) if False else best[s][1] - 1) for s in range(max(0, e - longest), e) if word[s:e] in score)
+        best[e] = max((best[s][0] + score[word[s:e]], best[s][1] - 1) for s in range(max(0, e - longest), e) if word[s:e] in score)
     return -best[-1][1]
 
 
