@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.tables import materialised as stored
 from pageloom.functions.tables import shared_dir
 
-__all__ = ["WORD", "Generations", "Roots", "by_group", "buffered", "in_blocks", "partitions", "shared_dir", "small_batches", "stored", "table"]
+__all__ = ["WORD", "Generations", "Roots", "bitmap", "by_group", "buffered", "in_blocks", "is_marked", "marked", "partitions", "shared_dir", "small_batches", "stored", "table"]
 
 #: What separates words in every contract of this package, as a Java / RE2 character class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,6 +83,36 @@ def in_blocks(rows: DataFrame, sizes: DataFrame, key: str, cap: int, spread: str
     return dealt.select(*rows.columns, "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
 
 
+#: Bits of a bitmap of hashes at most (32 MB).
+MOST_BITS = 1 << 28
+
+
+def bitmap(hashes: DataFrame, most: int = MOST_BITS) -> Broadcast:
+    """A broadcast bitmap of a table of one column of 64-bit hashes, some 16 bits for each up to the given size. What it doesn't mark isn't in the table; what it marks may be."""
+    (name,) = hashes.columns
+    bits = min(most, 1 << (16 * max(4, hashes.count())).bit_length())
+    at = F.col(name).bitwiseAND(bits - 1).alias("at")
+    words = hashes.select(at).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("marks")).toPandas()  # bits / 64 rows at most
+    marks = np.zeros(bits // 64, np.int64)
+    marks[words["word"].to_numpy()] = words["marks"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+
+
+def is_marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.int64(64 * len(marks) - 1)
+    return (marks[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0
+
+
+def marked(shared: Broadcast, hash_: Column) -> Column:
+    """Whether a bitmap marks a hash."""
+
+    @F.pandas_udf("boolean")
+    def of(hashes: pd.Series) -> pd.Series:
+        return pd.Series(is_marked(shared.value, hashes.to_numpy(np.int64)))
+
+    return of(hash_)
+
+
 class Generations(dict):
     """Results that were asked for lately: of two generations of so many at most, the older one goes when the younger is full."""
 

@@ -11,9 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import bitmap, is_marked, marked, stored
+
 #: Token positions that each mask compares. No overlap that counts escapes them: in a stretch of 13 and more matches of which at least 80 percent of the tokens match, and in items of 12 to 14 tokens, some four matches stand in a row, and in the shorter and the 15-token items that have no such row one of the other masks fits.
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 #: An overlap counts with so many matching tokens, or all but the allowed substitutions of a shorter item; of its length, so large a part must match.
@@ -22,8 +26,10 @@ OVERLAP, SIMILARITY = 13, 0.8
 SHORTEST = 5
 #: Hits, and tokens along diagonals, that a search looks at at once.
 CHUNK = 1_000_000
-#: Benchmark tokens that are held by tasks at once; a larger benchmark is searched in blocks of this size.
+#: A benchmark of up to so many tokens is broadcast with its seeds; the seeds of a larger one are joined, and items are compared in blocks of this size.
 BLOCK_TOKENS = 2_000_000
+#: The longest items whose seeds are taken under all masks.
+SHORT = 15
 
 _TOKEN = re.compile(r"\w+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -61,7 +67,7 @@ class Index:
         for mask in MASKS:
             found = []
             for n, (_, ids) in enumerate(items):
-                if mask == MASKS[0] or len(ids) <= 15:
+                if mask == MASKS[0] or len(ids) <= SHORT:
                     places = np.arange(len(ids) - mask[-1])
                     found.append((_hashes(ids, mask, places), np.full(len(places), n), places))
             if found:
@@ -137,32 +143,112 @@ def overlap(same: np.ndarray) -> int:
     return int((matches[far] - matches).max())
 
 
-def overlaps_column(index: Index, text_col: str = "text") -> Column:
-    """array<struct<item, matched>> of a text against one block of the benchmark, by item."""
+def along(own: np.ndarray, ids: np.ndarray, shifts: np.ndarray) -> int:
+    """Matching tokens of the best overlap of an item with a text on the given diagonals; 0 where none counts."""
+    best = 0
+    for shift in shifts.tolist():
+        start, end = max(0, -shift), min(len(own), len(ids) - shift)
+        same = own[start:end] == ids[start + shift : end + shift]
+        if same.sum() > best:
+            best = max(best, overlap(same))
+    return best if best >= needed(len(own)) else 0
+
+
+def token_hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
+    """64 bits of each token; seen keeps those of tokens met before."""
+    if len(seen) > 500_000:
+        seen.clear()
+    for w in words:
+        if w not in seen:
+            seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter((seen[w] for w in words), np.uint64, len(words))
+
+
+def benchmark_rows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
+
+
+def broadcast_overlaps(docs: DataFrame, rows: DataFrame, text_col: str) -> Column:
+    """array<struct<item, matched>> of each text, by item, from a benchmark whose items and seeds all tasks hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(Index.of([tuple(r) for r in rows.orderBy("item", "text").collect()]))  # of checked size
 
     @F.pandas_udf("array<struct<item:long,matched:int>>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item": i, "matched": n} for i, n in sorted(index.search(t).items())] for t in texts])
+        return pd.Series([[{"item": i, "matched": n} for i, n in sorted(shared.value.search(t).items())] for t in texts])
 
     return of(F.col(text_col))
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_TOKENS) -> list[Index]:
-    """The benchmark in blocks of about so many tokens at most, by a hash of the item."""
-    size = benchmark.agg(F.sum(F.regexp_count(text_col, F.lit(r"\S+")))).first()[0] or 0
-    n = max(1, -(-int(size) // most))
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [Index.of([(r[0], r[1]) for r in rows.where(block == k).orderBy("item", "text").collect()]) for k in range(n)]
+def seeds(rows: DataFrame, key: str, text_col: str, short: bool, marks: Broadcast | None = None) -> DataFrame:
+    """(mask, h, key, place) of all windows of all texts; masks but the first are for texts of up to SHORT tokens if short says so; marks leaves out hashes that a bitmap doesn't know."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for k, text in zip(batch["key"], batch["text"]):
+                ids = token_hashes(tokens(text), seen)
+                for m, mask in enumerate(MASKS):
+                    if len(ids) <= mask[-1] or short and m and len(ids) > SHORT or short and len(ids) < SHORTEST:
+                        continue
+                    places = np.arange(len(ids) - mask[-1])
+                    h = _hashes(ids, mask, places).view(np.int64)
+                    hit = np.flatnonzero(is_marked(marks.value, h)) if marks else places
+                    if len(hit):
+                        yield pd.DataFrame({"mask": np.int32(m), "h": h[hit], "key": k, "place": places[hit]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("key"), F.col(text_col).alias("text")).mapInPandas(of, f"mask int, h long, key {kind}, place long")
+
+
+def joined_overlaps(docs: DataFrame, rows: DataFrame, text_col: str, blocks: int) -> tuple[DataFrame, Broadcast]:
+    """(key, overlaps), one row for each distinct text that overlaps an item, keyed by the text's SHA-256, and a bitmap of these keys.
+
+    Windows of texts whose hash is none of the benchmark's leave their task nowhere. The others are joined to the benchmark's seeds by mask and hash; (text, item) pairs with their diagonals are joined to items and texts, an item block at a time in one row, and verified.
+    """
+    key = F.sha2(F.col(text_col), 256)
+    own = stored(seeds(rows, "item", "text", True).withColumnsRenamed({"key": "item", "place": "at"}), "benchmark-seeds")
+    hits = seeds(docs.select(key.alias("__key"), F.col(text_col).alias("__text")).where("__key is not null"), "__key", "__text", False, bitmap(own.select("h").distinct()))
+    pairs = hits.join(own, ["mask", "h"]).select("key", "item", (F.col("place") - F.col("at")).alias("shift")).groupBy("key", "item").agg(F.collect_set("shift").alias("shifts"))
+    pairs = stored(pairs, "overlap-candidates")
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")
+    found = pairs.join(rows.withColumnRenamed("text", "said"), "item").groupBy("key", block).agg(F.collect_list(F.struct("item", "said", "shifts")).alias("items"))
+    maybe = marked(bitmap(pairs.select(F.xxhash64("key").alias("h")).distinct()), F.xxhash64(key))
+
+    @F.pandas_udf("array<struct<item:long,matched:int>>")
+    def verified(texts: pd.Series, items: pd.Series) -> pd.Series:
+        seen: dict[str, int] = {}
+        out = []
+        for text, candidates in zip(texts, items):
+            ids, best = token_hashes(tokens(text), seen), {}
+            for c in candidates:
+                if n := along(token_hashes(tokens(c["said"]), seen), ids, np.array(c["shifts"])):
+                    best[c["item"]] = max(n, best.get(c["item"], 0))
+            out.append([{"item": i, "matched": n} for i, n in best.items()])
+        return pd.Series(out)
+
+    texts = docs.where(F.col(text_col).isNotNull() & maybe).select(key.alias("key"), F.col(text_col).alias("text"))
+    checked = texts.join(found, "key").select("key", "block", verified("text", "items").alias("part")).where(F.size("part") > 0).dropDuplicates(["key", "block"])
+    checked = stored(checked.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("overlaps")), "overlaps")
+    return checked, bitmap(checked.select(F.xxhash64("key").alias("h")))
+
 
+def with_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "overlaps", id_col: str = "item_id", item_text_col: str = "text", most: int = BLOCK_TOKENS) -> DataFrame:
+    """docs with a column of all benchmark items that each whole text overlaps: array<struct<item, matched>>, by item.
 
-def with_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "overlaps") -> DataFrame:
-    """docs with a column of all benchmark items that each whole text overlaps: array<struct<item, matched>>.
+    Tokens are runs of letters, digits and underscores in lower case. Every window of a text is hashed under each mask and joined to the hashes of all benchmark windows; around a hit the two texts are compared along the diagonal. A benchmark of up to most tokens is broadcast; the seeds of a larger one are joined by a shuffle, which only windows that a bitmap of its hashes marks take part in. Texts that overlap nothing are never shuffled.
 
-    Tokens are runs of letters, digits and underscores in lower case. Every window of a text is hashed under each mask and looked up among the hashes of all benchmark windows, which tasks hold; the benchmark is read in blocks of bounded size, each searched against all rows, so documents are never shuffled. Around a hit the two texts are compared along the diagonal. Null and empty texts overlap nothing, an empty benchmark matches nothing, repeated rows are treated alike, other columns are kept.
+    Null and empty texts overlap nothing, an empty benchmark matches nothing, benchmark rows without id or text are ignored, those that share an id are one item with the better overlap. Repeated rows are treated alike, very long texts are searched whole. Other columns are kept, one with the name of out is replaced. An empty table gives an empty one.
     """
-    found = [overlaps_column(index, text_col) for index in blocks(benchmark)]
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
+    rows = benchmark_rows(benchmark, id_col, item_text_col)
+    size = int(rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+")))).first()[0] or 0)
+    if size <= most:
+        return docs.withColumn(out, broadcast_overlaps(docs, rows, text_col))
+    found, marks = joined_overlaps(docs, stored(rows, "benchmark"), text_col, -(-size // most))
+    key, none = F.sha2(F.col(text_col), 256), F.array().cast("array<struct<item:long,matched:int>>")
+    maybe = F.coalesce(marked(marks, F.xxhash64(key)), F.lit(False)) & F.col(text_col).isNotNull()
+    columns = [c for c in docs.columns if c != out]
+    rest = docs.where(~maybe).select(*columns, none.alias(out))
+    return rest.unionByName(docs.where(maybe).join(found.select(F.col("key").alias("__key"), F.col("overlaps").alias("__found")), key == F.col("__key"), "left").select(*columns, F.coalesce("__found", none).alias(out)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

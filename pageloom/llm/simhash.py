@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import Roots, buffered, by_group, in_blocks, partitions, stored
+from pageloom.llm.common import MOST_BITS, Roots, bitmap, buffered, by_group, in_blocks, marked, partitions, stored
 from pageloom.llm.components import components
 
 #: Fingerprints that fit the trees: one of SAMPLE_PART, between these two numbers (16 MB at most); every fingerprint is dealt by them. So trees have up to some 80,000 shards each.
@@ -19,8 +19,8 @@ SAMPLE, MOST_SAMPLE, SAMPLE_PART = 16_384, 2_097_152, 256
 PROBE = 4_096
 #: Fingerprints of a shard that one task compares; larger shards are compared in pairs of blocks.
 SHARD_CAP = 50_000
-#: Ids of dropped documents of up to this number (8 MB) are broadcast, so that texts needn't be shuffled. More are told from the others by a bitmap of hashes of so many bits at most (32 MB), and only texts that it marks are joined.
-BROADCAST_IDS, MOST_BITS = 1_000_000, 1 << 28
+#: Ids of dropped documents of up to this number (8 MB) are broadcast, so that texts needn't be shuffled. More are told from the others by a bitmap of hashes, and only texts that it marks are joined.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -176,20 +176,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def without(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
     """The rows of docs whose id is not in drop, a table of distinct ids __id."""
-    n, same = drop.count(), F.col(id_col) == F.col("__id")
-    if n <= BROADCAST_IDS:
+    same = F.col(id_col) == F.col("__id")
+    if drop.count() <= BROADCAST_IDS:
         return docs.join(F.broadcast(drop), same, "left_anti")
-    bits = min(MOST_BITS, 1 << (16 * n).bit_length())
-    place = lambda id_: F.pmod(F.xxhash64(id_, F.lit(5)), F.lit(bits))
-    words = drop.select(place("__id").alias("at")).groupBy((F.col("at").bitwiseAND(~63) / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("marks"))
-    found, marks = words.toPandas(), np.zeros(bits // 64, np.int64)  # bits / 64 rows at most
-    marks[found["word"].to_numpy()] = found["marks"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0)
-
-    maybe = marked(place(F.col(id_col)))
+    hash_ = lambda id_: F.xxhash64(id_, F.lit(5))
+    maybe = marked(bitmap(drop.select(hash_("__id").alias("h")), MOST_BITS), hash_(id_col))
     return docs.where(~maybe).unionByName(docs.where(maybe).join(drop, same, "left_anti"))
