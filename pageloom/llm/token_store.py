@@ -63,7 +63,7 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
 
     Documents are tokenised once, whole, each followed by END_OF_TEXT, and laid end to end within a scan partition; every length tokens are a sequence, the last of a partition may be short, so every token of every row is in the output once. Sequences are numbered from 0 by partition and place; a keyed Feistel permutation of these numbers gives each its slot, and slots shard * k .. are file k. Null and empty texts are an END_OF_TEXT alone; repeated rows are written as often; an empty table writes a manifest only; other columns are ignored.
 
-    The packed sequences are stored in the shared folder, so slots stay the same if a later task is run again; a shard is written under the name of its attempt and then renamed.
+    Range partitions of slots write the shards, each a run of neighbouring ones. Ids are numbers; what isn't one is null in doc_ids. The packed sequences are stored in the shared folder, so slots stay the same if a later task is run again; a shard is written under the name of its attempt and then renamed.
     """
     spark = docs.sparkSession
 
@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     rows = packed.join(small, F.col("part") == F.col("p")).select((F.col("base") + F.col("number")).alias("index"), "n_tokens", "doc_ids", "tokens")
     dealt = rows.mapInArrow(deal, "shard long, slots array<long>, sizes array<int>, owners array<array<long>>, blob binary")
     n = min(n_shards, max(8 * partitions(spark), 200))
-    dealt = dealt.repartitionById(n, F.expr(f"cast(shard % {n} as int)")).sortWithinPartitions("shard")
+    dealt = dealt.repartitionById(n, F.expr(f"cast(shard * {n} div {n_shards} as int)")).sortWithinPartitions("shard")
     written = stored(dealt.mapInArrow(write, "slot long, shard long, position long, n_tokens int, doc_ids array<long>, crc long"), "sequence-index")
     put(f"{out}/manifest.json", json.dumps({"sequences": total, "length": length, "shard": shard, "shards": n_shards if total else 0, "header": HEADER, "dtype": "uint16", "key": key, "end_of_text": END_OF_TEXT}).encode())
     return written

@@ -122,6 +122,40 @@ def test_token_shards_hold_every_token(spark, tmp_path):
     assert token_store.write_shards(docs.limit(0), f"{out}2").collect() == []
 
 
+def test_sequences_lie_where_the_permutation_says(spark, tmp_path):
+    """A plain version: documents end to end within each partition, cut into sequences, sequence i at the slot that the permutation gives i."""
+    long_ = "tokens of a very long text " * 3_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three"] * 5 + [None, "", long_, "a  b\n\n c", "äöü 中文"] * 6)], "doc_id long, text string").repartition(3).withColumn("slot", F.lit(1)).persist()
+    parts = docs.select("doc_id", "text", F.spark_partition_id().alias("p")).collect()
+    out, plain = f"file://{tmp_path}/out", token_store.encoders(token_store.VOCABULARY)[0]
+    index = token_store.write_shards(docs, out, length=50, shard=64).collect()
+    sequences, owners = [], []
+    for p in range(3):
+        stream = [(t, r.doc_id) for r in parts if r.p == p for t in [*plain.encode_ordinary(r.text or ""), token_store.END_OF_TEXT]]
+        for start in range(0, len(stream), 50):
+            sequences.append([t for t, _ in stream[start : start + 50]])
+            owners.append(list(dict.fromkeys(i for _, i in stream[start : start + 50])))
+    slots = permute(np.arange(len(sequences)), len(sequences), "order-1").tolist()
+    read = [x.tolist() for x in token_store.read_slots(out, 0, len(sequences))]
+    by_slot = {r.slot: r for r in index}
+    for i, slot in enumerate(slots):
+        assert read[slot] == sequences[i] and by_slot[slot].doc_ids == owners[i] and by_slot[slot].position == slot % 64 * token_store.stride(50)
+
+
+def test_token_counts_of_a_table_match_plain_programming(spark):
+    score, longest = token_count.scores()
+    rows = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    known: dict[str, int] = {}
+    got = {r.doc_id: r.n_tokens for r in queries.op7_token_counts(spark, f"{DATA}/sf0.001").collect()}
+    for r in rows:
+        for p in token_count.pieces_of(r.text):
+            if p not in known:
+                known[p] = plain_count(p.encode(), score, longest)
+        assert got[r.doc_id] == sum(known[p] for p in token_count.pieces_of(r.text))
+    empty = spark.createDataFrame([], "doc_id long, text string, n_tokens long")
+    assert empty.select("doc_id", token_count.count_column()).collect() == []
+
+
 def test_surrogates(spark):
     text = "Mail Anna Schmidt at anna.schmidt@mail7.example.com or ANNA.SCHMIDT@mail7.example.com, +1 (017) 555-7713 190.137.223.204 card 9807915762804490; Мария Петрова; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" version 2.0.1"
     docs = spark.createDataFrame([(1, text, 0), (2, text.replace("Anna", "Eva"), 0), (3, None, 0), (4, "", 0), (5, "plain text without any", 0)], "doc_id long, text string, entities int")
