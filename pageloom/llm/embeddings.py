@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import Roots, buffered, by_group, in_blocks, partitions, stored
@@ -78,6 +78,18 @@ def unit(vectors: list, kind=float) -> np.ndarray:
     return (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(kind)
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once for the row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scaled(v: Column, largest: Column) -> Column:
+    """v divided by the power of two below its largest component, in two steps, as one power of two may be too small or too large for a double."""
+    two = F.lit(2.0)
+    step = lambda e: F.struct(F.pow(two, F.floor(e / 2)).alias("a"), F.pow(two, e - F.floor(e / 2)).alias("b"))
+    return once(once(F.floor(F.log2(largest)), step), lambda s: F.transform(v, lambda x: x / s["a"] / s["b"] + 0.0))
+
+
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, trees: int = TREES) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: rows of equal, not null label and equal dimension are linked when the cosine in double precision reaches the threshold; n_links counts the other rows linked directly, component_id is the smallest id reachable, kept says that it is the row's own.
 
@@ -90,10 +102,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     largest = F.array_max(F.transform(v, F.abs))
     usable = F.col(label_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (largest > 0)
     usable = F.coalesce(usable, F.lit(False))
-    # Two divisions, as one power of two may be too small or too large for a double.
-    steps = [F.pow(F.lit(2.0), F.floor(F.log2(largest) / 2)), F.pow(F.lit(2.0), F.floor(F.log2(largest)) - F.floor(F.log2(largest) / 2))]
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.when(usable, v).alias("v"), *(F.when(usable, x).alias(f"by{i}") for i, x in enumerate(steps)))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.col("by0") / F.col("by1") + 0.0)).drop("by0", "by1")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.when(usable, scaled(v, largest)).alias("v"))
     rows = stored(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))), "vectors")
     distinct = rows.where("v is not null").groupBy("label", "v", "h").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     # A hash tells distinct vectors apart; should two of them share one, a running number within it keeps them apart.
