@@ -96,3 +96,14 @@ def quality_bonus(quality: DataFrame, deviation: DataFrame) -> DataFrame:
 
 def quality_lookup(bonus: DataFrame) -> DataFrame:
     return bonus.where("bonus <> 0").select("url", "bonus")
+
+
+def fresh_bonuses(quality: DataFrame, as_of: str, days: int = 2) -> DataFrame:
+    """(url, bonus) of urls whose bonus isn't zero and was renewed in the last days; quality has url, bonus and updated_at."""
+    return quality.where((F.col("bonus") != 0) & (F.col("updated_at") >= F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {days} days"))).select("url", "bonus")
+
+
+def visit_rates(quality: DataFrame, as_of: str, least: int = 10, days: int = 7) -> DataFrame:
+    """(url, bad_rate, good_rate, n_clicks) of urls with enough clicks that were renewed in the last days."""
+    fresh = quality.where((F.col("n_clicks") >= least) & (F.col("updated_at") >= F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {days} days")))
+    return fresh.select("url", "bad_rate", "good_rate", "n_clicks")

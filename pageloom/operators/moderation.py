@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ MAX_URLS, MAX_EMOJIS, MAX_UPPER, MAX_SPECIAL, MAX_REPEAT = 2, 8, 0.6, 0.35, 4
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 SPAM_PHRASES = ["jetzt kaufen", "klick hier", "geld verdienen", "kostenlos gewinnen", "casino", "viagra", "click here", "buy now", "free money"]
 
+#: Patterns that are tried on every post at a time, and pattern vectors that tasks hold at a time.
+SHORT_PATTERNS, PATTERN_VECTORS = 1_000, 5_000
+
 # Words that address someone, speak of oneself, attack, or belong to games or hyperbole.
 ADDRESSED = "du|dich|dir|dein|deine|deinen|deinem|euch|ihr|euer|eure"
 ABOUT_SELF = "ich (bin|fühle|finde|glaube|denke|mache|hab|habe)"
@@ -87,13 +92,25 @@ def insult_check(posts: DataFrame, text: str = "body") -> DataFrame:
 
 
 def pattern_check(posts: DataFrame, patterns: DataFrame, text: str = "body", id_col: str = "id") -> DataFrame:
-    """(id, pattern_id, action, category): the active pattern of most priority that each post matches, posts without one left out. Phrases match anywhere in the text in any case; regex patterns are tried as such. patterns is a small list, held by every task."""
+    """(id, pattern_id, action, category): the active pattern of most priority that each post matches, posts without one left out. Phrases match anywhere in the text in any case; regex patterns are tried as such.
+
+    A phrase of three words and more holds its second word whole, so posts are joined to such phrases by that word. Shorter phrases and regular expressions are tried on every post: in turns of SHORT_PATTERNS, which tasks hold.
+    """
     p = patterns.where("active").select(F.col("id").alias("pattern_id"), "pattern", F.col("kind").alias("pattern_kind"), "category", "priority", "action")
-    phrase = F.contains(F.lower(text), F.lower("pattern"))
-    hit = F.when(F.col("pattern_kind") == "phrase", phrase).otherwise(F.rlike(F.col(text), F.col("pattern")))
-    found = posts.select(id_col, text).join(F.broadcast(p), hit)
-    best = Window.partitionBy(id_col).orderBy(F.desc("priority"), "pattern_id")
-    return found.withColumn("i", F.row_number().over(best)).where("i = 1").select(id_col, "pattern_id", "action", "category")
+    p = p.withColumn("__words", F.split(F.lower("pattern"), " ")).withColumn("__key", F.when((F.col("pattern_kind") == "phrase") & (F.size("__words") > 2), F.element_at("__words", 2)))
+    own = posts.select(id_col, F.col(text).alias("__text"), F.lower(text).alias("__low"))
+    keyed = p.where("__key is not null")
+    words = own.select(F.col(id_col).alias("__post"), F.explode(F.array_distinct(F.split("__low", " "))).alias("__key"))
+    verdict = F.struct(-F.col("priority"), F.col("pattern_id"), F.col("action"), F.col("category"))
+    maybe = words.join(keyed, "__key").drop("__key", "__words")  # texts come in afterwards, so that no word carries its text
+    found = own.join(maybe, F.col(id_col) == F.col("__post")).where(F.contains("__low", F.lower("pattern"))).select(id_col, verdict.alias("v"))
+    rest = p.where("__key is null").select("pattern_id", "pattern", "pattern_kind", "category", "priority", "action")
+    blocks = -(-rest.count() // SHORT_PATTERNS)
+    hit = F.when(F.col("pattern_kind") == "phrase", F.contains("__low", F.lower("pattern"))).otherwise(F.rlike("__text", F.col("pattern")))
+    for i in range(blocks):
+        found = found.unionByName(own.join(F.broadcast(rest.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == i)), hit).select(id_col, verdict.alias("v")))
+    best = found.groupBy(id_col).agg(F.min("v").alias("v"))
+    return best.select(id_col, "v.pattern_id", "v.action", "v.category")
 
 
 def moderate(posts: DataFrame, patterns: DataFrame, duplicates: DataFrame, text: str = "body") -> DataFrame:
@@ -124,8 +141,9 @@ def verdicts(posts: DataFrame, checked_at: str) -> DataFrame:
     return posts.select(F.col("id").alias("post_id"), "kind", F.left("body", F.lit(500)).alias("text"), score.alias("score"), F.coalesce("insult_action", F.lit("allow")).alias("action"), F.col("insult_category").alias("category"), blocked.alias("blocked"), flagged.alias("flagged"), F.to_timestamp(F.lit(checked_at)).alias("checked_at"))
 
 
-def moderation_stats(log: DataFrame) -> DataFrame:
-    return log.groupBy("category").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("score").cast("double")), 4).alias("mean_score"))
+def moderation_stats(log: DataFrame, as_of: str) -> DataFrame:
+    """Verdicts of the last seven days by category."""
+    return log.where(F.col("checked_at") >= F.to_timestamp(F.lit(as_of)) - F.expr("interval 7 days")).groupBy("category").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("score").cast("double")), 4).alias("mean_score"))
 
 
 def pattern_stats(patterns: DataFrame) -> DataFrame:
@@ -174,11 +192,18 @@ def flag_injection(log: DataFrame, text: str = "query") -> DataFrame:
 
 
 def semantic_check(vectors: DataFrame, patterns: DataFrame, least: float = 0.82) -> DataFrame:
-    """(id, pattern_id, cosine) of the nearest pattern vector where its cosine passes the limit. patterns is a small list, held by every task."""
+    """(id, pattern_id, cosine) of the nearest pattern vector where its cosine passes the limit. A vector is not compared with the pattern of its own id."""
+    best = semantic_matches(vectors, patterns, least).groupBy("id").agg(F.max_by("pattern_id", F.struct(F.col("cosine"), -F.col("pattern_id"))).alias("pattern_id"), F.max("cosine").alias("cosine"))
+    return best
+
+
+def semantic_matches(vectors: DataFrame, patterns: DataFrame, least: float = 0.85) -> DataFrame:
+    """(id, pattern_id, cosine) of all pattern vectors whose cosine passes the limit; patterns are held by tasks in turns of PATTERN_VECTORS."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     v = vectors.select("id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("nv"))
     p = patterns.select(F.col("id").alias("pattern_id"), F.col("embedding").alias("p"), norm(F.col("embedding")).alias("np"))
-    pairs = v.join(F.broadcast(p), F.size("v") == F.size("p")).select("id", "pattern_id", F.round(F.try_divide(dot(F.col("v"), F.col("p")), F.col("nv") * F.col("np")), 6).alias("cosine"))
-    best = pairs.groupBy("id").agg(F.max_by("pattern_id", F.struct(F.col("cosine"), -F.col("pattern_id"))).alias("pattern_id"), F.max("cosine").alias("cosine"))
-    return best.where(F.col("cosine") > least)
+    blocks = max(1, -(-p.count() // PATTERN_VECTORS))
+    near = [v.join(F.broadcast(p.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == i)), (F.size("v") == F.size("p")) & (F.col("id") != F.col("pattern_id"))) for i in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, near).select("id", "pattern_id", F.round(F.try_divide(dot(F.col("v"), F.col("p")), F.col("nv") * F.col("np")), 6).alias("cosine"))
+    return pairs.where(F.col("cosine") > least)

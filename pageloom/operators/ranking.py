@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,6 @@ SIGNALS = {"freshness": 0.18, "phrase": 0.15, "community": 0.15, "engagement": 0
 # Most results of a domain family among the first ten and in all, by intent.
 FAMILY_LIMITS = {"NEWS": (10, 20), "COMMERCIAL": (2, 3), "INFORMATIONAL": (2, 4)}
 DEFAULT_LIMITS, TOP_SIZE = (3, 5), 10
-#: Candidates of a query that the order-dependent passes look at.
-CANDIDATES = 200
 
 
 def words_between_spaces(text: Column) -> Column:
@@ -228,21 +228,27 @@ def homepage_boost(ranking: DataFrame, brands: DataFrame) -> DataFrame:
     return out.withColumn("final_score", F.when(F.col("brand").isNotNull() & home, F.least(F.lit(100), F.col("final_score") + 20)).otherwise(F.col("final_score"))).drop("brand")
 
 
-def diversify(ranking: DataFrame) -> DataFrame:
-    """ranking (query_id, intent, url, final_score) with the rows that a pass down the list keeps, and their new rank. A row is passed over while fewer than ten are kept and its domain family has reached its limit for the top, or once the family has reached its limit in all. Passed rows don't return but later ones may come, so the pass is a fold over the best 200 rows of each query."""
-    best = ranking.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "url"))).where(F.col("__r") <= CANDIDATES)
-    row = F.struct(F.col("__r").alias("r"), domain_family(host(F.col("url"))).alias("family"))
-    pick = lambda i: F.coalesce(*(F.when(F.col("intent") == k, v[i]) for k, v in FAMILY_LIMITS.items()), F.lit(DEFAULT_LIMITS[i]))
-    lists = best.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("intent").alias("intent"))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.size(F.filter(acc["kept"], lambda f: f == x["family"]))
-        ok = ~(((F.size(acc["kept"]) < TOP_SIZE) & (n >= F.col("most_top"))) | (n >= F.col("most")))
-        return F.struct(F.when(ok, F.array_append(acc["kept"], x["family"])).otherwise(acc["kept"]).alias("kept"), F.when(ok, F.array_append(acc["at"], x["r"])).otherwise(acc["at"]).alias("at"))
+def diversify(ranking: DataFrame, brands: DataFrame | None = None) -> DataFrame:
+    """ranking (query_id, intent, url, final_score) with the rows that a pass down each query's list keeps, and their new rank. A row is passed over while fewer than ten are kept and its domain family has reached its limit for the top, or once the family has reached its limit in all. Passed rows don't return but later ones may come. Queries that have a brand in brands keep all rows.
 
-    kept = lists.withColumn("most_top", pick(0)).withColumn("most", pick(1)).select("query_id", F.posexplode(F.aggregate("rows", start, step, lambda a: a["at"])).alias("i", "__r"))
-    return best.drop("rank").join(kept, ["query_id", "__r"]).withColumn("rank", F.col("i") + 1).drop("i", "__r")
+    While fewer than ten are kept, a family loses rows by its top limit only, so the first ten of all rows within that limit of their family are kept. After the place of the tenth, a family takes what its whole limit leaves. Both are ranks within families, so that no list is gathered.
+    """
+    pick = lambda i: F.coalesce(*(F.when(F.col("intent") == k, v[i]) for k, v in FAMILY_LIMITS.items()), F.lit(DEFAULT_LIMITS[i]))
+    rows = ranking.drop("rank")
+    if brands is not None:
+        rows = rows.join(brands.where("brand is not null").select("query_id", F.lit(True).alias("__all")), "query_id", "left")
+    free = yes("__all") if brands is not None else F.lit(False)
+    rows = rows.withColumns({"__r": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "url")), "__family": domain_family(host(F.col("url"))), "__top": pick(0), "__most": pick(1), "__free": free})
+    family = Window.partitionBy("query_id", "__family")
+    rows = rows.withColumn("__rf", F.row_number().over(family.orderBy("__r")))
+    tops = rows.where("__rf <= __top").withColumn("__k", F.row_number().over(Window.partitionBy("query_id").orderBy("__r"))).where(F.col("__k") <= TOP_SIZE)
+    ends = tops.groupBy("query_id").agg(F.max(F.when(F.col("__k") == TOP_SIZE, F.col("__r"))).alias("__end"))
+    rows = rows.join(ends, "query_id", "left")
+    in_top = (F.col("__rf") <= F.col("__top")) & (F.col("__end").isNull() | (F.col("__r") <= F.col("__end")))
+    rows = rows.withColumns({"__in": in_top, "__after": F.coalesce(F.col("__r") > F.col("__end"), F.lit(False))})
+    rows = rows.withColumn("__had", F.sum(F.col("__in").cast("int")).over(family)).withColumn("__ra", F.row_number().over(Window.partitionBy("query_id", "__family", "__after").orderBy("__r")))
+    kept = rows.where(F.col("__free") | F.col("__in") | (F.col("__after") & (F.col("__had") + F.col("__ra") <= F.col("__most"))))
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("__r"))).select(*(c for c in ranking.columns if c != "rank"), "rank")
 
 
 def diversity_index(ranking: DataFrame, n: int = 10) -> DataFrame:
@@ -289,12 +295,13 @@ def highlight(text: Column, terms: Column) -> Column:
     return F.when(F.size(escaped) > 0, F.regexp_replace(text, pattern, F.lit("<mark>$1</mark>"))).otherwise(text)
 
 
-def semantic_scores(query_vectors: DataFrame, page_vectors: DataFrame, most: int = 10_000) -> DataFrame:
-    """(query_id, page_id, score): dot products of unit vectors, stretched to 0 to 1. The stated queries, most of them at most, are held by every task and each page is compared with them."""
-    if query_vectors.limit(most + 1).count() > most:
-        raise ValueError(f"score at most {most} queries at a time")
+def semantic_scores(query_vectors: DataFrame, page_vectors: DataFrame, block: int = 5_000) -> DataFrame:
+    """(query_id, page_id, score): dot products of unit vectors, stretched to 0 to 1, of the stated queries with all pages. Tasks hold a block of so many queries at a time; a query is not compared with the page of its own id."""
+    blocks = max(1, -(-query_vectors.count() // block))
     dot = F.aggregate(F.zip_with("qv", "pv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pages = page_vectors.select("page_id", F.col("embedding").alias("pv"))
-    s = pages.join(F.broadcast(query_vectors.select("query_id", F.col("embedding").alias("qv"))), F.size("qv") == F.size("pv")).select("query_id", "page_id", dot.alias("s"))
+    asked = query_vectors.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    parts = [pages.join(F.broadcast(asked.where(F.col("block") == i)), (F.size("qv") == F.size("pv")) & (F.col("query_id") != F.col("page_id"))) for i in range(blocks)]
+    s = reduce(DataFrame.unionByName, parts).select("query_id", "page_id", dot.alias("s"))
     score = F.when(F.col("s") >= 0.65, (F.col("s") - 0.65) / 0.35).otherwise(F.greatest(F.lit(0.1), F.col("s") / 0.65 * 0.5))
     return s.select("query_id", "page_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))

@@ -70,7 +70,7 @@ def related_searches(log: DataFrame, queries: DataFrame, as_of: str, n: int = 6)
     targets = queries.select(F.lower(F.trim("query")).alias("query")).distinct()
     hit = recent.join(targets, recent.q == targets.query).select("session_id", "query")
     secret = F.col("q").rlike(r"(?i)passwor[td]|^\S*[0-9]\S*[!@#$%]\S*$")
-    other = hit.join(recent, "session_id").where((F.col("q") != F.col("query")) & F.length("q").between(2, 60) & ~secret)
+    other = hit.join(recent, "session_id").where((F.col("q") != F.col("query")) & F.length("q").between(3, 60) & ~secret)
     counts = other.groupBy("query", F.col("q").alias("related")).agg(F.count("*").alias("n_sessions"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_sessions"), "related"))).where(F.col("rank") <= n)
 

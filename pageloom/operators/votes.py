@@ -134,10 +134,10 @@ def consensus(votes: DataFrame, as_of: str) -> DataFrame:
 
 
 def evaluate_votes(votes: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
-    """Each vote with its verdict: rejected in a burst, else the weight and visibility of its user, and whether its domain has consensus."""
+    """Each vote with its verdict: rejected in a burst of accepted votes, else the weight and visibility of its user, and whether its domain has consensus."""
     who = vote_weight(users, as_of).select(F.col("id").alias("user_id"), F.col("weight").alias("user_weight"), F.col("visible").alias("user_visible"))
     what = consensus(votes, as_of).select("domain", "has_consensus")
-    out = vote_bursts(votes).join(who, "user_id", "left").join(what, "domain", "left")
+    out = votes.join(accept_votes(votes).select("id", (~F.col("accepted")).alias("rejected")), "id").join(who, "user_id", "left").join(what, "domain", "left")
     verdict = F.when(F.col("rejected"), "rejected").when(yes("user_visible"), "counted").otherwise("hidden")
     return out.select("id", "user_id", "domain", "value", verdict.alias("verdict"), F.when(F.col("rejected"), 0.0).otherwise(F.coalesce("user_weight", F.lit(0.0))).alias("vote_weight"), yes("has_consensus").alias("has_consensus"))
 

@@ -222,6 +222,11 @@ CONTRARIAN = f"""contrarian AS (
   FROM v_user_votes JOIN community USING (domain) WHERE created_at >= {NOW} - INTERVAL 30 DAY GROUP BY user_id HAVING count(*) >= 10 AND round(avg(CASE WHEN value <> sign(community_score) THEN 1 ELSE 0 END), 4) > 0.8)"""
 CONSENSUS = f"""agreed AS (SELECT domain, count(*) AS n_visible, min(created_at) AS oldest, count(*) >= 20 AND min(created_at) <= {NOW} - INTERVAL 48 HOUR AS has_consensus FROM v_user_votes WHERE visible GROUP BY domain)"""
 BURSTS = "bursts AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(created_at)) AS BIGINT) RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) - 1 AS earlier FROM v_user_votes)"
+ACCEPTED = """numbered AS (SELECT *, CAST(floor(epoch(created_at)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(created_at)) AS BIGINT), id) AS i FROM v_user_votes),
+took AS (SELECT id, user_id, domain, value, i, [t] AS kept, true AS accepted FROM numbered WHERE i = 1
+  UNION ALL SELECT n.id, n.user_id, n.domain, n.value, n.i,
+    CASE WHEN len(list_filter(o.kept, lambda x: x >= n.t - 600)) < 5 THEN list_append(list_filter(o.kept, lambda x: x >= n.t - 600), n.t) ELSE list_filter(o.kept, lambda x: x >= n.t - 600) END,
+    len(list_filter(o.kept, lambda x: x >= n.t - 600)) < 5 FROM took o JOIN numbered n ON n.user_id = o.user_id AND n.i = o.i + 1)"""
 PAIRS = """pairs AS (SELECT a.session_id, a.url AS source_url, b.url AS target_url, a.created_at AS at, b.created_at AS "then"
   FROM v_vote_history a JOIN v_vote_history b ON a.session_id = b.session_id AND a.vote_type = 'up' AND b.vote_type = 'up' AND a.created_at < b.created_at AND b.created_at - a.created_at < INTERVAL 60 MINUTE AND a.url <> b.url)"""
 JOURNEYS = with_views("", "v_vote_history").rstrip() + ",\n" + PAIRS + "\n"
@@ -254,7 +259,7 @@ QUERIES = {
         FROM (SELECT DISTINCT left(query, 2) AS prefix FROM v_query_log) JOIN dictionary ON starts_with(query, prefix))) WHERE rank <= 8"""),
     "related_searches": (related_searches, _log(f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY n_sessions DESC, related) AS INT) AS rank FROM (
         SELECT a.query, b.query AS related, count(*) AS n_sessions FROM (SELECT DISTINCT session_id, query FROM v_query_log WHERE ts >= {NOW} - INTERVAL 30 DAY) a JOIN (SELECT DISTINCT session_id, query FROM v_query_log WHERE ts >= {NOW} - INTERVAL 30 DAY) b USING (session_id)
-        WHERE a.query <> b.query GROUP BY 1, 2)) WHERE rank <= 6""")),
+        WHERE a.query <> b.query AND length(b.query) BETWEEN 3 AND 60 GROUP BY 1, 2)) WHERE rank <= 6""")),
     "related_fallback": (related_fallback, _log("SELECT query, query || ' ' || m AS related, CAST(row_number() OVER (PARTITION BY query ORDER BY i) AS INT) AS rank FROM (SELECT DISTINCT query FROM v_query_log), (VALUES (0, 'guide'), (1, 'news'), (2, 'compare'), (3, 'buy')) AS t(i, m) WHERE NOT contains(query, m)")),
     "top_searches": (top_searches, _log("SELECT query, count(*) AS n, round(avg(duration_ms), 2) AS mean_ms, round(avg(results), 2) AS mean_results, max(ts) AS last_search FROM v_query_log GROUP BY query ORDER BY n DESC, query LIMIT 20")),
     "daily_trends": (daily_trends, _log("SELECT search_date, CAST(sum(n) AS BIGINT) AS searches, count(DISTINCT query) AS n_queries, round(avg(n), 4) AS mean_count FROM (SELECT query, CAST(ts AS DATE) AS search_date, count(*) AS n FROM v_query_log GROUP BY 1, 2) GROUP BY search_date")),
@@ -283,8 +288,8 @@ QUERIES = {
     "accepted_votes": (accepted_votes, None),
     "folded_votes": (folded_votes, None),
     "vote_consensus": (vote_consensus, with_views("", "v_user_votes").rstrip() + ",\n" + CONSENSUS + " SELECT * FROM agreed"),
-    "evaluated_votes": (evaluated_votes, USERS + ",\n" + BURSTS + ",\n" + CONSENSUS + """ SELECT b.id, b.user_id, b.domain, b.value, CASE WHEN earlier >= 5 THEN 'rejected' WHEN w.visible THEN 'counted' ELSE 'hidden' END AS verdict,
-        CASE WHEN earlier >= 5 THEN 0 ELSE coalesce(w.weight, 0) END AS vote_weight, coalesce(has_consensus, false) AS has_consensus FROM bursts b LEFT JOIN weighed w ON w.id = b.user_id LEFT JOIN agreed USING (domain)"""),
+    "evaluated_votes": (evaluated_votes, USERS.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ACCEPTED + ",\n" + CONSENSUS + """ SELECT b.id, b.user_id, b.domain, b.value, CASE WHEN NOT accepted THEN 'rejected' WHEN w.visible THEN 'counted' ELSE 'hidden' END AS verdict,
+        CASE WHEN NOT accepted THEN 0 ELSE coalesce(w.weight, 0) END AS vote_weight, coalesce(has_consensus, false) AS has_consensus FROM took b LEFT JOIN weighed w ON w.id = b.user_id LEFT JOIN agreed USING (domain)"""),
     "approvals": (approvals, with_views("SELECT domain, CASE WHEN positive + negative > 0 THEN CAST(floor(CAST(positive AS DOUBLE) / (positive + negative) * 100 + 0.5) AS BIGINT) END AS approval FROM v_domain_votes", "v_domain_votes")),
     "vote_leaderboard": (vote_leaderboard, with_views("SELECT domain, positive, neutral, negative, positive + neutral + negative AS total FROM v_domain_votes ORDER BY total DESC, domain LIMIT 500", "v_domain_votes")),
     "vote_totals": (vote_totals, with_views("SELECT count(*) AS n_domains, CAST(sum(positive) AS BIGINT) AS positive, CAST(sum(neutral) AS BIGINT) AS neutral, CAST(sum(negative) AS BIGINT) AS negative FROM v_domain_votes", "v_domain_votes")),

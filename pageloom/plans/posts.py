@@ -18,8 +18,8 @@ TOKENS = K.TOKENS
 
 def patterns(spark, d):
     """The first three words of every benchmark item as a phrase, and two regular expressions."""
-    phrases = v.read(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").cast("int").alias("id"), F.substring_index("text", " ", 3).alias("pattern"), F.lit("phrase").alias("kind"), F.lit("leak").alias("category"), F.col("item_id").cast("int").alias("priority"), F.when(F.col("item_id") % 2 == 0, "block").otherwise("flag").alias("action"), F.lit(True).alias("active"))
-    return phrases.unionByName(spark.createDataFrame([(100, "[0-9]{16}", "regex", "number", 50, "flag", True), (101, "MIT License", "regex", "license", 60, "block", True), (102, "the", "phrase", "off", 99, "block", False)], "id int, pattern string, kind string, category string, priority int, action string, active boolean"))
+    phrases = v.read(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("id"), F.substring_index("text", " ", 3).alias("pattern"), F.lit("phrase").alias("kind"), F.lit("leak").alias("category"), F.col("item_id").cast("int").alias("priority"), F.when(F.col("item_id") % 2 == 0, "block").otherwise("flag").alias("action"), F.lit(True).alias("active"))
+    return phrases.unionByName(spark.createDataFrame([(-100, "[0-9]{16}", "regex", "number", 50, "flag", True), (-101, "MIT License", "regex", "license", 60, "block", True), (-102, "the", "phrase", "off", 99, "block", False)], "id int, pattern string, kind string, category string, priority int, action string, active boolean"))
 
 
 def text_spam(spark, d):
@@ -44,7 +44,7 @@ def verdict_log(spark, d):
 
 
 def moderation_stats(spark, d):
-    return M.moderation_stats(verdict_log(spark, d))
+    return M.moderation_stats(verdict_log(spark, d), AS_OF)
 
 
 def moderation_queue(spark, d):
@@ -74,7 +74,7 @@ def suspicious_texts(spark, d):
 
 def semantic_hits(spark, d):
     e = v.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return M.semantic_check(e.where("id >= 20"), e.where("id < 20"), 0.3)
+    return M.semantic_check(e, e.where("id % 100 = 0"), 0.3)
 
 
 def word_simhash(spark, d):
@@ -98,9 +98,9 @@ def vocabulary(spark, d):
 
 
 def misspelt(spark, d):
-    """The page vocabulary's words of nine characters with their third and fourth letters swapped."""
-    w = S.vocabulary(v.v_pages(spark, d)).where("length(word) = 9")
-    return w.select(F.xxhash64("word").alias("query_id"), F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.substring("word", 5, 5)).alias("query"))
+    """The page vocabulary's words of five characters and more with their third and fourth letters swapped."""
+    w = S.vocabulary(v.v_pages(spark, d)).where("length(word) >= 5")
+    return w.select(F.xxhash64("word").alias("query_id"), F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.substring("word", 5, 1000)).alias("query"))
 
 
 def did_you_mean(spark, d):
@@ -217,8 +217,8 @@ def _posts(sql: str) -> str:
 
 SPOKEN = f"' ' || array_to_string({TOKENS.format('x')}, ' ') || ' '"
 NORMAL = r"regexp_replace(translate(lower(coalesce(body, '')), '0134578', 'oieastb'), '[*!@#$%^&_+.]', '', 'g')"
-PATTERNS = """patterns AS (SELECT CAST(item_id AS INT) AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS pattern, 'phrase' AS kind, 'leak' AS category, CAST(item_id AS INT) AS priority, CASE WHEN item_id % 2 = 0 THEN 'block' ELSE 'flag' END AS action, true AS active FROM benchmark WHERE item_id < 20
-  UNION ALL SELECT 100, '[0-9]{16}', 'regex', 'number', 50, 'flag', true UNION ALL SELECT 101, 'MIT License', 'regex', 'license', 60, 'block', true UNION ALL SELECT 102, 'the', 'phrase', 'off', 99, 'block', false)"""
+PATTERNS = """patterns AS (SELECT CAST(item_id AS INT) AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS pattern, 'phrase' AS kind, 'leak' AS category, CAST(item_id AS INT) AS priority, CASE WHEN item_id % 2 = 0 THEN 'block' ELSE 'flag' END AS action, true AS active FROM benchmark
+  UNION ALL SELECT -100, '[0-9]{16}', 'regex', 'number', 50, 'flag', true UNION ALL SELECT -101, 'MIT License', 'regex', 'license', 60, 'block', true UNION ALL SELECT -102, 'the', 'phrase', 'off', 99, 'block', false)"""
 REPORTS = f"""reports AS (SELECT event_id AS report_id, 'item' AS kind, k * 3 AS target_id, ['spam', 'insult', 'illegal', 'wrong', 'other', 'nonsense'][CAST(event_id % 6 + 1 AS INT)] AS reason, ts AS created_at FROM (SELECT *, {v.K} AS k FROM events)),
 taken AS (SELECT *, created_at + INTERVAL 1 YEAR AS ip_deadline FROM reports WHERE reason <> 'nonsense' AND target_id IN (SELECT id FROM v_posts WHERE kind = 'item'))"""
 CLEAN_KEY = "md5(array_to_string(" + TOKENS.format("body") + ", ' '))"
@@ -240,7 +240,7 @@ QUERIES = {
     "auto_hidden": (auto_hidden, with_views("", "v_posts").rstrip() + ",\n" + REPORTS + " SELECT id, kind, coalesce(n, 0) AS report_count, coalesce(n, 0) >= 15 AS hidden FROM v_posts LEFT JOIN (SELECT target_id AS id, kind, count(*) AS n FROM taken GROUP BY 1, 2) USING (id, kind)"),
     "suspicious_texts": (suspicious_texts, _posts(r"SELECT regexp_matches(body, '(?i)(union\s+select|drop\s+table|insert\s+into|delete\s+from|;\s*--|<script|javascript:|onerror\s*=)') AS suspicious, count(*) AS n FROM v_posts GROUP BY 1")),
     "semantic_hits": (semantic_hits, """SELECT id, pattern_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, pattern_id) AS i FROM (
-      SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine FROM embeddings v JOIN embeddings p ON v.vec_id >= 20 AND p.vec_id < 20)) WHERE i = 1 AND cosine > 0.3"""),
+      SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id)) WHERE i = 1 AND cosine > 0.3"""),
     "word_simhash": (word_simhash, None),
     "near_duplicates": (near_duplicates, None),
     "shingle_duplicates": (shingle_duplicates, None),

@@ -27,12 +27,16 @@ def index(spark, d):
     return R.term_index(v.v_pages(spark, d))
 
 
+def asked(spark, d):
+    return R.classify_intent(R.query_terms(v.v_asked(spark, d)))
+
+
 def query_profiles(spark, d):
-    return R.weights(R.is_question(R.classify_search_type(terms(spark, d)))).select("query_id", F.array_join("terms", " ").alias("terms"), "intent", "search_type", "is_question", "profile", "w_trust", "w_relevance", "w_quality")
+    return R.weights(R.is_question(R.classify_search_type(asked(spark, d)))).select("query_id", F.array_join("terms", " ").alias("terms"), "intent", "search_type", "is_question", "profile", "w_trust", "w_relevance", "w_quality")
 
 
 def expanded_terms(spark, d):
-    return R.expand_terms(terms(spark, d), synonyms(spark)).select("query_id", F.array_join("expanded", " ").alias("expanded"))
+    return R.expand_terms(asked(spark, d), synonyms(spark)).select("query_id", F.array_join("expanded", " ").alias("expanded"))
 
 
 def term_counts(spark, d):
@@ -71,8 +75,9 @@ def ranking(spark, d):
 def final_ranking(spark, d):
     walled = v.v_pages(spark, d).where("page_id % 20 = 7").select("domain").distinct()
     first = ranking(spark, d)
-    ranked = R.ranked(R.apply_paywall(R.homepage_boost(first.drop("rank"), R.detect_brand(v.v_queries(spark, d), first)), walled))
-    best = R.mark_best(R.min_score_filter(R.diversify(ranked)))
+    brands = R.detect_brand(v.v_queries(spark, d), first)
+    ranked = R.ranked(R.apply_paywall(R.homepage_boost(first.drop("rank"), brands), walled))
+    best = R.mark_best(R.min_score_filter(R.diversify(ranked, brands)))
     return best.select("query_id", "page_id", "url", "final_score", "rank", "best_match")
 
 
@@ -92,7 +97,7 @@ def first_page(spark, d):
 
 def semantic_scores(spark, d):
     e = v.read(spark, d, "embeddings")
-    return R.semantic_scores(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id >= 20").select(F.col("vec_id").alias("page_id"), "embedding"))
+    return R.semantic_scores(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("page_id"), "embedding"))
 
 
 def brand_queries(spark, d):
@@ -104,6 +109,7 @@ TERMS = f"terms AS (SELECT query_id, query, list_filter(list_filter(string_split
 INDEX = f"""said AS (SELECT page_id, unnest({TOKENS.format('content')}) AS term, 0 AS t FROM v_pages UNION ALL SELECT page_id, unnest({TOKENS.format('title')}), 1 FROM v_pages),
 idx AS (SELECT term, page_id, sum(t) AS n_title, count(*) FILTER (WHERE t = 0) AS n_content FROM said WHERE length(term) > 2 GROUP BY 1, 2)"""
 SEARCH = with_views("", "v_pages", "v_queries").rstrip() + ",\n" + TERMS + ",\n" + INDEX
+ASKED = with_views("", "v_asked").rstrip() + ",\n" + TERMS.replace("v_queries", "v_asked")
 SYN = "syn AS (SELECT unnest([['the', 'a', 'les'], ['nicht', 'kein'], ['zzqx', 'the']]) AS g)"
 EXPANDED = SYN + """, more AS (SELECT query_id, list_distinct(flatten(list(g))) AS m FROM (SELECT query_id, unnest(terms) AS term FROM terms) JOIN syn ON list_contains(g, term) GROUP BY 1),
 expanded AS (SELECT query_id, terms, list_sort(list_distinct(list_concat(terms, coalesce(m, [])))) AS expanded FROM terms LEFT JOIN more USING (query_id))"""
@@ -133,12 +139,12 @@ YMYL, CARS = ("[" + ", ".join(f"'{w}'" for w in ws) + "]" for ws in (R.YMYL_WORD
 PROFILE = f"CASE WHEN list_has_any({TOKENS.format('query')}, {YMYL}) THEN 'YMYL' WHEN list_has_any({TOKENS.format('query')}, {CARS}) THEN 'COMMERCIAL' WHEN intent IN ('YMYL', 'NEWS', 'COMMERCIAL', 'ENTERTAINMENT', 'INFORMATIONAL') THEN intent ELSE 'DEFAULT' END"
 
 QUERIES = {
-    "query_profiles": (query_profiles, SEARCH + f"""
+    "query_profiles": (query_profiles, ASKED + f"""
       SELECT *, 100 - w_trust - w_relevance AS w_quality FROM (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust,
         CASE profile WHEN 'YMYL' THEN 25 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 40 WHEN 'ENTERTAINMENT' THEN 40 ELSE 35 END AS w_relevance
       FROM (SELECT query_id, array_to_string(terms, ' ') AS terms, intent, CASE WHEN regexp_matches(query, '^(wie|was|wer|wo|wann|warum|how|what|who|where|when|why)\\b|\\?$') THEN 'question' WHEN regexp_matches(query, 'kaufen|preis|buy|price|shop') THEN 'shopping' WHEN regexp_matches(query, 'news|aktuell|heute') THEN 'news' ELSE 'general' END AS search_type,
         list_contains(['wer','was','wie','wo','wann','warum','wieso','weshalb','woher','wohin','welche','welcher','welches','who','what','how','where','when','why','which'], string_split(query, ' ')[1]) OR ends_with(query, '?') AS is_question, {PROFILE} AS profile FROM terms))"""),
-    "expanded_terms": (expanded_terms, SEARCH + ",\n" + EXPANDED + " SELECT query_id, array_to_string(expanded, ' ') AS expanded FROM expanded"),
+    "expanded_terms": (expanded_terms, ASKED + ",\n" + EXPANDED + " SELECT query_id, array_to_string(expanded, ' ') AS expanded FROM expanded"),
     "term_counts": (term_counts, SEARCH + " SELECT term, count(*) AS n_pages, CAST(sum(n_title) AS BIGINT) AS in_titles, CAST(sum(n_content) AS BIGINT) AS in_contents FROM idx GROUP BY term"),
     "candidate_pages": (candidate_pages, SEARCH + " SELECT DISTINCT query_id, page_id FROM (SELECT query_id, unnest(terms) AS term FROM terms) JOIN idx USING (term)"),
     "keyword_filtered": (keyword_filtered, SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + " SELECT * FROM filtered"),
@@ -150,5 +156,5 @@ QUERIES = {
     "first_page": (first_page, None),
     "brand_queries": (brand_queries, None),
     "semantic_scores": (semantic_scores, """SELECT query_id, page_id, round(greatest(0, least(1, CASE WHEN s >= 0.65 THEN (s - CAST(0.65 AS DOUBLE)) / CAST(0.35 AS DOUBLE) ELSE greatest(CAST(0.1 AS DOUBLE), s / CAST(0.65 AS DOUBLE) * CAST(0.5 AS DOUBLE)) END)), 4) AS score
-      FROM (SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(p.embedding[i] AS DOUBLE))) AS s FROM embeddings q JOIN embeddings p ON q.vec_id < 20 AND p.vec_id >= 20)"""),
+      FROM (SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(p.embedding[i] AS DOUBLE))) AS s FROM embeddings q JOIN embeddings p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id)"""),
 }

@@ -87,10 +87,9 @@ V_PAGES = rf"""v_pages AS (
 
 
 def v_domain_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes by domain of the page table: purchases and signups are for, errors against; user_id picks the page."""
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), host(F.col("url")).alias("domain"))
-    events = read(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 50)
-    joined = events.join(pages.where("k < 50"), "k")
+    """Votes by domain of the page table: purchases and signups are for, errors against; a user votes on the page of the same number."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("user_id"), host(F.col("url")).alias("domain"))
+    joined = read(spark, sf_dir, "events").join(pages, "user_id")
     return joined.groupBy("domain").agg(
         F.count_if(F.col("event_type").isin("signup", "purchase")).alias("positive"), F.count_if(F.col("event_type") == "view").alias("neutral"), F.count_if(F.col("event_type") == "error").alias("negative")
     )
@@ -99,8 +98,8 @@ def v_domain_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 V_DOMAIN_VOTES = r"""v_domain_votes AS (
   SELECT domain, count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) AS positive,
          count(*) FILTER (WHERE event_type = 'view') AS neutral, count(*) FILTER (WHERE event_type = 'error') AS negative
-  FROM events JOIN (SELECT page_id AS k, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '') AS domain
-                    FROM pages WHERE page_id < 50) USING (k) GROUP BY domain)""".replace("FROM events JOIN", "FROM (SELECT *, user_id % 50 AS k FROM events) JOIN")
+  FROM events JOIN (SELECT page_id AS user_id, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '') AS domain
+                    FROM pages) USING (user_id) GROUP BY domain)"""
 
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
 
@@ -250,6 +249,15 @@ def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 V_QUERIES = "v_queries AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{q}')" for i, q in QUERIES) + ") AS t(query_id, query))"
 
+
+def v_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users said first in every conversation, as queries in lower case."""
+    first = read(spark, sf_dir, "conversations").where("role = 'user' and text is not null").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
+    return first.select(F.col("conv_id").alias("query_id"), F.trim(F.regexp_replace(F.lower("query"), r"\s+", " ")).alias("query"))
+
+
+V_ASKED = r"v_asked AS (SELECT conv_id AS query_id, trim(regexp_replace(lower(arg_min(text, turn)), '\s+', ' ', 'g')) AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1)"
+
 SQL = {name.lower(): value for name, value in list(globals().items()) if name.startswith("V_") and isinstance(value, str)}
 #: Views that a view's SQL reads itself.
 NEEDS = {"v_page_trust": ["v_edges"]}

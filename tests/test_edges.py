@@ -1,6 +1,7 @@
 """Rows below, at and above the limits of rules, and folds against plain versions."""
 
 import itertools
+import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -143,3 +144,29 @@ def test_good_links_count_in_order(spark):
     rep = [("good.com", None, 19, 1), ("top.com", 85.0, 0, 0), ("bad.com", 5.0, 1, 9), ("github.com", 15.0, 0, 0)]
     got = reliability.score_reliability(spark.createDataFrame(pages, "page_id long, domain string, outbound_links array<string>"), spark.createDataFrame(rep, "domain string, trust double, positive long, negative long"))
     assert sorted((r.page_id, r.reliability_penalty, r.reliability_bonus) for r in got.collect()) == [(1, 8, 4.5), (2, 23, 0.0), (3, 0, 0.0)]
+
+
+def test_diversity_is_a_pass_down_the_list(spark):
+    """Against a plain pass over many rows of few families, one of them with the best 300."""
+    rng, rows = random.Random(3), []
+    for q, intent in enumerate(["NEWS", "COMMERCIAL", "INFORMATIONAL", "OTHER", "OTHER"]):
+        for i in range(400):
+            site = "hot" if i < 300 and q != 3 else rng.choice("abcdefgh")
+            rows.append((q, intent, f"https://www.{site}.com/{i:04d}", 1000 - i))
+    df = spark.createDataFrame(rows, "query_id int, intent string, url string, final_score int")
+    brands = spark.createDataFrame([(4, "hot.com"), (1, None)], "query_id int, brand string")
+    got = {}
+    for r in ranking.diversify(df.withColumn("rank", F.lit(0)), brands).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.url)
+    limits = {"NEWS": (10, 20), "COMMERCIAL": (2, 3), "INFORMATIONAL": (2, 4)}
+    for q in range(5):
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: -r[3])
+        most_top, most = limits.get(mine[0][1], (3, 5))
+        kept, seen = [], {}
+        for _, _, url, _ in mine:
+            family = url.split("/")[2]
+            n = seen.get(family, 0)
+            if q == 4 or not ((len(kept) < 10 and n >= most_top) or n >= most):
+                kept.append(url)
+                seen[family] = n + 1
+        assert got[q] == kept, q
