@@ -98,9 +98,10 @@ def vocabulary(spark, d):
 
 
 def misspelt(spark, d):
-    """The page vocabulary's words of five characters and more with their third and fourth letters swapped."""
+    """The page vocabulary's words of five characters and more with their third and fourth letters swapped, of ten and more with the last letter doubled."""
     w = S.vocabulary(v.v_pages(spark, d)).where("length(word) >= 5")
-    return w.select(F.xxhash64("word").alias("query_id"), F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.substring("word", 5, 1000)).alias("query"))
+    swapped = F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.substring("word", 5, 1000))
+    return w.select(F.xxhash64("word").alias("query_id"), F.when(F.length("word") >= 10, F.concat("word", F.right("word", F.lit(1)))).otherwise(swapped).alias("query"))
 
 
 def did_you_mean(spark, d):
