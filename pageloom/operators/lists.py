@@ -174,4 +174,4 @@ def top_facts_per_domain(facts: DataFrame, n: int = 10, each: int = 7) -> DataFr
 
 def sample_rows(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """n rows in a seeded random order of their ids."""
-    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(" ", F.col(id_col), F.lit(seed))), id_col).limit(n)

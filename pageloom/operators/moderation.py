@@ -25,6 +25,11 @@ ABOUT_SELF = "ich (bin|fühle|finde|glaube|denke|mache|hab|habe)"
 ATTACK = "du (bist|eine?|so eine?|wirkst wie eine?)"
 GAMING = "game|level|boss|match|run|quest|raid|pvp|clan|server|runde|spieler|team|map|skillz?"
 HYPERBOLE = "vor (lachen|freude|aufregung|müdigkeit)|tot lachen|umhauen|umwerfend"
+#: Begins a context that must hold after the first of a rule's words.
+AFTER = "after:"
+# Words near a political name that make it an attack, before it and after it.
+NAME_CALLING = ATTACK + "|(du|ihr) [^ ]* ?(nazi|faschist)[^ ]*"
+CALLED = "du|dich|dir|euch"
 # Ordered rules (words, action, category, context that must hold, contexts that must not).
 INSULT_RULES = [
     ("dumm|doof|bescheuert|blöd|bloed", "block", "insult", ADDRESSED, (ABOUT_SELF,)),
@@ -37,7 +42,8 @@ INSULT_RULES = [
     ("wirst das bereuen|pass auf dich auf|ich wei[sß] wo du|ich finde? dich", "block", "threat", None, ()),
     ("töten|umbringen|abstechen|erschießen|killen|ermorden", "block", "threat", ADDRESSED, (GAMING, HYPERBOLE)),
     ("ich hasse? (dich|euch)", "block", "hostility", None, ()),
-    ("nazi|faschist|faschistin", "block", "hate", ATTACK, ()),
+    ("nazi|faschist|faschistin", "block", "hate", NAME_CALLING, ()),
+    ("nazi|faschist", "block", "hate", AFTER + CALLED, ()),
     ("halts? (mal )?(die )?(fresse|schnauze|klappe|maul)|verpiss dich|fick dich|leck mich", "block", "insult", None, ()),
     ("scheiß(kerl|typ|mensch|frau|kind)?|dreckig(er?)?", "flag", "borderline", ADDRESSED, ()),
     ("loser|versager|nichtsnutz|taugenichts", "flag", "insult", ADDRESSED, ()),
@@ -82,7 +88,9 @@ def insult_check(posts: DataFrame, text: str = "body") -> DataFrame:
     hit = None
     for words, action, category, needs, excludes in INSULT_RULES:
         test = says(F.col("__w"), words)
-        if needs:
+        if needs and needs.startswith(AFTER):
+            test &= says(F.substr("__w", F.regexp_instr("__w", F.lit(f" ({words}) ")) + 1), needs.removeprefix(AFTER))
+        elif needs:
             test &= says(F.col("__w"), needs)
         for e in excludes:
             test &= ~says(F.col("__w"), e)

@@ -25,6 +25,8 @@ WEIGHTS = {"YMYL": (60, 25), "NEWS": (30, 30), "COMMERCIAL": (30, 40), "ENTERTAI
 DEFAULT_WEIGHTS = (40, 35)
 YMYL_WORDS = "arzt doktor krankheit symptom medikament diagnose therapie kredit hypothek steuer rechtsanwalt anwalt klage versicherung impfung".split()
 CAR_WORDS = "auto autos pkw fahrzeug gebrauchtwagen neuwagen kfz motorrad elektroauto leasing autohaus autokauf cabrio limousine suv kombi".split()
+# Queries about computing, and words that pages about it have; other pages get IT_CAP points at most.
+IT_QUERY, IT_CONTENT, IT_CAP = "coding|programm|informatik|scratch", "software|programm|scratch|python|java|algorithmus|computer|digital", 20
 # Weights of the eleven quality signals.
 SIGNALS = {"freshness": 0.18, "phrase": 0.15, "community": 0.15, "engagement": 0.12, "ad_free": 0.10, "ux": 0.08, "structure": 0.08, "authority": 0.06, "reliability": 0.05, "semantic": 0.01, "originality": 0.02}
 # Most results of a domain family among the first ten and in all, by intent.
@@ -107,7 +109,9 @@ def score_relevance(queries: DataFrame, pages: DataFrame, index: DataFrame, as_o
     p = pages.select("page_id", F.lower("title").alias("title"), F.lower("content").alias("content"), "word_count", "published_at", "readability_score", "avg_word_length", "avg_sentence_length", "ctr", "dwell_ms", "comment_count", "has_table", "has_steps", "image_count", "video_count", "internal_link_density", "category")
     qp = hits.join(q, "query_id").join(p, "page_id")
     core = F.greatest(F.lit(1), F.size(F.filter("terms", lambda t: F.length(t) > 3)))
-    keyword = F.least(F.lit(40.0), F.col("points") * F.when(F.col("n_core") / core < 1.0, 0.1).otherwise(1.0))
+    keyword = F.col("points") * F.when(F.col("n_core") / core < 1.0, 0.1).otherwise(1.0)
+    astray = F.exists("terms", lambda t: t.rlike(IT_QUERY)) & ~F.col("content").rlike(IT_CONTENT)
+    keyword = F.greatest(F.lit(0.0), F.least(F.lit(40.0), keyword - F.when(astray, 30.0).otherwise(0.0)))
     bigram = F.exists(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("terms") - 1)), lambda i: F.concat_ws(" ", F.slice("terms", i, 2))), lambda b: F.contains("title", b))
     n_terms = F.size(F.array_distinct("terms"))
     sentence = F.exists(F.split("content", r"[.!?\n]+"), lambda s: F.size(F.array_intersect(tokens(s), F.col("terms"))) == n_terms)
@@ -134,8 +138,8 @@ def score_relevance(queries: DataFrame, pages: DataFrame, index: DataFrame, as_o
     shop = (F.col("category") == "shop") | F.col("content").rlike("preis|kaufen|bestellen|angebot")
     meant = flag(((F.col("intent") == "INFORMATIONAL") & ((F.col("category") == "news") | (F.col("word_count") > 1000))) | ((F.col("intent") == "COMMERCIAL") & shop) | ((F.col("intent") == "NEWS") & (F.col("category") == "news")), 3)
     depth = tier(F.col("word_count"), [(2000, 15), (1000, 12), (500, 8), (200, 4)], over=True)
-    out = qp.select("query_id", "page_id", keyword.alias("keyword"), phrase.alias("phrase"), (depth + fresh + read + engaged + built + meant).alias("__rest"))
-    return out.select("query_id", "page_id", F.round("keyword", 4).alias("keyword"), "phrase", half_up(F.round(F.least(F.lit(100.0), F.col("keyword") + F.col("phrase") + F.col("__rest")), 6)).alias("relevance"))
+    out = qp.select("query_id", "page_id", keyword.alias("keyword"), phrase.alias("phrase"), (depth + fresh + read + engaged + built + meant).alias("__rest"), F.when(astray, float(IT_CAP)).otherwise(100.0).alias("__cap"))
+    return out.select("query_id", "page_id", F.round("keyword", 4).alias("keyword"), "phrase", half_up(F.round(F.least("__cap", F.col("keyword") + F.col("phrase") + F.col("__rest")), 6)).alias("relevance"))
 
 
 def keyword_filter(queries: DataFrame, index: DataFrame) -> DataFrame:

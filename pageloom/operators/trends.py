@@ -65,14 +65,23 @@ def prefix_suggestions(prefixes: DataFrame, words: DataFrame, as_of: str, n: int
 
 
 def related_searches(log: DataFrame, queries: DataFrame, as_of: str, n: int = 6) -> DataFrame:
-    """(query, related, n_sessions, rank): queries of the last 30 days from sessions that also issued the query; 3 to 60 characters, none that looks like a password."""
-    recent = log.where(F.col("ts") >= F.to_timestamp(F.lit(as_of)) - F.expr("interval 30 days")).select("session_id", F.lower(F.trim("query")).alias("q")).distinct()
-    targets = queries.select(F.lower(F.trim("query")).alias("query")).distinct()
-    hit = recent.join(targets, recent.q == targets.query).select("session_id", "query")
-    secret = F.col("q").rlike(r"(?i)passwor[td]|^\S*[0-9]\S*[!@#$%]\S*$")
-    other = hit.join(recent, "session_id").where((F.col("q") != F.col("query")) & F.length("q").between(3, 60) & ~secret)
-    counts = other.groupBy("query", F.col("q").alias("related")).agg(F.count("*").alias("n_sessions"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_sessions"), "related"))).where(F.col("rank") <= n)
+    """(query, related, n, rank): the commonest other queries of the last 30 days that come from sessions with a search that holds the query, or that hold its first or last word; 3 to 60 characters, none that looks like a password. n counts searches.
+
+    What holds what is found among distinct queries by the first three characters of the sought piece, or all of a shorter one; sessions are joined afterwards.
+    """
+    recent = log.where(F.col("ts") >= F.to_timestamp(F.lit(as_of)) - F.expr("interval 30 days")).groupBy("session_id", F.lower(F.trim("query")).alias("q")).agg(F.count("*").alias("n"))
+    targets = queries.select(F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct()
+    words = F.split("query", " ")
+    pieces = targets.select("query", F.col("query").alias("piece"), F.lit(True).alias("whole")).unionByName(targets.select("query", F.explode(F.array_distinct(F.array(F.element_at(words, 1), F.element_at(words, -1)))).alias("piece"), F.lit(False).alias("whole")))
+    grams = lambda k: F.when(F.length("q") >= k, F.transform(F.sequence(F.lit(1), F.length("q") - (k - 1)), lambda i: F.substr("q", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    cut = recent.groupBy("q").agg(F.sum("n").alias("n")).select("q", "n", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    holds = pieces.withColumn("gram", F.left("piece", F.lit(3))).join(cut, "gram").where(F.contains("q", F.col("piece"))).select("query", "whole", "q", "n")
+    sessions = holds.where("whole").select("query", "q").join(recent, "q").select("query", "session_id").distinct()
+    beside = sessions.join(recent, "session_id").groupBy("query", "q").agg(F.sum("n").alias("n"))
+    both = beside.unionByName(holds.where("not whole").select("query", "q", "n")).groupBy("query", F.col("q").alias("related")).agg(F.max("n").alias("n"))
+    secret = F.col("related").rlike(r"(?i)passwor[td]|^\S*[0-9]\S*[!@#$%]\S*$")
+    other = both.where((F.col("related") != F.col("query")) & F.length("related").between(3, 60) & ~secret)
+    return other.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "related"))).where(F.col("rank") <= n)
 
 
 def related_fallback(queries: DataFrame, modifiers: list[str]) -> DataFrame:

@@ -121,10 +121,12 @@ def accept_votes(votes: DataFrame, least: int = BURST_VOTES, seconds: int = BURS
 
 
 def fold_votes(votes: DataFrame) -> DataFrame:
-    """(domain, positive, neutral, negative): a user's same vote twice takes it back, another one moves it. The state after a user's votes on a domain is found by a fold in order of time."""
-    seq = votes.groupBy("user_id", "domain").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "value"))).alias("vs"))
-    last = F.aggregate("vs", F.lit(None).cast("int"), lambda acc, v: F.when(acc == v["value"], F.lit(None).cast("int")).otherwise(v["value"]))
-    return seq.select("domain", last.alias("v")).groupBy("domain").agg(F.count_if(F.col("v") == 1).alias("positive"), F.count_if(F.col("v") == 0).alias("neutral"), F.count_if(F.col("v") == -1).alias("negative"))
+    """(domain, positive, neutral, negative): a user's same vote twice takes it back, another one moves it. The last run of equal votes of a user on a domain decides: an odd number of them stands, an even number cancels out."""
+    newest = Window.partitionBy("user_id", "domain").orderBy(F.desc("created_at"), F.desc("id"))
+    rows = votes.withColumns({"__i": F.row_number().over(newest), "__last": F.first("value").over(newest)})
+    runs = rows.groupBy("user_id", "domain").agg(F.first("__last").alias("v"), F.coalesce(F.min(F.when(F.col("value") != F.col("__last"), F.col("__i"))) - 1, F.count("*")).alias("run"))
+    stands = lambda v: F.count_if((F.col("v") == v) & (F.col("run") % 2 == 1))
+    return runs.groupBy("domain").agg(stands(1).alias("positive"), stands(0).alias("neutral"), stands(-1).alias("negative"))
 
 
 def consensus(votes: DataFrame, as_of: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pageloom.operators import moderation as M
 from pageloom.operators import ranking as R
 from pageloom.operators import trends as T
 from pageloom.operators import votes as V
+from pageloom.plans import posts as S
 from pageloom.plans import ranking as K
 from pageloom.sources import views as v
 from pageloom.sources.views import AS_OF, with_views
@@ -423,7 +424,8 @@ QUERIES = {
     "decayed_trends": (decayed_trends, _v(f"""SELECT query, trending AND NOT old AS trending, CAST(CASE WHEN trending AND old THEN 1 ELSE n % 5 + 1 END AS DOUBLE) AS multiplier, CAST(CASE WHEN trending AND old THEN 0 ELSE n * CAST(0.5 AS DOUBLE) END AS DOUBLE) AS trend_score FROM (
       SELECT query, count(*) AS n, count(*) % 3 > 0 AS trending, max(ts) < TIMESTAMP '{NOW}' - INTERVAL 60 MINUTE AS old FROM v_query_log WHERE ts <= TIMESTAMP '{NOW}' GROUP BY 1)""", "v_query_log")),
     "live_bans": (live_bans, _v(f"""SELECT ip, id, permanent, until FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts DESC, id DESC) AS i FROM (SELECT *, id % 17 = 0 AS permanent, ts + to_days(CAST(id % 9 AS INTEGER)) AS until FROM v_violations WHERE ts <= TIMESTAMP '{NOW}') WHERE permanent OR until > TIMESTAMP '{NOW}') WHERE i = 1""", "v_violations")),
-    "combined_verdicts": (combined_verdicts, None),
+    "combined_verdicts": (combined_verdicts, S.POSTS + f"""titled AS (SELECT {S.rule_sql()} AS i, body FROM (SELECT {S.spoken_sql('left(body, 60)')} AS w, body FROM v_posts)), acted AS (SELECT {S.ACTIONS}[i] AS title_action, CASE WHEN regexp_matches(body, '[0-9]{{16}}') THEN 'block' WHEN contains(lower(body), 'license') THEN 'flag' END AS body_action FROM titled)
+      SELECT CASE WHEN title_action = 'block' OR body_action = 'block' THEN 'block' WHEN title_action = 'flag' OR body_action = 'flag' THEN 'flag' ELSE 'allow' END AS verdict, count(*) AS n FROM acted GROUP BY 1"""),
     "reviewed": (reviewed, f"""WITH a AS (SELECT id, arg_max(action, (ts, event_id)) AS action FROM (SELECT {v.K} * 3 AS id, ['release', 'delete', 'ignore', 'approve', 'reject', 'hide'][CAST(event_id % 6 + 1 AS INT)] AS action, ts, event_id FROM events) GROUP BY 1)
       SELECT o_orderkey AS id, CASE WHEN action IN ('release', 'ignore', 'approve') THEN false WHEN action IN ('hide', 'reject') THEN true ELSE coalesce(CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 5 = 0 END, false) END AS hidden FROM orders LEFT JOIN a ON a.id = o_orderkey WHERE coalesce(action, '') <> 'delete'"""),
     "anonymised": (anonymised, f"SELECT event_id AS id, CASE WHEN ts + INTERVAL 7 DAY <= TIMESTAMP '{NOW}' THEN NULL ELSE '10.0.0.' || user_id END AS author_ip FROM events WHERE event_id % 10 <> 0"),

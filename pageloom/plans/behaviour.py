@@ -257,9 +257,11 @@ QUERIES = {
     "prefix_suggestions": (prefix_suggestions, DICT + f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY prefix ORDER BY score DESC, query) AS INT) AS rank FROM (
         SELECT prefix, query, round(frequency * multiplier + CAST(0.3 AS DOUBLE) * trend_score + CASE WHEN {DAYS} <= 1 THEN 20 WHEN {DAYS} <= 7 THEN 10 WHEN {DAYS} <= 30 THEN 5 ELSE 0 END + CASE WHEN trending THEN 50 ELSE 0 END, 4) AS score
         FROM (SELECT DISTINCT left(query, 2) AS prefix FROM v_query_log) JOIN dictionary ON starts_with(query, prefix))) WHERE rank <= 8"""),
-    "related_searches": (related_searches, _log(f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY n_sessions DESC, related) AS INT) AS rank FROM (
-        SELECT a.query, b.query AS related, count(*) AS n_sessions FROM (SELECT DISTINCT session_id, query FROM v_query_log WHERE ts >= {NOW} - INTERVAL 30 DAY) a JOIN (SELECT DISTINCT session_id, query FROM v_query_log WHERE ts >= {NOW} - INTERVAL 30 DAY) b USING (session_id)
-        WHERE a.query <> b.query AND length(b.query) BETWEEN 3 AND 60 GROUP BY 1, 2)) WHERE rank <= 6""")),
+    "related_searches": (related_searches, with_views("", "v_query_log").rstrip() + f""",
+      recent AS (SELECT session_id, query FROM v_query_log WHERE ts >= {NOW} - INTERVAL 30 DAY), asked AS (SELECT DISTINCT query FROM v_query_log), held AS (SELECT DISTINCT a.query, session_id FROM asked a JOIN recent r ON contains(r.query, a.query))
+      SELECT query, related, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, related) AS rank FROM (
+        SELECT a.query, r.query AS related, count(*) AS n FROM asked a JOIN recent r ON a.query <> r.query LEFT JOIN held h ON h.query = a.query AND h.session_id = r.session_id
+        WHERE length(r.query) BETWEEN 3 AND 60 AND (h.query IS NOT NULL OR contains(r.query, string_split(a.query, ' ')[1]) OR contains(r.query, string_split(a.query, ' ')[-1])) GROUP BY 1, 2)) WHERE rank <= 6"""),
     "related_fallback": (related_fallback, _log("SELECT query, query || ' ' || m AS related, CAST(row_number() OVER (PARTITION BY query ORDER BY i) AS INT) AS rank FROM (SELECT DISTINCT query FROM v_query_log), (VALUES (0, 'guide'), (1, 'news'), (2, 'compare'), (3, 'buy')) AS t(i, m) WHERE NOT contains(query, m)")),
     "top_searches": (top_searches, _log("SELECT query, count(*) AS n, round(avg(duration_ms), 2) AS mean_ms, round(avg(results), 2) AS mean_results, max(ts) AS last_search FROM v_query_log GROUP BY query ORDER BY n DESC, query LIMIT 20")),
     "daily_trends": (daily_trends, _log("SELECT search_date, CAST(sum(n) AS BIGINT) AS searches, count(DISTINCT query) AS n_queries, round(avg(n), 4) AS mean_count FROM (SELECT query, CAST(ts AS DATE) AS search_date, count(*) AS n FROM v_query_log GROUP BY 1, 2) GROUP BY search_date")),
@@ -285,8 +287,10 @@ QUERIES = {
       SELECT id, trust_score, CAST(CASE WHEN reason <> 'active' THEN 0 WHEN suspicious_ip THEN least(0.25, {TIER}) ELSE {TIER} END AS DOUBLE) AS weight, reason = 'active' AS visible, bonus_30 OR e30 AS bonus_30, bonus_90 OR e90 AS bonus_90, bonus_email OR ee AS bonus_email, bonus_phone OR ep AS bonus_phone
       FROM (SELECT *, {ACTIVE} AS reason FROM s)"""),
     "vote_bursts": (vote_bursts, with_views("", "v_user_votes").rstrip() + ",\n" + BURSTS + " SELECT id, earlier, earlier >= 5 AS rejected FROM bursts"),
-    "accepted_votes": (accepted_votes, None),
-    "folded_votes": (folded_votes, None),
+    "accepted_votes": (accepted_votes, with_views("", "v_user_votes").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ACCEPTED.replace("600", "3600").replace("< 5", "< 1") + " SELECT id, accepted FROM took"),
+    "folded_votes": (folded_votes, with_views("", "v_user_votes").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, seq AS (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY created_at, id) AS i, count(*) OVER (PARTITION BY user_id, domain) AS n FROM v_user_votes),
+      state AS (SELECT user_id, domain, i, n, value AS v FROM seq WHERE i = 1 UNION ALL SELECT s.user_id, s.domain, s.i, s.n, CASE WHEN o.v = s.value THEN NULL ELSE s.value END FROM state o JOIN seq s ON s.user_id = o.user_id AND s.domain = o.domain AND s.i = o.i + 1)
+      SELECT domain, count(*) FILTER (WHERE v = 1) AS positive, count(*) FILTER (WHERE v = 0) AS neutral, count(*) FILTER (WHERE v = -1) AS negative FROM state WHERE i = n GROUP BY domain"""),
     "vote_consensus": (vote_consensus, with_views("", "v_user_votes").rstrip() + ",\n" + CONSENSUS + " SELECT * FROM agreed"),
     "evaluated_votes": (evaluated_votes, USERS.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ACCEPTED + ",\n" + CONSENSUS + """ SELECT b.id, b.user_id, b.domain, b.value, CASE WHEN NOT accepted THEN 'rejected' WHEN w.visible THEN 'counted' ELSE 'hidden' END AS verdict,
         CASE WHEN NOT accepted THEN 0 ELSE coalesce(w.weight, 0) END AS vote_weight, coalesce(has_consensus, false) AS has_consensus FROM took b LEFT JOIN weighed w ON w.id = b.user_id LEFT JOIN agreed USING (domain)"""),

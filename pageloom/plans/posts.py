@@ -216,13 +216,47 @@ def _posts(sql: str) -> str:
     return with_views(sql, "v_posts")
 
 
-SPOKEN = f"' ' || array_to_string({TOKENS.format('x')}, ' ') || ' '"
-NORMAL = r"regexp_replace(translate(lower(coalesce(body, '')), '0134578', 'oieastb'), '[*!@#$%^&_+.]', '', 'g')"
+def spoken_sql(text: str) -> str:
+    """The words of a text as moderation reads them, between single spaces."""
+    out = rf"regexp_replace(translate(lower(coalesce({text}, '')), '0134578', 'oieastb'), '[*!@#$%^&_+.]', '', 'g')"
+    for c in "abcdefghijklmnopqrstuvwxyzäöüß":  # no back-references here
+        out = f"regexp_replace({out}, '{c}{{3,}}', '{c}{c}', 'g')"
+    return f"' ' || array_to_string({TOKENS.format(out)}, ' ') || ' '"
+
+
+def rule_sql() -> str:
+    """The place of the first insult rule that the words w break."""
+    says = lambda p: f"regexp_matches(w, ' ({p}) ')"
+
+    def test(words, needs, excludes):
+        if needs and needs.startswith(M.AFTER):
+            return f"regexp_matches(w, ' ({words}) (.* )?({needs.removeprefix(M.AFTER)}) ')"
+        return " AND ".join([says(words), *([says(needs)] if needs else []), *(f"NOT {says(e)}" for e in excludes)])
+
+    return "CASE " + " ".join(f"WHEN {test(words, needs, excludes)} THEN {i}" for i, (words, _, _, needs, excludes) in enumerate(M.INSULT_RULES, 1)) + " END"
+
+
+ACTIONS, CATEGORIES = ("[" + ", ".join(f"'{r[i]}'" for r in M.INSULT_RULES) + "]" for i in (1, 2))
+INSULTS = f"insulted AS (SELECT * EXCLUDE w, {ACTIONS}[i] AS insult_action, {CATEGORIES}[i] AS insult_category FROM (SELECT *, {rule_sql()} AS i FROM (SELECT *, {spoken_sql('body')} AS w FROM v_posts)))"
+LIMIT = ["CASE kind " + " ".join(f"WHEN '{k}' THEN {x[i]}" for k, x in M.LENGTHS.items()) + f" ELSE {M.OTHER_LENGTHS[i]} END" for i in (0, 1)]
+COUNT = "len(regexp_extract_all(t, '{}'))"
+SPAM_TESTS = {
+    "empty": "n = 0", "too_short": f"n > 0 AND n < {LIMIT[0]}", "too_long": f"n > {LIMIT[1]}", "too_many_urls": COUNT.format(r"https?://\S+|www\.\S+") + f" > {M.MAX_URLS}", "too_many_emojis": COUNT.format(M.EMOJI) + f" > {M.MAX_EMOJIS}",
+    "excessive_caps": f"n > 10 AND letters > 0 AND {COUNT.format('[A-ZÄÖÜ]')} > letters * CAST({M.MAX_UPPER} AS DOUBLE)",
+    "repeating_chars": f"len(list_filter(range(1, len(c) - {M.MAX_REPEAT - 1}), lambda i: c[i] <> chr(10) AND c[i] <> chr(13) AND " + " AND ".join(f"c[i] = c[i + {k}]" for k in range(1, M.MAX_REPEAT + 1)) + ")) > 0",
+    "too_many_special_chars": "n > 10 AND " + COUNT.format(r"[^\p{L}\p{N}\s\x0B]") + f" > n * CAST({M.MAX_SPECIAL} AS DOUBLE)",
+    "spam_phrase": " OR ".join(f"contains(lower(t), '{p}')" for p in M.SPAM_PHRASES),
+}
+SPAM = "spam AS (SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in SPAM_TESTS.items()) + f"], lambda x: x IS NOT NULL), ',') AS spam_issues FROM (SELECT *, length(t) AS n, {COUNT.format('[a-zA-ZäöüÄÖÜ]')} AS letters, regexp_extract_all(t, '(?s).') AS c FROM (SELECT id, kind, trim(coalesce(body, '')) AS t FROM v_posts)))"
+LOG = "log AS (SELECT id AS post_id, kind, left(body, 500) AS text, CASE insult_action WHEN 'block' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0 END AS score, insult_category AS category, coalesce(insult_action = 'block', false) AS blocked, coalesce(insult_action = 'flag', false) AS flagged FROM insulted)"
+POSTS = with_views("", "v_posts").rstrip() + ",\n"
 PATTERNS = """patterns AS (SELECT CAST(item_id AS INT) AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS pattern, 'phrase' AS kind, 'leak' AS category, CAST(item_id AS INT) AS priority, CASE WHEN item_id % 2 = 0 THEN 'block' ELSE 'flag' END AS action, true AS active FROM benchmark
   UNION ALL SELECT -100, '[0-9]{16}', 'regex', 'number', 50, 'flag', true UNION ALL SELECT -101, 'MIT License', 'regex', 'license', 60, 'block', true UNION ALL SELECT -102, 'the', 'phrase', 'off', 99, 'block', false)"""
+HITS = PATTERNS + """, hits AS (SELECT id, pattern_id, action, category FROM (SELECT v.id, p.id AS pattern_id, action, category, row_number() OVER (PARTITION BY v.id ORDER BY priority DESC, p.id) AS i FROM v_posts v JOIN patterns p ON active AND CASE WHEN p.kind = 'phrase' THEN contains(lower(body), lower(pattern)) ELSE regexp_matches(body, pattern) END) WHERE i = 1)"""
 REPORTS = f"""reports AS (SELECT event_id AS report_id, 'item' AS kind, k * 3 AS target_id, ['spam', 'insult', 'illegal', 'wrong', 'other', 'nonsense'][CAST(event_id % 6 + 1 AS INT)] AS reason, ts AS created_at FROM (SELECT *, {v.K} AS k FROM events)),
 taken AS (SELECT *, created_at + INTERVAL 1 YEAR AS ip_deadline FROM reports WHERE reason <> 'nonsense' AND target_id IN (SELECT id FROM v_posts WHERE kind = 'item'))"""
 CLEAN_KEY = "md5(array_to_string(" + TOKENS.format("body") + ", ' '))"
+REPEATS = f"repeats AS (SELECT id, original_id FROM (SELECT id, min(id) OVER (PARTITION BY scope, {CLEAN_KEY}) AS original_id FROM v_posts WHERE length(body) >= 40) WHERE id > original_id)"
 URL_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', ''), '/+$', '')"
 NAMES = "[" + ", ".join(f"'{n}'" for n in L.TRACKING_NAMES) + "]"
 CLEAN_URL = rf"""regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS clean_url FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({NAMES}, lower(split_part(p, '=', 1))) AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'pk_') AND NOT starts_with(p, 'mtm_')), '&') AS kept FROM pages)"""
@@ -230,12 +264,14 @@ FACTS = f"""facts AS (SELECT 'h' || (k % 10) AS host, 'u' || k || '-' || (user_i
 BLOCKED = "blocked AS (SELECT DISTINCT user_id, domain AS host FROM v_clicks WHERE position > 15)"
 
 QUERIES = {
-    "text_spam": (text_spam, None),
-    "insults": (insults, None),
-    "pattern_hits": (pattern_hits, with_views("", "v_posts").rstrip() + ",\n" + PATTERNS + """ SELECT id, pattern_id, action, category FROM (SELECT v.id, p.id AS pattern_id, action, category, row_number() OVER (PARTITION BY v.id ORDER BY priority DESC, p.id) AS i FROM v_posts v JOIN patterns p ON active AND CASE WHEN p.kind = 'phrase' THEN contains(lower(body), lower(pattern)) ELSE regexp_matches(body, pattern) END) WHERE i = 1"""),
-    "moderated": (moderated, None),
-    "moderation_stats": (moderation_stats, None),
-    "moderation_queue": (moderation_queue, None),
+    "text_spam": (text_spam, POSTS + SPAM + " SELECT id, spam_issues = '' AS spam_ok, spam_issues FROM spam"),
+    "insults": (insults, POSTS + INSULTS + " SELECT id, insult_action, insult_category FROM insulted"),
+    "pattern_hits": (pattern_hits, POSTS + HITS + " SELECT * FROM hits"),
+    "moderated": (moderated, POSTS + ",\n".join((SPAM, INSULTS, HITS, REPEATS)) + """ SELECT id, step IS NULL AS ok, step, CASE step WHEN 'spam' THEN spam_issues WHEN 'insult' THEN insult_category WHEN 'pattern' THEN h_category END AS detail
+      FROM (SELECT i.id, CASE WHEN trim(coalesce(body, '')) = '' THEN 'required' WHEN spam_issues <> '' THEN 'spam' WHEN insult_action = 'block' THEN 'insult' WHEN h.action = 'block' THEN 'pattern' WHEN original_id IS NOT NULL THEN 'duplicate' END AS step, spam_issues, insult_category, h.category AS h_category
+        FROM insulted i JOIN spam USING (id) LEFT JOIN hits h USING (id) LEFT JOIN repeats USING (id))"""),
+    "moderation_stats": (moderation_stats, POSTS + INSULTS + ",\n" + LOG + " SELECT category, count(*) AS n, count(*) FILTER (WHERE blocked) AS blocked, count(*) FILTER (WHERE flagged) AS flagged, round(avg(CAST(score AS DOUBLE)), 4) AS mean_score FROM log GROUP BY category"),
+    "moderation_queue": (moderation_queue, POSTS + INSULTS + ",\n" + LOG + " SELECT post_id, kind, CASE WHEN blocked THEN 'blocked' ELSE 'flagged' END AS status, left(text, 200) AS preview, category FROM log WHERE blocked OR flagged ORDER BY post_id DESC LIMIT 100"),
     "pattern_stats": (pattern_stats, "WITH " + PATTERNS + " SELECT category, count(*) AS n, count(*) FILTER (WHERE active) AS active, round(avg(priority), 4) AS mean_priority, string_agg(DISTINCT action, ',' ORDER BY action) AS actions FROM patterns GROUP BY category"),
     "report_intake": (report_intake, with_views("", "v_posts").rstrip() + ",\n" + REPORTS + " SELECT * FROM taken"),
     "auto_hidden": (auto_hidden, with_views("", "v_posts").rstrip() + ",\n" + REPORTS + " SELECT id, kind, coalesce(n, 0) AS report_count, coalesce(n, 0) >= 15 AS hidden FROM v_posts LEFT JOIN (SELECT target_id AS id, kind, count(*) AS n FROM taken GROUP BY 1, 2) USING (id, kind)"),
@@ -245,7 +281,7 @@ QUERIES = {
     "word_simhash": (word_simhash, None),
     "near_duplicates": (near_duplicates, None),
     "shingle_duplicates": (shingle_duplicates, None),
-    "exact_repeats": (exact_repeats, _posts(f"SELECT id, original_id FROM (SELECT id, min(id) OVER (PARTITION BY scope, {CLEAN_KEY}) AS original_id FROM v_posts WHERE length(body) >= 40) WHERE id > original_id")),
+    "exact_repeats": (exact_repeats, POSTS + REPEATS + " SELECT * FROM repeats"),
     "vocabulary": (vocabulary, with_views(f"SELECT DISTINCT word FROM (SELECT unnest(list_concat({TOKENS.format('title')}, {TOKENS.format('left(content, 100)')})) AS word FROM v_pages) WHERE length(word) > 3", "v_pages")),
     "did_you_mean": (did_you_mean, None),
     "autocorrected": (autocorrected, None),
@@ -274,5 +310,5 @@ QUERIES = {
     "top_facts": (top_facts, "WITH " + FACTS + """, u AS (SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY max(ts) DESC NULLS LAST, url) AS u FROM facts GROUP BY host, url) WHERE u <= 10),
       kept AS (SELECT f.*, row_number() OVER (PARTITION BY host, url, class ORDER BY ts DESC, fact_id) AS i FROM facts f JOIN u USING (host, url))
       SELECT host, url, fact_id, class, CAST(row_number() OVER (PARTITION BY host, url ORDER BY CASE WHEN class = 'summary' THEN 0 ELSE 1 END, ts DESC, fact_id) AS INT) AS place FROM kept WHERE class = 'summary' OR i <= 7"""),
-    "sampled_facts": (sampled_facts, None),
+    "sampled_facts": (sampled_facts, "WITH " + FACTS + " SELECT fact_id FROM facts WHERE class = 'summary' ORDER BY md5(fact_id || ' 7'), fact_id LIMIT 25"),
 }

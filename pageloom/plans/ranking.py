@@ -120,10 +120,10 @@ AGE = f"(epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) / 86400"
 RELEVANCE = f"""hits AS (
   SELECT query_id, page_id, sum(CASE WHEN n_title > 0 THEN 20 ELSE 0 END + CASE WHEN n_content >= 2 THEN 5 ELSE 0 END) AS points, count(*) FILTER (WHERE length(term) > 3 AND (n_title > 0 OR n_content >= 2)) AS n_core, count(*) AS n_found, count(*) FILTER (WHERE n_title > 0) AS n_title
   FROM (SELECT query_id, unnest(list_distinct(terms)) AS term FROM terms) JOIN idx USING (term) GROUP BY 1, 2),
-qp AS (SELECT *, trim(lower(query)) AS q, lower(title) AS lt, lower(content) AS lc, len(list_distinct(terms)) AS n_terms, greatest(1, len(list_filter(terms, lambda t: length(t) > 3))) AS core FROM hits JOIN terms USING (query_id) JOIN v_pages USING (page_id)),
+qp AS (SELECT *, trim(lower(query)) AS q, lower(title) AS lt, lower(content) AS lc, len(list_distinct(terms)) AS n_terms, greatest(1, len(list_filter(terms, lambda t: length(t) > 3))) AS core, len(list_filter(terms, lambda t: regexp_matches(t, '{R.IT_QUERY}'))) > 0 AND NOT regexp_matches(lower(content), '{R.IT_CONTENT}') AS astray FROM hits JOIN terms USING (query_id) JOIN v_pages USING (page_id)),
 rel AS (
-  SELECT query_id, page_id, round(keyword, 4) AS keyword, phrase, CAST(floor(round(least(CAST(100 AS DOUBLE), keyword + phrase + rest), 6) + 0.5) AS BIGINT) AS relevance
-  FROM (SELECT query_id, page_id, least(CAST(40 AS DOUBLE), CAST(points AS DOUBLE) * CASE WHEN CAST(n_core AS DOUBLE) / core < 1 THEN CAST(0.1 AS DOUBLE) ELSE 1 END) AS keyword,
+  SELECT query_id, page_id, round(keyword, 4) AS keyword, phrase, CAST(floor(round(least(CAST(CASE WHEN astray THEN {R.IT_CAP} ELSE 100 END AS DOUBLE), keyword + phrase + rest), 6) + 0.5) AS BIGINT) AS relevance
+  FROM (SELECT query_id, page_id, astray, greatest(CAST(0 AS DOUBLE), least(CAST(40 AS DOUBLE), CAST(points AS DOUBLE) * CASE WHEN CAST(n_core AS DOUBLE) / core < 1 THEN CAST(0.1 AS DOUBLE) ELSE 1 END - CASE WHEN astray THEN 30 ELSE 0 END)) AS keyword,
     CASE WHEN len(terms) < 2 THEN 0 WHEN contains(lt, q) THEN 15 WHEN len(terms) >= 3 AND len(list_filter(range(1, len(terms)), lambda i: contains(lt, terms[i] || ' ' || terms[i + 1]))) > 0 THEN 12
       WHEN contains(lc, q) THEN 10 WHEN n_found < n_terms THEN -3
       WHEN len(list_filter(string_split_regex(lc, '[.!?\\n]+'), lambda s: len(list_intersect({TOKENS.format('s')}, terms)) = n_terms)) > 0 THEN 8 WHEN n_title = n_terms THEN 8

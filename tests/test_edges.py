@@ -75,9 +75,11 @@ def test_domain_families(spark):
 
 
 def test_insults_and_spam(spark):
-    rows = [(1, "du bist so dumm"), (2, "ich bin dumm, sagst du"), (3, "das ist dumm"), (4, "1di0t!"), (5, "wir killen den boss im level, kommst du"), (6, "du willst ihn töten"), (7, ""), (8, None), (9, "loser sind dort")]
+    rows = [(1, "du bist so dumm"), (2, "ich bin dumm, sagst du"), (3, "das ist dumm"), (4, "1di0t!"), (5, "wir killen den boss im level, kommst du"), (6, "du willst ihn töten"), (7, ""), (8, None), (9, "loser sind dort"),
+            (10, "du alter nazi"), (11, "ein nazi wie dich brauchen wir nicht"), (12, "die nazis im 2. weltkrieg"), (13, "du weißt, was ein nazi war"), (14, "ihr faschisten")]
     got = {r.id: (r.insult_action, r.insult_category) for r in moderation.insult_check(spark.createDataFrame(rows, "id int, body string")).collect()}
-    assert got == {1: ("block", "insult"), 2: (None, None), 3: (None, None), 4: ("block", "insult"), 5: (None, None), 6: ("block", "threat"), 7: (None, None), 8: (None, None), 9: (None, None)}
+    assert got == {1: ("block", "insult"), 2: (None, None), 3: (None, None), 4: ("block", "insult"), 5: (None, None), 6: ("block", "threat"), 7: (None, None), 8: (None, None), 9: (None, None),
+                   10: ("block", "hate"), 11: ("block", "hate"), 12: (None, None), 13: (None, None), 14: (None, None)}
     texts = [("item", "x" * 9), ("item", "fine text here."), ("item", "HALLO IHR ALLE DA"), ("item", "soooooo gut ist das"), ("comment", ""), ("item", "http://a.b http://c.d http://e.f text"), ("title", "click here now")]
     got = [r.spam_issues for r in moderation.text_spam(spark.createDataFrame(texts, "kind string, body string")).collect()]
     assert got == [["too_short", "repeating_chars"], [], ["excessive_caps"], ["repeating_chars"], ["empty"], ["too_many_urls"], ["spam_phrase"]]
@@ -170,3 +172,24 @@ def test_diversity_is_a_pass_down_the_list(spark):
                 kept.append(url)
                 seen[family] = n + 1
         assert got[q] == kept, q
+
+
+def test_folded_votes_are_those_of_the_fold(spark):
+    from itertools import product
+
+    want, rows = [], []
+    for user, values in enumerate(v for n in range(1, 6) for v in product((1, 0, -1), repeat=n)):
+        state = None
+        for i, x in enumerate(values):
+            rows.append((user, "d", x, f"2024-01-01 00:00:{i:02}", i))
+            state = None if state == x else x
+        want.append(state)
+    df = spark.createDataFrame(rows, "user_id int, domain string, value int, created_at string, id int").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert votes.fold_votes(df).first() == ("d", want.count(1), want.count(0), want.count(-1))
+
+
+def test_related_searches_by_session_and_word(spark):
+    log = [("a", "red shoes"), ("a", "blue hat"), ("a", "blue hat"), ("b", "old red shoes"), ("b", "coat"), ("c", "red wine"), ("c", "socks"), ("d", "running shoes"), ("d", "password red"), ("e", "re"), ("f", None)]
+    df = spark.createDataFrame([(s, q, "2024-01-30 00:00:00") for s, q in log], "session_id string, query string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = trends.related_searches(df, spark.createDataFrame([("Red shoes",)], "query string"), "2024-01-31 00:00:00")
+    assert [(r.related, r.n) for r in got.orderBy("rank").collect()] == [("blue hat", 2), ("coat", 1), ("old red shoes", 1), ("red wine", 1), ("running shoes", 1)]
