@@ -8,6 +8,7 @@ from pageloom.operators import page_scores as P
 from pageloom.operators.lists import reputation
 from pageloom.operators.reliability import score_reliability
 from pageloom.sources import views as v
+from pageloom.sources.html import COUNTS, FEATURES_SQL, FLAGS, RATIOS, extract_page_features
 from pageloom.sources.views import AS_OF, with_views
 
 DEPTH = """least(12, CASE WHEN word_count >= 1500 THEN 5 WHEN word_count >= 800 THEN 4 WHEN word_count >= 400 THEN 3 WHEN word_count >= 200 THEN 1 ELSE 0 END
@@ -72,6 +73,11 @@ def page_features(spark, d):
     return v.v_pages(spark, d).select("page_id", "url", "domain", "title", "language", "word_count", "secure", "published_at", F.md5("content").alias("content_md5"))
 
 
+def html_features(spark, d):
+    found = extract_page_features(v.read(spark, d, "pages"))
+    return found.select("page_id", F.md5("content").alias("content_md5"), "title", "word_count", *COUNTS, "author", "description", "schema_type", *FLAGS, *(F.round(n, 6).alias(n) for n in RATIOS), F.size("outbound_links").alias("n_outbound"))
+
+
 def trust_scores(spark, d):
     return P.trust_badge(P.score_trust(v.v_pages(spark, d))).select("page_id", "trust_score", "trust_level", "badge")
 
@@ -133,6 +139,7 @@ def source_reliability(spark, d):
 QUERIES = {
     "source_reliability": (source_reliability, None),
     "page_features": (page_features, with_views("SELECT page_id, url, domain, title, language, word_count, secure, published_at, md5(content) AS content_md5 FROM v_pages", "v_pages")),
+    "html_features": (html_features, FEATURES_SQL),
     "trust_scores": (trust_scores, SCORED + "SELECT page_id, trust_score, trust_level, CASE WHEN trust_score >= 80 THEN 'very trustworthy' WHEN trust_score >= 60 THEN 'trustworthy' WHEN trust_score >= 40 THEN 'check' WHEN trust_score >= 20 THEN 'doubtful' ELSE 'not trustworthy' END AS badge FROM trust"),
     "spam_scores": (spam_scores, SCORED + "SELECT page_id, spam_score, spam_level, is_spam FROM spam"),
     "hard_blocks": (hard_blocks, SCORED + f"SELECT page_id, spam_level, trust_score FROM spam WHERE {KEPT}"),

@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.columns import host
+from pageloom.sources import html
+from pageloom.sources.html import CODE, LANG, TITLE
 
 AS_OF = "2024-01-31 00:00:00"
 
-TITLE = r"(?s)<title>(.*?)</title>"
-LANG = r'<html lang="([a-z]+)"'
-CODE = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
-
-#: Page features as SQL of page_id (p), the same in both engines.
+#: Page features that the HTML at hand lacks, as SQL of page_id (p), the same in both engines.
 FEATURES = {
     "ad_count": "CAST(p % 9 AS INT)",
     "ad_url_count": "CAST(p % 12 AS INT)",
@@ -39,10 +37,6 @@ FEATURES = {
     "load_ms": "CAST((p * 131) % 4000 AS DOUBLE)",
     "mobile_friendly": "p % 6 <> 0",
     "outbound_ok": "p % 13 <> 0",
-    "text_to_code": "CAST(p % 10 AS DOUBLE) / CAST(10 AS DOUBLE)",
-    "internal_link_density": "CAST(p % 25 AS DOUBLE) / CAST(100 AS DOUBLE)",
-    "avg_word_length": "CAST((p * 7) % 220 AS DOUBLE) / CAST(10 AS DOUBLE)",
-    "avg_sentence_length": "CAST(p % 25 AS DOUBLE)",
     "author": "CASE WHEN p % 4 = 3 THEN NULL ELSE concat('Author ', CAST(p % 17 AS VARCHAR(20))) END",
     "author_type": "CASE p % 4 WHEN 0 THEN 'agency' WHEN 1 THEN 'journalist' WHEN 2 THEN 'editorial' ELSE 'none' END",
     "schema_type": "CASE WHEN p % 3 = 0 THEN 'Article' END",
@@ -61,29 +55,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = read(spark, sf_dir, "pages")
-    text = F.trim(F.regexp_replace(F.regexp_replace("html", CODE, " "), r"\s+", " "))
-    base = raw.select(
-        F.col("page_id"), F.col("page_id").alias("p"), "url", host(F.col("url")).alias("domain"), F.regexp_extract("html", TITLE, 1).alias("title"),
-        F.regexp_extract("html", LANG, 1).alias("language"), text.alias("content"), F.col("url").startswith("https").alias("secure"),
-    )
+    raw = html.page_text(read(spark, sf_dir, "pages")).withColumn("internal_links", F.regexp_count("html", F.lit(html.COUNTS["internal_links"])))
+    base = html.text_ratios(raw).withColumns({"p": F.col("page_id"), "domain": host(F.col("url")), "secure": F.col("url").startswith("https")}).drop("html", "internal_links")
     timed = base.withColumn("published_at", F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(days=(F.col("p") * 3).cast("int")))
     faq = F.when(F.col("p") % 9 == 0, F.array(F.lit("q"))).otherwise(F.array().cast("array<string>"))
-    return timed.withColumn("word_count", F.size(F.split("content", " "))).withColumn("faq", faq).select("*", *(F.expr(e).alias(n) for n, e in FEATURES.items())).drop("p")
+    return timed.withColumn("faq", faq).select("*", *(F.expr(e).alias(n) for n, e in FEATURES.items())).drop("p")
 
 
 
 
 V_PAGES = rf"""v_pages AS (
-  SELECT *, CAST(len(string_split(content, ' ')) AS INTEGER) AS word_count,
-         CASE WHEN page_id % 9 = 0 THEN ['q'] ELSE [] END AS faq
-  FROM (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '') AS domain,
+  SELECT * EXCLUDE (html, sentences, internal_links), {', '.join(f'{e} AS {n}' for n, e in html.RATIOS.items())}, CASE WHEN page_id % 9 = 0 THEN ['q'] ELSE [] END AS faq
+  FROM (SELECT *, CAST(len(string_split(content, ' ')) AS INTEGER) AS word_count, len(regexp_extract_all(content, '{html.SENTENCE_END}')) AS sentences
+        FROM (SELECT page_id, url, html, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '') AS domain,
                regexp_extract(html, '{TITLE}', 1) AS title, regexp_extract(html, '{LANG}', 1) AS language,
                trim(regexp_replace(regexp_replace(html, '{CODE}', ' ', 'g'), '\s+', ' ', 'g')) AS content,
+               len(regexp_extract_all(html, '{html.COUNTS['internal_links']}')) AS internal_links,
                starts_with(url, 'https') AS secure,
                TIMESTAMP '{AS_OF}' - to_days(CAST(page_id * 3 AS INTEGER)) AS published_at,
                {', '.join(f'{e} AS {n}' for n, e in FEATURES.items())}
-        FROM (SELECT *, page_id AS p FROM pages)))"""
+        FROM (SELECT *, page_id AS p FROM pages))))"""
 
 
 def v_domain_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pageloom.operators import behaviour, links, lists, moderation, page_scores, ranking, reliability, similarity, trends, votes
+from pageloom.sources.html import extract_page_features
 
 T0 = datetime(2024, 1, 1)
 
@@ -193,3 +194,16 @@ def test_related_searches_by_session_and_word(spark):
     df = spark.createDataFrame([(s, q, "2024-01-30 00:00:00") for s, q in log], "session_id string, query string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = trends.related_searches(df, spark.createDataFrame([("Red shoes",)], "query string"), "2024-01-31 00:00:00")
     assert [(r.related, r.n) for r in got.orderBy("rank").collect()] == [("blue hat", 2), ("coat", 1), ("old red shoes", 1), ("red wine", 1), ("running shoes", 1)]
+
+
+def test_page_features_of_html(spark):
+    page = """<html lang="de"><head><title>Ein Titel</title><meta name="viewport" content="w"><meta name="author" content="A. B."><meta property="og:image" content="https://i/x.png">
+      <script type="application/ld+json">{"@type": "Product", "price": "12.50", "ratingValue": 4.5, "reviewCount": 7, "datePublished": "2024-01-02"}</script></head>
+      <body><h1>Kopf</h1><p>Zwei Worte. Noch drei Worte!</p><img src="a"><IMG src="b"><table></table><ol><li>x</li></ol><div class="box ad">Kauf</div><div class="shadow"></div>
+      <a href="/in">i</a><a href="https://other.org/x">o</a><a class="q" href="https://shop.org/?tag=me">s</a><div class="paywall-box"></div><iframe src="https://youtube.com/e"></iframe></body></html>"""
+    got = {r.page_id: r for r in extract_page_features(spark.createDataFrame([(1, "u", page), (2, "u", ""), (3, "u", None)], "page_id int, url string, html string")).collect()}
+    r = got[1]
+    assert (r.title, r.language, r.author, r.image, r.schema_type, r.price, r.rating_value, r.rating_count, r.published) == ("Ein Titel", "de", "A. B.", "https://i/x.png", "Product", 12.5, 4.5, 7, "2024-01-02")
+    assert (r.image_count, r.video_count, r.has_table, r.has_steps, r.heading_count, r.link_count, r.internal_links, r.affiliate_link_count, r.ad_count) == (2, 1, True, True, 1, 3, 1, 1, 1)
+    assert (r.mobile_friendly, r.has_paywall, r.outbound_links, r.content) == (True, True, ["https://other.org/x", "https://shop.org/?tag=me"], "Ein Titel Kopf Zwei Worte. Noch drei Worte! x Kauf i o s")
+    assert r.avg_sentence_length == 6.5 and got[2].word_count == got[3].word_count == 1 and got[3].text_to_code == 0 and got[2].author is None
