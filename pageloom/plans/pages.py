@@ -136,6 +136,21 @@ def source_reliability(spark, d):
     return score_reliability(pages, reputation(P.score_trust(v.v_pages(spark, d)), v.v_domain_votes(spark, d)))
 
 
+AD_DENSITY = """SELECT page_id, CASE WHEN counts THEN factor ELSE 1.0 END AS ad_factor,
+          CAST(least(CASE WHEN counts THEN ceil(round(greatest(0, base * factor - base), 4)) ELSE 0 END, 30) AS BIGINT) AS ad_malus
+        FROM (SELECT *, round(least(5.0, f), 4) AS factor, ads + popup_count + video_ad_count > 0 AND total >= 5 AND ratio >= 0.2 AS counts,
+                     CASE WHEN ratio >= 0.8 THEN 15 WHEN ratio >= 0.6 THEN 10 WHEN ratio >= 0.4 THEN 6 WHEN ratio >= 0.2 THEN 3 ELSE 0 END AS base
+              FROM (SELECT *, ad_count AS ads, coalesce(positive, 0) + coalesce(negative, 0) AS total, CASE WHEN coalesce(positive, 0) + coalesce(negative, 0) = 0 THEN 0 ELSE CAST(coalesce(negative, 0) AS DOUBLE) / (coalesce(positive, 0) + coalesce(negative, 0)) END AS ratio,
+                           CAST(1.0 + CASE WHEN ad_count >= 8 THEN 2.0 WHEN ad_count >= 5 THEN 1.5 WHEN ad_count >= 3 THEN 0.8 WHEN ad_count >= 1 THEN 0.2 ELSE 0 END
+                           + CASE WHEN CAST(ad_count AS DOUBLE) / greatest(1, word_count) * 100 > 2.0 THEN 1.2 WHEN CAST(ad_count AS DOUBLE) / greatest(1, word_count) * 100 > 1.5 THEN 1.0 WHEN CAST(ad_count AS DOUBLE) / greatest(1, word_count) * 100 > 0.8 THEN 0.5 ELSE 0 END
+                           + CASE WHEN popup_count >= 2 THEN 1.5 WHEN popup_count >= 1 THEN 0.8 ELSE 0 END + CASE WHEN video_ad_count >= 2 THEN 1.0 WHEN video_ad_count >= 1 THEN 0.5 ELSE 0 END
+                           + CASE WHEN ad_above_fold AND ad_count + popup_count + video_ad_count > 0 THEN 0.5 ELSE 0 END + CASE WHEN has_paywall AND ad_count + video_ad_count > 0 THEN 0.8 ELSE 0 END AS DOUBLE) AS f
+                    FROM v_pages LEFT JOIN v_domain_votes USING (domain)))"""
+
+AFFILIATE = """SELECT page_id, CASE WHEN n = 0 THEN 0 WHEN n >= 20 OR t > 2.0 THEN 8 WHEN n >= 10 OR t > 1.0 THEN 5 WHEN n >= 5 OR t > 0.5 THEN 2 ELSE 0 END AS affiliate_malus,
+          CASE WHEN ad_count = 0 AND popup_count = 0 AND video_ad_count = 0 AND n = 0 AND NOT has_paywall THEN 5 WHEN ad_count <= 1 AND popup_count = 0 AND video_ad_count = 0 THEN 2 ELSE 0 END AS ad_free_bonus
+        FROM (SELECT *, affiliate_link_count AS n, CAST(affiliate_link_count AS DOUBLE) / greatest(1, word_count) * 100 AS t FROM v_pages)"""
+
 QUERIES = {
     "source_reliability": (source_reliability, None),
     "page_features": (page_features, with_views("SELECT page_id, url, domain, title, language, word_count, secure, published_at, md5(content) AS content_md5 FROM v_pages", "v_pages")),
@@ -151,19 +166,8 @@ QUERIES = {
         + CAST(CASE WHEN image_count > 5 THEN 0.3 WHEN image_count > 2 THEN 0.15 ELSE 0 END AS DOUBLE)
         - CAST(CASE WHEN published_at < TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY THEN 0.5 ELSE 0 END AS DOUBLE) - CAST(CASE WHEN ad_url_count > 10 THEN 0.5 WHEN ad_url_count > 5 THEN 0.2 ELSE 0 END AS DOUBLE) + 1)) * 10, 6) + 0.5) / 10 AS rating FROM v_pages""", "v_pages")),
     "ad_counts": (ad_counts, with_views("SELECT page_id, CAST(CASE WHEN ad_count = 0 AND ad_url_count > 0 THEN ad_url_count // 5 ELSE ad_count END AS INT) AS ad_count FROM v_pages", "v_pages")),
-    "ad_density": (ad_density, with_views("""SELECT page_id, CASE WHEN counts THEN factor ELSE 1.0 END AS ad_factor,
-          CAST(least(CASE WHEN counts THEN ceil(round(greatest(0, base * factor - base), 4)) ELSE 0 END, 30) AS BIGINT) AS ad_malus
-        FROM (SELECT *, round(least(5.0, f), 4) AS factor, ads + popup_count + video_ad_count > 0 AND total >= 5 AND ratio >= 0.2 AS counts,
-                     CASE WHEN ratio >= 0.8 THEN 15 WHEN ratio >= 0.6 THEN 10 WHEN ratio >= 0.4 THEN 6 WHEN ratio >= 0.2 THEN 3 ELSE 0 END AS base
-              FROM (SELECT *, ad_count AS ads, coalesce(positive, 0) + coalesce(negative, 0) AS total, CASE WHEN coalesce(positive, 0) + coalesce(negative, 0) = 0 THEN 0 ELSE CAST(coalesce(negative, 0) AS DOUBLE) / (coalesce(positive, 0) + coalesce(negative, 0)) END AS ratio,
-                           CAST(1.0 + CASE WHEN ad_count >= 8 THEN 2.0 WHEN ad_count >= 5 THEN 1.5 WHEN ad_count >= 3 THEN 0.8 WHEN ad_count >= 1 THEN 0.2 ELSE 0 END
-                           + CASE WHEN CAST(ad_count AS DOUBLE) / greatest(1, word_count) * 100 > 2.0 THEN 1.2 WHEN CAST(ad_count AS DOUBLE) / greatest(1, word_count) * 100 > 1.5 THEN 1.0 WHEN CAST(ad_count AS DOUBLE) / greatest(1, word_count) * 100 > 0.8 THEN 0.5 ELSE 0 END
-                           + CASE WHEN popup_count >= 2 THEN 1.5 WHEN popup_count >= 1 THEN 0.8 ELSE 0 END + CASE WHEN video_ad_count >= 2 THEN 1.0 WHEN video_ad_count >= 1 THEN 0.5 ELSE 0 END
-                           + CASE WHEN ad_above_fold AND ad_count + popup_count + video_ad_count > 0 THEN 0.5 ELSE 0 END + CASE WHEN has_paywall AND ad_count + video_ad_count > 0 THEN 0.8 ELSE 0 END AS DOUBLE) AS f
-                    FROM v_pages LEFT JOIN v_domain_votes USING (domain)))""", "v_pages", "v_domain_votes")),
-    "affiliate_and_ad_free": (affiliate_and_ad_free, with_views("""SELECT page_id, CASE WHEN n = 0 THEN 0 WHEN n >= 20 OR t > 2.0 THEN 8 WHEN n >= 10 OR t > 1.0 THEN 5 WHEN n >= 5 OR t > 0.5 THEN 2 ELSE 0 END AS affiliate_malus,
-          CASE WHEN ad_count = 0 AND popup_count = 0 AND video_ad_count = 0 AND n = 0 AND NOT has_paywall THEN 5 WHEN ad_count <= 1 AND popup_count = 0 AND video_ad_count = 0 THEN 2 ELSE 0 END AS ad_free_bonus
-        FROM (SELECT *, affiliate_link_count AS n, CAST(affiliate_link_count AS DOUBLE) / greatest(1, word_count) * 100 AS t FROM v_pages)""", "v_pages")),
+    "ad_density": (ad_density, with_views(AD_DENSITY, "v_pages", "v_domain_votes")),
+    "affiliate_and_ad_free": (affiliate_and_ad_free, with_views(AFFILIATE, "v_pages")),
     "domain_ages": (domain_ages, with_views(f"""SELECT domain, age_days, CASE WHEN age_days < 30 THEN 'danger' WHEN age_days < 180 THEN 'warning' ELSE 'ok' END AS risk
         FROM (SELECT domain, CAST(date_diff('day', min(published_at), TIMESTAMP '{AS_OF}') AS INT) AS age_days FROM v_pages GROUP BY domain)""", "v_pages")),
 }

@@ -9,6 +9,7 @@ from pageloom.operators import lists as L
 from pageloom.operators import moderation as M
 from pageloom.operators import similarity as S
 from pageloom.operators import page_scores as P
+from pageloom.plans import pages as G
 from pageloom.plans import ranking as K
 from pageloom.sources import views as v
 from pageloom.sources.views import AS_OF, with_views
@@ -299,14 +300,15 @@ QUERIES = {
       d AS (SELECT DISTINCT web_id, unnest(similar_ids) AS other_id FROM a), n AS (SELECT d.* FROM d JOIN a ON a.web_id = other_id WHERE d.web_id <> other_id),
       p AS (SELECT * FROM n UNION SELECT x.web_id, y.other_id FROM n x JOIN n y ON y.web_id = x.other_id UNION SELECT x.web_id, y.web_id FROM a x JOIN a y USING (original_id))
       SELECT web_id, other_id, CAST(rank AS INT) AS rank FROM (SELECT p.web_id, other_id, row_number() OVER (PARTITION BY p.web_id ORDER BY originality DESC, other_id) AS rank FROM p JOIN a ON a.web_id = other_id WHERE p.web_id <> other_id) WHERE rank <= 10"""),
-    "reputations": (reputations, None),
+    "reputations": (reputations, with_views("", "v_pages", "v_domain_votes").rstrip() + ",\n" + G.TRUST + " SELECT coalesce(t.domain, d.domain) AS domain, trust, positive, negative FROM (SELECT domain, round(avg(CAST(trust_score AS DOUBLE)), 4) AS trust FROM trust GROUP BY 1) t FULL JOIN v_domain_votes d ON t.domain = d.domain"),
     "unblocked_clicks": (unblocked_clicks, with_views("", "v_clicks").rstrip() + ",\n" + BLOCKED + " SELECT id FROM v_clicks c WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.user_id = c.user_id AND b.host = c.domain)"),
     "allowed_clicks": (allowed_clicks, with_views("", "v_clicks").rstrip() + ",\n" + BLOCKED + " SELECT id FROM v_clicks c WHERE user_id % 2 = 1 OR user_id NOT IN (SELECT user_id FROM blocked) OR EXISTS (SELECT 1 FROM blocked b WHERE b.user_id = c.user_id AND b.host = c.domain)"),
     "blocked_domains": (blocked_domains, with_views("", "v_clicks").rstrip() + ",\n" + BLOCKED + " SELECT host, count(DISTINCT user_id) AS n_users FROM blocked GROUP BY host ORDER BY n_users DESC, host LIMIT 20"),
     "paywall_domains": (paywall_domains, with_views("SELECT domain, count(*) AS n_reports FROM (SELECT DISTINCT domain, url, user_id FROM v_clicks) GROUP BY domain", "v_clicks")),
     "star_ratings": (star_ratings, with_views("SELECT domain, round(avg(id % 5 + 1), 1) AS mean_stars, count(*) AS n, count(*) FILTER (WHERE id % 3 > 0) AS n_approved FROM v_clicks GROUP BY domain", "v_clicks")),
     "autocompletions": (autocompletions, None),
-    "title_matches": (title_matches, None),
+    "title_matches": (title_matches, K.SEARCH + ",\n" + G.TRUST + """ SELECT query_id, page_id, CAST(rank AS INT) AS rank FROM (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY trust_score DESC, page_id) AS rank FROM (
+      SELECT query_id, page_id FROM (SELECT query_id, len(list_distinct(terms)) AS need, unnest(list_distinct(terms)) AS term FROM terms) JOIN idx USING (term) WHERE n_title > 0 GROUP BY query_id, page_id, need HAVING count(*) = need) JOIN trust USING (page_id)) WHERE rank <= 5"""),
     "top_facts": (top_facts, "WITH " + FACTS + """, u AS (SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY max(ts) DESC NULLS LAST, url) AS u FROM facts GROUP BY host, url) WHERE u <= 10),
       kept AS (SELECT f.*, row_number() OVER (PARTITION BY host, url, class ORDER BY ts DESC, fact_id) AS i FROM facts f JOIN u USING (host, url))
       SELECT host, url, fact_id, class, CAST(row_number() OVER (PARTITION BY host, url ORDER BY CASE WHEN class = 'summary' THEN 0 ELSE 1 END, ts DESC, fact_id) AS INT) AS place FROM kept WHERE class = 'summary' OR i <= 7"""),

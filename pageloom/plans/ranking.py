@@ -8,6 +8,8 @@ from pageloom.functions.tables import materialised
 from pageloom.operators import links as L
 from pageloom.operators import page_scores as P
 from pageloom.operators import ranking as R
+from pageloom.operators.topics import PENALTIES, Topic, score_category_mismatch
+from pageloom.plans import pages as G
 from pageloom.sources import views as v
 from pageloom.sources.views import AS_OF, with_views
 
@@ -95,6 +97,24 @@ def first_page(spark, d):
     return R.page_of(ranking(spark, d), 1).join(q, "query_id").select("query_id", "rank", "url", R.highlight(F.col("title"), F.col("terms")).alias("marked_title"))
 
 
+# Three topics; a user gives their own list.
+TOPICS = [
+    Topic("finance", "finanzen geld bank kredit aktie steuer versicherung rente depot fonds etf zinsen dax preis".split(), ["boerse-finanzen", "wirtschaft-business", "immobilien"], ["sport", "fussball", "automotive", "rezepte-kochen"], ["gesundheit-medizin", "reise-tourismus", "politik-gesellschaft"], ["technik-digitales", "nachrichten", "weitere"]),
+    Topic("technology", "smartphone laptop computer software app ki ai internet android windows linux chip".split(), ["technik-digitales", "software-ki", "bildung-wissenschaft"], ["rezepte-kochen", "fussball", "sport"], ["reise-tourismus", "kultur-medien"], ["gesundheit-medizin", "weitere", "nachrichten"]),
+    Topic("travel", "reise urlaub hotel flug strand ferien mietwagen".split(), ["reise-tourismus", "verkehr-transport"], ["automotive", "fussball", "sport", "boerse-finanzen"], ["technik-digitales", "gesundheit-medizin"], ["bildung-wissenschaft", "weitere", "nachrichten"]),
+]
+SLUGS = sorted({x for t in TOPICS for x in (*t.allowed, *t.strong, *t.medium, *t.weak)} | {"haushalt"})
+
+
+def category_mismatches(spark, d):
+    """What users asked first against three pages each, whose categories and tags follow their ids."""
+    slugs, at = F.array(*map(F.lit, SLUGS)), lambda e: (F.expr(e) % len(SLUGS) + 1).cast("int")
+    pages = v.read(spark, d, "pages").select("page_id", F.element_at(slugs, at("page_id")).alias("category"), F.when(F.col("page_id") % 3 > 0, F.array(F.element_at(slugs, at("page_id * 7 + 1")), F.element_at(slugs, at("page_id * 5 + 2")))).alias("tags"))
+    asked = v.v_asked(spark, d).select("query_id", "query", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    pairs = asked.join(pages, F.col("page_id") == F.col("query_id") + F.col("i"))
+    return score_category_mismatch(pairs, TOPICS).select("query_id", "page_id", "topic", "mismatch_penalty", "mismatch_reason")
+
+
 def semantic_scores(spark, d):
     e = v.read(spark, d, "embeddings")
     return R.semantic_scores(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("page_id"), "embedding"))
@@ -104,6 +124,27 @@ def brand_queries(spark, d):
     return R.detect_brand(v.v_queries(spark, d), ranking(spark, d))
 
 
+def _in(values):
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+def _mismatch_sql(t):
+    tag = lambda names: f"list_has_any(tags, {_in(names)})"
+    own = "CASE " + " ".join(f"WHEN list_contains({_in(getattr(t, level))}, category) THEN {points}" for level, points in PENALTIES.items()) + " END"
+    eased = "CASE " + " ".join(f"WHEN {tag(getattr(t, level))} THEN {points}" for level, points in reversed(PENALTIES.items())) + " END"
+    test = f"len(list_filter({_in(t.terms)}, lambda x: contains(q, x))) > 0"
+    return f"SELECT *, '{t.name}' AS topic, CASE WHEN list_contains({_in(t.allowed)}, category) THEN 'category allowed' WHEN {tag(t.allowed)} THEN 'tag allowed' END AS ok, {own} AS own, {eased} AS eased FROM pairs WHERE {test}"
+
+
+MISMATCHES = with_views("", "v_asked").rstrip() + f""",
+pairs AS (SELECT query_id, page_id, query AS q, {_in(SLUGS)}[CAST(page_id % {len(SLUGS)} + 1 AS INT)] AS category,
+    CASE WHEN page_id % 3 > 0 THEN [{_in(SLUGS)}[CAST((page_id * 7 + 1) % {len(SLUGS)} + 1 AS INT)], {_in(SLUGS)}[CAST((page_id * 5 + 2) % {len(SLUGS)} + 1 AS INT)]] ELSE [] END AS tags
+  FROM v_asked JOIN (SELECT unnest([0, 1, 2]) AS i) ON true JOIN pages ON page_id = query_id + i),
+hit AS ({' UNION ALL '.join(f'SELECT {k} AS k, * FROM ({_mismatch_sql(t)})' for k, t in enumerate(TOPICS))}),
+first AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY k) AS f FROM hit)
+SELECT p.query_id, p.page_id, topic, CASE WHEN topic IS NULL OR ok IS NOT NULL OR own IS NULL THEN 0 ELSE least(own, coalesce(eased, own)) END AS mismatch_penalty,
+  CASE WHEN topic IS NULL THEN 'no topic' WHEN ok IS NOT NULL THEN ok WHEN own IS NULL THEN 'category in no list' WHEN eased < own THEN 'mismatch eased by tag' ELSE 'mismatch' END AS mismatch_reason
+FROM pairs p LEFT JOIN first h ON h.query_id = p.query_id AND h.page_id = p.page_id AND f = 1"""
 INTENT = "CASE " + " ".join(f"WHEN regexp_matches(query, '{p}') THEN '{n}'" for n, p in R.INTENTS) + " ELSE 'GENERAL' END"
 TERMS = f"terms AS (SELECT query_id, query, list_filter(list_filter(string_split_regex(trim(lower(query)), '\\s+'), lambda w: w <> ''), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)) AS terms, {INTENT} AS intent FROM v_queries)"
 INDEX = f"""said AS (SELECT page_id, unnest({TOKENS.format('content')}) AS term, 0 AS t FROM v_pages UNION ALL SELECT page_id, unnest({TOKENS.format('title')}), 1 FROM v_pages),
@@ -116,6 +157,7 @@ expanded AS (SELECT query_id, terms, list_sort(list_distinct(list_concat(terms,
 FILTERED = """one AS (SELECT DISTINCT query_id, page_id FROM (SELECT query_id, unnest(expanded) AS term FROM expanded WHERE len(terms) = 1) JOIN idx USING (term) WHERE n_title > 0 OR n_content >= 3),
 many AS (SELECT query_id, page_id FROM (SELECT query_id, len(list_distinct(terms)) AS need, unnest(list_distinct(terms)) AS term FROM terms WHERE len(terms) >= 2) JOIN idx USING (term) GROUP BY query_id, page_id, need HAVING count(*) = need AND bool_or(n_title > 0 OR n_content >= 2)),
 filtered AS (SELECT * FROM one UNION ALL SELECT * FROM many)"""
+HOST = r"nullif(regexp_replace(lower(regexp_extract({}, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '')"
 AGE = f"(epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) / 86400"
 RELEVANCE = f"""hits AS (
   SELECT query_id, page_id, sum(CASE WHEN n_title > 0 THEN 20 ELSE 0 END + CASE WHEN n_content >= 2 THEN 5 ELSE 0 END) AS points, count(*) FILTER (WHERE length(term) > 3 AND (n_title > 0 OR n_content >= 2)) AS n_core, count(*) AS n_found, count(*) FILTER (WHERE n_title > 0) AS n_title
@@ -138,6 +180,42 @@ rel AS (
 YMYL, CARS = ("[" + ", ".join(f"'{w}'" for w in ws) + "]" for ws in (R.YMYL_WORDS, R.CAR_WORDS))
 PROFILE = f"CASE WHEN list_has_any({TOKENS.format('query')}, {YMYL}) THEN 'YMYL' WHEN list_has_any({TOKENS.format('query')}, {CARS}) THEN 'COMMERCIAL' WHEN intent IN ('YMYL', 'NEWS', 'COMMERCIAL', 'ENTERTAINMENT', 'INFORMATIONAL') THEN intent ELSE 'DEFAULT' END"
 
+FAMILY = "CASE " + " ".join("WHEN name IN (" + ", ".join(f"'{m}'" for m in members.split()) + f") THEN '{family}'" for family, members in L.FAMILIES.items()) + " ELSE name END"
+REGISTRABLE = rf"regexp_extract(domain, '([^.]+\.(?:(?:{L.SECOND_LEVEL})\.[a-z]{{2}}|[^.]+))$', 1)"
+CLAMP = "round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST({} AS DOUBLE))), 6)"
+SIGNAL_SQL = {
+    "freshness": f"CASE WHEN intent = 'NEWS' AND {AGE} <= 3 THEN least(1, CASE WHEN {AGE} <= 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END * CAST(1.08 AS DOUBLE)) WHEN {AGE} <= 1 THEN 1.0 WHEN {AGE} <= 3 THEN 0.9 WHEN {AGE} <= 7 THEN 0.78 WHEN {AGE} <= 30 THEN 0.6 WHEN {AGE} <= 180 THEN 0.38 WHEN {AGE} <= 365 THEN 0.18 ELSE 0.04 END",
+    "phrase": "CAST(phrase + 3 AS DOUBLE) / 18",
+    "community": "CASE WHEN pos + neg + neu < 5 OR pos + neg = 0 THEN 0.5 ELSE CAST(pos AS DOUBLE) / (pos + neg) END",
+    "engagement": "CAST(CASE WHEN ctr >= 8 THEN 0.6 WHEN ctr >= 5 THEN 0.4 WHEN ctr >= 2 THEN 0.2 ELSE 0 END + CASE WHEN dwell_ms >= 3000 THEN 0.5 WHEN dwell_ms >= 1500 THEN 0.3 WHEN dwell_ms >= 500 THEN 0.1 ELSE 0 END + CASE WHEN comment_count > 50 THEN 0.4 WHEN comment_count > 10 THEN 0.2 ELSE 0 END AS DOUBLE) / 1.5",
+    "ad_free": "CASE WHEN relevance < 30 THEN least(CAST(0.15 AS DOUBLE), free) WHEN relevance < 40 THEN least(CAST(0.35 AS DOUBLE), free) ELSE free END",
+    "ux": "CASE WHEN mobile_friendly THEN 0.35 ELSE 0 END + CASE WHEN secure THEN 0.2 ELSE 0 END + CASE WHEN load_ms <= 0 THEN 0 WHEN load_ms < 800 THEN 0.45 WHEN load_ms < 2000 THEN 0.25 WHEN load_ms < 3500 THEN 0.05 WHEN load_ms > 3500 THEN -0.2 ELSE 0 END",
+    "structure": "CASE WHEN has_table THEN 0.32 ELSE 0 END + CASE WHEN has_steps THEN 0.32 ELSE 0 END + CASE WHEN image_count >= 5 THEN 0.18 ELSE 0 END + CASE WHEN video_count > 0 THEN 0.18 ELSE 0 END + CASE WHEN internal_link_density >= 0.1 THEN 0.08 ELSE 0 END",
+    "authority": "coalesce(greatest(CAST(0 AS DOUBLE), domain_trust - CASE WHEN spam_score >= 50 THEN 0.3 ELSE 0 END), least(CAST(1 AS DOUBLE), CAST(coalesce(authority_bonus, 0) AS DOUBLE) / 10))",
+    "reliability": "0.5", "semantic": "0", "originality": "0.5",
+}
+RANKED = (SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + ",\n" + RELEVANCE + f""",
+{with_views('', 'v_domain_votes', 'v_edges').rstrip().removeprefix('WITH ')},
+{G.TRUST}, {G.SPAM},
+malus AS ({G.AD_DENSITY}),
+aff AS ({G.AFFILIATE}),
+auth AS (SELECT domain, CAST(least(10, floor(round(log10(count(*) + 1) * CAST(4.3 AS DOUBLE), 6) + 0.5)) AS BIGINT) AS authority_bonus FROM (SELECT DISTINCT from_url, {{HOST.format('to_url')}} AS domain FROM v_edges WHERE {{HOST.format('from_url')}} <> {{HOST.format('to_url')}}) GROUP BY domain),
+kept AS (SELECT * FROM spam WHERE {G.KEPT}),
+rows AS (SELECT r.*, k.* EXCLUDE (page_id), t.query, t.intent, {PROFILE} AS profile, coalesce(positive, 0) AS pos, coalesce(negative, 0) AS neg, coalesce(neutral, 0) AS neu, authority_bonus,
+    greatest(0, greatest(0, CAST(CASE WHEN ad_count < 1 THEN 1 WHEN ad_count < 2 THEN 0.75 WHEN ad_count < 3 THEN 0.5 WHEN ad_count < 4 THEN 0.28 WHEN ad_count < 5 THEN 0.1 ELSE 0 END AS DOUBLE) - CAST(affiliate_malus AS DOUBLE) / 20) - CAST(ad_malus AS DOUBLE) / 25) AS free
+  FROM rel r JOIN filtered USING (query_id, page_id) JOIN kept k USING (page_id) JOIN terms t USING (query_id) JOIN malus USING (page_id) JOIN aff USING (page_id) LEFT JOIN v_domain_votes d ON d.domain = k.domain LEFT JOIN auth ON auth.domain = k.domain),
+sig AS (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust, CASE profile WHEN 'YMYL' THEN 25 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 40 WHEN 'ENTERTAINMENT' THEN 40 ELSE 35 END AS w_relevance,
+    {', '.join(f"{CLAMP.format(e)} AS s_{n}" for n, e in SIGNAL_SQL.items())} FROM rows),
+valued AS (SELECT *, {' + '.join(f"s_{n} * CAST({w} AS DOUBLE)" for n, w in R.SIGNALS.items())} AS quality FROM sig),
+weighed AS (SELECT *, quality * (100 - w_trust - w_relevance) * CASE WHEN intent <> 'COMMERCIAL' AND (category = 'shop' OR regexp_matches(lower(url), '/products?/')) THEN CAST(0.2 AS DOUBLE) ELSE 1 END AS q0 FROM valued),
+final AS (SELECT *, CAST(greatest(0, least(100, floor(round(CAST(trust_score AS DOUBLE) / 100 * CAST(trust_score AS DOUBLE) / 100 * w_trust + CAST(relevance AS DOUBLE) / 100 * CAST(relevance AS DOUBLE) / 100 * w_relevance + CASE WHEN relevance < 50 THEN least(8, q0) WHEN relevance < 65 THEN least(12, q0) ELSE q0 END, 6) + 0.5))) AS BIGINT) AS final_score FROM weighed),
+named AS (SELECT *, coalesce(nullif({REGISTRABLE}, ''), domain) AS name FROM final),
+ranked AS (SELECT *, {FAMILY} AS family, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, url) AS rank FROM named)""").replace("{HOST.format('to_url')}", HOST.format("to_url")).replace("{HOST.format('from_url')}", HOST.format("from_url"))
+BRANDS = r"""families AS (SELECT query_id, arg_max(family, (n, family)) AS family, max(n) AS n, sum(n) AS total FROM (SELECT query_id, family, count(*) AS n FROM ranked WHERE rank <= 20 GROUP BY 1, 2) GROUP BY 1),
+brands AS (SELECT query_id, coalesce(named_, site, CASE WHEN word THEN family END) AS brand, CASE WHEN named_ IS NOT NULL THEN 'domain in query' WHEN site IS NOT NULL THEN 'site operator' WHEN word THEN 'domain word in query' END AS reason
+  FROM (SELECT query_id, family, nullif(regexp_extract(lower(query), '([a-z0-9-]+\.(?:de|com|org|net|at|ch|io|eu|gov|edu))(?:[^a-z0-9_]|$)', 1), '') AS named_, CASE WHEN starts_with(query, 'site:') THEN regexp_extract(query, '^site:\s*([^\s/]+)', 1) END AS site,
+    total >= 5 AND length(split_part(family, '.', 1)) >= 3 AND n >= 5 AND list_contains(string_split(lower(query), ' '), split_part(family, '.', 1)) AS word FROM v_queries LEFT JOIN families USING (query_id)))""".replace("\\\\", "\\")
+
 QUERIES = {
     "query_profiles": (query_profiles, ASKED + f"""
       SELECT *, 100 - w_trust - w_relevance AS w_quality FROM (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust,
@@ -149,12 +227,16 @@ QUERIES = {
     "candidate_pages": (candidate_pages, SEARCH + " SELECT DISTINCT query_id, page_id FROM (SELECT query_id, unnest(terms) AS term FROM terms) JOIN idx USING (term)"),
     "keyword_filtered": (keyword_filtered, SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + " SELECT * FROM filtered"),
     "relevance_scores": (relevance_scores, SEARCH + ",\n" + RELEVANCE + " SELECT * FROM rel"),
-    "quality_signals": (quality_signals, None),
+    "quality_signals": (quality_signals, RANKED + f" SELECT query_id, page_id, {', '.join(f's_{n}' for n in R.SIGNALS)}, round(quality, 6) AS quality FROM ranked"),
     "final_ranking": (final_ranking, None),
-    "result_diversity": (diversity, None),
-    "refined_intents": (refined_intents, None),
-    "first_page": (first_page, None),
-    "brand_queries": (brand_queries, None),
+    "result_diversity": (diversity, RANKED + """, tops AS (SELECT query_id, count(*) AS n_families, CAST(sum(c) AS DOUBLE) AS n, CAST(sum(c * c) AS DOUBLE) AS sq FROM (SELECT query_id, family, count(*) AS c FROM ranked WHERE rank <= 10 GROUP BY 1, 2) GROUP BY 1),
+      herf AS (SELECT query_id, n_families, least(CAST(1 AS DOUBLE), (sq / (n * n) - CAST(1 AS DOUBLE) / n) / (CAST(1 AS DOUBLE) - CAST(1 AS DOUBLE) / n + CAST(0.0001 AS DOUBLE))) AS s FROM tops),
+      dom AS (SELECT query_id, sum(c) >= 5 AND max(c) >= CAST(0.7 AS DOUBLE) * sum(c) AS dominated FROM (SELECT query_id, family, count(*) AS c FROM ranked WHERE rank <= 20 GROUP BY 1, 2) GROUP BY 1)
+      SELECT query_id, n_families, floor(round(s * 100, 6) + 0.5) / 100 AS score, CASE WHEN round(s, 6) < 0.1 THEN 'high' WHEN round(s, 6) < 0.25 THEN 'good' WHEN round(s, 6) < 0.45 THEN 'medium' WHEN round(s, 6) < 0.65 THEN 'low' ELSE 'very low' END AS level, dominated FROM herf JOIN dom USING (query_id)"""),
+    "refined_intents": (refined_intents, RANKED + " SELECT query_id, arg_max(category, (n, category)) AS refined FROM (SELECT query_id, category, count(*) AS n FROM ranked WHERE rank <= 5 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1"),
+    "first_page": (first_page, RANKED + """ SELECT query_id, CAST(rank AS INT) AS rank, url, CASE WHEN len(list_filter(terms, lambda t: length(t) > 2)) > 0 THEN regexp_replace(title, '(' || array_to_string(list_filter(terms, lambda t: length(t) > 2), '|') || ')', '<mark>\\1</mark>', 'gi') ELSE title END AS marked_title FROM ranked JOIN (SELECT query_id, terms FROM terms) USING (query_id) WHERE rank <= 10"""),
+    "brand_queries": (brand_queries, RANKED + ", " + BRANDS + " SELECT * FROM brands"),
+    "category_mismatches": (category_mismatches, MISMATCHES),
     "semantic_scores": (semantic_scores, """SELECT query_id, page_id, round(greatest(0, least(1, CASE WHEN s >= 0.65 THEN (s - CAST(0.65 AS DOUBLE)) / CAST(0.35 AS DOUBLE) ELSE greatest(CAST(0.1 AS DOUBLE), s / CAST(0.65 AS DOUBLE) * CAST(0.5 AS DOUBLE)) END)), 4) AS score
       FROM (SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(p.embedding[i] AS DOUBLE))) AS s FROM embeddings q JOIN embeddings p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id)"""),
 }
