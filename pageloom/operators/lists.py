@@ -142,14 +142,14 @@ def star_ratings(ratings: DataFrame) -> DataFrame:
 
 
 def autocomplete(queries: DataFrame, pages: DataFrame, n: int = 8) -> DataFrame:
-    """(query_id, title, score, rank): the best n titles that a query's text begins, begins a word of, or is in; shorter titles break ties. Titles are found by their words' first three characters, so a query is compared with titles that can match only."""
+    """(query_id, title, score, rank): the best n titles that a query's text is, begins, begins a word of, or is in, in any case; shorter titles break ties. Titles are joined by the query's first three characters, or all of a shorter one's, so a query is compared with titles that can match only."""
     from pageloom.operators.similarity import match_score
 
-    t = pages.select("title").where("title <> ''").distinct()
-    keys = lambda c: F.array_distinct(F.transform(F.filter(tokens(F.col(c)), lambda w: F.length(w) >= 3), lambda w: F.left(w, F.lit(3))))
-    by_key = t.select("title", F.explode(keys("title")).alias("k"))
-    q = queries.select("query_id", "query", F.explode(F.slice(keys("query"), 1, 1)).alias("k"))
-    scored = q.join(by_key, "k").select("query_id", "title", match_score(F.col("query"), F.col("title")).alias("score")).where(F.col("score") >= 60).distinct()
+    low = F.lower(F.trim("title"))
+    grams = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substr(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    by_gram = pages.select("title").where("title <> ''").distinct().select("title", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    q = queries.select("query_id", "query", F.left(F.lower(F.trim("query")), F.lit(3)).alias("gram")).where("gram <> ''")
+    scored = q.join(by_gram, "gram").where(F.contains(low, F.lower(F.trim("query")))).select("query_id", "title", match_score(F.col("query"), F.col("title")).alias("score")).distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("title"), "title")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 

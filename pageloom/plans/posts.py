@@ -102,7 +102,7 @@ def misspelt(spark, d):
     """The page vocabulary's words of five characters and more with their third and fourth letters swapped, of ten and more with the last letter doubled."""
     w = S.vocabulary(v.v_pages(spark, d)).where("length(word) >= 5")
     swapped = F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.substring("word", 5, 1000))
-    return w.select(F.xxhash64("word").alias("query_id"), F.when(F.length("word") >= 10, F.concat("word", F.right("word", F.lit(1)))).otherwise(swapped).alias("query"))
+    return w.select(F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long").alias("query_id"), F.when(F.length("word") >= 10, F.concat("word", F.right("word", F.lit(1)))).otherwise(swapped).alias("query"))
 
 
 def did_you_mean(spark, d):
@@ -264,6 +264,26 @@ CLEAN_URL = rf"""regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') ||
 FACTS = f"""facts AS (SELECT 'h' || (k % 10) AS host, 'u' || k || '-' || (user_id % 9) AS url, event_id AS fact_id, CASE WHEN event_type = 'view' THEN 'summary' ELSE event_type END AS class, ts FROM (SELECT *, {v.K} AS k FROM events))"""
 BLOCKED = "blocked AS (SELECT DISTINCT user_id, domain AS host FROM v_clicks WHERE position > 15)"
 
+# Letters beyond ASCII become signs that no word has, as edits are counted in bytes here.
+ASCII = "translate({}, 'àáâãäåæçèéêëìíîïñòóôõöøùúûüýßÿ', '!\"#$%&()*+,-./:;<=>?@[]^`{{|}}~ ')"
+VOCABULARY = f"vocabulary AS (SELECT DISTINCT word FROM (SELECT unnest(list_concat({TOKENS.format('title')}, {TOKENS.format('left(content, 100)')})) AS word FROM v_pages) WHERE length(word) > 3)"
+GRAMS = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substring('__' || {0} || '__', i, 3)))"
+FOLDED = "replace(replace(replace(replace({}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
+SPELT = with_views("", "v_pages").rstrip() + ",\n" + VOCABULARY + f""",
+asked AS (SELECT CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS query_id, CASE WHEN length(word) >= 10 THEN word || right(word, 1) ELSE substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5) END AS q FROM vocabulary WHERE length(word) >= 5),
+a AS (SELECT query_id, q, len({GRAMS.format('q')}) AS n_q, unnest({GRAMS.format('q')}) AS g FROM asked WHERE q NOT IN (SELECT word FROM vocabulary)),
+b AS (SELECT word, len({GRAMS.format('word')}) AS n_w, unnest({GRAMS.format('word')}) AS g FROM vocabulary),
+common AS (SELECT query_id, q, word, floor(round(count(*) * CAST(200 AS DOUBLE) / (n_q + n_w), 6) + 0.5) AS dice, greatest(length(q), length(word)) AS longest FROM a JOIN b USING (g) GROUP BY query_id, q, word, n_q, n_w),
+raw AS (SELECT query_id, word, round(least(CAST(100 AS DOUBLE), floor(round((1 - CAST(levenshtein({ASCII.format('q')}, {ASCII.format('word')}) AS DOUBLE) / longest) * 100, 6) + 0.5) * CAST(0.7 AS DOUBLE) + dice * CAST(0.3 AS DOUBLE)
+    + CASE WHEN {FOLDED.format('q')} = {FOLDED.format('word')} THEN 5 ELSE 0 END + CASE WHEN left(q, 2) = left(word, 2) THEN 2 ELSE 0 END + CASE WHEN abs(length(q) - length(word)) <= 1 THEN 1 ELSE 0 END), 6) AS raw FROM common),
+spelt AS (SELECT query_id, word, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, word) AS rank FROM (SELECT query_id, word, CAST(floor(raw + 0.5) AS BIGINT) AS score FROM raw WHERE raw >= 60))"""
+SIMHASH_STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "]"
+HALVES = [f"CAST('0x' || substr(md5(w), {1 + 8 * k}, 8) AS BIGINT)" for k in (0, 1)]
+BITS = [f"sum(CASE WHEN ({HALVES[k]} >> {31 - b}) & 1 = 1 THEN 1 ELSE -1 END) > 0" for k in (0, 1) for b in range(32)]
+SIMHASH = f"""each AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-zäöüß0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 3 AND NOT list_contains({SIMHASH_STOP}, x))) AS w FROM documents WHERE length(text) >= {S.MIN_TEXT}),
+top AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, w) AS i FROM each GROUP BY 1, 2) WHERE i <= {S.TOP_WORDS}),
+prints AS (SELECT d.doc_id, coalesce(h, '0000000000000000') AS simhash_hex FROM documents d LEFT JOIN (SELECT doc_id, {' || '.join(f"format('{{:08x}}', CAST({' + '.join(f'CASE WHEN {BITS[32 * k + b]} THEN {1 << (31 - b)} ELSE 0 END' for b in range(32))} AS BIGINT))" for k in (0, 1))} AS h FROM top GROUP BY doc_id) USING (doc_id))"""
+
 QUERIES = {
     "text_spam": (text_spam, POSTS + SPAM + " SELECT id, spam_issues = '' AS spam_ok, spam_issues FROM spam"),
     "insults": (insults, POSTS + INSULTS + " SELECT id, insult_action, insult_category FROM insulted"),
@@ -279,13 +299,14 @@ QUERIES = {
     "suspicious_texts": (suspicious_texts, _posts(r"SELECT regexp_matches(body, '(?i)(union\s+select|drop\s+table|insert\s+into|delete\s+from|;\s*--|<script|javascript:|onerror\s*=)') AS suspicious, count(*) AS n FROM v_posts GROUP BY 1")),
     "semantic_hits": (semantic_hits, """SELECT id, pattern_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, pattern_id) AS i FROM (
       SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id)) WHERE i = 1 AND cosine > 0.3"""),
-    "word_simhash": (word_simhash, None),
-    "near_duplicates": (near_duplicates, None),
+    "word_simhash": (word_simhash, "WITH " + SIMHASH + " SELECT * FROM prints"),
+    "near_duplicates": (near_duplicates, "WITH " + SIMHASH + f""", n AS (SELECT doc_id, CAST('0x' || substr(simhash_hex, 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(simhash_hex, 9, 8) AS BIGINT) AS lo FROM prints WHERE simhash_hex <> '0000000000000000')
+      SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM n a JOIN n b ON b.doc_id < a.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {S.MAX_BITS} GROUP BY a.doc_id"""),
     "shingle_duplicates": (shingle_duplicates, None),
     "exact_repeats": (exact_repeats, POSTS + REPEATS + " SELECT * FROM repeats"),
     "vocabulary": (vocabulary, with_views(f"SELECT DISTINCT word FROM (SELECT unnest(list_concat({TOKENS.format('title')}, {TOKENS.format('left(content, 100)')})) AS word FROM v_pages) WHERE length(word) > 3", "v_pages")),
-    "did_you_mean": (did_you_mean, None),
-    "autocorrected": (autocorrected, None),
+    "did_you_mean": (did_you_mean, SPELT + " SELECT query_id, word, score, CAST(rank AS INT) AS rank FROM spelt WHERE rank <= 5"),
+    "autocorrected": (autocorrected, SPELT + " SELECT query_id, word FROM spelt WHERE rank = 1 AND score > 90"),
     "changed_documents": (changed_documents, with_views("SELECT url, now AS text_hash FROM (SELECT url, sha1(title || ' ' || title || ' ' || content) AS now, CASE page_id % 3 WHEN 1 THEN sha1(title || ' ' || title || ' ' || content) WHEN 2 THEN sha1(title || ' ' || title || ' old') END AS old FROM v_pages) WHERE now IS DISTINCT FROM old", "v_pages")),
     "url_keys": (url_keys, f"SELECT page_id, {URL_KEY} AS url_key, {CLEAN_URL}"),
     "recent_pages": (recent_pages, with_views(f"SELECT page_id, published_at FROM v_pages WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND language = 'en'", "v_pages")),
@@ -306,7 +327,9 @@ QUERIES = {
     "blocked_domains": (blocked_domains, with_views("", "v_clicks").rstrip() + ",\n" + BLOCKED + " SELECT host, count(DISTINCT user_id) AS n_users FROM blocked GROUP BY host ORDER BY n_users DESC, host LIMIT 20"),
     "paywall_domains": (paywall_domains, with_views("SELECT domain, count(*) AS n_reports FROM (SELECT DISTINCT domain, url, user_id FROM v_clicks) GROUP BY domain", "v_clicks")),
     "star_ratings": (star_ratings, with_views("SELECT domain, round(avg(id % 5 + 1), 1) AS mean_stars, count(*) AS n, count(*) FILTER (WHERE id % 3 > 0) AS n_approved FROM v_clicks GROUP BY domain", "v_clicks")),
-    "autocompletions": (autocompletions, None),
+    "autocompletions": (autocompletions, with_views(r"""SELECT query_id, title, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(title), title) AS rank FROM (
+      SELECT query_id, title, CASE WHEN t = query THEN 100 WHEN starts_with(t, query) THEN 90 WHEN len(list_filter(string_split_regex(t, '\s+'), lambda w: starts_with(w, query))) > 0 THEN 80 ELSE 60 END AS score
+      FROM v_queries JOIN (SELECT DISTINCT title, trim(lower(title)) AS t FROM v_pages WHERE title <> '') ON contains(t, query))) WHERE rank <= 8""", "v_pages", "v_queries")),
     "title_matches": (title_matches, K.SEARCH + ",\n" + G.TRUST + """ SELECT query_id, page_id, CAST(rank AS INT) AS rank FROM (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY trust_score DESC, page_id) AS rank FROM (
       SELECT query_id, page_id FROM (SELECT query_id, len(list_distinct(terms)) AS need, unnest(list_distinct(terms)) AS term FROM terms) JOIN idx USING (term) WHERE n_title > 0 GROUP BY query_id, page_id, need HAVING count(*) = need) JOIN trust USING (page_id)) WHERE rank <= 5"""),
     "top_facts": (top_facts, "WITH " + FACTS + """, u AS (SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY max(ts) DESC NULLS LAST, url) AS u FROM facts GROUP BY host, url) WHERE u <= 10),

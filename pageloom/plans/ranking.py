@@ -228,7 +228,17 @@ QUERIES = {
     "keyword_filtered": (keyword_filtered, SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + " SELECT * FROM filtered"),
     "relevance_scores": (relevance_scores, SEARCH + ",\n" + RELEVANCE + " SELECT * FROM rel"),
     "quality_signals": (quality_signals, RANKED + f" SELECT query_id, page_id, {', '.join(f's_{n}' for n in R.SIGNALS)}, round(quality, 6) AS quality FROM ranked"),
-    "final_ranking": (final_ranking, None),
+    "final_ranking": (final_ranking, RANKED.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + BRANDS + r""",
+      walled AS (SELECT DISTINCT domain AS wd FROM v_pages WHERE page_id % 20 = 7),
+      boosted AS (SELECT r.* EXCLUDE (rank, final_score), brand, CASE WHEN brand IS NOT NULL AND regexp_matches(url, '^https?://[^/?#]+(/?)(?:[?#].*)?$') THEN least(100, final_score + 20) ELSE final_score END AS f FROM ranked r JOIN brands USING (query_id)),
+      walked AS (SELECT b.*, CASE WHEN has_paywall OR wd IS NOT NULL THEN greatest(0, f - 12) ELSE f END AS score FROM boosted b LEFT JOIN walled ON wd = domain),
+      line AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS i, CASE intent WHEN 'NEWS' THEN 10 WHEN 'COMMERCIAL' THEN 2 WHEN 'INFORMATIONAL' THEN 2 ELSE 3 END AS top, CASE intent WHEN 'NEWS' THEN 20 WHEN 'COMMERCIAL' THEN 3 WHEN 'INFORMATIONAL' THEN 4 ELSE 5 END AS most FROM walked),
+      pass AS (SELECT query_id, i, page_id, true AS keep, [family] AS kept FROM line WHERE i = 1
+        UNION ALL SELECT query_id, i, page_id, ok, CASE WHEN ok THEN list_append(kept, family) ELSE kept END
+        FROM (SELECT l.query_id, l.i, l.page_id, l.family, p.kept, l.brand IS NOT NULL OR NOT ((len(p.kept) < 10 AND len(list_filter(p.kept, lambda x: x = l.family)) >= l.top) OR len(list_filter(p.kept, lambda x: x = l.family)) >= l.most) AS ok FROM pass p JOIN line l ON l.query_id = p.query_id AND l.i = p.i + 1)),
+      placed AS (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY l.i) AS rank FROM line l JOIN pass p USING (query_id, page_id) WHERE keep),
+      counted AS (SELECT *, count(*) FILTER (WHERE score >= 35) OVER (PARTITION BY query_id) AS n FROM placed)
+      SELECT query_id, page_id, url, score AS final_score, CAST(rank AS INT) AS rank, rank = 1 AND score > 65 AND trust_score > 70 AS best_match FROM counted WHERE n < 3 OR score >= 35"""),
     "result_diversity": (diversity, RANKED + """, tops AS (SELECT query_id, count(*) AS n_families, CAST(sum(c) AS DOUBLE) AS n, CAST(sum(c * c) AS DOUBLE) AS sq FROM (SELECT query_id, family, count(*) AS c FROM ranked WHERE rank <= 10 GROUP BY 1, 2) GROUP BY 1),
       herf AS (SELECT query_id, n_families, least(CAST(1 AS DOUBLE), (sq / (n * n) - CAST(1 AS DOUBLE) / n) / (CAST(1 AS DOUBLE) - CAST(1 AS DOUBLE) / n + CAST(0.0001 AS DOUBLE))) AS s FROM tops),
       dom AS (SELECT query_id, sum(c) >= 5 AND max(c) >= CAST(0.7 AS DOUBLE) * sum(c) AS dominated FROM (SELECT query_id, family, count(*) AS c FROM ranked WHERE rank <= 20 GROUP BY 1, 2) GROUP BY 1)
