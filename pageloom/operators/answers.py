@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.columns import tokens
+
 #: Stated queries that tasks hold at a time where every row is tried on each of them.
 QUERY_BLOCK = 1_000
 
@@ -153,3 +155,56 @@ def product_search(queries: DataFrame, products: DataFrame, pages: DataFrame, n:
     found = in_turns(own, q, "query_id", score.isNotNull()).withColumn("score", score)
     best = first_n(found, ["query_id"], [F.desc("score"), F.col("rating_count").desc_nulls_last(), "product_id"], n)
     return best.select("query_id", "product_id", F.coalesce("url", "page_url").alias("url"), F.replace(F.coalesce("image", "page_image"), F.lit("http://"), F.lit("https://")).alias("image"), "score", "rank")
+
+
+# Endings that a word is cut at where three letters stay; a text's rank counts its words by 1 / k^2, scaled by the sum of all such.
+ENDINGS, RANK_SCALE, RANK_WEIGHT, LEAST_RANK = "ern|em|en|er|es|e|s|n", 1.64493406685, 0.1, 0.01
+# Questions that say nothing, their lengths, and how real ones begin.
+EMPTY_QUESTIONS, QUESTION_LENGTHS = ("was ist bekannt", "was sind aktuelle"), (10, 200)
+ASKS = r"^(was|wie|wer|warum|wo|wann|welche|kann|ist|gibt|haben|sollte|darf|muss|kostet|dauert)"
+
+
+def stems(text: Column) -> Column:
+    """Words of a text in order, cut at their ending, without stop words."""
+    words = F.filter(tokens(text), lambda w: ~w.isin(QUESTION_STOP_WORDS))
+    return F.transform(words, lambda w: F.regexp_replace(w, f"^(.{{3,}}?)({ENDINGS})$", "$1"))
+
+
+def qa_fulltext(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, answer_id, rank): of the answers that have all stems of a query in question or answer, the one of most rank (ties by id). A stem's n occurrences give 1 + 1/4 + ... + 1/n^2; the mean over the query's stems is scaled to 0.1 at most.
+
+    Answers are found by the query's rarest stem, so common ones open no long lists; the others are joined by answer and stem.
+    """
+    text = F.concat_ws(" ", "question", "answer")
+    index = answers.select("answer_id", F.explode(stems(text)).alias("stem")).groupBy("answer_id", "stem").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", F.array_distinct(stems(F.col("query"))).alias("ss")).select("query_id", F.size("ss").alias("need"), F.explode("ss").alias("stem"))
+    often = index.groupBy("stem").agg(F.count("*").alias("df"))
+    rarest = asked.join(often, "stem", "left").groupBy("query_id").agg(F.min_by("stem", F.struct(F.coalesce("df", F.lit(0)), "stem")).alias("stem"))
+    found = rarest.join(index, "stem").select("query_id", "answer_id")
+    hits = found.join(asked, "query_id").join(index, ["answer_id", "stem"])
+    parts = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(1000)).cast("int")), F.lit(0.0), lambda s, k: s + F.lit(RANK_WEIGHT) / (k * k))
+    ranks = hits.groupBy("query_id", "answer_id", "need").agg(F.count("*").alias("n"), F.round(F.sum(parts) / RANK_SCALE / F.col("need"), 6).alias("value")).where((F.col("n") == F.col("need")) & (F.col("value") > LEAST_RANK))
+    return first_n(ranks.drop("n"), ["query_id"], [F.desc("value"), "answer_id"], 1).select("query_id", "answer_id", F.col("value").alias("rank"))
+
+
+def faq_search(queries: DataFrame, faq: DataFrame, synonyms: DataFrame, n: int = 20, most_terms: int = 10) -> DataFrame:
+    """(query_id, faq_id, place): questions (faq_id, question, answer, topic, source, trust, created) with one of the query's first ten terms, or of their synonyms, in one of three texts, in any case.
+
+    Questions that hold the first term come first, then the trusted, then the new; of the best n those that look like questions stay, each once by its first 80 characters. General sources must hold the first term in question or answer. synonyms has terms, an array a group.
+    """
+    words = F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda w: F.length(w) > 2)
+    q = queries.select("query_id", F.array_distinct(words).alias("terms")).where(F.size("terms") > 0)
+    groups = synonyms.select(F.explode("terms").alias("term"), F.col("terms").alias("__g"))
+    more = q.select("query_id", F.explode("terms").alias("term")).join(groups, "term").groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__g")))).alias("more"))
+    q = q.join(more, "query_id", "left").select("query_id", F.element_at("terms", 1).alias("first"), F.slice(F.array_union("terms", F.coalesce("more", F.array().cast("array<string>"))), 1, most_terms).alias("terms"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    f = faq.where(F.length("question").between(*QUESTION_LENGTHS)).select("faq_id", low("question").alias("lq"), low("answer").alias("la"), low("topic").alias("lt"), "source", "trust", "created")
+    for start in EMPTY_QUESTIONS:
+        f = f.where(~F.col("lq").startswith(start))
+    has = F.exists("terms", lambda t: F.contains("lq", t) | F.contains("la", t) | F.contains("lt", t))
+    direct = F.contains("lq", F.col("first"))
+    vague = F.coalesce(F.col("source") == "general", F.lit(False)) & ~(direct | F.contains("la", F.col("first")))
+    found = in_turns(f, q, "query_id", has & ~vague)
+    best = first_n(found.withColumn("direct", direct), ["query_id"], [F.desc("direct"), F.desc_nulls_last("trust"), F.desc("created"), "faq_id"], n)
+    once = first_n(best.withColumnRenamed("rank", "place").withColumn("key", F.left(F.trim("lq"), F.lit(80))), ["query_id", "key"], ["place"], 1)
+    return once.where(F.contains("lq", F.lit("?")) | F.trim("lq").rlike(ASKS)).select("query_id", "faq_id", "place")

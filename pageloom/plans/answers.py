@@ -76,6 +76,21 @@ def questions(spark, d):
     return v.v_queries(spark, d).unionByName(own)
 
 
+def qa_fulltext(spark, d):
+    """The first three words of every conversation, looked up in all questions and answers."""
+    return A.qa_fulltext(v.v_asked(spark, d).select("query_id", F.substring_index("query", " ", 3).alias("query")), answers(spark, d))
+
+
+def faq(spark, d):
+    """Questions of users and their answers; source, trust and age follow the id."""
+    k = F.col("answer_id")
+    return answers(spark, d).select(k.alias("faq_id"), F.concat("question", F.when(k % 3 > 0, "?").otherwise("")).alias("question"), "answer", F.substring_index("question", " ", 1).alias("topic"), F.when(k % 4 == 0, "general").otherwise("site").alias("source"), F.nullif(k % 7, F.lit(0)).alias("trust"), (k % 50).alias("created"))
+
+
+def faq_search(spark, d):
+    return A.faq_search(questions(spark, d), faq(spark, d), K.synonyms(spark))
+
+
 def qa_lookup(spark, d):
     return A.qa_lookup(questions(spark, d), answers(spark, d))
 
@@ -379,7 +394,30 @@ def _v(sql: str, *names: str) -> str:
     return with_views(sql, *names)
 
 
+ANSWERS = with_views("", "v_asked", "v_queries").rstrip() + """,
+a AS (SELECT query_id AS answer_id, query AS question, answer FROM v_asked JOIN (SELECT conv_id AS query_id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY 1) USING (query_id))"""
+STEMS = f"list_transform(list_filter({K.TOKENS}, lambda w: NOT list_contains({_list(A.QUESTION_STOP_WORDS)}, w)), lambda w: regexp_replace(w, '^(.{{{{3,}}}}?)({A.ENDINGS})$', '\\1'))"
+FULLTEXT = ANSWERS + f""",
+idx AS (SELECT answer_id, stem, count(*) AS n FROM (SELECT answer_id, unnest({STEMS.format("concat_ws(' ', question, answer)")}) AS stem FROM a) GROUP BY 1, 2),
+q AS (SELECT query_id, list_distinct({STEMS.format("array_to_string(string_split(query, ' ')[1:3], ' ')")}) AS ss FROM v_asked),
+ranks AS (SELECT query_id, answer_id, round(sum(list_sum(list_transform(range(1, least(n, 1000) + 1), lambda k: CAST({A.RANK_WEIGHT} AS DOUBLE) / (k * k)))) / CAST({A.RANK_SCALE} AS DOUBLE) / len(any_value(ss)), 6) AS rank
+  FROM (SELECT query_id, ss, unnest(ss) AS stem FROM q) JOIN idx USING (stem) GROUP BY query_id, answer_id HAVING count(*) = len(any_value(ss)))
+SELECT query_id, answer_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, answer_id) AS i FROM ranks WHERE rank > {A.LEAST_RANK}) WHERE i = 1"""
+FAQ = ANSWERS + f""", {K.SYN},
+asking AS (SELECT query_id, query FROM v_queries UNION ALL SELECT answer_id + 1000, question FROM a WHERE answer_id % 100 = 0),
+faq AS (SELECT answer_id AS faq_id, question || CASE WHEN answer_id % 3 > 0 THEN '?' ELSE '' END AS lq, lower(answer) AS la, string_split(question, ' ')[1] AS lt, answer_id % 4 = 0 AS general, nullif(answer_id % 7, 0) AS trust, answer_id % 50 AS created FROM a),
+own AS (SELECT query_id, list_filter({WORDS.format('query')}, lambda w: length(w) > 2) AS ts FROM asking),
+more AS (SELECT query_id, list_sort(list_distinct(flatten(list(g)))) AS m FROM (SELECT query_id, unnest(ts) AS t FROM own) JOIN syn ON list_contains(g, t) GROUP BY 1),
+full_ AS (SELECT query_id, list_reduce(list_concat(ts, coalesce(m, [])), lambda s, x: CASE WHEN list_contains(s, x) THEN s ELSE list_append(s, x) END, CAST([] AS VARCHAR[]))[1:10] AS ts FROM own LEFT JOIN more USING (query_id) WHERE len(ts) > 0),
+found AS (SELECT query_id, f.*, contains(lq, ts[1]) AS direct FROM faq f JOIN full_ ON length(lq) BETWEEN 10 AND 200 AND NOT starts_with(lq, 'was ist bekannt') AND NOT starts_with(lq, 'was sind aktuelle')
+  AND len(list_filter(ts, lambda t: contains(lq, t) OR contains(la, t) OR contains(lt, t))) > 0 AND NOT (general AND NOT (contains(lq, ts[1]) OR contains(la, ts[1])))),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY direct DESC, trust DESC NULLS LAST, created DESC, faq_id) AS place FROM found),
+once AS (SELECT *, row_number() OVER (PARTITION BY query_id, left(trim(lq), 80) ORDER BY place) AS u FROM best WHERE place <= 20)
+SELECT query_id, faq_id, CAST(place AS INT) AS place FROM once WHERE u = 1 AND (contains(lq, '?') OR regexp_matches(trim(lq), '{A.ASKS}'))"""
+
 QUERIES = {
+    "qa_fulltext": (qa_fulltext, FULLTEXT),
+    "faq_search": (faq_search, FAQ),
     "keyword_lookup": (keyword_lookup, "WITH " + KEYWORDS + " SELECT query_id, keyword, category, score, CAST(i AS INT) AS rank FROM (SELECT query_id, keyword, category, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, keyword) AS i FROM wanted JOIN kw ON contains(lower(keyword), lower(query))) WHERE i <= 10"),
     "keyword_intents": (keyword_intents, "WITH " + KEYWORD_INTENTS + " SELECT * FROM chosen"),
     "resolved_intents": (resolved_intents, "WITH " + KEYWORD_INTENTS + f" SELECT query_id, intent, coalesce(intent_override, intent) AS resolved FROM (SELECT query_id, {K.INTENT} AS intent FROM wanted) LEFT JOIN chosen USING (query_id)"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import page_scores as P
 from pageloom.operators.lists import reputation
+from pageloom.operators import reliability
 from pageloom.operators.reliability import score_reliability
 from pageloom.sources import views as v
 from pageloom.sources.html import COUNTS, FEATURES_SQL, FLAGS, RATIOS, extract_page_features
@@ -151,8 +152,23 @@ AFFILIATE = """SELECT page_id, CASE WHEN n = 0 THEN 0 WHEN n >= 20 OR t > 2.0 TH
           CASE WHEN ad_count = 0 AND popup_count = 0 AND video_ad_count = 0 AND n = 0 AND NOT has_paywall THEN 5 WHEN ad_count <= 1 AND popup_count = 0 AND video_ad_count = 0 THEN 2 ELSE 0 END AS ad_free_bonus
         FROM (SELECT *, affiliate_link_count AS n, CAST(affiliate_link_count AS DOUBLE) / greatest(1, word_count) * 100 AS t FROM v_pages)"""
 
+TRUSTED = "(" + ", ".join(f"'{x}'" for x in reliability.TRUSTED) + ")"
+RELIABILITY = (with_views("", "v_pages", "v_domain_votes").rstrip() + ",\n" + TRUST + rf""",
+rep AS (SELECT coalesce(t.domain, d.domain) AS target, trust, coalesce(positive, 0) AS pos, coalesce(negative, 0) AS neg FROM (SELECT domain, round(avg(CAST(trust_score AS DOUBLE)), 4) AS trust FROM trust GROUP BY 1) t FULL JOIN v_domain_votes d ON t.domain = d.domain),
+linked AS (SELECT p.page_id, p.domain, i, CASE WHEN (p.page_id + i) % 5 = 0 THEN 'https://en.wikipedia.org/x' ELSE t.url END AS u FROM v_pages p CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) JOIN v_pages t ON t.page_id = (p.page_id * 7 + i * 13 + 1) % (SELECT count(*) FROM pages)),
+hosts AS (SELECT page_id, domain, nullif(regexp_replace(lower(regexp_extract(u, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '') AS target, min(i) AS i FROM linked GROUP BY 1, 2, 3),
+judged AS (SELECT *, pos + neg AS total, CASE WHEN pos + neg >= 5 THEN CAST(neg AS DOUBLE) / (pos + neg) END AS dislike, CASE WHEN pos + neg > 0 THEN CAST(pos AS DOUBLE) / (pos + neg) END AS liking, target IN {TRUSTED} OR regexp_extract(target, '([^.]+\.[^.]+)$', 1) IN {TRUSTED} AS trusted
+  FROM hosts LEFT JOIN rep USING (target) WHERE target IS NOT NULL AND target IS DISTINCT FROM domain),
+line AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k, trusted, CASE WHEN regexp_matches(target, '{reliability.FARM}') THEN 5 ELSE 0 END + CASE WHEN dislike >= 0.9 THEN 8 WHEN dislike >= 0.8 THEN 6 WHEN dislike >= 0.6 THEN 3 WHEN dislike >= 0.45 THEN 1 ELSE 0 END
+    + CASE WHEN trust < 10 THEN 10 WHEN trust < 20 THEN 8 WHEN trust < 30 THEN 5 WHEN trust < 40 THEN 3 ELSE 0 END AS cost, coalesce(dislike < 0.45 AND liking >= 0.85 AND total >= 20, false) AS liked, coalesce(trust >= 80, false) AS high FROM judged),
+walk AS (SELECT page_id, 0 AS k, 0 AS found, 0 AS cost, CAST(0 AS DOUBLE) AS bonus FROM v_pages
+  UNION ALL SELECT page_id, k, n + CAST(h AS INT), cost, bonus + CASE WHEN t THEN 1.5 WHEN l THEN 1.0 ELSE 0 END + CASE WHEN h THEN 0.5 ELSE 0 END FROM (SELECT *, NOT t AND high AND n < 4 AS h FROM (SELECT *, found + CAST(t OR l AS INT) AS n FROM (
+    SELECT w.page_id, x.k, w.found, w.bonus, x.high, x.trusted AND w.found < 4 AS t, NOT (x.trusted AND w.found < 4) AND x.liked AND w.found < 4 AS l, w.cost + CASE WHEN x.trusted AND w.found < 4 THEN 0 ELSE x.cost END AS cost FROM walk w JOIN line x ON x.page_id = w.page_id AND x.k = w.k + 1)))),
+ended AS (SELECT page_id, least(35, arg_max(cost, k)) AS p, least(CAST(8 AS DOUBLE), floor(arg_max(bonus, k) * 10 + 0.5) / 10) AS b FROM walk GROUP BY 1)
+SELECT page_id, p AS reliability_penalty, b AS reliability_bonus, b - p AS reliability_net FROM ended""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 QUERIES = {
-    "source_reliability": (source_reliability, None),
+    "source_reliability": (source_reliability, RELIABILITY),
     "page_features": (page_features, with_views("SELECT page_id, url, domain, title, language, word_count, secure, published_at, md5(content) AS content_md5 FROM v_pages", "v_pages")),
     "html_features": (html_features, FEATURES_SQL),
     "trust_scores": (trust_scores, SCORED + "SELECT page_id, trust_score, trust_level, CASE WHEN trust_score >= 80 THEN 'very trustworthy' WHEN trust_score >= 60 THEN 'trustworthy' WHEN trust_score >= 40 THEN 'check' WHEN trust_score >= 20 THEN 'doubtful' ELSE 'not trustworthy' END AS badge FROM trust"),
