@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.functions.columns import half_up, tokens
 from pageloom.functions.tables import materialised
@@ -11,6 +15,7 @@ from pageloom.functions.tables import materialised
 # Words that fingerprints leave out.
 STOP_WORDS = "der die das ein eine und oder ist sind hat war für mit von auf bei den dem the a an and or is are was for with".split()
 TOP_WORDS, MIN_TEXT, MAX_BITS = 128, 200, 6
+MIN_EMBEDDED = 50
 SHINGLE, MIN_SHINGLE_TEXT, MIN_JACCARD = 4, 40, 0.65
 
 
@@ -155,6 +160,17 @@ def changed_documents(pages: DataFrame, known: DataFrame) -> DataFrame:
     return now.join(old, "url", "left").where(~F.col("text_hash").eqNullSafe(F.col("old_hash"))).select("url", "text_hash")
 
 
+def embed(pages: DataFrame, encode: Callable[[list[str]], list[list[float]]], id_col: str = "url", text: str = "content") -> DataFrame:
+    """(id, embedding) of the texts of more than 50 characters: encode is the caller's model, called in tasks on a batch of texts at a time; it gives one vector a text. Null and shorter texts have no row."""
+    rows = pages.where(F.length(text) > MIN_EMBEDDED).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "embedding": encode(b["text"].tolist()) if len(b) else []})
+
+    return rows.mapInPandas(work, T.StructType([rows.schema["id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])).withColumnRenamed("id", id_col)
+
+
 def url_key(url: Column) -> Column:
     """Host without www. and path, in lower case, without a slash at the end."""
     parts = F.regexp_replace(F.regexp_replace(F.lower(url), r"^https?://(www\.)?", ""), r"[?#].*$", "")

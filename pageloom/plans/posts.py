@@ -119,6 +119,17 @@ def changed_documents(spark, d):
     return S.changed_documents(pages, known)
 
 
+def letter_shares(texts: list[str]) -> list[list[float]]:
+    """A small stand-in for a model: the shares of three letters."""
+    return [[t.count(c) / len(t) for c in "ens"] for t in texts]
+
+
+def embedded_pages(spark, d):
+    """Vectors of the pages that changed_documents names."""
+    new = changed_documents(spark, d).join(v.v_pages(spark, d).select("page_id", "url", "content"), "url")
+    return S.embed(new, letter_shares, "page_id").select("page_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("shares")).select("page_id", *(F.get("shares", i).alias(f"share_{c}") for i, c in enumerate("ens")))
+
+
 def url_keys(spark, d):
     return v.read(spark, d, "pages").select("page_id", S.url_key(F.col("url")).alias("url_key"), L.clean_url(F.col("url")).alias("clean_url"))
 
@@ -257,6 +268,7 @@ HITS = PATTERNS + """, hits AS (SELECT id, pattern_id, action, category FROM (SE
 REPORTS = f"""reports AS (SELECT event_id AS report_id, 'item' AS kind, k * 3 AS target_id, ['spam', 'insult', 'illegal', 'wrong', 'other', 'nonsense'][CAST(event_id % 6 + 1 AS INT)] AS reason, ts AS created_at FROM (SELECT *, {v.K} AS k FROM events)),
 taken AS (SELECT *, created_at + INTERVAL 1 YEAR AS ip_deadline FROM reports WHERE reason <> 'nonsense' AND target_id IN (SELECT id FROM v_posts WHERE kind = 'item'))"""
 CLEAN_KEY = "md5(array_to_string(" + TOKENS.format("body") + ", ' '))"
+CHANGED = "SELECT url, now AS text_hash FROM (SELECT url, sha1(title || ' ' || title || ' ' || content) AS now, CASE page_id % 3 WHEN 1 THEN sha1(title || ' ' || title || ' ' || content) WHEN 2 THEN sha1(title || ' ' || title || ' old') END AS old FROM v_pages) WHERE now IS DISTINCT FROM old"
 REPEATS = f"repeats AS (SELECT id, original_id FROM (SELECT id, min(id) OVER (PARTITION BY scope, {CLEAN_KEY}) AS original_id FROM v_posts WHERE length(body) >= 40) WHERE id > original_id)"
 URL_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', ''), '/+$', '')"
 NAMES = "[" + ", ".join(f"'{n}'" for n in L.TRACKING_NAMES) + "]"
@@ -302,12 +314,16 @@ QUERIES = {
     "word_simhash": (word_simhash, "WITH " + SIMHASH + " SELECT * FROM prints"),
     "near_duplicates": (near_duplicates, "WITH " + SIMHASH + f""", n AS (SELECT doc_id, CAST('0x' || substr(simhash_hex, 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(simhash_hex, 9, 8) AS BIGINT) AS lo FROM prints WHERE simhash_hex <> '0000000000000000')
       SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM n a JOIN n b ON b.doc_id < a.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {S.MAX_BITS} GROUP BY a.doc_id"""),
-    "shingle_duplicates": (shingle_duplicates, None),
+    "shingle_duplicates": (shingle_duplicates, POSTS + f"""classes AS (SELECT scope, min(id) AS id, arg_min(body, id) AS body FROM v_posts WHERE length(body) >= 40 GROUP BY scope, {CLEAN_KEY}),
+      cut AS (SELECT scope, id, {TOKENS.format('body')} AS ws FROM classes), sets AS (SELECT scope, id, list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) AS ss FROM cut WHERE len(ws) >= 4),
+      each AS (SELECT scope, id, len(ss) AS n, unnest(ss) AS s FROM sets), pairs AS (SELECT a.scope, a.id AS id_a, b.id AS id_b, CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) AS j FROM each a JOIN each b ON a.scope = b.scope AND a.s = b.s AND a.id < b.id GROUP BY a.scope, a.id, b.id, a.n, b.n)
+      SELECT scope, id_a, id_b, round(j, 4) AS similarity FROM pairs WHERE j >= {S.MIN_JACCARD}"""),
     "exact_repeats": (exact_repeats, POSTS + REPEATS + " SELECT * FROM repeats"),
     "vocabulary": (vocabulary, with_views(f"SELECT DISTINCT word FROM (SELECT unnest(list_concat({TOKENS.format('title')}, {TOKENS.format('left(content, 100)')})) AS word FROM v_pages) WHERE length(word) > 3", "v_pages")),
     "did_you_mean": (did_you_mean, SPELT + " SELECT query_id, word, score, CAST(rank AS INT) AS rank FROM spelt WHERE rank <= 5"),
     "autocorrected": (autocorrected, SPELT + " SELECT query_id, word FROM spelt WHERE rank = 1 AND score > 90"),
-    "changed_documents": (changed_documents, with_views("SELECT url, now AS text_hash FROM (SELECT url, sha1(title || ' ' || title || ' ' || content) AS now, CASE page_id % 3 WHEN 1 THEN sha1(title || ' ' || title || ' ' || content) WHEN 2 THEN sha1(title || ' ' || title || ' old') END AS old FROM v_pages) WHERE now IS DISTINCT FROM old", "v_pages")),
+    "changed_documents": (changed_documents, with_views(CHANGED, "v_pages")),
+    "embedded_pages": (embedded_pages, with_views("SELECT page_id, " + ", ".join(f"round(CAST(CAST((length(content) - length(replace(content, '{c}', ''))) / CAST(length(content) AS DOUBLE) AS FLOAT) AS DOUBLE), 4) AS share_{c}" for c in "ens") + f" FROM v_pages WHERE length(content) > {S.MIN_EMBEDDED} AND url IN (SELECT url FROM ({CHANGED}))", "v_pages")),
     "url_keys": (url_keys, f"SELECT page_id, {URL_KEY} AS url_key, {CLEAN_URL}"),
     "recent_pages": (recent_pages, with_views(f"SELECT page_id, published_at FROM v_pages WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND language = 'en'", "v_pages")),
     "tab_counts": (tab_counts, with_views("SELECT tab, count(*) AS n FROM (SELECT 'images' AS tab FROM v_pages WHERE length(image) > 0 UNION ALL SELECT 'videos' FROM v_pages WHERE video_count > 0 UNION ALL SELECT 'news' FROM v_pages WHERE category = 'news') GROUP BY tab", "v_pages")),

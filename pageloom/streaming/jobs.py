@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageloom.operators import behaviour, moderation
+from pageloom.operators import behaviour, moderation, votes
 
 # Requests of a key that a tumbling window allows, and its seconds.
 LIMITS = {"search": (60, 60), "global": (1000, 900), "login": (5, 900), "vote": (20, 600)}
@@ -77,6 +77,60 @@ def message_limit_batch(messages: DataFrame, most: int = MESSAGES, seconds: int
     return folded.select("key", F.inline(F.aggregate("ms", start, step, lambda a: a["out"])))
 
 
+def _vote_bursts(most: int, seconds: int):
+    """State of a user: times, in seconds, of the accepted votes of late."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches))
+        rows = rows.assign(t=rows["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000).sort_values(["t", "id"])
+        accepted = []
+        for t in rows["t"]:
+            kept = [k for k in kept if k >= t - seconds]
+            accepted.append(len(kept) < most)
+            if accepted[-1]:
+                kept.append(int(t))
+        state.update((kept,))
+        state.setTimeoutTimestamp(max(max(kept, default=0) * 1_000 + seconds * 1_000, state.getCurrentWatermarkMs()) + 1_000)
+        yield pd.DataFrame({"user_id": key[0], "id": rows["id"].to_numpy(), "accepted": accepted})
+
+    return step
+
+
+def vote_bursts(ballots: DataFrame, most: int = votes.BURST_VOTES, seconds: int = votes.BURST_SECONDS, late: str = "1 minute") -> DataFrame:
+    """(user_id, id, accepted) of votes (user_id, id, created_at): a vote is rejected when most accepted ones of its user lie in the seconds before. A user's state goes once the watermark has passed it. votes.accept_votes is the batch form; votes that come late within a user are judged after those of earlier batches."""
+    rows = ballots.select("user_id", "id", "created_at").withWatermark("created_at", late)
+    return rows.groupBy("user_id").applyInPandasWithState(_vote_bursts(most, seconds), "user_id long, id long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _ban_tiers(limits: tuple):
+    """State of an address: the times, in seconds, of its newest violations, no more than a limit asks for, and their number so far. The number has no end, so the state stays."""
+    hour_limit, day_limit, all_limit = limits
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, so_far = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        tiers = []
+        for t in rows["ts"].astype("datetime64[us]").astype("int64") // 1_000_000:
+            newest, so_far = [*newest, int(t)][-max(hour_limit, day_limit) :], so_far + 1
+            within = lambda n, s: len(newest) >= n and newest[-n] >= t - s  # noqa: B023, E731
+            tiers.append(3 if so_far >= all_limit else 2 if within(day_limit, 86_400) else 1 if within(hour_limit, 3_600) else 0)
+        state.update((newest, so_far))
+        yield pd.DataFrame({"ip": key[0], "id": rows["id"].to_numpy(), "ts": rows["ts"].to_numpy(), "tier": tiers})
+
+    return step
+
+
+def ban_tiers(violations: DataFrame, limits: tuple = (3, 5, 10)) -> DataFrame:
+    """(ip, id, tier, until) of violations (ip, id, ts) as votes.ban_tiers has them, but violations of the same second count from the one before on."""
+    out = violations.select("ip", "id", "ts").groupBy("ip").applyInPandasWithState(_ban_tiers(limits), "ip string, id long, ts timestamp, tier int", "newest array<long>, so_far long", "append", GroupStateTimeout.NoTimeout)
+    hours = F.element_at(F.array(*map(F.lit, (1, 24, 168))), F.col("tier"))
+    return out.select("ip", "id", "tier", F.when(F.col("tier") > 0, F.timestamp_add("HOUR", hours, F.col("ts"))).alias("until"))
+
+
 def close_clicks(clicks: DataFrame, returns: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(id, dwell_ms, quality): clicks closed by a return that names them within half an hour; returns has click_id, ts and dwell_ms."""
     c = clicks.select("id", F.col("clicked_at").alias("at")).withWatermark("at", late)

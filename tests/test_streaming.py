@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pageloom.operators import links
+from pageloom.operators import links, moderation, votes
 from pageloom.sources import views as v
 from pageloom.streaming import jobs
 from tests.conftest import DATA
@@ -49,3 +49,23 @@ def test_joins_equal_batch(spark, tmp_path):
 def test_rate_limits(spark):
     rows = spark.createDataFrame([("a", i) for i in range(61)] + [("b", i) for i in range(60)], "key string, n int").withColumn("ts", F.timestamp_seconds(F.col("n") % 60))
     assert [(r.key, r.n) for r in jobs.rate_limits(rows, "search").collect()] == [("a", 61)]
+
+
+def test_vote_bursts_equal_the_batch_fold(spark, tmp_path):
+    rows = v.v_user_votes(spark, SF).select((F.col("user_id") % 6).alias("user_id"), "id", "created_at")
+    want = sorted(map(tuple, votes.accept_votes(rows, 2, 7200).collect()), key=repr)
+    assert drained(jobs.vote_bursts(streamed(spark, rows, tmp_path, "ballots"), 2, 7200), "bursts", tmp_path) == want and {a for *_, a in want} == {True, False}
+
+
+def test_ban_tiers_equal_the_batch_windows(spark, tmp_path):
+    times = [0, 100, 200, 5000, 5100, 5200, 90_000, 200_000, 200_010, 200_020, 900_000, 1_900_000]
+    rows = spark.createDataFrame([(ip, i, t + j) for j, ip in enumerate("ab") for i, t in enumerate(times[: 12 - 3 * j])], "ip string, id long, t long").select("ip", "id", F.timestamp_seconds("t").alias("ts"))
+    want = sorted(map(tuple, votes.ban_tiers(rows).select("ip", "id", "tier", "until").collect()), key=repr)
+    assert drained(jobs.ban_tiers(streamed(spark, rows, tmp_path, "violations")), "bans", tmp_path) == want and {r[2] for r in want} == {0, 1, 2, 3}
+
+
+def test_moderation_stream_equals_batch(spark, tmp_path):
+    posts = v.v_posts(spark, SF)
+    columns = ("id", "insult_action", "insult_category", "spam_issues")
+    want = sorted(map(tuple, moderation.insult_check(moderation.text_spam(posts)).select(*columns).collect()), key=repr)
+    assert drained(jobs.moderate(streamed(spark, posts, tmp_path, "posts")).select(*columns), "moderated", tmp_path) == want
