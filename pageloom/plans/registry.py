@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.plans import answers, behaviour, pages, posts, ranking
+from pageloom.plans import answers, behaviour, pages, posts, ranking, writes
 
-MODULES = (pages, behaviour, ranking, posts, answers)
+MODULES = (pages, behaviour, ranking, posts, answers, writes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pageloom.operators import behaviour, links, lists, moderation, page_scores, ranking, reliability, similarity, trends, votes
+from pageloom.sources import sinks
 from pageloom.sources.html import extract_page_features
 
 T0 = datetime(2024, 1, 1)
@@ -207,3 +208,16 @@ def test_page_features_of_html(spark):
     assert (r.image_count, r.video_count, r.has_table, r.has_steps, r.heading_count, r.link_count, r.internal_links, r.affiliate_link_count, r.ad_count) == (2, 1, True, True, 1, 3, 1, 1, 1)
     assert (r.mobile_friendly, r.has_paywall, r.outbound_links, r.content) == (True, True, ["https://other.org/x", "https://shop.org/?tag=me"], "Ein Titel Kopf Zwei Worte. Noch drei Worte! x Kauf i o s")
     assert r.avg_sentence_length == 6.5 and got[2].word_count == got[3].word_count == 1 and got[3].text_to_code == 0 and got[2].author is None
+
+
+def test_sinks(spark, tmp_path):
+    old, new = (spark.createDataFrame(rows, "k string, n int") for rows in ([("a", 1), ("b", 2), (None, 3)], [("b", 5), (None, 6), ("c", 7)]))
+    path = str(tmp_path / "t")
+    sinks.append(old, path)
+    sinks.append(new, path)
+    assert spark.read.parquet(path).count() == 6
+    assert sorted(map(repr, map(tuple, sinks.upsert(old, new, ["k"]).collect()))) == ["('a', 1)", "('b', 5)", "('c', 7)", "(None, 6)"]
+    raw = spark.createDataFrame([("Wie?", "x" * 6000, "s" * 60, 2, 1), ("wie?", "y", None, 1, 2), ("WAS?", "z", "s", 1, 3), (None, "a", "s", 1, 4), ("Wo?", None, "s", 1, 5)], "question string, answer string, source string, ts int, id int")
+    got = sinks.ingest_answers(raw, spark.createDataFrame([("was?",)], "question string")).collect()
+    assert [(r.question, r.answer, r.source) for r in got] == [("wie?", "y", None)]
+    assert sinks.ingest_votes(spark.createDataFrame([("s", "u", "up", 1), ("", "u", "up", 1), ("s", None, "up", 1), ("s", "u", "sideways", 1)], "session_id string, url string, vote_type string, ts int")).count() == 1
