@@ -14,7 +14,7 @@ from pageloom.functions.tables import materialised
 
 # Words that fingerprints leave out.
 STOP_WORDS = "der die das ein eine und oder ist sind hat war für mit von auf bei den dem the a an and or is are was for with".split()
-TOP_WORDS, MIN_TEXT, MAX_BITS = 128, 200, 6
+TOP_WORDS, MIN_TEXT, MAX_BITS, MAX_GROUP = 128, 200, 6, 5
 MIN_EMBEDDED = 50
 SHINGLE, MIN_SHINGLE_TEXT, MIN_JACCARD = 4, 40, 0.65
 
@@ -67,6 +67,38 @@ def near_duplicates(hashes: DataFrame, id_col: str = "doc_id", bits: int = MAX_B
     return hashes.where("simhash <> 0").join(best, "simhash").where(F.col("duplicate_of") < F.col(id_col)).select(id_col, "duplicate_of")
 
 
+def dedupe_results(ranking: DataFrame, hashes: DataFrame, bits: int = MAX_BITS, most: int = MAX_GROUP) -> DataFrame:
+    """(query_id, rank, url, canonical_url, is_duplicate) of ranked lists: down each list a row goes to the best kept row before it whose fingerprint is near and that has fewer than most rows; else it is kept itself. ranking has query_id, rank and url, hashes has url and simhash; rows with fingerprint zero or none are kept and take no others.
+
+    Lists are judged one at a time, in batches, down their ranks. Kept fingerprints are looked up by blocks of their bits, of which near ones share one.
+    """
+    rows = ranking.join(hashes.select("url", "simhash"), "url", "left").select("query_id", "rank", "url", F.coalesce("simhash", F.lit(0)).alias("simhash"))
+    n = bits + 1
+    edges = [64 * i // n for i in range(n + 1)]
+
+    def work(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        kept, blocks, to = [], {}, []
+        for url, h in batch.sort_values("rank")[["url", "simhash"]].itertuples(index=False):
+            h = int(h) & ((1 << 64) - 1)
+            own = [(i, (h >> edges[i]) & ((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)] if h else []
+            near = min((k for b in own for k in blocks.get(b, ()) if kept[k][2] < most and (kept[k][1] ^ h).bit_count() <= bits), default=None)
+            to.append(kept[near][0] if near is not None else None)
+            if near is not None:
+                kept[near][2] += 1
+                if kept[near][2] == most:  # full ones need no more looking at
+                    for i in range(n):
+                        blocks[i, (kept[near][1] >> edges[i]) & ((1 << (edges[i + 1] - edges[i])) - 1)].remove(near)
+            elif h:
+                kept.append([url, h, 0])
+                for b in own:
+                    blocks.setdefault(b, []).append(len(kept) - 1)
+        out = batch.sort_values("rank")
+        return out.assign(canonical_url=pd.Series(to, index=out.index, dtype=object), is_duplicate=[x is not None for x in to]).drop(columns="simhash")
+
+    schema = T.StructType([*rows.drop("simhash").schema, T.StructField("canonical_url", T.StringType()), T.StructField("is_duplicate", T.BooleanType())])
+    return rows.groupBy("query_id").applyInPandas(work, schema)
+
+
 def shingle_sets(posts: DataFrame, text: str = "body") -> DataFrame:
     """posts with shingles: the distinct runs of four words, of texts of 40 characters and more that have four words."""
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__words") - SHINGLE + 1), lambda i: F.array_join(F.slice("__words", i, SHINGLE), " ")))

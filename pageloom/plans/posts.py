@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.tables import materialised
@@ -86,6 +87,14 @@ def near_duplicates(spark, d):
     return S.near_duplicates(materialised(S.word_simhash(v.read(spark, d, "documents")), "word-simhash"))
 
 
+def deduped_results(spark, d):
+    """The documents of each language and source as a ranked list, longest first."""
+    docs = v.read(spark, d, "documents").withColumn("url", F.col("doc_id").cast("string"))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")
+    ranked = docs.select(F.concat_ws("/", "lang", "source").alias("query_id"), "url", F.row_number().over(order).alias("rank"))
+    return S.dedupe_results(ranked, materialised(S.word_simhash(docs, "url"), "word-simhash"))
+
+
 def shingle_duplicates(spark, d):
     return S.shingle_duplicates(v.v_posts(spark, d)).select("scope", "id_a", "id_b", "similarity")
 
@@ -314,6 +323,13 @@ QUERIES = {
     "word_simhash": (word_simhash, "WITH " + SIMHASH + " SELECT * FROM prints"),
     "near_duplicates": (near_duplicates, "WITH " + SIMHASH + f""", n AS (SELECT doc_id, CAST('0x' || substr(simhash_hex, 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(simhash_hex, 9, 8) AS BIGINT) AS lo FROM prints WHERE simhash_hex <> '0000000000000000')
       SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM n a JOIN n b ON b.doc_id < a.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {S.MAX_BITS} GROUP BY a.doc_id"""),
+    "deduped_results": (deduped_results, "WITH RECURSIVE " + SIMHASH + f""", h AS (SELECT doc_id, concat_ws('/', lang, source) AS query_id, CAST(doc_id AS VARCHAR) AS url, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank, CAST('0x' || substr(simhash_hex, 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(simhash_hex, 9, 8) AS BIGINT) AS lo FROM prints JOIN documents USING (doc_id)),
+      near AS (SELECT b.query_id, b.rank, list(a.rank ORDER BY a.rank) AS before FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank < b.rank AND (a.hi, a.lo) <> (0, 0) AND (b.hi, b.lo) <> (0, 0) AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {S.MAX_BITS} GROUP BY 1, 2),
+      walk AS (SELECT query_id, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS owners FROM h WHERE rank = 1
+        UNION ALL SELECT query_id, rank, list_append(owners, coalesce(list_filter(before, lambda x: owners[x] = 0 AND len(list_filter(owners, lambda o: o = x)) < {S.MAX_GROUP})[1], 0))
+        FROM (SELECT h.query_id, h.rank, w.owners, coalesce(n.before, CAST([] AS BIGINT[])) AS before FROM walk w JOIN h ON h.query_id = w.query_id AND h.rank = w.rank + 1 LEFT JOIN near n ON n.query_id = h.query_id AND n.rank = h.rank)),
+      owned AS (SELECT query_id, rank, nullif(owners[rank], 0) AS owner FROM walk WHERE rank > 0)
+      SELECT h.query_id, CAST(h.rank AS INT) AS rank, h.url, c.url AS canonical_url, owner IS NOT NULL AS is_duplicate FROM h JOIN owned o ON o.query_id = h.query_id AND o.rank = h.rank LEFT JOIN h c ON c.query_id = o.query_id AND c.rank = o.owner"""),
     "shingle_duplicates": (shingle_duplicates, POSTS + f"""classes AS (SELECT scope, min(id) AS id, arg_min(body, id) AS body FROM v_posts WHERE length(body) >= 40 GROUP BY scope, {CLEAN_KEY}),
       cut AS (SELECT scope, id, {TOKENS.format('body')} AS ws FROM classes), sets AS (SELECT scope, id, list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) AS ss FROM cut WHERE len(ws) >= 4),
       each AS (SELECT scope, id, len(ss) AS n, unnest(ss) AS s FROM sets), pairs AS (SELECT a.scope, a.id AS id_a, b.id AS id_b, CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) AS j FROM each a JOIN each b ON a.scope = b.scope AND a.s = b.s AND a.id < b.id GROUP BY a.scope, a.id, b.id, a.n, b.n)
