@@ -205,6 +205,13 @@ def semantic_check(vectors: DataFrame, patterns: DataFrame, least: float = 0.82)
     return best
 
 
+def nearest_phrase(posts: DataFrame, vectors: DataFrame, patterns: DataFrame, pattern_vectors: DataFrame, least: float = 0.82, text: str = "body") -> DataFrame:
+    """(id, pattern_id, similarity): 1.0 for the first pattern (id, pattern) whose phrase a post has, in any case, else the nearest pattern vector above the limit. Phrases are matched as pattern_check does it, by priority and id."""
+    held = pattern_check(posts, patterns, text).select("id", "pattern_id", F.lit(1.0).alias("similarity"))
+    near = semantic_check(vectors, pattern_vectors, least).join(held, "id", "left_anti")
+    return held.unionByName(near.select("id", "pattern_id", F.col("cosine").alias("similarity")))
+
+
 def semantic_matches(vectors: DataFrame, patterns: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, pattern_id, cosine) of all pattern vectors whose cosine passes the limit; patterns are held by tasks in turns of PATTERN_VECTORS."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

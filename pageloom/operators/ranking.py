@@ -186,8 +186,10 @@ def quality_signals(scored: DataFrame, votes: DataFrame, authority: DataFrame, a
 
 
 def final_score(signals: DataFrame) -> DataFrame:
-    """signals (with trust_score, relevance, quality and the weights) with final_score, 0 to 100. Product pages count a fifth of their quality unless the query is commercial; quality is capped where relevance is low."""
+    """signals (with trust_score, relevance, quality and the weights) with final_score, 0 to 100. Product pages count a fifth of their quality unless the query is commercial or names a brand (brand, if there); quality is capped where relevance is low. click_bonus and personal_boost add, mismatch_penalty and paywall_penalty take away, where these columns are there."""
     product = (F.col("category") == "shop") | F.lower("url").rlike(r"/products?/")
+    if "brand" in signals.columns:
+        product &= F.col("brand").isNull()
     quality = F.col("quality") * F.col("w_quality") * F.when((F.col("intent") != "COMMERCIAL") & product, 0.2).otherwise(1.0)
     quality = F.when(F.col("relevance") < 50, F.least(F.lit(8.0), quality)).when(F.col("relevance") < 65, F.least(F.lit(12.0), quality)).otherwise(quality)
     square = lambda c: F.col(c) / 100.0 * (F.col(c) / 100.0)
@@ -211,14 +213,24 @@ def min_score_filter(ranking: DataFrame, least: int = 35, survivors: int = 3) ->
     return ranking.withColumn("__n", n).where((F.col("__n") < survivors) | (F.col("final_score") >= least)).drop("__n")
 
 
+def named_brand(queries: DataFrame) -> DataFrame:
+    """queries with brand: a domain in the query or after site:, which no ranking is needed for."""
+    named, site = _named(F.trim(F.lower("query")))
+    return queries.withColumn("brand", F.coalesce(named, site))
+
+
+def _named(q: Column) -> tuple[Column, Column]:
+    named = F.nullif(F.regexp_extract(q, r"([a-z0-9-]+\.(?:de|com|org|net|at|ch|io|eu|gov|edu))(?:[^a-z0-9_]|$)", 1), F.lit(""))
+    return named, F.when(q.startswith("site:"), F.regexp_extract(q, r"^site:\s*([^\s/]+)", 1))
+
+
 def detect_brand(queries: DataFrame, ranking: DataFrame) -> DataFrame:
     """(query_id, brand, reason): a domain in the query, a site: operator, or a family with five of the first twenty results whose first label is a word of the query."""
     top = ranking.where("rank <= 20").withColumn("family", domain_family(host(F.col("url"))))
     counts = top.groupBy("query_id", "family").agg(F.count("*").alias("n"))
     best = counts.groupBy("query_id").agg(F.max_by("family", F.struct("n", "family")).alias("family"), F.max("n").alias("n"), F.sum("n").alias("all"))
     q = F.trim(F.lower("query"))
-    named = F.nullif(F.regexp_extract(q, r"([a-z0-9-]+\.(?:de|com|org|net|at|ch|io|eu|gov|edu))(?:[^a-z0-9_]|$)", 1), F.lit(""))
-    site = F.when(q.startswith("site:"), F.regexp_extract(q, r"^site:\s*([^\s/]+)", 1))
+    named, site = _named(q)
     label = F.substring_index("family", ".", 1)
     word = (F.col("all") >= 5) & (F.length(label) >= 3) & (F.col("n") >= 5) & F.array_contains(F.split(q, r"\s+"), label)
     out = queries.join(best, "query_id", "left")

@@ -79,6 +79,13 @@ def semantic_hits(spark, d):
     return M.semantic_check(e, e.where("id % 100 = 0"), 0.3)
 
 
+def nearest_phrases(spark, d):
+    """Documents against the phrases of the benchmark, else vectors of their ids against those of ids divisible by 100."""
+    e = v.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    posts = v.v_posts(spark, d).where("kind = 'item'")
+    return M.nearest_phrase(posts, e.join(posts.select("id"), "id", "left_semi"), patterns(spark, d), e.where("id % 100 = 0"), 0.3)
+
+
 def word_simhash(spark, d):
     return S.word_simhash(v.read(spark, d, "documents")).select("doc_id", "simhash_hex")
 
@@ -277,6 +284,8 @@ HITS = PATTERNS + """, hits AS (SELECT id, pattern_id, action, category FROM (SE
 REPORTS = f"""reports AS (SELECT event_id AS report_id, 'item' AS kind, k * 3 AS target_id, ['spam', 'insult', 'illegal', 'wrong', 'other', 'nonsense'][CAST(event_id % 6 + 1 AS INT)] AS reason, ts AS created_at FROM (SELECT *, {v.K} AS k FROM events)),
 taken AS (SELECT *, created_at + INTERVAL 1 YEAR AS ip_deadline FROM reports WHERE reason <> 'nonsense' AND target_id IN (SELECT id FROM v_posts WHERE kind = 'item'))"""
 CLEAN_KEY = "md5(array_to_string(" + TOKENS.format("body") + ", ' '))"
+NEAREST = """SELECT id, pattern_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, pattern_id) AS i FROM (
+      SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id)) WHERE i = 1 AND cosine > 0.3"""
 CHANGED = "SELECT url, now AS text_hash FROM (SELECT url, sha1(title || ' ' || title || ' ' || content) AS now, CASE page_id % 3 WHEN 1 THEN sha1(title || ' ' || title || ' ' || content) WHEN 2 THEN sha1(title || ' ' || title || ' old') END AS old FROM v_pages) WHERE now IS DISTINCT FROM old"
 REPEATS = f"repeats AS (SELECT id, original_id FROM (SELECT id, min(id) OVER (PARTITION BY scope, {CLEAN_KEY}) AS original_id FROM v_posts WHERE length(body) >= 40) WHERE id > original_id)"
 URL_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', ''), '/+$', '')"
@@ -318,8 +327,9 @@ QUERIES = {
     "report_intake": (report_intake, with_views("", "v_posts").rstrip() + ",\n" + REPORTS + " SELECT * FROM taken"),
     "auto_hidden": (auto_hidden, with_views("", "v_posts").rstrip() + ",\n" + REPORTS + " SELECT id, kind, coalesce(n, 0) AS report_count, coalesce(n, 0) >= 15 AS hidden FROM v_posts LEFT JOIN (SELECT target_id AS id, kind, count(*) AS n FROM taken GROUP BY 1, 2) USING (id, kind)"),
     "suspicious_texts": (suspicious_texts, _posts(r"SELECT regexp_matches(body, '(?i)(union\s+select|drop\s+table|insert\s+into|delete\s+from|;\s*--|<script|javascript:|onerror\s*=)') AS suspicious, count(*) AS n FROM v_posts GROUP BY 1")),
-    "semantic_hits": (semantic_hits, """SELECT id, pattern_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, pattern_id) AS i FROM (
-      SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id)) WHERE i = 1 AND cosine > 0.3"""),
+    "semantic_hits": (semantic_hits, NEAREST),
+    "nearest_phrases": (nearest_phrases, POSTS + HITS + f""", held AS (SELECT hits.id, pattern_id FROM hits JOIN v_posts USING (id) WHERE kind = 'item'), near AS ({NEAREST})
+      SELECT id, pattern_id, CAST(1 AS DOUBLE) AS similarity FROM held UNION ALL SELECT id, pattern_id, cosine FROM near WHERE id IN (SELECT doc_id FROM documents) AND id NOT IN (SELECT id FROM held)"""),
     "word_simhash": (word_simhash, "WITH " + SIMHASH + " SELECT * FROM prints"),
     "near_duplicates": (near_duplicates, "WITH " + SIMHASH + f""", n AS (SELECT doc_id, CAST('0x' || substr(simhash_hex, 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(simhash_hex, 9, 8) AS BIGINT) AS lo FROM prints WHERE simhash_hex <> '0000000000000000')
       SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM n a JOIN n b ON b.doc_id < a.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {S.MAX_BITS} GROUP BY a.doc_id"""),

@@ -60,10 +60,12 @@ def relevance_scores(spark, d):
 def signals(spark, d):
     pages, votes = v.v_pages(spark, d), v.v_domain_votes(spark, d)
     scored = materialised(P.score_affiliate(P.score_ad_density(materialised(P.hard_block(P.score_spam(P.score_trust(pages))), "page-scores"), votes)), "scored-pages").drop("__pos", "__neg")
-    q = R.weights(terms(spark, d)).select("query_id", "query", "intent", "w_trust", "w_relevance", "w_quality")
+    q = R.named_brand(R.weights(terms(spark, d))).select("brand", "query_id", "query", "intent", "w_trust", "w_relevance", "w_quality")
     rel = materialised(R.score_relevance(terms(spark, d), pages, index(spark, d), AS_OF).join(keyword_filtered(spark, d), ["query_id", "page_id"]), "relevance")
     authority = L.domain_authority(v.v_edges(spark, d))
-    return materialised(R.quality_signals(rel.join(scored, "page_id").join(q, "query_id"), votes, authority, AS_OF), "signals")
+    pairs = rel.join(scored, "page_id").join(q, "query_id").withColumn("tags", F.lit(None).cast("array<string>"))
+    fitting = score_category_mismatch(pairs, TOPICS).drop("tags", "topic", "mismatch_reason")
+    return materialised(R.quality_signals(fitting, votes, authority, AS_OF), "signals")
 
 
 def quality_signals(spark, d):
@@ -76,7 +78,7 @@ def ranking(spark, d):
 
 def final_ranking(spark, d):
     walled = v.v_pages(spark, d).where("page_id % 20 = 7").select("domain").distinct()
-    first = ranking(spark, d)
+    first = ranking(spark, d).drop("brand")
     brands = R.detect_brand(v.v_queries(spark, d), first)
     ranked = R.ranked(R.apply_paywall(R.homepage_boost(first.drop("rank"), brands), walled))
     best = R.mark_best(R.min_score_filter(R.diversify(ranked, brands)))
@@ -136,6 +138,12 @@ def _mismatch_sql(t):
     return f"SELECT *, '{t.name}' AS topic, CASE WHEN list_contains({_in(t.allowed)}, category) THEN 'category allowed' WHEN {tag(t.allowed)} THEN 'tag allowed' END AS ok, {own} AS own, {eased} AS eased FROM pairs WHERE {test}"
 
 
+def _mismatch_case(q):
+    """The penalty of a category without tags."""
+    own = lambda t: "CASE " + " ".join(f"WHEN list_contains({_in(getattr(t, level))}, category) THEN {points}" for level, points in PENALTIES.items()) + " ELSE 0 END"
+    return "CASE " + " ".join(f"WHEN len(list_filter({_in(t.terms)}, lambda x: contains({q}, x))) > 0 THEN CASE WHEN list_contains({_in(t.allowed)}, category) THEN 0 ELSE {own(t)} END" for t in TOPICS) + " ELSE 0 END"
+
+
 MISMATCHES = with_views("", "v_asked").rstrip() + f""",
 pairs AS (SELECT query_id, page_id, query AS q, {_in(SLUGS)}[CAST(page_id % {len(SLUGS)} + 1 AS INT)] AS category,
     CASE WHEN page_id % 3 > 0 THEN [{_in(SLUGS)}[CAST((page_id * 7 + 1) % {len(SLUGS)} + 1 AS INT)], {_in(SLUGS)}[CAST((page_id * 5 + 2) % {len(SLUGS)} + 1 AS INT)]] ELSE [] END AS tags
@@ -208,7 +216,7 @@ sig AS (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COM
     {', '.join(f"{CLAMP.format(e)} AS s_{n}" for n, e in SIGNAL_SQL.items())} FROM rows),
 valued AS (SELECT *, {' + '.join(f"s_{n} * CAST({w} AS DOUBLE)" for n, w in R.SIGNALS.items())} AS quality FROM sig),
 weighed AS (SELECT *, quality * (100 - w_trust - w_relevance) * CASE WHEN intent <> 'COMMERCIAL' AND (category = 'shop' OR regexp_matches(lower(url), '/products?/')) THEN CAST(0.2 AS DOUBLE) ELSE 1 END AS q0 FROM valued),
-final AS (SELECT *, CAST(greatest(0, least(100, floor(round(CAST(trust_score AS DOUBLE) / 100 * CAST(trust_score AS DOUBLE) / 100 * w_trust + CAST(relevance AS DOUBLE) / 100 * CAST(relevance AS DOUBLE) / 100 * w_relevance + CASE WHEN relevance < 50 THEN least(8, q0) WHEN relevance < 65 THEN least(12, q0) ELSE q0 END, 6) + 0.5))) AS BIGINT) AS final_score FROM weighed),
+final AS (SELECT *, CAST(greatest(0, least(100, floor(round(CAST(trust_score AS DOUBLE) / 100 * CAST(trust_score AS DOUBLE) / 100 * w_trust + CAST(relevance AS DOUBLE) / 100 * CAST(relevance AS DOUBLE) / 100 * w_relevance + CASE WHEN relevance < 50 THEN least(8, q0) WHEN relevance < 65 THEN least(12, q0) ELSE q0 END - {_mismatch_case('query')}, 6) + 0.5))) AS BIGINT) AS final_score FROM weighed),
 named AS (SELECT *, coalesce(nullif({REGISTRABLE}, ''), domain) AS name FROM final),
 ranked AS (SELECT *, {FAMILY} AS family, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, url) AS rank FROM named)""").replace("{HOST.format('to_url')}", HOST.format("to_url")).replace("{HOST.format('from_url')}", HOST.format("from_url"))
 BRANDS = r"""families AS (SELECT query_id, arg_max(family, (n, family)) AS family, max(n) AS n, sum(n) AS total FROM (SELECT query_id, family, count(*) AS n FROM ranked WHERE rank <= 20 GROUP BY 1, 2) GROUP BY 1),
