@@ -85,6 +85,8 @@ def in_blocks(rows: DataFrame, sizes: DataFrame, key: str, cap: int, spread: str
 
 #: Bits of a bitmap of hashes at most (32 MB).
 MOST_BITS = 1 << 28
+#: Bits of a bitmap that reach the driver as one value.
+SLICE_BITS = 1 << 18
 
 
 def bitmap(hashes: DataFrame, most: int = MOST_BITS) -> Broadcast:
@@ -92,10 +94,23 @@ def bitmap(hashes: DataFrame, most: int = MOST_BITS) -> Broadcast:
     (name,) = hashes.columns
     bits = min(most, 1 << (16 * max(4, hashes.count())).bit_length())
     at = F.col(name).bitwiseAND(bits - 1).alias("at")
-    words = hashes.select(at).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("marks")).toPandas()  # bits / 64 rows at most
-    marks = np.zeros(bits // 64, np.int64)
-    marks[words["word"].to_numpy()] = words["marks"].to_numpy()
-    return hashes.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+    size = min(bits, SLICE_BITS)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places = np.sort(batch["at"].to_numpy(np.int64))
+            cuts = np.flatnonzero(np.r_[True, places[1:] // size != places[:-1] // size]) if len(places) else []
+            for own in np.split(places, cuts[1:]) if len(places) else []:
+                marks = found.setdefault(int(own[0]) // size, np.zeros(size // 64, np.uint64))
+                np.bitwise_or.at(marks, own % size >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+        yield pd.DataFrame({"slice": list(found), "marks": [m.tobytes() for m in found.values()]})
+
+    slices = hashes.select(at).repartition(F.shiftright("at", size.bit_length() - 1)).mapInPandas(pack, "slice long, marks binary")
+    marks = np.zeros(bits // 64, np.uint64)
+    for k, packed in slices.toLocalIterator():
+        marks[k * (size // 64) : (k + 1) * (size // 64)] = np.frombuffer(packed, np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(marks)
 
 
 def is_marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ class Tree:
 
     @classmethod
     def over(cls, points: np.ndarray, leaf: int) -> Tree:
-        """Nodes are halved along the widest side of their box until they have leaf points at most; children are neighbours."""
+        """Nodes are halved along the widest side of their box until they have leaf points at most, or equal ones only; children are neighbours."""
         order, spans, left = np.arange(len(points)), [(0, len(points))], [-1]
         for at, (a, b) in enumerate(spans):  # grows meanwhile
             own = points[order[a:b]]
@@ -51,6 +51,8 @@ class Tree:
                 left[at] = len(spans)
                 spans += [(a, a + half), (a + half, b)]
                 left += [-1, -1]
+            else:
+                order[a:b].sort()  # so that the first of equal entries stands for them
         start, end = np.array(spans).T
         sorted_ = points[order].astype(np.int64)
         sums = np.r_[np.zeros((1, points.shape[1]), np.int64), np.cumsum(sorted_, axis=0)]
@@ -198,7 +200,8 @@ def vector_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     head = rows.orderBy(*order).limit(1).collect()
     dim = len(head[0]["q"]) if head else 0
     rows = rows.where(F.size("q") == dim)
-    start = np.array([r["q"] for r in rows.orderBy(*order).limit(entries).collect()], np.int64).reshape(-1, dim)
+    start = [r["q"] for r in rows.orderBy(*order).limit(entries).collect()]
+    start = np.array(start, np.int64).reshape(len(start), dim)
     books = [start[:, a:b].copy() for a, b in _split(dim, parts)]
     with _few_at_once(spark, TREES_AT_ONCE * BLOCK):
         trees = stored(part_trees(rows, dim, parts), "part-trees") if head else None
