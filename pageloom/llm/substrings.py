@@ -190,9 +190,10 @@ def _windows(rows: DataFrame, window: int, groups: int, marks: Broadcast, first:
     return rows.select("doc", "rk", F.xxhash64("doc", "rk").alias("key"), "text").mapInArrow(of, schema)
 
 
-def _earlier(found: DataFrame) -> DataFrame:
-    """found with lo, the smallest doc that has the same a and b: summed up before the shuffle, as one passage may be in very many documents."""
-    return found.join(found.groupBy("a", "b").agg(F.min("doc").alias("lo")), ["a", "b"])
+def _earlier(found: DataFrame, how: str) -> DataFrame:
+    """found with lo, the smallest doc of those rows that have the same a and b, where there are several. They are summed up before the shuffle, as one passage may be in very many documents, and stored, so that Spark can split the join at such a passage."""
+    several = found.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return found.join(stored(several, "several"), ["a", "b"], how)
 
 
 def kept_columns(text: Column, spans: Column, window: int) -> Column:
@@ -238,10 +239,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     later = F.col("lo").isNotNull() & (F.col("doc").isNull() | (F.col("lo") < F.col("doc")))
     stretches = stored(_windows(some, window, groups, marks, None), "stretches")
-    judged = stored(_earlier(stretches).select("doc", "rk", "start", "n", "k", later.alias("later")), "judged-stretches")
+    judged = stored(_earlier(stretches, "left").select("doc", "rk", "start", "n", "k", later.alias("later")), "judged-stretches")
     first = bitmap(judged.where("not later").select("k"))
     single = stored(_windows(some, window, groups, marks, first), "windows")
-    single = _earlier(single).where(later).select("doc", "rk", "start", F.lit(1).alias("n"))
+    single = _earlier(single, "inner").where(later).select("doc", "rk", "start", F.lit(1).alias("n"))
     gone = judged.where("later").select("doc", "rk", "start", "n").unionByName(single)
     gone = stored(gone.groupBy("doc", "rk").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "removed")
 
