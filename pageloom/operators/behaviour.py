@@ -41,14 +41,19 @@ def impressions_from_ranking(ranked: DataFrame, shown_at: str) -> DataFrame:
 
 
 def close_clicks(clicks: DataFrame, returns: DataFrame) -> DataFrame:
-    """clicks with dwell_ms and returned_at. A return (session_id, ts, dwell_ms) closes the newest click of its session that is not older than half an hour and not closed before; the dwell time is the return's own, or the time between the two.
+    """clicks with dwell_ms and returned_at. A return (session_id, ts, dwell_ms) closes the newest click of its session that is open and not older than half an hour; the dwell time is the return's own, or the time between the two. A click before a return of the same instant comes first.
 
-    Both kinds of events of a session are put in order of time (a click before a return of the same instant); a return closes a click when the event just before it is that click.
+    Clicks and returns are like opening and closing brackets: a return belongs to the last click that left as many clicks open as the return finds. Returns that find none open count for nothing. Whether a pair is too far apart is asked afterwards: older clicks, which later returns would find, are too old as well.
     """
     c = clicks.select("session_id", F.col("clicked_at").alias("ts"), F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("own"))
     r = returns.select("session_id", "ts", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("dwell_ms").cast("long").alias("own"))
-    order = Window.partitionBy("session_id").orderBy("ts", "kind", "id")
-    events = c.unionByName(r).withColumns({"next_kind": F.lead("kind").over(order), "next_ts": F.lead("ts").over(order), "next_own": F.lead("own").over(order)})
+    keys = ("ts", "kind", "id", "own")
+    so_far = Window.partitionBy("session_id").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    events = c.unionByName(r).withColumn("sum", F.sum(1 - 2 * F.col("kind")).over(so_far))
+    events = events.withColumn("open", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
+    level = F.col("open") + F.col("kind")  # a return that closed a click found one more; one that found none open meets no click at level 1, as the click before it there is closed
+    order = Window.partitionBy("session_id", "level").orderBy(*keys)
+    events = events.withColumn("level", level).withColumns({"next_kind": F.lead("kind").over(order), "next_ts": F.lead("ts").over(order), "next_own": F.lead("own").over(order)})
     ms = (F.unix_millis("next_ts") - F.unix_millis("ts")).cast("long")
     closed = events.where((F.col("kind") == 0) & (F.col("next_kind") == 1) & (ms <= SESSION_MINUTES * 60_000)).select("id", F.coalesce("next_own", ms).alias("dwell_ms"), F.col("next_ts").alias("returned_at"))
     return clicks.drop("dwell_ms", "returned_at").join(closed, "id", "left")

@@ -142,11 +142,20 @@ def combined_verdict(posts: DataFrame, title: str = "title", body: str = "body")
     return posts.withColumn("verdict", worse)
 
 
-def verdicts(posts: DataFrame, checked_at: str) -> DataFrame:
-    """Rows of the verdict log for checked posts (id, kind, body, insult_action, insult_category)."""
+def first_verdict(posts: DataFrame, patterns: DataFrame, text: str = "body") -> DataFrame:
+    """posts as insult_check leaves them, where those that no rule hits have the action and category of the pattern that they match."""
+    hit = pattern_check(posts, patterns, text).select(F.col("id").alias("__id"), F.col("action").alias("__action"), F.col("category").alias("__category"))
+    out = insult_check(posts, text).join(hit, F.col("id") == F.col("__id"), "left")
+    free = F.col("insult_action").isNull()
+    return out.withColumns({"insult_category": F.when(free, F.col("__category")).otherwise(F.col("insult_category")), "insult_action": F.when(free, F.col("__action")).otherwise(F.col("insult_action"))}).drop("__id", "__action", "__category")
+
+
+def verdicts(posts: DataFrame, checked_at: str | Column) -> DataFrame:
+    """Rows of the verdict log for checked posts (id, kind, body, insult_action, insult_category), checked at a stated time or at that of a column."""
+    at = F.to_timestamp(F.lit(checked_at)) if isinstance(checked_at, str) else checked_at
     blocked, flagged = F.coalesce(F.col("insult_action") == "block", F.lit(False)), F.coalesce(F.col("insult_action") == "flag", F.lit(False))
     score = F.when(blocked, 1.0).when(flagged, 0.5).otherwise(0.0).cast("decimal(5,3)")
-    return posts.select(F.col("id").alias("post_id"), "kind", F.left("body", F.lit(500)).alias("text"), score.alias("score"), F.coalesce("insult_action", F.lit("allow")).alias("action"), F.col("insult_category").alias("category"), blocked.alias("blocked"), flagged.alias("flagged"), F.to_timestamp(F.lit(checked_at)).alias("checked_at"))
+    return posts.select(F.col("id").alias("post_id"), "kind", F.left("body", F.lit(500)).alias("text"), score.alias("score"), F.coalesce("insult_action", F.lit("allow")).alias("action"), F.col("insult_category").alias("category"), blocked.alias("blocked"), flagged.alias("flagged"), at.alias("checked_at"))
 
 
 def moderation_stats(log: DataFrame, as_of: str) -> DataFrame:

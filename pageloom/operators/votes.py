@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.columns import half_up, yes
+from pageloom.operators.limits import sliding_limit
 
 # Days, counts, points and deductions of the trust rules.
 MIN_ACTIVE_DAYS, MAX_IDLE_DAYS, MIN_LOGINS, MIN_SEARCHES = 14, 14, 3, 5
@@ -107,17 +108,9 @@ def vote_bursts(votes: DataFrame) -> DataFrame:
 
 
 def accept_votes(votes: DataFrame, least: int = BURST_VOTES, seconds: int = BURST_SECONDS) -> DataFrame:
-    """(user_id, id, accepted): like vote_bursts, but only accepted votes count as earlier ones. A user's votes are folded in order of time."""
-    row = F.struct(F.unix_timestamp("created_at").alias("t"), F.col("id"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        live = F.filter(acc["kept"], lambda t: t >= v["t"] - seconds)
-        ok = F.size(live) < least
-        return F.struct(F.when(ok, F.array_append(live, v["t"])).otherwise(live).alias("kept"), F.array_append(acc["out"], F.struct(v["id"].alias("id"), ok.alias("accepted"))).alias("out"))
-
-    folded = votes.groupBy("user_id").agg(F.sort_array(F.collect_list(row)).alias("vs")).select("user_id", F.aggregate("vs", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("user_id", F.inline("out"))
+    """(user_id, id, accepted): like vote_bursts, but only accepted votes count as earlier ones. Busy users are cut at pauses, see limits.sliding_limit."""
+    events = votes.select(F.col("user_id").alias("key"), F.unix_timestamp("created_at").alias("t"), "id")
+    return sliding_limit(events, least, seconds + 1).withColumnRenamed("key", "user_id")
 
 
 def fold_votes(votes: DataFrame) -> DataFrame:

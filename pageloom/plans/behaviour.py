@@ -239,12 +239,15 @@ QUERIES = {
         WHEN n_clicks >= 15 AND weighted_good_rate > 0.75 THEN 3 WHEN weighted_good_rate > 0.6 THEN 2 WHEN weighted_good_rate > 0.45 THEN 1 ELSE 0 END
         + CASE WHEN ctr_deviation > 0.1 THEN 2 WHEN ctr_deviation > 0.05 THEN 1 WHEN ctr_deviation < -0.1 THEN -2 WHEN ctr_deviation < -0.05 THEN -1 ELSE 0 END AS bonus FROM quality LEFT JOIN deviation USING (url)"""),
     "rated_clicks": (rated_clicks, CLICKS + "SELECT id, is_pogo, is_good, CASE WHEN is_pogo THEN 'pogo' WHEN is_good THEN 'good' ELSE 'neutral' END AS quality, w AS position_weight FROM rated"),
-    "closed_clicks": (closed_clicks, with_views("""SELECT id, CASE WHEN ok THEN coalesce(next_own, ms) END AS dwell_ms, CASE WHEN ok THEN next_ts END AS returned_at
-        FROM (SELECT *, kind = 0 AND next_kind = 1 AND ms <= 1800000 AS ok FROM (SELECT *, CAST(epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 AS BIGINT) AS ms FROM (
-          SELECT *, lead(kind) OVER w AS next_kind, lead(ts) OVER w AS next_ts, lead(own) OVER w AS next_own FROM (
-            SELECT session_id, clicked_at AS ts, 0 AS kind, id, CAST(NULL AS BIGINT) AS own FROM v_clicks
-            UNION ALL SELECT CAST(user_id AS VARCHAR), ts, 1, NULL, CASE WHEN event_id % 2 = 0 THEN CAST(floor(value * 100) AS BIGINT) END FROM events WHERE event_type = 'view')
-          WINDOW w AS (PARTITION BY session_id ORDER BY ts, kind, id NULLS FIRST)))) WHERE kind = 0""", "v_clicks")),
+    "closed_clicks": (closed_clicks, with_views("", "v_clicks").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
+      happened AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, kind, id NULLS FIRST, own NULLS FIRST) AS i FROM (
+        SELECT session_id, clicked_at AS ts, 0 AS kind, id, CAST(NULL AS BIGINT) AS own FROM v_clicks
+        UNION ALL SELECT CAST(user_id AS VARCHAR), ts, 1, NULL, CASE WHEN event_id % 2 = 0 THEN CAST(floor(value * 100) AS BIGINT) END FROM events WHERE event_type = 'view')),
+      walk AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, ts TIMESTAMP)[]) AS open, CAST(NULL AS BIGINT) AS hit, CAST(NULL AS BIGINT) AS dwell_ms, CAST(NULL AS TIMESTAMP) AS returned_at FROM happened WHERE i = 1
+        UNION ALL SELECT session_id, i, CASE WHEN kind = 0 THEN list_append(open, {'id': id, 'ts': ts}) WHEN ms <= 1800000 THEN open[1:len(open) - 1] ELSE open END,
+          CASE WHEN ms <= 1800000 THEN open[len(open)].id END, CASE WHEN ms <= 1800000 THEN coalesce(own, ms) END, ts
+        FROM (SELECT e.*, w.open, CASE WHEN kind = 1 AND len(w.open) > 0 THEN CAST(epoch_us(e.ts) // 1000 - epoch_us(w.open[len(w.open)].ts) // 1000 AS BIGINT) END AS ms FROM walk w JOIN happened e ON e.session_id = w.session_id AND e.i = w.i + 1))
+      SELECT c.id, w.dwell_ms, w.returned_at FROM v_clicks c LEFT JOIN walk w ON w.hit = c.id"""),
     "daily_rollup": (daily_rollup, _log("SELECT query, CAST(ts AS DATE) AS search_date, count(*) AS daily_count FROM v_query_log GROUP BY 1, 2")),
     "weekly_rollup": (weekly_rollup, _log("""SELECT query, week_start, weekly_total, round(weekly_total / CAST(7 AS DOUBLE), 4) AS avg_daily_count, CASE WHEN weekly_total > last THEN 'up' WHEN weekly_total < last THEN 'down' ELSE 'stable' END AS trend_direction
         FROM (SELECT *, lag(weekly_total) OVER (PARTITION BY query ORDER BY week_start) AS last FROM (SELECT query, CAST(date_trunc('week', ts) AS DATE) AS week_start, count(*) AS weekly_total FROM v_query_log GROUP BY 1, 2))""")),

@@ -64,9 +64,22 @@ def published_counts(spark, d):
     log = v.v_query_log(spark, d)
     counts = lambda rows: rows.groupBy("query").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
     path = place(spark, "counts")
-    first = sinks.publish(counts(log.where((F.col("ts") < HALF) & F.col("query").rlike("[0-6]$"))), path)
+    sinks.publish(counts(log.where((F.col("ts") < HALF) & F.col("query").rlike("[0-6]$"))), path)
     new = counts(log.where((F.col("ts") >= HALF) & F.col("query").rlike("[3-9]$")))
-    return spark.read.parquet(sinks.publish(sinks.upsert(spark.read.parquet(first), new, ["query"]), path))
+    sinks.publish(sinks.upsert(sinks.newest(spark, path), new, ["query"]), path)
+    return sinks.newest(spark, path)
+
+
+def dated_counts(spark, d):
+    """Events of each user and day but for errors; then days with errors are merged anew with all events of the users that have some, and all but the last ten days go."""
+    events = v.v_events(spark, d).withColumn("day", F.to_date("ts"))
+    counts = lambda rows: rows.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    path = place(spark, "days")
+    sinks.write_days(counts(events.where("event_type <> 'error'")), path)
+    failed = events.where("event_type = 'error'").select("user_id", "day").distinct()
+    sinks.merge_days(counts(events.join(failed, ["user_id", "day"], "left_semi")), path, ["user_id"])
+    sinks.expire_days(spark, path, AS_OF, 10)
+    return spark.read.parquet(path)
 
 
 def exported_events(spark, d):
@@ -100,6 +113,7 @@ QUERIES = {
     "vote_history": (vote_history, with_views("SELECT url, vote_type, count(*) AS n, max(created_at) AS newest FROM v_vote_history WHERE id % 13 > 0 AND id % 9 > 0 GROUP BY 1, 2", "v_vote_history")),
     "published_counts": (published_counts, with_views(f"""SELECT query, n, newest FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY new DESC) AS i FROM (SELECT query, ts >= TIMESTAMP '{HALF}' AS new, count(*) AS n, max(ts) AS newest FROM v_query_log
       WHERE CASE WHEN ts >= TIMESTAMP '{HALF}' THEN regexp_matches(query, '[3-9]$') ELSE regexp_matches(query, '[0-6]$') END GROUP BY 1, 2)) WHERE i = 1""", "v_query_log")),
+    "dated_counts": (dated_counts, f"SELECT user_id, n, value, day FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2) WHERE day >= DATE '{AS_OF[:10]}' - 10"),
     "exported_events": (exported_events, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1"),
     "new_answers": (new_answers, with_views("", "v_asked").rstrip() + ",\n" + ANSWERED + """, cut AS (SELECT conv_id, left(trim(question), 500) AS q, left(trim(answer || repeat(answer, 20)), 5000) AS a FROM rows)
       SELECT md5(q) AS question_md5, md5(a) AS answer_md5, CAST(length(a) AS INT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY lower(q) ORDER BY conv_id) AS i FROM cut WHERE lower(q) NOT IN (SELECT question FROM rows WHERE conv_id % 3 = 0)) WHERE i = 1"""),

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.tables import materialised
+
+#: The file that names the newest version of a published table.
+POINTER = "newest"
+
 # Greatest lengths of an answer's texts.
 ANSWER_LENGTHS = {"question": 500, "answer": 5000, "source": 50}
 
@@ -17,10 +24,79 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def publish(rows: DataFrame, path: str) -> str:
-    """Writes rows as a new version below path and gives its folder; readers of older versions aren't disturbed."""
-    version = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
-    rows.write.parquet(version)
-    return version
+    """Writes rows as a new version below path, makes it the newest and gives its folder. Readers of older versions aren't disturbed; should the job end before the switch, the version before stays the newest."""
+    version = f"version-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path.rstrip('/')}/{version}")
+    switch(rows.sparkSession, path, version)
+    return f"{path.rstrip('/')}/{version}"
+
+
+def switch(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a version the newest, in one step: the name is written to a file of its own, which then takes the pointer's place."""
+    folder, new = _place(spark, path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = new(folder, f"_newest-{uuid.uuid4().hex}")
+    stream = fs.create(written, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(written, new(folder, POINTER), options)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest published version."""
+    version = spark.read.text(f"{path.rstrip('/')}/{POINTER}").first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Removes all versions but the newest and those written last before it, keep in all, and gives their number. Versions that were written but never switched to count by their time."""
+    folder, new = _place(spark, path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    current = spark.read.text(f"{path.rstrip('/')}/{POINTER}").first()[0]
+    found = sorted(((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("version-")), reverse=True)
+    old = [name for _, name in found if name != current][keep - 1 :]
+    for name in old:
+        fs.delete(new(folder, name), True)
+    return len(old)
+
+
+def _place(spark: SparkSession, path: str):
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return new(path), new
+
+
+def write_days(rows: DataFrame, path: str, day: str = "day") -> None:
+    """Puts rows in a folder for each day; days that have rows are replaced, others stay untouched."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def merge_days(new: DataFrame, path: str, keys: list[str], day: str = "day", most: int = 10_000) -> None:
+    """Brings a table of days up to date by key and day: only the days that new has rows of are read and written again. No more than most days may be touched at a time, as their names are listed; more raise an error before anything is written."""
+    spark = new.sparkSession
+    new = materialised(new, "new-rows")
+    days = [r[0] for r in new.select(day).distinct().limit(most + 1).collect()]
+    if len(days) > most:
+        raise ValueError(f"more than {most} days")
+    old = spark.read.parquet(path)
+    touched = old.where(F.col(day).isin([d for d in days if d is not None]) | (F.col(day).isNull() & F.lit(None in days))).select(*new.columns)
+    write_days(materialised(upsert(touched, new, [*keys, day]), "merged-days"), path, day)
+
+
+def expire_days(spark: SparkSession, path: str, as_of: str, keep: int, day: str = "day") -> list[str]:
+    """Removes the folders of days older than keep days before as_of (a date) and gives their names. Nothing is read or written anew; rows without a day stay."""
+    folder, _ = _place(spark, path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first = (date.fromisoformat(as_of[:10]) - timedelta(days=keep)).isoformat()
+    gone = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if re.fullmatch(rf"{re.escape(day)}=\d{{4}}-\d\d-\d\d", name) and name.split("=")[1] < first:
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

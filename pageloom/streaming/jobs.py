@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pageloom.functions.columns import tokens
 from pageloom.operators import behaviour, moderation, votes
+from pageloom.operators.limits import sliding_limit
 
 # Requests of a key that a tumbling window allows, and its seconds.
 LIMITS = {"search": (60, 60), "global": (1000, 900), "login": (5, 900), "vote": (20, 600)}
@@ -64,17 +67,8 @@ def message_limit(messages: DataFrame, most: int = MESSAGES, seconds: int = MESS
 
 
 def message_limit_batch(messages: DataFrame, most: int = MESSAGES, seconds: int = MESSAGE_SECONDS) -> DataFrame:
-    """The batch form: a fold over the messages of each key in order of time."""
-    row = F.struct(F.unix_micros("ts").alias("t"), F.col("id"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("out"))
-
-    def step(acc, m):
-        live = F.filter(acc["kept"], lambda t: t > m["t"] - seconds * 1_000_000)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.array_append(live, m["t"])).otherwise(live).alias("kept"), F.array_append(acc["out"], F.struct(m["id"].alias("id"), ok.alias("accepted"))).alias("out"))
-
-    folded = messages.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("ms"))
-    return folded.select("key", F.inline(F.aggregate("ms", start, step, lambda a: a["out"])))
+    """The batch form, see limits.sliding_limit."""
+    return sliding_limit(messages.select("key", F.unix_micros("ts").alias("t"), "id"), most, seconds * 1_000_000)
 
 
 def _vote_bursts(most: int, seconds: int):
@@ -139,6 +133,53 @@ def close_clicks(clicks: DataFrame, returns: DataFrame, late: str = "10 minutes"
     return c.join(r, near).select("id", F.coalesce("dwell_ms", F.unix_millis("then") - F.unix_millis("at")).alias("dwell_ms")).withColumn("quality", behaviour.dwell_label(F.col("dwell_ms")))
 
 
+def _sessions(span_ms: int):
+    """State of a session: events that the watermark hasn't passed yet, and the open clicks, oldest first. Times are in microseconds; a return has no click id (-1), and -1 says that it brings no dwell time."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, opened = [], []
+        if state.exists:
+            t, kind, ids, own, open_t, open_id = state.get
+            waiting, opened = list(zip(t, kind, ids, own)), list(zip(open_t, open_id))
+        if not state.hasTimedOut:
+            for b in batches:
+                waiting += zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["kind"].tolist(), b["id"].tolist(), b["own"].tolist())
+        passed = state.getCurrentWatermarkMs() * 1_000
+        now, out = sorted(e for e in waiting if e[0] <= passed), []
+        waiting = [e for e in waiting if e[0] > passed]
+        for t, kind, id_, own in now:
+            if kind == 0:
+                opened.append((t, id_))
+            elif opened and t // 1_000 - opened[-1][0] // 1_000 <= span_ms:
+                start, click = opened.pop()
+                out.append((click, own if own >= 0 else t // 1_000 - start // 1_000, t))
+        # A return that is still to come is later than the watermark and than all events so far.
+        gone = [c for c in opened if passed // 1_000 - c[0] // 1_000 > span_ms]
+        out += [(click, None, None) for _, click in gone]
+        opened = opened[len(gone) :]
+        if waiting or opened:
+            state.update((*([e[i] for e in waiting] for i in range(4)), [c[0] for c in opened], [c[1] for c in opened]))
+            next_ = min([e[0] // 1_000 + 1 for e in waiting] + [c[0] // 1_000 + span_ms + 1 for c in opened])
+            state.setTimeoutTimestamp(max(next_, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"id": pd.Series([c for c, _, _ in out], dtype="int64"), "dwell_ms": pd.array([d for _, d, _ in out], dtype="Int64"), "returned_at": pd.to_datetime(pd.Series([t for _, _, t in out], dtype="Int64"), unit="us")})
+
+    return step
+
+
+def close_sessions(clicks: DataFrame, returns: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(id, dwell_ms, returned_at, quality) of every click, once: when a return of its session (session_id, ts, dwell_ms) closes it, as behaviour.close_clicks has it, or half an hour later, still open. Clicks and returns may come in any order within the time that late allows; they are judged once the watermark has passed them. A timer lets open clicks go where nothing follows, so no session's state outlives its last click by more than half an hour and the delay.
+
+    Ids are numbers of 0 and more, and so are dwell times; rows without session or time go."""
+    c = clicks.select("session_id", F.col("clicked_at").alias("ts"), F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(-1).cast("long").alias("own"))
+    r = returns.select("session_id", "ts", F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("id"), F.coalesce(F.col("dwell_ms").cast("long"), F.lit(-1)).alias("own"))
+    events = c.unionByName(r).where("session_id is not null and ts is not null").withWatermark("ts", late)
+    state = "t array<long>, kind array<int>, id array<long>, own array<long>, open_t array<long>, open_id array<long>"
+    out = events.groupBy("session_id").applyInPandasWithState(_sessions(behaviour.SESSION_MINUTES * 60_000), "id long, dwell_ms long, returned_at timestamp", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("quality", behaviour.dwell_label(F.col("dwell_ms")))
+
+
 def journeys(votes: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(session_id, source_url, target_url): up-votes of a session within an hour of each other, as a join of the stream with itself."""
     up = votes.where("vote_type = 'up'")
@@ -151,3 +192,16 @@ def journeys(votes: DataFrame, late: str = "10 minutes") -> DataFrame:
 def moderate(messages: DataFrame, text: str = "body") -> DataFrame:
     """Messages with their spam and insult verdicts; no state."""
     return moderation.insult_check(moderation.text_spam(messages, text), text)
+
+
+def log_verdicts(messages: DataFrame, patterns: DataFrame, path: str, late: str = "1 hour", text: str = "body") -> DataStreamWriter:
+    """A writer, to be given a checkpoint location and started, that appends a row of the verdict log for every message (id, kind, scope, body, ts) to the table at path. A message with the same words as another one of its scope within late is dropped. Rules come first, then the pattern table, which is read anew in every batch.
+
+    Each batch is a folder of its own, batch=<number>, which a batch that is run again after a failure replaces. So the log holds each message once whatever happens between a write and the note that it is done. checked_at is the message's own time, which makes reruns equal."""
+    words = F.sha2(F.array_join(tokens(F.col(text)), " "), 256)
+    fresh = messages.withColumn("__words", words).withWatermark("ts", late).dropDuplicatesWithinWatermark(["scope", "__words"]).drop("__words")
+
+    def write(batch: DataFrame, number: int) -> None:
+        moderation.verdicts(moderation.first_verdict(batch, patterns, text), F.col("ts")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return fresh.writeStream.foreachBatch(write)
