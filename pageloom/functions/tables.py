@@ -19,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back, so that what uses it starts from a table that survives lost executors and not from its long plan. The table goes when the driver ends."""
+def materialised(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once to the shared folder, in a folder for each value of by if given, and read back, so that what uses it starts from a table that survives lost executors and not from its long plan. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -82,7 +82,7 @@ def expand_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def term_index(pages: DataFrame) -> DataFrame:
-    """(term, page_id, n_title, n_content): words of three characters and more with their counts in each page; this table is built once and joined by every query."""
+    """(term, page_id, n_title, n_content): words of three characters and more with their counts in each page. A plan that uses it several times stores it first."""
     said = pages.select("page_id", F.explode(tokens(F.col("content"))).alias("term"), F.lit(0).alias("t")).unionByName(pages.select("page_id", F.explode(tokens(F.col("title"))).alias("term"), F.lit(1).alias("t")))
     return said.where(F.length("term") > 2).groupBy("term", "page_id").agg(F.sum("t").alias("n_title"), F.count_if(F.col("t") == 0).alias("n_content"))
 
@@ -93,8 +93,8 @@ def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
     return terms.join(index, "term").select("query_id", "page_id").distinct()
 
 
-def score_relevance(queries: DataFrame, pages: DataFrame, index: DataFrame, as_of: str) -> DataFrame:
-    """(query_id, page_id, keyword, phrase, relevance): candidates with their relevance, 0 to 100.
+def score_relevance(queries: DataFrame, pages: DataFrame, index: DataFrame, as_of: str, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, page_id, keyword, phrase, relevance): candidates with their relevance, 0 to 100; of those in only (query_id, page_id), if given.
 
     queries have terms and intent. Counts of the terms in title and content come from the index, joined by term; only the phrase part reads texts, of pages that are candidates.
     """
@@ -105,6 +105,8 @@ def score_relevance(queries: DataFrame, pages: DataFrame, index: DataFrame, as_o
         F.count("*").alias("n_found"),
         F.count_if(F.col("n_title") > 0).alias("n_title"),
     )
+    if only is not None:
+        hits = hits.join(only, ["query_id", "page_id"], "left_semi")
     q = queries.select("query_id", F.trim(F.lower("query")).alias("q"), "terms", "intent")
     p = pages.select("page_id", F.lower("title").alias("title"), F.lower("content").alias("content"), "word_count", "published_at", "readability_score", "avg_word_length", "avg_sentence_length", "ctr", "dwell_ms", "comment_count", "has_table", "has_steps", "image_count", "video_count", "internal_link_density", "category")
     qp = hits.join(q, "query_id").join(p, "page_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.tables import materialised
 from pageloom.operators import links as L
 from pageloom.operators import page_scores as P
+from pageloom.operators import postings as P2
 from pageloom.operators import ranking as R
 from pageloom.operators.topics import PENALTIES, Topic, score_category_mismatch
 from pageloom.plans import pages as G
@@ -49,6 +50,12 @@ def candidate_pages(spark, d):
     return R.candidates(terms(spark, d), index(spark, d))
 
 
+def top_candidates(spark, d):
+    """The best forty pages for what users asked first in each conversation, and for the stated queries."""
+    both = asked(spark, d).select(F.concat(F.lit("c"), F.col("query_id").cast("string")).alias("query_id"), "terms").unionByName(terms(spark, d).select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), "terms"))
+    return P2.top_candidates(both, P2.stored_postings(index(spark, d), 512), 40)
+
+
 def keyword_filtered(spark, d):
     return R.keyword_filter(R.expand_terms(terms(spark, d), synonyms(spark)), index(spark, d))
 
@@ -61,7 +68,9 @@ def signals(spark, d):
     pages, votes = v.v_pages(spark, d), v.v_domain_votes(spark, d)
     scored = materialised(P.score_affiliate(P.score_ad_density(materialised(P.hard_block(P.score_spam(P.score_trust(pages))), "page-scores"), votes)), "scored-pages").drop("__pos", "__neg")
     q = R.named_brand(R.weights(terms(spark, d))).select("brand", "query_id", "query", "intent", "w_trust", "w_relevance", "w_quality")
-    rel = materialised(R.score_relevance(terms(spark, d), pages, index(spark, d), AS_OF).join(keyword_filtered(spark, d), ["query_id", "page_id"]), "relevance")
+    asked, terms_of_pages = materialised(R.expand_terms(terms(spark, d), synonyms(spark)), "asked"), materialised(index(spark, d), "term-index")
+    fit = materialised(R.keyword_filter(asked, terms_of_pages), "keyword-filtered")
+    rel = materialised(R.score_relevance(asked.drop("expanded"), pages, terms_of_pages, AS_OF, fit), "relevance")
     authority = L.domain_authority(v.v_edges(spark, d))
     pairs = rel.join(scored, "page_id").join(q, "query_id").withColumn("tags", F.lit(None).cast("array<string>"))
     fitting = score_category_mismatch(pairs, TOPICS).drop("tags", "topic", "mismatch_reason")
@@ -233,6 +242,10 @@ QUERIES = {
     "expanded_terms": (expanded_terms, ASKED + ",\n" + EXPANDED + " SELECT query_id, array_to_string(expanded, ' ') AS expanded FROM expanded"),
     "term_counts": (term_counts, SEARCH + " SELECT term, count(*) AS n_pages, CAST(sum(n_title) AS BIGINT) AS in_titles, CAST(sum(n_content) AS BIGINT) AS in_contents FROM idx GROUP BY term"),
     "candidate_pages": (candidate_pages, SEARCH + " SELECT DISTINCT query_id, page_id FROM (SELECT query_id, unnest(terms) AS term FROM terms) JOIN idx USING (term)"),
+    "top_candidates": (top_candidates, SEARCH + ",\n" + with_views("", "v_asked").rstrip().removeprefix("WITH ") + f""",
+      both_ AS (SELECT 'q' || query_id AS query_id, terms FROM terms UNION ALL SELECT 'c' || query_id, list_filter(list_filter(string_split_regex(trim(lower(query)), '\\s+'), lambda w: w <> ''), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)) FROM v_asked)
+      SELECT query_id, page_id, CAST(points AS INT) AS points, CAST(i AS INT) AS rank FROM (SELECT query_id, page_id, sum(CASE WHEN n_title > 0 THEN 20 ELSE 0 END + CASE WHEN n_content >= 2 THEN 5 ELSE 0 END) AS points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, page_id) AS i
+        FROM (SELECT query_id, unnest(list_distinct(terms)) AS term FROM both_) JOIN idx USING (term) GROUP BY 1, 2) WHERE i <= 40"""),
     "keyword_filtered": (keyword_filtered, SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + " SELECT * FROM filtered"),
     "relevance_scores": (relevance_scores, SEARCH + ",\n" + RELEVANCE + " SELECT * FROM rel"),
     "quality_signals": (quality_signals, RANKED + f" SELECT query_id, page_id, {', '.join(f's_{n}' for n in R.SIGNALS)}, round(quality, 6) AS quality FROM ranked"),
