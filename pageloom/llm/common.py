@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.tables import materialised as stored
 from pageloom.functions.tables import shared_dir
 
-__all__ = ["WORD", "Generations", "Roots", "bitmap", "by_group", "buffered", "in_blocks", "is_marked", "marked", "partitions", "shared_dir", "small_batches", "stored", "table"]
+__all__ = ["WORD", "Generations", "Roots", "bitmap", "by_group", "buffered", "in_blocks", "is_marked", "marked", "partitions", "shared_dir", "small_batches", "stored", "table", "unlike"]
 
 #: What separates words in every contract of this package, as a Java / RE2 character class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unlike(name: str, columns: list[str]) -> str:
+    """A column name made of name that none of columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Runs of equal keys in batches that are sorted by these keys; a run may span batches."""
     held: list[pd.DataFrame] = []

@@ -100,24 +100,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mix itself, with the columns of docs: rows of every whole epoch, those of the last one before the cut, and the row at the cut with the words up to it. Rows of size 0 are as often there as the rows around them.
 
-    The cut of a source is one place in the order (key, id, size, hash of the whole row) and the words up to it, so texts are not shuffled: the cuts, one for each source, are joined to them. Rows at that place are alike in all columns: one of them stands for as many copies as lie before the cut, and is cut itself.
+    The cut of a source is one place in the order (key, id, size, hash of the whole row) and the words up to it, so texts are not shuffled: the cuts, one for each source, are joined to them. Rows at that place are alike in all columns: one of them stands for as many copies as lie before the cut, and is cut itself. Columns of docs may have any names. Null ids, texts and sources, ties and repeated rows are treated as in mixed; an empty table gives an empty one.
     """
     seed, place = settings.get("seed", 1), ["key", "id", "size", "tie"]
     rows = mixed(docs, id_col, text_col, source_col, tie=row_hash(docs), **settings)
     at = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") >= F.col("rest"))
     cuts = rows.groupBy("source", "epochs").agg(F.min(F.when(at, F.struct(*place, "start", (F.col("rest") - F.col("start")).alias("words")))).alias("cut"))
-    cuts = stored(cuts.select(F.col("source").alias("__of"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut")), "cuts")
+    cuts = stored(cuts.select(F.col("source").alias("of"), F.col("epochs").alias("whole"), "cut"), "cuts")
     near = F.broadcast if cuts.count() <= BROADCAST_ROWS else lambda df: df
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__cut.{c}")) for c in place))
-    alike = rows.join(near(cuts.where("__cut is not null")), F.col("source").eqNullSafe(F.col("__of"))).where(same & (F.col("start") < F.col("__cut.start")))
-    alike = alike.groupBy(F.col("__of").alias("__s")).agg(F.count("*").alias("__n"))
-    cuts = stored(cuts.join(alike, F.col("__of").eqNullSafe(F.col("__s")), "left").select("__of", "__epochs", "__cut", F.coalesce("__n", F.lit(0)).alias("__earlier")), "cuts-of-rows")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"cut.{c}")) for c in place))
+    alike = rows.join(near(cuts.where("cut is not null")), F.col("source").eqNullSafe(F.col("of"))).where(same & (F.col("start") < F.col("cut.start")))
+    alike = alike.groupBy(F.col("of").alias("s")).agg(F.count("*").alias("n"))
+    cuts = stored(cuts.join(alike, F.col("of").eqNullSafe(F.col("s")), "left").select("of", "whole", "cut", F.coalesce("n", F.lit(0)).alias("earlier")), "cuts-of-rows")
     own = F.struct(hash_key(id_col, seed).alias("key"), F.col(id_col).alias("id"), words_in(text_col).alias("size"), row_hash(docs).alias("tie"))
-    joined = docs.withColumn("__own", own).join(near(cuts), F.col(source_col).eqNullSafe(F.col("__of")))
-    cut = F.when(F.col("__cut").isNotNull(), F.struct(*(F.col(f"__cut.{c}").alias(c) for c in place)))
-    before, here = F.coalesce(F.col("__own") < cut, F.lit(False)), F.coalesce(F.col("__own") == cut, F.lit(False))
-    whole = joined.withColumn("__n", F.explode(F.sequence(F.lit(0), F.col("__epochs") + F.when(before, 1).otherwise(0)))).where("__n > 0").select(docs.columns)
-    last = joined.where(here).groupBy("__of").agg(F.first(F.struct(*docs.columns)).alias("__row"), F.first("__earlier").alias("__earlier"), F.first("__cut.words").alias("__words"))
+    joined = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own"), F.col(source_col).alias("src")).join(near(cuts), F.col("src").eqNullSafe(F.col("of")))
+    cut = F.when(F.col("cut").isNotNull(), F.struct(*(F.col(f"cut.{c}").alias(c) for c in place)))
+    before, here = F.coalesce(F.col("own") < cut, F.lit(False)), F.coalesce(F.col("own") == cut, F.lit(False))
+    whole = joined.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("whole") + F.when(before, 1).otherwise(0)))).where("n > 0").select("row.*")
+    last = joined.where(here).groupBy("of").agg(F.first("row").alias("row"), F.first("earlier").alias("earlier"), F.first("cut.words").alias("words"))
     last = stored(last, "cut-rows")
 
     @F.pandas_udf("string")
@@ -125,7 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return pd.Series([re.match(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){%d}" % n, t)[0] if n else "" for t, n in zip(texts, words)])
 
     # Copies of a row are made in blocks, so that no task makes all of very many.
-    deal = last.where("__earlier > 0").withColumn("__b", F.explode(F.sequence(F.lit(0), F.expr("(__earlier - 1) div 1000")))).repartition(partitions(docs.sparkSession))
-    copies = deal.withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("__earlier") - F.col("__b") * 1000)))).select("__row.*")
-    some = last.select("__row.*", "__words").withColumn(text_col, head(F.col(text_col), F.col("__words"))).select(docs.columns)
+    deal = last.where("earlier > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.expr("(earlier - 1) div 1000")))).repartition(partitions(docs.sparkSession))
+    copies = deal.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("earlier") - F.col("b") * 1000)))).select("row.*")
+    field = F.col("row").getField
+    some = last.select(*((head(field(c), F.col("words")) if c == text_col else field(c)).alias(c) for c in docs.columns))
     return whole.unionByName(copies).unionByName(some)

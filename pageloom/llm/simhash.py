@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import MOST_BITS, Roots, bitmap, buffered, by_group, in_blocks, marked, partitions, stored
+from pageloom.llm.common import MOST_BITS, Roots, bitmap, buffered, by_group, in_blocks, marked, partitions, stored, unlike
 from pageloom.llm.components import components
 
 #: Fingerprints that fit the trees: one of SAMPLE_PART, between these two numbers (16 MB at most); every fingerprint is dealt by them. So trees have up to some 80,000 shards each.
@@ -164,21 +164,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id (of rows that repeat this id, one). Rows with null id are kept."""
-    groups = stored(simhash_groups(docs, id_col, text_col, width, bits), "groups")
-    ids = groups.select(F.col(id_col).alias("__id"), (F.col("component_id") == F.col(id_col)).alias("__first"))
-    drop = stored(ids.where("not __first").select("__id").distinct(), "dropped")
+    """docs with one row of each group of near-duplicates: the one with the smallest id (of rows that repeat this id, one). Rows with null id are kept. Null and empty texts are one group, ties can't arise but between rows that repeat an id. Other columns are kept, whatever their names; an empty table gives an empty one."""
+    groups = stored(simhash_groups(docs, id_col, text_col, width, bits).select(F.col(id_col).alias("id"), (F.col("component_id") == F.col(id_col)).alias("first")), "groups")
+    drop = stored(groups.where("not first").select("id").distinct(), "dropped")
     kept = without(docs, drop, id_col)
-    if ids.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty():
+    if groups.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
 
 
 def without(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is not in drop, a table of distinct ids __id."""
-    same = F.col(id_col) == F.col("__id")
+    """The rows of docs whose id is not in drop, a table of distinct ids id."""
+    other = unlike("dropped", docs.columns)
+    drop = drop.withColumnRenamed("id", other)
+    same = F.col(id_col) == F.col(other)
     if drop.count() <= BROADCAST_IDS:
         return docs.join(F.broadcast(drop), same, "left_anti")
     hash_ = lambda id_: F.xxhash64(id_, F.lit(5))
-    maybe = marked(bitmap(drop.select(hash_("__id").alias("h")), MOST_BITS), hash_(id_col))
+    maybe = marked(bitmap(drop.select(hash_(other).alias("h")), MOST_BITS), hash_(id_col))
     return docs.where(~maybe).unionByName(docs.where(maybe).join(drop, same, "left_anti"))

@@ -106,7 +106,7 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
         if rows:
             yield flush()
 
-    packed = stored(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(pack, "part int, number long, n_tokens int, doc_ids array<long>, tokens binary"), "sequences")
+    packed = stored(docs.select(F.col(id_col).try_cast("long"), F.col(text_col)).mapInArrow(pack, "part int, number long, n_tokens int, doc_ids array<long>, tokens binary"), "sequences")
     counts = packed.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(counts.select(F.col("part").alias("p"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "sequence-bases")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import subprocess
 import sys
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, decontaminate, mixing, pii, queries, token_count, token_store, toxicity
+from pageloom.llm import chat, decontaminate, mixing, pii, queries, simhash, token_count, token_store, toxicity
 from pageloom.llm.feistel import permute
 from tests.conftest import DATA
 
@@ -314,6 +315,72 @@ def test_every_overlap_that_counts_is_found():
     assert decontaminate.Index.of([(1, " ".join(fifth))]).search(" ".join("z" if k % 5 == 4 else w for k, w in enumerate(fifth))) == {1: 48}
 
 
+def test_masks_skip_positions_and_no_counting_overlap_escapes_them():
+    """All ways to place mismatches in the shortest stretches of every length up to 20 tokens, and, token by token, the fewest mismatches of any longer text that no mask of long items fits."""
+    fits = lambda same, mask: any(all(same[p + m] for m in mask) for p in range(len(same) - mask[-1]))
+    for masks in (decontaminate.SHORT_MASKS, decontaminate.LONG_MASKS):
+        assert all(mask[-1] + 1 > len(mask) for mask in masks)
+    for n in range(5, 21):
+        need = decontaminate.needed(n)
+        for size in range(need, n + 1):
+            for gone in combinations(range(size), size - need) if 5 * need >= 4 * size else ():
+                same = [k not in gone for k in range(size)]
+                assert any(fits(same, m) for m in decontaminate.masks_of(n)), (n, gone)
+    span = max(m[-1] for m in decontaminate.LONG_MASKS)
+    fewest = {(False,) * span: 0}
+    for size in range(1, 61):
+        longer = {}
+        for last, zeros in fewest.items():
+            for token in (False, True):
+                ending = (*last, token)
+                if not any(all(ending[span - m[-1] + k] for k in m) for m in decontaminate.LONG_MASKS):
+                    longer[ending[1:]] = min(longer.get(ending[1:], 99), zeros + (not token))
+        fewest = longer
+        zeros = min(fewest.values())
+        assert size - zeros < 13 or 5 * (size - zeros) < 4 * size
+
+
+@pytest.mark.parametrize("n", [16, 60, 200])
+def test_long_items_with_substitutions(n):
+    rng = np.random.default_rng(n)
+    for _ in range(60):
+        own = rng.choice([f"w{k}" for k in range(80)], n).tolist()
+        a = int(rng.integers(0, n - 15))
+        part = own[a : a + int(rng.integers(15, min(n - a, 45) + 1))]
+        part = ["zz" if rng.random() < 0.2 else w for w in part]
+        words = ["x"] * 5 + part + ["y"] * 5
+        want = plain_overlap(words, own)
+        assert decontaminate.Index.of([(1, " ".join(own))]).search(" ".join(words)) == ({1: want} if want >= 13 else {})
+
+
+def test_repeated_phrases_take_no_time():
+    index = decontaminate.Index.of([(i, "one two three four " * 15 + f"end{i}") for i in range(200)])
+    began = time.time()
+    assert index.search("one two three four " * 2_000) == dict.fromkeys(range(200), 60)
+    assert time.time() - began < 5  # 40 s before; more than the usual second, as other tests may run beside
+
+
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_TOKENS, 10])
+def test_leaks_with_text_ids_and_clashing_names(spark, most):
+    said = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([("a", said, 1, 2), ("b", "other", 3, 4)], "doc_id string, text string, __key int, overlaps_ int")
+    bench = spark.createDataFrame([("q1", said), ("q2", said + " more")], "item_id string, text string")
+    got = {r.doc_id: ([tuple(o) for o in r.overlaps], r["__key"]) for r in decontaminate.with_overlaps(docs, bench, most=most).collect()}
+    assert got == {"a": ([("q1", 20), ("q2", 20)], 1), "b": ([], 3)}
+    assert decontaminate.clean(docs.withColumnRenamed("__key", "overlaps"), bench).columns == ["doc_id", "text", "overlaps", "overlaps_"]
+
+
+def test_stages_keep_columns_of_any_name_and_ids_that_are_no_numbers(spark):
+    names = "__id __of __cut __own __n row own first n".split()
+    docs = spark.createDataFrame([(str(i) if i else "x", f"text {i % 3} " * 20, "s", *([i] * len(names))) for i in range(9)], "doc_id string, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == 3
+    numbered = docs.withColumn("doc_id", F.try_to_number("doc_id", F.lit("9")).cast("long"))
+    mixed = mixing.mix(numbered)
+    assert mixed.columns == docs.columns and mixed.count() == 9
+    assert {i for r in token_store.shards_of(spark, docs).collect() for i in r.doc_ids} == {None, *range(1, 9)}
+
+
 def overlap_table(rng, n_items, n_docs):
     """Items of 3 to 40 tokens and documents that hold some of them with substitutions, beside filler of few words."""
     words = [f"w{i}" for i in range(60)]
