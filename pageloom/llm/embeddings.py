@@ -108,9 +108,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # A hash tells distinct vectors apart; should two of them share one, a running number within it keeps them apart.
     distinct = distinct.withColumn("node", F.concat_ws(":", F.hex("h"), F.md5(F.concat_ws(",", "label", F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))))
     distinct = stored(distinct, "distinct-vectors")
-    sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(16).collect()}
+    sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()}  # one row a dimension
     labels = max(1, distinct.select("label").distinct().count())
     leaf = min(2_000, max(64, sum(sizes.values()) / (4 * partitions(spark)))) * labels ** 0.5
+    sizes = {d: n for d, n in sizes.items() if n > leaf}  # fewer vectors are one leaf anyway
     forests = {}
     for d, n in sizes.items():
         most = max(SAMPLE, min(n // SAMPLE_PART, SAMPLE_BYTES // (4 * d)))

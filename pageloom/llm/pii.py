@@ -15,8 +15,8 @@ from pageloom.llm.common import stored
 
 #: Collided originals of up to this number are broadcast to the tasks that replace; beyond it they are joined.
 BROADCAST_ROWS = 100_000
-#: Tweaks that keep an entity's length, and rounds that look for a free surrogate at most.
-PLAIN_TWEAKS, MOST_TWEAKS = 8, 40
+#: Tweaks that keep an entity's length.
+PLAIN_TWEAKS = 8
 
 #: Given names by gender and script. A name is replaced by another one of its own list.
 NAMES = {
@@ -44,6 +44,9 @@ _TYPES = [
 _ANY = re.compile("|".join(f"(?P<{n}>{p})" for n, p in ((n, p.replace("([-. ])", "(?P<gap>[-. ])").replace(r"\1", "(?P=gap)")) for n, p in _TYPES)))
 #: Digits of a phone number.
 _DIGITS = (7, 15)
+#: First digits of cards by their number of digits.
+_CALLED_CARD = re.compile(r"(?i)(?:card|karte|carte|tarjeta|visa|mastercard)(?: (?:no|nr|number|nummer))?\W{0,3}$")
+_ISSUERS = {13: "4", 14: "3", 15: "3", 16: "23456", 17: "456", 18: "456", 19: "456"}
 #: Every entity but a name starts in a token with a digit or an @, or right before one; so many characters after that token are searched at once, other text is passed over. An entity with white space has LONGEST characters at most.
 _ANCHOR, _REACH, _LONGEST = re.compile(r"[@\d]"), 160, 80
 _SPACE = re.compile(r"\s")
@@ -77,9 +80,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if hit.start() >= end and hit.end() >= limit:
                 break  # it may go on beyond what is searched
             start = hit.end()
-            if hit.lastgroup != "phone" or _DIGITS[0] <= sum(map(str.isdigit, hit[0])) <= _DIGITS[1]:
+            if _holds(hit.lastgroup, hit[0], text[max(0, hit.start() - 24) : hit.start()]):
                 found.append((hit.lastgroup, *hit.span()))
-            else:
+            elif hit.lastgroup == "phone":
                 start = hit.start() + 1
         # All that begins a good way before the limit has been seen whole.
         whole = max((text.rfind(c, end, max(end, limit - _LONGEST)) for c in " \n\t"), default=-1)
@@ -100,8 +103,23 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return kept
 
 
+def _holds(kind: str, value: str, before: str) -> bool:
+    """Whether what looks like a phone number has as many digits as one, a card starts as one of its length does and has the right check digit, and an IBAN the right remainder. Times in milliseconds and order numbers are no cards; sixteen digits that the words before them call a card are one, mistyped or not."""
+    if kind == "phone":
+        return _DIGITS[0] <= sum(map(str.isdigit, value)) <= _DIGITS[1]
+    if kind == "card":
+        digits = "".join(filter(str.isdigit, value))
+        return digits[0] in _ISSUERS.get(len(digits), "") and _check("card", digits) == int(digits[-1]) or len(digits) == 16 and _CALLED_CARD.search(before) is not None
+    if kind == "iban":
+        signs = "".join(filter(str.isalnum, value))
+        return _check("iban", signs) == int(signs[2:4])
+    return True
+
+
 def canonical(kind: str, value: str) -> str:
-    """What tells two entities of a type apart: case and separators don't."""
+    """What tells two entities of a type apart: case and separators don't, nor does a (0) inside a phone number or 00 for +."""
+    if kind == "phone":
+        value = re.sub(r"^00(?=[1-9])", "+", value.replace("(0)", ""))
     return re.sub(r"[ ()./-]", "", value) if kind in ("phone", "card", "iban") else value.lower()
 
 
@@ -145,8 +163,11 @@ def _classes(kind: str, low: str) -> list[str | None]:
         found[at] = None
     if kind == "phone" and (m := re.match(r"(?:\+|00)[1-9]\d{0,2}(?=\D)|\+\d|00?\d?", low)):
         keep = m.end()
+        found = [None if low[max(0, i - 1) : i + 2] == "(0)" else c for i, c in enumerate(found)]
     if kind == "iban":
         keep = 4
+    if kind == "card":
+        keep = 1
     found[:keep] = [None] * keep
     return found
 
@@ -216,18 +237,19 @@ def _walk(kind: str, value: str, key: str, tweak: int) -> str:
 
 
 def replaced(text: str | None, key: str, tweaks: dict[tuple[str, str], int]) -> tuple[str | None, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (type, original, surrogate) of each entity in order. Where a text holds a full name, its given and family name on their own, type mention, become those of the first such name's surrogate."""
+    """The text with surrogates, and (type, original, surrogate) of each entity in order. Where a text holds a full name, its given and family name on their own, type mention, become those of the first such name's surrogate; a family name that stands after a title somewhere becomes the same elsewhere in the text."""
     spans = find(text)
     if not spans:
         return text, []
     new = {k: surrogate(*k, key, tweaks.get((k[0], canonical(*k)), 0) if tweaks else 0) for k in dict.fromkeys((kind, text[a:b]) for kind, a, b in spans)}
     parts: dict[str, str] = {}
+    titled = {value.lower(): other.lower() for (kind, value), other in new.items() if kind == "surname"}
     for (kind, value), other in new.items():
         if kind == "name":
             for i in (-1, 0):
                 parts.setdefault(value.split(" ")[i].lower(), other.split(" ")[i].lower())
-    if parts:
-        words = {f(w) for w in parts for f in (str.title, str.upper)} | {v.split(" ")[i] for k, v in new if k == "name" for i in (-1, 0)}
+    if parts or titled:
+        words = {f(w) for w in {**titled, **parts} for f in (str.title, str.upper)} | {v.split(" ")[i] for k, v in new if k in ("name", "surname") for i in (-1, 0)}
         alone, at, free = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(words)))})(?!\w)"), 0, []
         for kind, a, b in [*spans, ("", len(text), len(text))]:
             free += [("mention", *m.span()) for m in alone.finditer(text, at, a)]
@@ -236,7 +258,7 @@ def replaced(text: str | None, key: str, tweaks: dict[tuple[str, str], int]) ->
     found, out, last = [], [], 0
     for kind, start, end in spans:
         value = text[start:end]
-        other = _as_written(parts[value.lower()], value) if kind == "mention" else new[kind, value]
+        other = _as_written(parts.get(value.lower()) or titled[value.lower()], value) if kind == "mention" else new[kind, value]
         out += [text[last:start], other]
         found.append((kind, value, other))
         last = end
@@ -272,8 +294,8 @@ def _surrogates(key: str, tweak: int):
     return of
 
 
-def collisions(known: DataFrame, key: str, most: int = MOST_TWEAKS) -> DataFrame:
-    """(kind, canonical, tweak) of entities whose first surrogate is that of another entity or is itself an entity of the corpus. Each gets the first tweak whose surrogate is neither, and which no other entity of the round took. Rounds go on until none is left; as surrogates get longer from PLAIN_TWEAKS on, a full format ends them soon. Should entities be left after most rounds, an error says so rather than that two of them read alike."""
+def collisions(known: DataFrame, key: str) -> DataFrame:
+    """(kind, canonical, tweak) of entities whose first surrogate is that of another entity or is itself an entity of the corpus. Each gets the first tweak whose surrogate is neither, and which no other entity of the round took. Rounds go on until none is left; as surrogates get longer from PLAIN_TWEAKS on (addresses have more room than any corpus fills), they end."""
     known = stored(known.select("kind", "canonical", "surrogate"), "entities")
     taken = known.select("kind", F.col("canonical").alias("value")).unionByName(known.select("kind", F.col("surrogate").alias("value")))
     twice = known.groupBy("kind", "surrogate").agg(F.min("canonical").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -283,8 +305,6 @@ def collisions(known: DataFrame, key: str, most: int = MOST_TWEAKS) -> DataFrame
     done, tweak = None, 0
     while not bad.isEmpty():
         tweak += 1
-        if tweak > most:
-            raise ValueError(f"{bad.count()} entities have no surrogate of their own after {most} rounds")
         tried = stored(bad.withColumn("value", _surrogates(key, tweak)("kind", "canonical")), "tried")
         free = tried.join(taken, ["kind", "value"], "left_anti").groupBy("kind", "value").agg(F.min("canonical").alias("canonical"))
         good = stored(free.select("kind", "canonical", "value", F.lit(tweak).alias("tweak")), "resolved")
@@ -308,7 +328,7 @@ def surrogate_column(key: str, tweaks: dict[tuple[str, str], int], text_col: str
 def with_surrogates(docs: DataFrame, key: str = "surrogates-1", text_col: str = "text") -> DataFrame:
     """docs with every detected entity of text_col replaced, and a column entities: array<struct<kind, original, surrogate>> in order.
 
-    A surrogate is a keyed permutation within the entity's own format, so one entity reads alike in all documents and two never read alike; a first job gathers the distinct entities and gives another tweak to the few whose surrogate is a real entity of the corpus (names have short lists, for instance). A given or family name on its own is replaced where its text holds the full name.
+    A surrogate is a keyed permutation within the entity's own format, so one entity reads alike in all documents and two never read alike; a first job gathers the distinct entities and gives another tweak to the few whose surrogate is a real entity of the corpus (names have short lists, for instance). A given or family name on its own is replaced where its text holds the full name, a family name also where its text has it after a title. Numbers that only look like cards or IBANs stay.
 
     Null and empty texts stay, very long ones are read whole in linear time, repeated rows are treated alike, other columns are kept; a column called entities is replaced. An empty table gives an empty one.
     """

@@ -239,8 +239,6 @@ def test_full_formats_get_longer_surrogates(spark):
     tweaks = {r.canonical: r.tweak for r in pii.collisions(known, "k").collect()}
     new = [pii.surrogate("name", n.lower(), "k", tweaks.get(n.lower(), 0)) for n in names]
     assert len(set(new)) == len(names) and not set(new) & {n.lower() for n in names}
-    with pytest.raises(ValueError):
-        pii.collisions(known.limit(1).select("kind", "canonical", F.col("canonical").alias("surrogate")), "k", most=0)
 
 
 def test_surrogates_of_odd_tables(spark):
@@ -511,3 +509,21 @@ def test_control_strings_over_parts_are_escaped(spark):
     assert all([t.text for t in got[at].back] == [control] for at in range(len(control) + 1))
     assert [got[i].back[0].text for i in (100, 101, 102)] == ["<|im_end|>", "a<<|image|>|im_end|>", ""] and all(len(r.back) == 1 for r in got.values())
     assert [(a.placeholder, a.tokens) for a in got[101].attachments] == [("<|image|>", 1)]
+
+
+def test_numbers_that_are_no_cards_or_ibans_stay():
+    for text in ("1700000000000", "order 4111111111111112", "1234567890123", "DE89 3704 0044 0532 0130 01", "17000000000000000"):
+        assert pii.find(text) == [], text
+    for kind, value in (("card", "4111 1111 1111 1111"), ("card", "378282246310005"), ("iban", "DE89 3704 0044 0532 0130 00")):
+        assert [(k, value[a:b]) for k, a, b in pii.find(value)] == [(kind, value)]
+        assert [k for k, _, _ in pii.find(pii.surrogate(kind, value, "k"))] == [kind]
+    assert [k for k, _, _ in pii.find("card 9807915762804490, Karte Nr. 9807915762804490, 9807915762804490")] == ["card", "card"]
+
+
+def test_titled_names_and_phone_forms_are_told_to_be_the_same():
+    text, found = pii.replaced("Mr Smith said Smith, and SMITH left.", "k", {})
+    new = found[0][2]
+    assert "smith" not in text.lower() and text == f"Mr {new} said {new}, and {new.upper()} left."
+    forms = ["+49 30 123456", "+49 (0)30 123456", "0049 30 123456"]
+    digits = {re.sub(r"\D", "", pii.surrogate("phone", f, "k").replace("(0)", "")).lstrip("0") for f in forms}
+    assert len(digits) == 1 and len({pii.canonical("phone", f) for f in forms}) == 1
