@@ -132,17 +132,3 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key: an upsert of appended rows."""
     newest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
     return rows.withColumn("__i", F.row_number().over(newest)).where("__i = 1").drop("__i")
-
-
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Appends votes, clicks, impressions, reports or answers to a table."""
-    rows.write.mode("append").parquet(path)
-
-
-def publish(rows: DataFrame, path: str) -> None:
-    """Rebuilds a derived table. rows must not read the table itself."""
-    rows.write.mode("overwrite").parquet(path)
-
-
-def export_events(events: DataFrame, path: str) -> None:
-    events.write.mode("overwrite").json(path)

@@ -99,10 +99,6 @@ def quality_bonus(quality: DataFrame, deviation: DataFrame) -> DataFrame:
     return quality.join(deviation, "url", "left").select("url", "domain", (visits + rate).alias("bonus"))
 
 
-def quality_lookup(bonus: DataFrame) -> DataFrame:
-    return bonus.where("bonus <> 0").select("url", "bonus")
-
-
 def fresh_bonuses(quality: DataFrame, as_of: str, days: int = 2) -> DataFrame:
     """(url, bonus) of urls whose bonus isn't zero and was renewed in the last days; quality has url, bonus and updated_at."""
     return quality.where((F.col("bonus") != 0) & (F.col("updated_at") >= F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {days} days"))).select("url", "bonus")

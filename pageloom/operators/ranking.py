@@ -323,3 +323,9 @@ def semantic_scores(query_vectors: DataFrame, page_vectors: DataFrame, block: in
     s = reduce(DataFrame.unionByName, parts).select("query_id", "page_id", dot.alias("s"))
     score = F.when(F.col("s") >= 0.65, (F.col("s") - 0.65) / 0.35).otherwise(F.greatest(F.lit(0.1), F.col("s") / 0.65 * 0.5))
     return s.select("query_id", "page_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))
+
+
+def semantic_top(query_vectors: DataFrame, page_vectors: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, page_id, score, rank): the n best pages for each query by semantic_scores, equal ones by page_id. Every task keeps n rows of a query before anything is shuffled."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id")
+    return semantic_scores(query_vectors, page_vectors).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

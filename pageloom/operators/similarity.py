@@ -37,10 +37,6 @@ def word_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), signed.alias("simhash"), "simhash_hex")
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def near_hashes(hashes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(hash_a, hash_b, distance) of distinct fingerprints within bits of each other; zero never matches. Of bits + 2 blocks at least two are equal, so pairs of blocks are joined, about 16 bits together; a pair of fingerprints is taken at its first two equal blocks only."""
     n = bits + 2
@@ -181,8 +177,10 @@ def autocorrect(suggestions: DataFrame) -> DataFrame:
 def match_score(query: Column, text: Column) -> Column:
     """100 equal, 90 prefix, 80 prefix of a word, 60 contained, 30 its letters in order, else 0."""
     q, t = F.lower(F.trim(query)), F.lower(F.trim(text))
-    letters = F.array_join(F.transform(F.filter(F.split(q, ""), lambda c: c != ""), lambda c: F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")), ".*")
-    return F.when(q == "", 0).when(t == q, 100).when(t.startswith(q), 90).when(F.exists(F.split(t, r"\s+"), lambda w: w.startswith(q)), 80).when(F.contains(t, q), 60).when(F.regexp_like(t, letters), 30).otherwise(0)
+    # From letter to letter, the place after its first occurrence behind the last one; 0 once there is none.
+    after = lambda at, c: F.when(at == 0, 0).otherwise(F.coalesce(F.nullif(F.position(c, t, at), F.lit(0)) + 1, F.lit(0)))
+    in_order = F.aggregate(F.filter(F.split(q, ""), lambda c: c != ""), F.lit(1), after) > 0
+    return F.when(q == "", 0).when(t == q, 100).when(t.startswith(q), 90).when(F.exists(F.split(t, r"\s+"), lambda w: w.startswith(q)), 80).when(F.contains(t, q), 60).when(in_order, 30).otherwise(0)
 
 
 def changed_documents(pages: DataFrame, known: DataFrame) -> DataFrame:

@@ -131,6 +131,11 @@ def semantic_scores(spark, d):
     return R.semantic_scores(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("page_id"), "embedding"))
 
 
+def semantic_top(spark, d):
+    e = v.read(spark, d, "embeddings")
+    return R.semantic_top(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("page_id"), "embedding"))
+
+
 def brand_queries(spark, d):
     return R.detect_brand(v.v_queries(spark, d), ranking(spark, d))
 
@@ -233,6 +238,9 @@ brands AS (SELECT query_id, coalesce(named_, site, CASE WHEN word THEN family EN
   FROM (SELECT query_id, family, nullif(regexp_extract(lower(query), '([a-z0-9-]+\.(?:de|com|org|net|at|ch|io|eu|gov|edu))(?:[^a-z0-9_]|$)', 1), '') AS named_, CASE WHEN starts_with(query, 'site:') THEN regexp_extract(query, '^site:\s*([^\s/]+)', 1) END AS site,
     total >= 5 AND length(split_part(family, '.', 1)) >= 3 AND n >= 5 AND list_contains(string_split(lower(query), ' '), split_part(family, '.', 1)) AS word FROM v_queries LEFT JOIN families USING (query_id)))""".replace("\\\\", "\\")
 
+SEMANTIC = """SELECT query_id, page_id, round(greatest(0, least(1, CASE WHEN s >= 0.65 THEN (s - CAST(0.65 AS DOUBLE)) / CAST(0.35 AS DOUBLE) ELSE greatest(CAST(0.1 AS DOUBLE), s / CAST(0.65 AS DOUBLE) * CAST(0.5 AS DOUBLE)) END)), 4) AS score
+      FROM (SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(p.embedding[i] AS DOUBLE))) AS s FROM embeddings q JOIN embeddings p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id)"""
+
 QUERIES = {
     "query_profiles": (query_profiles, ASKED + f"""
       SELECT *, 100 - w_trust - w_relevance AS w_quality FROM (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust,
@@ -268,6 +276,6 @@ QUERIES = {
     "first_page": (first_page, RANKED + """ SELECT query_id, CAST(rank AS INT) AS rank, url, CASE WHEN len(list_filter(terms, lambda t: length(t) > 2)) > 0 THEN regexp_replace(title, '(' || array_to_string(list_filter(terms, lambda t: length(t) > 2), '|') || ')', '<mark>\\1</mark>', 'gi') ELSE title END AS marked_title FROM ranked JOIN (SELECT query_id, terms FROM terms) USING (query_id) WHERE rank <= 10"""),
     "brand_queries": (brand_queries, RANKED + ", " + BRANDS + " SELECT * FROM brands"),
     "category_mismatches": (category_mismatches, MISMATCHES),
-    "semantic_scores": (semantic_scores, """SELECT query_id, page_id, round(greatest(0, least(1, CASE WHEN s >= 0.65 THEN (s - CAST(0.65 AS DOUBLE)) / CAST(0.35 AS DOUBLE) ELSE greatest(CAST(0.1 AS DOUBLE), s / CAST(0.65 AS DOUBLE) * CAST(0.5 AS DOUBLE)) END)), 4) AS score
-      FROM (SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(p.embedding[i] AS DOUBLE))) AS s FROM embeddings q JOIN embeddings p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id)"""),
+    "semantic_scores": (semantic_scores, SEMANTIC),
+    "semantic_top": (semantic_top, f"SELECT query_id, page_id, score, CAST(i AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS i FROM ({SEMANTIC})) WHERE i <= 10"),
 }

@@ -26,7 +26,7 @@ def test_closing_clicks(spark):
     clicks = spark.createDataFrame([(1, "s", at(0)), (2, "s", at(5)), (3, "t", at(0)), (4, "u", at(0))], "id long, session_id string, clicked_at timestamp")
     returns = spark.createDataFrame([("s", at(6), None), ("s", at(7), 9), ("t", at(31), None), ("u", at(30), 77), ("x", at(1), 5)], "session_id string, ts timestamp, dwell_ms long")
     got = {r.id: r.dwell_ms for r in behaviour.close_clicks(clicks, returns).collect()}
-    assert got == {1: None, 2: 60_000, 3: None, 4: 77}
+    assert got == {1: 9, 2: 60_000, 3: None, 4: 77}  # the second return finds click 2 closed and closes click 1, which is open and seven minutes old
 
 
 def test_hard_block_limits(spark):
@@ -55,7 +55,7 @@ def test_weight_tiers(spark):
     assert [r[0] for r in df.collect()] == [0, 0.1, 0.1, 0.25, 0.25, 0.5, 0.5, 0.75, 0.75, 1.0]
 
 
-def test_diversity_is_a_pass_down_the_list(spark):
+def test_diversity_of_families_by_hand(spark):
     urls = [f"https://{d}/{i}" for i, d in enumerate(["a.com"] * 6 + ["b.com"] * 3 + ["x.com", "twitter.com", "c.co.uk", "www.c.co.uk"] + ["d.com"] * 4 + ["a.com"] * 3)]
     df = spark.createDataFrame([(1, "GENERAL", u, 100 - i) for i, u in enumerate(urls)], "query_id long, intent string, url string, final_score int")
     got = [r.url for r in ranking.diversify(df.withColumn("rank", F.lit(0))).orderBy("rank").collect()]
@@ -221,3 +221,9 @@ def test_sinks(spark, tmp_path):
     got = sinks.ingest_answers(raw, spark.createDataFrame([("was?",)], "question string")).collect()
     assert [(r.question, r.answer, r.source) for r in got] == [("wie?", "y", None)]
     assert sinks.ingest_votes(spark.createDataFrame([("s", "u", "up", 1), ("", "u", "up", 1), ("s", None, "up", 1), ("s", "u", "sideways", 1)], "session_id string, url string, vote_type string, ts int")).count() == 1
+
+
+def test_letters_in_order_take_linear_time(spark):
+    rows = [("abc", "a-b-c"), ("abc", "acb"), ("aab", "ab"), ("a.c", "a.xc"), ("a.c", "abc"), ("aaaaaaaaab", "a" * 5_000), ("ba", "ab"), ("", "x")]
+    df = spark.createDataFrame(rows, "q string, t string")
+    assert [r[0] for r in df.select(similarity.match_score(F.col("q"), F.col("t"))).collect()] == [30, 0, 0, 30, 0, 0, 0, 0]
