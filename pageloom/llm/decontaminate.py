@@ -21,6 +21,8 @@ from pageloom.llm.common import bitmap, is_marked, marked, stored, unlike
 #: Token positions that each mask compares; every mask ignores some. Items of up to SHORT tokens have the first two, longer ones the other three. No overlap that counts escapes the masks of its item (tests go through all ways to place mismatches).
 SHORT_MASKS, LONG_MASKS = ((0, 1, 2, 4), (0, 3, 4, 5)), ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 2, 4, 5, 6, 7))
 SHORT = 15
+#: Tokens that a mask spans at most.
+SPAN = 1 + max(m[-1] for m in (*SHORT_MASKS, *LONG_MASKS))
 #: An overlap counts with so many matching tokens, or all but the allowed substitutions of a shorter item; of its length, so large a part must match.
 OVERLAP, SIMILARITY = 13, 0.8
 #: Items with fewer tokens are too short to tell and never match.
@@ -63,6 +65,7 @@ class Seeds:
     item: np.ndarray
     starts: np.ndarray
     place: np.ndarray
+    marks: np.ndarray  # whether some hash ends in these bits
 
     @classmethod
     def of(cls, mask: tuple, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Seeds:
@@ -71,7 +74,17 @@ class Seeds:
         h, item, place = h[order], item[order], place[order]
         group = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])]) if len(h) else order
         first = np.flatnonzero(np.r_[True, h[group][1:] != h[group][:-1]]) if len(h) else order
-        return cls(mask, h[group][first], np.r_[first, len(group)], item[group], np.r_[group, len(h)], place)
+        marks = np.zeros(1 << 20, bool)
+        marks[h & np.uint64(len(marks) - 1)] = True
+        return cls(mask, h[group][first], np.r_[first, len(group)], item[group], np.r_[group, len(h)], place, marks)
+
+    def met(self, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the windows whose tokens are all known and whose hash may be one of these."""
+        n = len(ids) - self.mask[-1]
+        at = np.flatnonzero(reduce(np.logical_and, (known[m : m + n] for m in self.mask))) if n > 0 else np.zeros(0, np.int64)
+        h = _hashes(ids, self.mask, at)
+        hit = self.marks[h & np.uint64(len(self.marks) - 1)]
+        return at[hit], h[hit]
 
 
 @dataclass
@@ -105,11 +118,9 @@ class Index:
         """(item, shift) of all diagonals with an equal seed; for an item that has very many pairs of equal seeds, all diagonals with enough equal tokens."""
         known, width, met, pairs = ids > 0, len(ids) + self.starts[-1] + 1, [], np.zeros(len(self.items), np.int64)
         for s in self.seeds:
-            n = len(ids) - s.mask[-1]
-            at = np.flatnonzero(reduce(np.logical_and, (known[m : m + n] for m in s.mask))) if n > 0 else np.zeros(0, np.int64)
+            at, h = s.met(ids, known)
             if not len(at):
                 continue
-            h = _hashes(ids, s.mask, at)
             slot = np.minimum(np.searchsorted(s.hashes, h), len(s.hashes) - 1)
             hit = s.hashes[slot] == h
             at, slot = at[hit], slot[hit]
@@ -139,11 +150,30 @@ class Index:
         item, shift = np.divmod(np.unique(np.concatenate(keys)), width)
         return item, shift - self.starts[-1]
 
+    def search_all(self, texts: list[str | None]) -> list[dict[object, int]]:
+        """The result of search for each text. Windows of many texts are hashed at once, and only texts with a hash of an item are looked at one by one."""
+        out: list[dict[object, int]] = [{} for _ in texts]
+        number, gap = self.vocabulary.get, np.zeros(SPAN, np.int64)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            words = tokens(text)
+            held.append((i, np.array([number(w, 0) for w in words], np.int64)))
+            size += len(words) + SPAN
+            if size >= CHUNK or i == len(texts) - 1:
+                ids = np.concatenate([x for _, own in held for x in (own, gap)])
+                ends = np.cumsum([len(own) + SPAN for _, own in held])
+                known = ids > 0
+                hits = [np.unique(np.searchsorted(ends, s.met(ids, known)[0], "right")) for s in self.seeds]
+                for k in np.unique(np.concatenate([np.zeros(0, np.int64), *hits])):
+                    out[held[k][0]] = self.search_ids(held[k][1])
+                held, size = [], 0
+        return out
+
     def search(self, text: str | None) -> dict[object, int]:
         """Item id -> matching tokens of its longest verified overlap with the whole text."""
-        number = self.vocabulary.get
-        words = tokens(text)
-        ids = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
+        return self.search_all([text])[0]
+
+    def search_ids(self, ids: np.ndarray) -> dict[object, int]:
         item, shift = self.diagonals(ids)
         start, end = np.maximum(0, -shift), np.minimum(np.diff(self.starts)[item], len(ids) - shift)
         best: dict[object, int] = {}
@@ -223,7 +253,7 @@ def broadcast_overlaps(docs: DataFrame, rows: DataFrame, text_col: str) -> Colum
 
     @F.pandas_udf(_found(rows))
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item": i, "matched": n} for i, n in sorted(shared.value.search(t).items())] for t in texts])
+        return pd.Series([[{"item": i, "matched": n} for i, n in sorted(found.items())] for found in shared.value.search_all(texts.tolist())])
 
     return of(F.col(text_col))
 
