@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.tables import materialised
+
 from pageloom.functions.columns import tokens, yes
 
 # Parameters that only track, by name or by prefix.
@@ -175,3 +177,17 @@ def top_facts_per_domain(facts: DataFrame, n: int = 10, each: int = 7) -> DataFr
 def sample_rows(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """n rows in a seeded random order of their ids."""
     return rows.orderBy(F.md5(F.concat_ws(" ", F.col(id_col), F.lit(seed))), id_col).limit(n)
+
+
+def sample_news(rows: DataFrame, n: int, seed: int, as_of: str, day: int = 24, week: int = 168) -> DataFrame:
+    """n rows (url, fact_id, ts), one a url, in a seeded random order: of the last day, or of the last week where the day has fewer than n urls. Each url stands with its first row in that order."""
+    key = F.md5(F.concat_ws(" ", "fact_id", F.lit(seed)))
+    now = F.to_timestamp(F.lit(as_of))
+
+    def drawn(hours: int) -> DataFrame:
+        recent = rows.where((F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours))) & F.col("url").isNotNull())
+        one = recent.groupBy("url").agg(F.min(F.struct(key.alias("key"), "fact_id", "ts")).alias("r"))
+        return one.orderBy("r.key", "r.fact_id").limit(n).select("url", "r.fact_id", "r.ts")
+
+    fresh = materialised(drawn(day), "fresh-news")
+    return fresh if fresh.count() == n else drawn(week)

@@ -190,6 +190,13 @@ def changed_documents(pages: DataFrame, known: DataFrame) -> DataFrame:
     return now.join(old, "url", "left").where(~F.col("text_hash").eqNullSafe(F.col("old_hash"))).select("url", "text_hash")
 
 
+def missing_embeddings(pages: DataFrame, known: DataFrame, n: int = 200) -> DataFrame:
+    """(url, crawled_at) of the n pages crawled last, ties by url and unknown times last, that have no embedding yet and more than 50 characters of title and content; known has url. The order of a nightly batch: each run takes the next n."""
+    text = F.length(F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    new = pages.where(text > MIN_EMBEDDED).join(known.select("url").distinct(), "url", "left_anti")
+    return new.orderBy(F.desc_nulls_last("crawled_at"), "url").limit(n).select("url", "crawled_at")
+
+
 def embed(pages: DataFrame, encode: Callable[[list[str]], list[list[float]]], id_col: str = "url", text: str = "content") -> DataFrame:
     """(id, embedding) of the texts of more than 50 characters: encode is the caller's model, called in tasks on a batch of texts at a time; it gives one vector a text. Null and shorter texts have no row."""
     rows = pages.where(F.length(text) > MIN_EMBEDDED).select(F.col(id_col).alias("id"), F.col(text).alias("text"))

@@ -153,10 +153,10 @@ def vote_totals(votes: DataFrame) -> DataFrame:
 
 
 def user_interests(votes: DataFrame, n: int = 100) -> DataFrame:
-    """(user_id, domain, times) over each user's n newest positive votes."""
+    """(user_id, domain, times) over each user's n newest positive votes; by category too where votes have it."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     liked = votes.where("value = 1").withColumn("i", F.row_number().over(newest)).where(F.col("i") <= n)
-    return liked.groupBy("user_id", "domain").agg(F.count("*").alias("times"))
+    return liked.groupBy("user_id", "domain", *(c for c in ("category",) if c in votes.columns)).agg(F.count("*").alias("times"))
 
 
 def ban_tiers(violations: DataFrame, limits: tuple = (3, 5, 10)) -> DataFrame:

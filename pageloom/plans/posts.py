@@ -240,6 +240,15 @@ def sampled_facts(spark, d):
     return L.sample_rows(facts(spark, d).where("class = 'summary'"), "fact_id", 25, 7).select("fact_id")
 
 
+def sampled_news(spark, d):
+    return L.sample_news(facts(spark, d).where("class = 'summary'"), 25, 7, AS_OF).select("url", "fact_id")
+
+
+def missing_embeddings(spark, d):
+    pages = v.v_pages(spark, d).withColumn("crawled_at", F.col("published_at"))
+    return S.missing_embeddings(pages, pages.where("page_id % 3 > 0").select("url"), 100)
+
+
 def _posts(sql: str) -> str:
     return with_views(sql, "v_posts")
 
@@ -377,5 +386,9 @@ QUERIES = {
     "top_facts": (top_facts, "WITH " + FACTS + """, u AS (SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY max(ts) DESC NULLS LAST, url) AS u FROM facts GROUP BY host, url) WHERE u <= 10),
       kept AS (SELECT f.*, row_number() OVER (PARTITION BY host, url, class ORDER BY ts DESC, fact_id) AS i FROM facts f JOIN u USING (host, url))
       SELECT host, url, fact_id, class, CAST(row_number() OVER (PARTITION BY host, url ORDER BY CASE WHEN class = 'summary' THEN 0 ELSE 1 END, ts DESC, fact_id) AS INT) AS place FROM kept WHERE class = 'summary' OR i <= 7"""),
+    "sampled_news": (sampled_news, "WITH " + FACTS + f""", keyed AS (SELECT url, fact_id, ts, md5(fact_id || ' 7') AS key FROM facts WHERE class = 'summary' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY),
+      day AS (SELECT url, arg_min(fact_id, (key, fact_id)) AS fact_id, min(key) AS key FROM keyed WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY GROUP BY 1), week AS (SELECT url, arg_min(fact_id, (key, fact_id)) AS fact_id, min(key) AS key FROM keyed GROUP BY 1)
+      SELECT url, fact_id FROM (SELECT * FROM day WHERE (SELECT count(*) FROM day) >= 25 UNION ALL SELECT * FROM week WHERE (SELECT count(*) FROM day) < 25) ORDER BY key, fact_id LIMIT 25"""),
+    "missing_embeddings": (missing_embeddings, with_views("SELECT url, published_at AS crawled_at FROM v_pages WHERE page_id % 3 = 0 AND length(coalesce(title, '') || coalesce(content, '')) > 50 ORDER BY published_at DESC NULLS LAST, url LIMIT 100", "v_pages")),
     "sampled_facts": (sampled_facts, "WITH " + FACTS + " SELECT fact_id FROM facts WHERE class = 'summary' ORDER BY md5(fact_id || ' 7'), fact_id LIMIT 25"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.tables import materialised
@@ -10,6 +11,7 @@ from pageloom.operators import page_scores as P
 from pageloom.operators import postings as P2
 from pageloom.operators import ranking as R
 from pageloom.operators.topics import PENALTIES, Topic, score_category_mismatch
+from pageloom.operators.votes import user_interests
 from pageloom.plans import pages as G
 from pageloom.sources import views as v
 from pageloom.sources.views import AS_OF, with_views
@@ -131,6 +133,17 @@ def semantic_scores(spark, d):
     return R.semantic_scores(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("page_id"), "embedding"))
 
 
+def personalised(spark, d):
+    """Every user that liked pages asks one of the stated queries; likes are sign-ups and purchases on the page of the event's number."""
+    pages = v.v_pages(spark, d).select(F.col("page_id").alias("k"), "domain", "category")
+    votes = v.v_events(spark, d).where(F.col("event_type").isin("signup", "purchase")).join(pages, "k").select(F.col("event_id").alias("id"), "user_id", "domain", "category", F.lit(1).alias("value"), F.col("ts").alias("created_at"))
+    interests = materialised(user_interests(votes), "interests")
+    asking = interests.select("user_id", (F.col("user_id") % 12 + 1).alias("query_id")).distinct()
+    scored = R.final_score(R.personalise(signals(spark, d).join(asking, "query_id"), interests))
+    place = F.row_number().over(Window.partitionBy("user_id", "query_id").orderBy(F.desc("final_score"), "url"))
+    return scored.select("user_id", "query_id", "page_id", "personal_boost", "final_score", place.alias("rank"))
+
+
 def semantic_top(spark, d):
     e = v.read(spark, d, "embeddings")
     return R.semantic_top(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("page_id"), "embedding"))
@@ -233,6 +246,9 @@ weighed AS (SELECT *, quality * (100 - w_trust - w_relevance) * CASE WHEN intent
 final AS (SELECT *, CAST(greatest(0, least(100, floor(round(CAST(trust_score AS DOUBLE) / 100 * CAST(trust_score AS DOUBLE) / 100 * w_trust + CAST(relevance AS DOUBLE) / 100 * CAST(relevance AS DOUBLE) / 100 * w_relevance + CASE WHEN relevance < 50 THEN least(8, q0) WHEN relevance < 65 THEN least(12, q0) ELSE q0 END - {_mismatch_case('query')}, 6) + 0.5))) AS BIGINT) AS final_score FROM weighed),
 named AS (SELECT *, coalesce(nullif({REGISTRABLE}, ''), domain) AS name FROM final),
 ranked AS (SELECT *, {FAMILY} AS family, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, url) AS rank FROM named)""").replace("{HOST.format('to_url')}", HOST.format("to_url")).replace("{HOST.format('from_url')}", HOST.format("from_url"))
+_RAW = RANKED.index("floor(round(", RANKED.index("final AS (SELECT")) + len("floor(round(")
+#: The score of a row before it is rounded and cut to 0 to 100.
+RAW = RANKED[_RAW : RANKED.index(", 6) + 0.5))) AS BIGINT) AS final_score", _RAW)]
 BRANDS = r"""families AS (SELECT query_id, arg_max(family, (n, family)) AS family, max(n) AS n, sum(n) AS total FROM (SELECT query_id, family, count(*) AS n FROM ranked WHERE rank <= 20 GROUP BY 1, 2) GROUP BY 1),
 brands AS (SELECT query_id, coalesce(named_, site, CASE WHEN word THEN family END) AS brand, CASE WHEN named_ IS NOT NULL THEN 'domain in query' WHEN site IS NOT NULL THEN 'site operator' WHEN word THEN 'domain word in query' END AS reason
   FROM (SELECT query_id, family, nullif(regexp_extract(lower(query), '([a-z0-9-]+\.(?:de|com|org|net|at|ch|io|eu|gov|edu))(?:[^a-z0-9_]|$)', 1), '') AS named_, CASE WHEN starts_with(query, 'site:') THEN regexp_extract(query, '^site:\s*([^\s/]+)', 1) END AS site,
@@ -274,6 +290,12 @@ QUERIES = {
       SELECT query_id, n_families, floor(round(s * 100, 6) + 0.5) / 100 AS score, CASE WHEN round(s, 6) < 0.1 THEN 'high' WHEN round(s, 6) < 0.25 THEN 'good' WHEN round(s, 6) < 0.45 THEN 'medium' WHEN round(s, 6) < 0.65 THEN 'low' ELSE 'very low' END AS level, dominated FROM herf JOIN dom USING (query_id)"""),
     "refined_intents": (refined_intents, RANKED + " SELECT query_id, arg_max(category, (n, category)) AS refined FROM (SELECT query_id, category, count(*) AS n FROM ranked WHERE rank <= 5 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1"),
     "first_page": (first_page, RANKED + """ SELECT query_id, CAST(rank AS INT) AS rank, url, CASE WHEN len(list_filter(terms, lambda t: length(t) > 2)) > 0 THEN regexp_replace(title, '(' || array_to_string(list_filter(terms, lambda t: length(t) > 2), '|') || ')', '<mark>\\1</mark>', 'gi') ELSE title END AS marked_title FROM ranked JOIN (SELECT query_id, terms FROM terms) USING (query_id) WHERE rank <= 10"""),
+    "personalised": (personalised, RANKED + f""", likes AS (SELECT user_id, domain, category, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM (SELECT *, {v.K} AS k FROM events) e JOIN v_pages p ON p.page_id = e.k WHERE event_type IN ('signup', 'purchase')),
+      newest AS (SELECT * FROM likes WHERE i <= 100), often AS (SELECT user_id, category, count(*) AS n FROM newest GROUP BY 1, 2),
+      boosted AS (SELECT u.user_id, r.*, CASE WHEN (u.user_id, r.domain) IN (SELECT (user_id, domain) FROM newest) THEN 15 ELSE 0 END + CASE WHEN o.n >= 5 THEN 5 WHEN o.n >= 2 THEN 3 ELSE 0 END AS personal_boost
+        FROM (SELECT DISTINCT user_id FROM newest) u JOIN ranked r ON r.query_id = u.user_id % 12 + 1 LEFT JOIN often o ON o.user_id = u.user_id AND o.category = r.category),
+      scored AS (SELECT * EXCLUDE (final_score), CAST(greatest(0, least(100, floor(round({RAW} + personal_boost, 6) + 0.5))) AS BIGINT) AS final_score FROM boosted)
+      SELECT user_id, query_id, page_id, personal_boost, final_score, CAST(row_number() OVER (PARTITION BY user_id, query_id ORDER BY final_score DESC, url) AS INT) AS rank FROM scored"""),
     "brand_queries": (brand_queries, RANKED + ", " + BRANDS + " SELECT * FROM brands"),
     "category_mismatches": (category_mismatches, MISMATCHES),
     "semantic_scores": (semantic_scores, SEMANTIC),

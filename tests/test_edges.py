@@ -227,3 +227,23 @@ def test_letters_in_order_take_linear_time(spark):
     rows = [("abc", "a-b-c"), ("abc", "acb"), ("aab", "ab"), ("a.c", "a.xc"), ("a.c", "abc"), ("aaaaaaaaab", "a" * 5_000), ("ba", "ab"), ("", "x")]
     df = spark.createDataFrame(rows, "q string, t string")
     assert [r[0] for r in df.select(similarity.match_score(F.col("q"), F.col("t"))).collect()] == [30, 0, 0, 30, 0, 0, 0, 0]
+
+
+def test_personal_boost_by_hand(spark):
+    rows = spark.createDataFrame([(1, "a.de", "news"), (1, "b.de", "news"), (1, "c.de", "shop"), (2, "a.de", "news")], "user_id long, domain string, category string")
+    liked = spark.createDataFrame([(1, "a.de", "news", 3), (1, "x.de", "news", 2), (1, "y.de", "shop", 1), (3, "a.de", "news", 9)], "user_id long, domain string, category string, times long")
+    got = {(r.user_id, r.domain): r.personal_boost for r in ranking.personalise(rows, liked).collect()}
+    assert got == {(1, "a.de"): 20, (1, "b.de"): 5, (1, "c.de"): 0, (2, "a.de"): 0}
+
+
+def test_news_of_the_week_fill_up_a_short_day(spark):
+    rows = spark.createDataFrame([(f"u{i // 2}", i, T0 - timedelta(hours=h)) for i, h in enumerate([1, 2, 3, 4, 30, 40, 50, 60, 200, 210])] + [(None, 99, T0)], "url string, fact_id long, ts timestamp")
+    names = lambda n: [r.url for r in lists.sample_news(rows, n, 7, str(T0)).collect()]
+    assert set(names(2)) == {"u0", "u1"} and set(names(4)) == {"u0", "u1", "u2", "u3"} == set(names(9)) and len(names(3)) == 3
+
+
+def test_pages_without_embedding_newest_first(spark):
+    pages = spark.createDataFrame([("a", "t" * 30, "c" * 30, T0), ("b", None, "c" * 51, T0 + timedelta(1)), ("c", "t", None, T0), ("d", None, "c" * 60, None), ("e", None, "c" * 60, T0)], "url string, title string, content string, crawled_at timestamp")
+    known = spark.createDataFrame([("e",), ("e",)], "url string")
+    assert [r.url for r in similarity.missing_embeddings(pages, known).collect()] == ["b", "a", "d"]
+    assert [r.url for r in similarity.missing_embeddings(pages, known, 1).collect()] == ["b"]
