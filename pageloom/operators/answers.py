@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.columns import tokens
+from pageloom.functions.stems import stem
+from pageloom.functions.tables import materialised
 
 #: Stated queries that tasks hold at a time where every row is tried on each of them.
 QUERY_BLOCK = 1_000
@@ -157,34 +159,53 @@ def product_search(queries: DataFrame, products: DataFrame, pages: DataFrame, n:
     return best.select("query_id", "product_id", F.coalesce("url", "page_url").alias("url"), F.replace(F.coalesce("image", "page_image"), F.lit("http://"), F.lit("https://")).alias("image"), "score", "rank")
 
 
-# Endings that a word is cut at where three letters stay; a text's rank counts its words by 1 / k^2, scaled by the sum of all such.
-ENDINGS, RANK_SCALE, RANK_WEIGHT, LEAST_RANK = "ern|em|en|er|es|e|s|n", 1.64493406685, 0.1, 0.01
+# Fixed values of full-text ranks: the weight of a word, the scale of one word's occurrences, and the rank that an answer must pass.
+RANK_SCALE, RANK_WEIGHT, LEAST_RANK = 1.64493406685, 0.1, 0.01
+#: Words further apart than this have no part in a rank.
+FAR = 100
 # Questions that say nothing, their lengths, and how real ones begin.
 EMPTY_QUESTIONS, QUESTION_LENGTHS = ("was ist bekannt", "was sind aktuelle"), (10, 200)
 ASKS = r"^(was|wie|wer|warum|wo|wann|welche|kann|ist|gibt|haben|sollte|darf|muss|kostet|dauert)"
 
 
-def stems(text: Column) -> Column:
-    """Words of a text in order, cut at their ending, without stop words."""
-    words = F.filter(tokens(text), lambda w: ~w.isin(QUESTION_STOP_WORDS))
-    return F.transform(words, lambda w: F.regexp_replace(w, f"^(.{{3,}}?)({ENDINGS})$", "$1"))
+def stem_places(texts: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, stem, pos): the stems of a text's words but stop words, with their places among all its words, from 0."""
+    words = texts.select(id_col, F.posexplode(tokens(text)).alias("pos", "word")).where(~F.col("word").isin(QUESTION_STOP_WORDS))
+    return words.select(id_col, stem(F.col("word")).alias("stem"), "pos")
+
+
+def closeness(distance: Column) -> Column:
+    """What two words at a distance of one word and more add to a rank: 0.1 side by side, little beyond ten words."""
+    return F.sqrt(RANK_WEIGHT * RANK_WEIGHT / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
 
 
 def qa_fulltext(queries: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, answer_id, rank): of the answers that have all stems of a query in question or answer, the one of most rank (ties by id). A stem's n occurrences give 1 + 1/4 + ... + 1/n^2; the mean over the query's stems is scaled to 0.1 at most.
+    """(query_id, answer_id, rank): of the answers that have all stems of a query in question or answer, the one of most rank over 0.01 (ties by id).
+
+    With one stem, its n occurrences give 0.1 * (1 + 1/4 + ... + 1/n^2) / 1.645. With more, every two occurrences of different stems within 100 words
+    count by their closeness c, and the rank is 1 minus the product of all 1 - c: answers that say a query's words together come first. Null texts are
+    empty, queries without stems have no row, equal queries the same one.
 
-    Answers are found by the query's rarest stem, so common ones open no long lists; the others are joined by answer and stem.
+    Answers are found by the query's rarest stem, so common ones open no long lists. Occurrences meet in stretches of 100 words, so those of a long text are not all paired.
     """
-    text = F.concat_ws(" ", "question", "answer")
-    index = answers.select("answer_id", F.explode(stems(text)).alias("stem")).groupBy("answer_id", "stem").agg(F.count("*").alias("n"))
-    asked = queries.select("query_id", F.array_distinct(stems(F.col("query"))).alias("ss")).select("query_id", F.size("ss").alias("need"), F.explode("ss").alias("stem"))
+    places = materialised(stem_places(answers, "answer_id", F.concat_ws(" ", "question", "answer")), "stem-places")
+    index = places.groupBy("answer_id", "stem").agg(F.count("*").alias("n"))
+    asked = materialised(stem_places(queries, "query_id", F.col("query")).select("query_id", "stem").distinct(), "asked-stems")
+    needs = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     often = index.groupBy("stem").agg(F.count("*").alias("df"))
     rarest = asked.join(often, "stem", "left").groupBy("query_id").agg(F.min_by("stem", F.struct(F.coalesce("df", F.lit(0)), "stem")).alias("stem"))
     found = rarest.join(index, "stem").select("query_id", "answer_id")
-    hits = found.join(asked, "query_id").join(index, ["answer_id", "stem"])
-    parts = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(1000)).cast("int")), F.lit(0.0), lambda s, k: s + F.lit(RANK_WEIGHT) / (k * k))
-    ranks = hits.groupBy("query_id", "answer_id", "need").agg(F.count("*").alias("n"), F.round(F.sum(parts) / RANK_SCALE / F.col("need"), 6).alias("value")).where((F.col("n") == F.col("need")) & (F.col("value") > LEAST_RANK))
-    return first_n(ranks.drop("n"), ["query_id"], [F.desc("value"), "answer_id"], 1).select("query_id", "answer_id", F.col("value").alias("rank"))
+    hits = found.join(asked, "query_id").join(index, ["answer_id", "stem"]).groupBy("query_id", "answer_id").agg(F.count("*").alias("have"), F.first("n").alias("n"))
+    full = materialised(hits.join(needs, "query_id").where("have = need").select("query_id", "answer_id", "need", "n"), "full-hits")
+    occurrences = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(1000)).cast("int")), F.lit(0.0), lambda s, k: s + F.lit(RANK_WEIGHT) / (k * k))
+    single = full.where("need = 1").select("query_id", "answer_id", (occurrences / RANK_SCALE).alias("value"))
+    own = full.where("need > 1").select("query_id", "answer_id").join(asked, "query_id").join(places, ["answer_id", "stem"]).withColumn("part", F.expr(f"pos div {FAR}"))
+    a = own.select("query_id", "answer_id", F.col("stem").alias("stem_a"), F.col("pos").alias("pos_a"), F.explode(F.array(*(F.col("part") + i for i in (-1, 0, 1)))).alias("part"))
+    apart = F.abs(F.col("pos_a") - F.col("pos"))
+    pairs = a.join(own, ["query_id", "answer_id", "part"]).where((F.col("stem_a") < F.col("stem")) & (apart <= FAR))
+    several = pairs.groupBy("query_id", "answer_id").agg((1 - F.exp(F.sum(F.log1p(-closeness(apart))))).alias("value"))
+    ranks = single.unionByName(several).withColumn("value", F.round("value", 6)).where(F.col("value") > LEAST_RANK)
+    return first_n(ranks, ["query_id"], [F.desc("value"), "answer_id"], 1).select("query_id", "answer_id", F.col("value").alias("rank"))
 
 
 def faq_search(queries: DataFrame, faq: DataFrame, synonyms: DataFrame, n: int = 20, most_terms: int = 10) -> DataFrame:

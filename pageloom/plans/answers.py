@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.functions.stems import BEFORE_R1, BEFORE_R2, BEFORE_S, BEFORE_ST, VOWELS
 from pageloom.operators import answers as A
 from pageloom.operators import articles as C
 from pageloom.operators import behaviour as B
@@ -77,8 +78,9 @@ def questions(spark, d):
 
 
 def qa_fulltext(spark, d):
-    """The first three words of every conversation, looked up in all questions and answers."""
-    return A.qa_fulltext(v.v_asked(spark, d).select("query_id", F.substring_index("query", " ", 3).alias("query")), answers(spark, d))
+    """Every sentence of what users said first, looked up in all questions and answers; a sentence's id is a thousand times its conversation's, plus its place."""
+    cut = v.v_asked(spark, d).select("query_id", F.posexplode(F.split("query", r"[.!?]+")).alias("i", "query"))
+    return A.qa_fulltext(cut.select((F.col("query_id") * 1000 + F.col("i")).alias("query_id"), "query"), answers(spark, d))
 
 
 def faq(spark, d):
@@ -396,12 +398,33 @@ def _v(sql: str, *names: str) -> str:
 
 ANSWERS = with_views("", "v_asked", "v_queries").rstrip() + """,
 a AS (SELECT query_id AS answer_id, query AS question, answer FROM v_asked JOIN (SELECT conv_id AS query_id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY 1) USING (query_id))"""
-STEMS = f"list_transform(list_filter({K.TOKENS}, lambda w: NOT list_contains({_list(A.QUESTION_STOP_WORDS)}, w)), lambda w: regexp_replace(w, '^(.{{{{3,}}}}?)({A.ENDINGS})$', '\\1'))"
+# The stemmer written with positions instead of patterns: r1 and r2 are where regions begin, n1 to n3 what each step takes off.
+CUT = "left({0}, length({0}) - {1})"
+STEMS = rf"""spelt AS (SELECT word, replace(word, 'ß', 'ss') AS s FROM words),
+voiced AS (SELECT word, {'regexp_replace(' * 4}s{''.join(f", '([{VOWELS}]){x}([{VOWELS}])', '" + chr(92) + f"1{x.upper()}" + chr(92) + "2', 'g')" for x in 'uuyy')} AS s FROM spelt),
+regions AS (SELECT *, CASE WHEN regexp_matches(s, '^{BEFORE_R1}') THEN greatest(3, length(regexp_extract(s, '^{BEFORE_R1}'))) ELSE 1000000 END AS r1, CASE WHEN regexp_matches(s, '^{BEFORE_R2}') THEN length(regexp_extract(s, '^{BEFORE_R2}')) ELSE 1000000 END AS r2 FROM voiced),
+step1 AS (SELECT *, CASE WHEN ends_with(s, 'ern') THEN 3 WHEN regexp_matches(s, '(em|er|en|es)$') THEN 2 WHEN regexp_matches(s, '(e|[{BEFORE_S}]s)$') THEN 1 ELSE 0 END AS n1 FROM regions),
+done1 AS (SELECT *, CASE WHEN n1 > 0 AND length(s) - n1 >= r1 THEN {CUT.format('s', "(n1 + CASE WHEN regexp_matches(s, 'niss(e|en|es)$') THEN 1 ELSE 0 END)")} ELSE s END AS t FROM step1),
+step2 AS (SELECT *, CASE WHEN ends_with(t, 'est') THEN 3 WHEN regexp_matches(t, '(en|er)$') OR regexp_matches(t, '...[{BEFORE_ST}]st$') THEN 2 ELSE 0 END AS n2 FROM done1),
+done2 AS (SELECT word, r1, r2, CASE WHEN n2 > 0 AND length(t) - n2 >= r1 THEN {CUT.format('t', 'n2')} ELSE t END AS u FROM step2),
+step3 AS (SELECT *, CASE WHEN regexp_matches(u, '(end|ung)$') THEN 3 WHEN regexp_matches(u, '(lich|heit|keit)$') OR regexp_matches(u, '[^e]isch$') THEN 4 WHEN regexp_matches(u, '[^e](ig|ik)$') THEN 2 ELSE 0 END AS n3 FROM done2),
+done3 AS (SELECT *, n3 > 0 AND length(u) - n3 >= r2 AS cut, CASE WHEN n3 > 0 AND length(u) - n3 >= r2 THEN {CUT.format('u', 'n3')} ELSE u END AS x FROM step3),
+more3 AS (SELECT word, x, CASE WHEN NOT cut THEN 0 WHEN regexp_matches(u, '(end|ung)$') AND regexp_matches(x, '[^e]ig$') AND length(x) - 2 >= r2 THEN 2 WHEN regexp_matches(u, '(lich|heit)$') AND regexp_matches(x, '(er|en)$') AND length(x) - 2 >= r1 THEN 2
+  WHEN ends_with(u, 'keit') AND ends_with(x, 'lich') AND length(x) - 4 >= r2 THEN 4 WHEN ends_with(u, 'keit') AND ends_with(x, 'ig') AND length(x) - 2 >= r2 THEN 2 ELSE 0 END AS n4 FROM done3),
+st AS (SELECT word, translate({CUT.format('x', 'n4')}, 'UYäöü', 'uyaou') AS stem FROM more3)"""
 FULLTEXT = ANSWERS + f""",
-idx AS (SELECT answer_id, stem, count(*) AS n FROM (SELECT answer_id, unnest({STEMS.format("concat_ws(' ', question, answer)")}) AS stem FROM a) GROUP BY 1, 2),
-q AS (SELECT query_id, list_distinct({STEMS.format("array_to_string(string_split(query, ' ')[1:3], ' ')")}) AS ss FROM v_asked),
-ranks AS (SELECT query_id, answer_id, round(sum(list_sum(list_transform(range(1, least(n, 1000) + 1), lambda k: CAST({A.RANK_WEIGHT} AS DOUBLE) / (k * k)))) / CAST({A.RANK_SCALE} AS DOUBLE) / len(any_value(ss)), 6) AS rank
-  FROM (SELECT query_id, ss, unnest(ss) AS stem FROM q) JOIN idx USING (stem) GROUP BY query_id, answer_id HAVING count(*) = len(any_value(ss)))
+cut AS (SELECT query_id, string_split_regex(query, '[.!?]+') AS parts FROM v_asked),
+asks AS (SELECT query_id * 1000 + i - 1 AS query_id, query FROM (SELECT query_id, unnest(parts) AS query, generate_subscripts(parts, 1) AS i FROM cut)),
+spoken AS (SELECT answer_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT answer_id, {K.TOKENS.format("concat_ws(' ', question, answer)")} AS ws FROM a)),
+asked AS (SELECT DISTINCT query_id, unnest({K.TOKENS.format('query')}) AS word FROM asks),
+words AS (SELECT word FROM (SELECT word FROM spoken UNION SELECT word FROM asked) WHERE NOT list_contains({_list(A.QUESTION_STOP_WORDS)}, word)),
+{STEMS},
+idx AS (SELECT answer_id, stem, pos FROM spoken JOIN st USING (word)),
+qs AS (SELECT DISTINCT query_id, stem FROM asked JOIN st USING (word)),
+hit AS (SELECT query_id, answer_id, any_value(need) AS need, any_value(n) AS n FROM qs JOIN (SELECT query_id, count(*) AS need FROM qs GROUP BY 1) USING (query_id) JOIN (SELECT answer_id, stem, count(*) AS n FROM idx GROUP BY 1, 2) USING (stem) GROUP BY 1, 2 HAVING count(*) = any_value(need)),
+far AS (SELECT query_id, answer_id, i.stem AS one, k.stem AS other, abs(i.pos - k.pos) AS gap FROM hit JOIN qs a USING (query_id) JOIN qs b USING (query_id) JOIN idx i USING (answer_id) JOIN idx k USING (answer_id) WHERE need > 1 AND a.stem < b.stem AND i.stem = a.stem AND k.stem = b.stem),
+ranks AS (SELECT query_id, answer_id, round(list_sum(list_transform(range(1, least(n, 1000) + 1), lambda k: CAST({A.RANK_WEIGHT} AS DOUBLE) / (k * k))) / CAST({A.RANK_SCALE} AS DOUBLE), 6) AS rank FROM hit WHERE need = 1
+  UNION ALL SELECT query_id, answer_id, round(1 - exp(sum(ln(1 - sqrt(CAST({A.RANK_WEIGHT * A.RANK_WEIGHT} AS DOUBLE) / (CAST(1.005 AS DOUBLE) + CAST(0.05 AS DOUBLE) * exp(gap / CAST(1.5 AS DOUBLE) - 2)))))), 6) FROM far WHERE gap <= {A.FAR} GROUP BY 1, 2)
 SELECT query_id, answer_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, answer_id) AS i FROM ranks WHERE rank > {A.LEAST_RANK}) WHERE i = 1"""
 FAQ = ANSWERS + f""", {K.SYN},
 asking AS (SELECT query_id, query FROM v_queries UNION ALL SELECT answer_id + 1000, question FROM a WHERE answer_id % 100 = 0),
