@@ -12,6 +12,7 @@ from pageloom.functions.columns import tokens, yes
 # Least and greatest length of a text by field, and the other limits.
 LENGTHS = {"title": (5, 200), "description": (20, 2000), "item": (10, 1000), "comment": (5, 500)}
 OTHER_LENGTHS = (5, 2000)
+MIN_SEMANTIC = 10
 MAX_URLS, MAX_EMOJIS, MAX_UPPER, MAX_SPECIAL, MAX_REPEAT = 2, 8, 0.6, 0.35, 4
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 SPAM_PHRASES = ["jetzt kaufen", "klick hier", "geld verdienen", "kostenlos gewinnen", "casino", "viagra", "click here", "buy now", "free money"]
@@ -210,7 +211,7 @@ def flag_injection(log: DataFrame, text: str = "query") -> DataFrame:
 
 def semantic_check(vectors: DataFrame, patterns: DataFrame, least: float = 0.82) -> DataFrame:
     """(id, pattern_id, cosine) of the nearest pattern vector where its cosine passes the limit. A vector is not compared with the pattern of its own id."""
-    best = semantic_matches(vectors, patterns, least).groupBy("id").agg(F.max_by("pattern_id", F.struct(F.col("cosine"), -F.col("pattern_id"))).alias("pattern_id"), F.max("cosine").alias("cosine"))
+    best = semantic_matches(vectors, patterns, least).where(F.col("cosine") > least).groupBy("id").agg(F.max_by("pattern_id", F.struct(F.col("cosine"), -F.col("pattern_id"))).alias("pattern_id"), F.max("cosine").alias("cosine"))
     return best
 
 
@@ -221,13 +222,63 @@ def nearest_phrase(posts: DataFrame, vectors: DataFrame, patterns: DataFrame, pa
     return held.unionByName(near.select("id", "pattern_id", F.col("cosine").alias("similarity")))
 
 
-def semantic_matches(vectors: DataFrame, patterns: DataFrame, least: float = 0.85) -> DataFrame:
-    """(id, pattern_id, cosine) of all pattern vectors whose cosine passes the limit; patterns are held by tasks in turns of PATTERN_VECTORS."""
+def semantic_matches(vectors: DataFrame, patterns: DataFrame, least: float = 0.85, itself: bool = False) -> DataFrame:
+    """(id, pattern_id, cosine) of all pattern vectors whose cosine reaches the limit; patterns are held by tasks in turns of PATTERN_VECTORS. Vectors of equal id are compared only with itself."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     v = vectors.select("id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("nv"))
     p = patterns.select(F.col("id").alias("pattern_id"), F.col("embedding").alias("p"), norm(F.col("embedding")).alias("np"))
     blocks = max(1, -(-p.count() // PATTERN_VECTORS))
-    near = [v.join(F.broadcast(p.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == i)), (F.size("v") == F.size("p")) & (F.col("id") != F.col("pattern_id"))) for i in range(blocks)]
+    on = F.size("v") == F.size("p")
+    if not itself:
+        on &= F.col("id") != F.col("pattern_id")
+    near = [v.join(F.broadcast(p.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == i)), on) for i in range(blocks)]
     pairs = reduce(DataFrame.unionByName, near).select("id", "pattern_id", F.round(F.try_divide(dot(F.col("v"), F.col("p")), F.col("nv") * F.col("np")), 6).alias("cosine"))
-    return pairs.where(F.col("cosine") > least)
+    return pairs.where(F.col("cosine") >= least)
+
+
+def sentence_verdicts(texts: DataFrame, sentences: DataFrame, least: float = 0.85, first: int = 100) -> DataFrame:
+    """(id, verdict, sentence_id, category, similarity, n_matches): texts (id, text, embedding) held against the first active sentences (id, embedding, category, priority, action, active) by priority, ties by id.
+
+    A text goes down the list until a sentence that blocks is as near as the limit; n_matches are the sentences it came near so far. The verdict is block,
+    else flag if one of these flags, else allow, with the sentence that decided it: the one that blocks, the first that flags, or the first. Texts of fewer
+    than ten characters, without a vector, or near to no sentence have no row.
+    """
+    listed = sentences.where("active").orderBy(F.desc("priority"), "id").limit(first)
+    held = listed.select(F.col("id").alias("pattern_id"), "category", "priority", "action")
+    long_ = texts.where((F.length(F.trim("text")) >= MIN_SEMANTIC) & F.col("embedding").isNotNull())
+    near = semantic_matches(long_, listed, least, itself=True).join(F.broadcast(held), "pattern_id")
+    before = Window.partitionBy("id").orderBy(F.desc("priority"), "pattern_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = near.withColumn("over", F.coalesce(F.max(F.col("action") == "block").over(before), F.lit(False))).where("not over")
+    grade = F.when(F.col("action") == "block", 0).when(F.col("action") == "flag", 1).otherwise(2)
+    decided = seen.groupBy("id").agg(F.min_by(F.struct(grade.alias("grade"), F.col("pattern_id").alias("sentence_id"), "category", "cosine"), F.struct(grade, -F.col("priority"), "pattern_id")).alias("d"), F.count("*").alias("n_matches"))
+    verdict = F.element_at(F.array(*map(F.lit, ("block", "flag", "allow"))), F.col("d.grade") + 1)
+    return decided.select("id", verdict.alias("verdict"), "d.sentence_id", "d.category", F.col("d.cosine").alias("similarity"), "n_matches")
+
+
+def validate_fields(fields: DataFrame, patterns: DataFrame, duplicates: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(id, ok, field, step, detail): the first field of an entry, by place, that fails a check, and the first check that it fails: required, spam, insult, pattern, semantic, duplicate.
+
+    fields has id, field, place, required, kind and body, a row for each field; spaces around a text don't count, and an empty one fails only where it is
+    required. duplicates (id, field) count for required fields. nearest (id, field, action, category) is the nearest sentence of a text's vector and
+    counts where no pattern is found in it. Patterns and sentences that flag stop an entry as those that block do.
+    """
+    text = F.trim(F.coalesce("body", F.lit("")))
+    key = F.struct("id", "field").alias("id")
+    asked = fields.where(F.col("required") | (text != "")).select(key, "place", "required", "kind", text.alias("body"))
+    hits = pattern_check(asked, patterns).select("id", "action", "category")
+    near = nearest.select(key, F.col("action").alias("near_action"), F.col("category").alias("near_category"))
+    checked = insult_check(text_spam(asked)).join(hits, "id", "left").join(near, "id", "left").join(duplicates.select(key, F.lit(True).alias("repeat")).distinct(), "id", "left")
+    stops = lambda c: F.coalesce(F.col(c).isin("block", "flag"), F.lit(False))
+    step = (
+        F.when(F.col("body") == "", "required")
+        .when(~F.col("spam_ok"), "spam")
+        .when(F.col("insult_action") == "block", "insult")
+        .when(stops("action"), "pattern")
+        .when(F.col("action").isNull() & stops("near_action"), "semantic")
+        .when(F.col("required") & yes("repeat"), "duplicate")
+    )
+    detail = F.element_at(F.create_map(F.lit("spam"), F.array_join("spam_issues", ","), F.lit("insult"), F.col("insult_category"), F.lit("pattern"), F.col("category"), F.lit("semantic"), F.col("near_category")), F.col("step"))
+    failed = checked.withColumn("step", step).where("step is not null").withColumn("detail", detail)
+    worst = failed.groupBy(F.col("id.id").alias("id")).agg(F.min_by(F.struct(F.col("id.field").alias("field"), "step", "detail"), F.struct("place", "id.field")).alias("w"))
+    return fields.select("id").distinct().join(worst, "id", "left").select("id", F.col("w").isNull().alias("ok"), "w.field", "w.step", "w.detail")

@@ -27,6 +27,9 @@ YMYL_WORDS = "arzt doktor krankheit symptom medikament diagnose therapie kredit
 CAR_WORDS = "auto autos pkw fahrzeug gebrauchtwagen neuwagen kfz motorrad elektroauto leasing autohaus autokauf cabrio limousine suv kombi".split()
 # Queries about computing, and words that pages about it have; other pages get IT_CAP points at most.
 IT_QUERY, IT_CONTENT, IT_CAP = "coding|programm|informatik|scratch", "software|programm|scratch|python|java|algorithmus|computer|digital", 20
+# Intents that results don't change, and the intents that categories of results stand for.
+PROTECTED_INTENTS = ("NEWS", "YMYL", "NAVIGATION")
+INTENT_OF_CATEGORY = {"news": "NEWS", "article-news": "NEWS", "blog": "INFORMATIONAL", "tutorial": "INFORMATIONAL", "guide": "INFORMATIONAL", "product": "COMMERCIAL", "shop": "COMMERCIAL", "ecommerce": "COMMERCIAL", "video": "GENERAL", "forum": "GENERAL"}
 # Weights of the eleven quality signals.
 SIGNALS = {"freshness": 0.18, "phrase": 0.15, "community": 0.15, "engagement": 0.12, "ad_free": 0.10, "ux": 0.08, "structure": 0.08, "authority": 0.06, "reliability": 0.05, "semantic": 0.01, "originality": 0.02}
 # Most results of a domain family among the first ten and in all, by intent.
@@ -158,6 +161,14 @@ def refine_intent(ranked: DataFrame) -> DataFrame:
     return counts.groupBy("query_id").agg(F.max_by("category", F.struct("n", "category")).alias("refined"))
 
 
+def correct_intent(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """queries with intent replaced by that of the category that three or more of the first five results have; results has query_id, rank and category. Protected intents stay, and so does the intent where the results are fewer than three or their category stands for none."""
+    category = F.lower("refined")
+    found = refine_intent(results).select("query_id", F.coalesce(*(F.when(category == c, i) for c, i in INTENT_OF_CATEGORY.items())).alias("__found"))
+    out = queries.join(found, "query_id", "left")
+    return out.withColumn("intent", F.when(F.col("intent").isin(*PROTECTED_INTENTS), F.col("intent")).otherwise(F.coalesce("__found", "intent"))).drop("__found")
+
+
 def quality_signals(scored: DataFrame, votes: DataFrame, authority: DataFrame, as_of: str) -> DataFrame:
     """scored (pages joined to query_id, intent, relevance and phrase) with the eleven signals, 0 to 1, rounded, and their weighted sum quality. Votes and authority (domain, bonus) are joined by domain; reliability, semantic and originality are read if there, else neutral."""
     df = scored.join(votes.select("domain", F.col("positive").alias("__p"), F.col("neutral").alias("__u"), F.col("negative").alias("__n")), "domain", "left").join(authority.select("domain", F.col("bonus").alias("__a")), "domain", "left")

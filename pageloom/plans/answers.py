@@ -491,7 +491,7 @@ QUERIES = {
       SELECT o_orderkey AS id, CASE WHEN action IN ('release', 'ignore', 'approve') THEN false WHEN action IN ('hide', 'reject') THEN true ELSE coalesce(CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 5 = 0 END, false) END AS hidden FROM orders LEFT JOIN a ON a.id = o_orderkey WHERE coalesce(action, '') <> 'delete'"""),
     "anonymised": (anonymised, f"SELECT event_id AS id, CASE WHEN ts + INTERVAL 7 DAY <= TIMESTAMP '{NOW}' THEN NULL ELSE '10.0.0.' || user_id END AS author_ip FROM events WHERE event_id % 10 <> 0"),
     "semantic_matches": (all_semantic_matches, """SELECT * FROM (SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine
-      FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id) WHERE cosine > 0.3"""),
+      FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id) WHERE cosine >= 0.3"""),
     "latest_votes": (latest_votes, _v("SELECT user_id, domain, value, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY created_at DESC, id DESC) AS i FROM v_user_votes) WHERE i = 1", "v_user_votes")),
     "event_properties": (event_properties, "SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k, count(*) FILTER (WHERE k > 50) AS n_large, count(s) AS n_sources FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.source') AS s FROM events) GROUP BY 1"),
 }

@@ -86,6 +86,24 @@ def nearest_phrases(spark, d):
     return M.nearest_phrase(posts, e.join(posts.select("id"), "id", "left_semi"), patterns(spark, d), e.where("id % 100 = 0"), 0.3)
 
 
+def sentence_verdicts(spark, d):
+    """Documents with the vectors of their ids, against those of ids divisible by 100 as a list of sentences."""
+    e = v.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    texts = v.v_posts(spark, d).where("kind = 'item'").select("id", F.col("body").alias("text")).join(e, "id")
+    actions, k = F.array(*map(F.lit, ("flag", "block", "flag", "log"))), F.col("id")
+    listed = e.where("id % 100 = 0").select("id", "embedding", F.concat(F.lit("c"), (k % 700).cast("string")).alias("category"), (k % 900).alias("priority"), F.element_at(actions, (k / 100 % 4 + 1).cast("int")).alias("action"), (k % 1100 != 0).alias("active"))
+    return M.sentence_verdicts(texts, listed, 0.3)
+
+
+def validated_lists(spark, d):
+    """Pages as lists, with title and description; vectors of their ids are those of descriptions, and every second pattern vector flags."""
+    pages, e = v.v_pages(spark, d), v.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    field = lambda c, name, place: pages.select(F.col("page_id").alias("id"), F.lit(name).alias("field"), F.lit(place).alias("place"), F.lit(place == 0).alias("required"), F.lit(name).alias("kind"), F.col(c).alias("body"))
+    near = M.semantic_check(e, e.where("id % 100 = 0"), 0.3).select("id", F.lit("description").alias("field"), F.when(F.col("pattern_id") % 200 == 0, "flag").otherwise("allow").alias("action"), F.lit("near").alias("category"))
+    repeats = S.repeats(pages.select(F.col("page_id").alias("id"), F.lit("lists").alias("scope"), F.trim("title").alias("body"))).select("id", F.lit("title").alias("field"))
+    return M.validate_fields(field("title", "title", 0).unionByName(field("content", "description", 1)), patterns(spark, d), repeats, near)
+
+
 def word_simhash(spark, d):
     return S.word_simhash(v.read(spark, d, "documents")).select("doc_id", "simhash_hex")
 
@@ -295,8 +313,22 @@ taken AS (SELECT *, created_at + INTERVAL 1 YEAR AS ip_deadline FROM reports WHE
 CLEAN_KEY = "md5(array_to_string(" + TOKENS.format("body") + ", ' '))"
 NEAREST = """SELECT id, pattern_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, pattern_id) AS i FROM (
       SELECT v.vec_id AS id, p.vec_id AS pattern_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * p.embedding[i])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine FROM embeddings v JOIN embeddings p ON p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id)) WHERE i = 1 AND cosine > 0.3"""
+SENTENCES = """listed AS (SELECT vec_id AS sid, embedding AS se, 'c' || (vec_id % 700) AS category, vec_id % 900 AS priority, ['flag', 'block', 'flag', 'log'][CAST((vec_id // 100) % 4 + 1 AS INT)] AS action FROM embeddings WHERE vec_id % 100 = 0 AND vec_id % 1100 <> 0 ORDER BY priority DESC, vec_id LIMIT 100),
+near AS (SELECT * FROM (SELECT vec_id AS id, sid, category, priority, action, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * se[i])) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(se, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS cosine
+  FROM embeddings JOIN documents ON doc_id = vec_id AND length(trim(text)) >= 10 JOIN listed ON len(se) = len(embedding)) WHERE cosine >= 0.3),
+seen AS (SELECT *, CASE action WHEN 'block' THEN 0 WHEN 'flag' THEN 1 ELSE 2 END AS grade FROM (SELECT *, coalesce(sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY priority DESC, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM near) WHERE stops = 0)
+SELECT id, ['block', 'flag', 'allow'][grade + 1] AS verdict, sid AS sentence_id, category, cosine AS similarity, n_matches FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n_matches, row_number() OVER (PARTITION BY id ORDER BY grade, priority DESC, sid) AS i FROM seen) WHERE i = 1"""
 CHANGED = "SELECT url, now AS text_hash FROM (SELECT url, sha1(title || ' ' || title || ' ' || content) AS now, CASE page_id % 3 WHEN 1 THEN sha1(title || ' ' || title || ' ' || content) WHEN 2 THEN sha1(title || ' ' || title || ' old') END AS old FROM v_pages) WHERE now IS DISTINCT FROM old"
 REPEATS = f"repeats AS (SELECT id, original_id FROM (SELECT id, min(id) OVER (PARTITION BY scope, {CLEAN_KEY}) AS original_id FROM v_posts WHERE length(body) >= 40) WHERE id > original_id)"
+LISTS = with_views("", "v_pages").rstrip() + """,
+v_posts AS (SELECT page_id * 2 AS id, page_id, 0 AS place, 'title' AS kind, 'lists' AS scope, trim(coalesce(title, '')) AS body FROM v_pages
+  UNION ALL SELECT page_id * 2 + 1, page_id, 1, 'description', 'texts', trim(coalesce(content, '')) FROM v_pages WHERE trim(coalesce(content, '')) <> ''),
+""" + ",\n".join((SPAM, INSULTS, HITS, REPEATS)) + f""", near AS ({NEAREST}),
+steps AS (SELECT page_id, place, kind, spam_issues, insult_category, h.category AS h_category, CASE WHEN body = '' THEN 'required' WHEN spam_issues <> '' THEN 'spam' WHEN insult_action = 'block' THEN 'insult' WHEN h.action IN ('block', 'flag') THEN 'pattern'
+    WHEN h.action IS NULL AND place = 1 AND n.pattern_id % 200 = 0 THEN 'semantic' WHEN place = 0 AND original_id IS NOT NULL THEN 'duplicate' END AS step
+  FROM insulted i JOIN spam USING (id) LEFT JOIN hits h USING (id) LEFT JOIN repeats USING (id) LEFT JOIN near n ON n.id = page_id),
+failed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS f FROM steps WHERE step IS NOT NULL)
+SELECT p.page_id AS id, step IS NULL AS ok, kind AS field, step, CASE step WHEN 'spam' THEN spam_issues WHEN 'insult' THEN insult_category WHEN 'pattern' THEN h_category WHEN 'semantic' THEN 'near' END AS detail FROM (SELECT DISTINCT page_id FROM v_pages) p LEFT JOIN failed ON failed.page_id = p.page_id AND f = 1"""
 URL_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', ''), '/+$', '')"
 NAMES = "[" + ", ".join(f"'{n}'" for n in L.TRACKING_NAMES) + "]"
 CLEAN_URL = rf"""regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS clean_url FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({NAMES}, lower(split_part(p, '=', 1))) AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'pk_') AND NOT starts_with(p, 'mtm_')), '&') AS kept FROM pages)"""
@@ -337,6 +369,8 @@ QUERIES = {
     "auto_hidden": (auto_hidden, with_views("", "v_posts").rstrip() + ",\n" + REPORTS + " SELECT id, kind, coalesce(n, 0) AS report_count, coalesce(n, 0) >= 15 AS hidden FROM v_posts LEFT JOIN (SELECT target_id AS id, kind, count(*) AS n FROM taken GROUP BY 1, 2) USING (id, kind)"),
     "suspicious_texts": (suspicious_texts, _posts(r"SELECT regexp_matches(body, '(?i)(union\s+select|drop\s+table|insert\s+into|delete\s+from|;\s*--|<script|javascript:|onerror\s*=)') AS suspicious, count(*) AS n FROM v_posts GROUP BY 1")),
     "semantic_hits": (semantic_hits, NEAREST),
+    "sentence_verdicts": (sentence_verdicts, "WITH " + SENTENCES),
+    "validated_lists": (validated_lists, LISTS),
     "nearest_phrases": (nearest_phrases, POSTS + HITS + f""", held AS (SELECT hits.id, pattern_id FROM hits JOIN v_posts USING (id) WHERE kind = 'item'), near AS ({NEAREST})
       SELECT id, pattern_id, CAST(1 AS DOUBLE) AS similarity FROM held UNION ALL SELECT id, pattern_id, cosine FROM near WHERE id IN (SELECT doc_id FROM documents) AND id NOT IN (SELECT id FROM held)"""),
     "word_simhash": (word_simhash, "WITH " + SIMHASH + " SELECT * FROM prints"),

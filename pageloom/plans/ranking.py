@@ -66,13 +66,27 @@ def relevance_scores(spark, d):
     return R.score_relevance(terms(spark, d), v.v_pages(spark, d), index(spark, d), AS_OF)
 
 
+def first_results(fit, pages):
+    """Pages that pass the keyword filter, in the order of their ids, as results that tell a query's intent."""
+    rows = fit.join(pages.select("page_id", "category"), "page_id")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id"))).where("rank <= 5")
+
+
+def corrected_intents(spark, d):
+    """Intents and weights of the stated queries after a look at their results."""
+    asked = terms(spark, d)
+    meant = R.correct_intent(asked, first_results(keyword_filtered(spark, d), v.v_pages(spark, d)))
+    return R.weights(meant).join(asked.select("query_id", F.col("intent").alias("intent_before")), "query_id").select("query_id", "intent_before", "intent", "profile", "w_trust", "w_relevance", "w_quality")
+
+
 def signals(spark, d):
     pages, votes = v.v_pages(spark, d), v.v_domain_votes(spark, d)
     scored = materialised(P.score_affiliate(P.score_ad_density(materialised(P.hard_block(P.score_spam(P.score_trust(pages))), "page-scores"), votes)), "scored-pages").drop("__pos", "__neg")
-    q = R.named_brand(R.weights(terms(spark, d))).select("brand", "query_id", "query", "intent", "w_trust", "w_relevance", "w_quality")
     asked, terms_of_pages = materialised(R.expand_terms(terms(spark, d), synonyms(spark)), "asked"), materialised(index(spark, d), "term-index")
     fit = materialised(R.keyword_filter(asked, terms_of_pages), "keyword-filtered")
-    rel = materialised(R.score_relevance(asked.drop("expanded"), pages, terms_of_pages, AS_OF, fit), "relevance")
+    meant = materialised(R.correct_intent(asked, first_results(fit, pages)), "meant")
+    q = R.named_brand(R.weights(meant)).select("brand", "query_id", "query", "intent", "w_trust", "w_relevance", "w_quality")
+    rel = materialised(R.score_relevance(meant.drop("expanded"), pages, terms_of_pages, AS_OF, fit), "relevance")
     authority = L.domain_authority(v.v_edges(spark, d))
     pairs = rel.join(scored, "page_id").join(q, "query_id").withColumn("tags", F.lit(None).cast("array<string>"))
     fitting = score_category_mismatch(pairs, TOPICS).drop("tags", "topic", "mismatch_reason")
@@ -192,6 +206,10 @@ expanded AS (SELECT query_id, terms, list_sort(list_distinct(list_concat(terms,
 FILTERED = """one AS (SELECT DISTINCT query_id, page_id FROM (SELECT query_id, unnest(expanded) AS term FROM expanded WHERE len(terms) = 1) JOIN idx USING (term) WHERE n_title > 0 OR n_content >= 3),
 many AS (SELECT query_id, page_id FROM (SELECT query_id, len(list_distinct(terms)) AS need, unnest(list_distinct(terms)) AS term FROM terms WHERE len(terms) >= 2) JOIN idx USING (term) GROUP BY query_id, page_id, need HAVING count(*) = need AND bool_or(n_title > 0 OR n_content >= 2)),
 filtered AS (SELECT * FROM one UNION ALL SELECT * FROM many)"""
+BY_CATEGORY = "CASE lower(category) " + " ".join(f"WHEN '{c}' THEN '{i}'" for c, i in R.INTENT_OF_CATEGORY.items()) + " END"
+#: terms with the intent that a query's results tell.
+MEANT = f"""told AS (SELECT query_id, {BY_CATEGORY} AS told FROM (SELECT query_id, category, count(*) AS n FROM (SELECT query_id, category, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS i FROM filtered JOIN (SELECT page_id, category FROM v_pages) USING (page_id)) WHERE i <= 5 GROUP BY 1, 2) WHERE n >= 3),
+meant AS (SELECT terms.* REPLACE (CASE WHEN intent IN ({', '.join(f"'{i}'" for i in R.PROTECTED_INTENTS)}) THEN intent ELSE coalesce(told, intent) END AS intent) FROM terms LEFT JOIN told USING (query_id))"""
 HOST = r"nullif(regexp_replace(lower(regexp_extract({}, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '')"
 AGE = f"(epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) / 86400"
 RELEVANCE = f"""hits AS (
@@ -229,7 +247,7 @@ SIGNAL_SQL = {
     "authority": "coalesce(greatest(CAST(0 AS DOUBLE), domain_trust - CASE WHEN spam_score >= 50 THEN 0.3 ELSE 0 END), least(CAST(1 AS DOUBLE), CAST(coalesce(authority_bonus, 0) AS DOUBLE) / 10))",
     "reliability": "0.5", "semantic": "0", "originality": "0.5",
 }
-RANKED = (SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + ",\n" + RELEVANCE + f""",
+RANKED = (SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + ",\n" + MEANT + ",\n" + RELEVANCE.replace("JOIN terms USING", "JOIN meant USING") + f""",
 {with_views('', 'v_domain_votes', 'v_edges').rstrip().removeprefix('WITH ')},
 {G.TRUST}, {G.SPAM},
 malus AS ({G.AD_DENSITY}),
@@ -238,7 +256,7 @@ auth AS (SELECT domain, CAST(least(10, floor(round(log10(count(*) + 1) * CAST(4.
 kept AS (SELECT * FROM spam WHERE {G.KEPT}),
 rows AS (SELECT r.*, k.* EXCLUDE (page_id), t.query, t.intent, {PROFILE} AS profile, coalesce(positive, 0) AS pos, coalesce(negative, 0) AS neg, coalesce(neutral, 0) AS neu, authority_bonus,
     greatest(0, greatest(0, CAST(CASE WHEN ad_count < 1 THEN 1 WHEN ad_count < 2 THEN 0.75 WHEN ad_count < 3 THEN 0.5 WHEN ad_count < 4 THEN 0.28 WHEN ad_count < 5 THEN 0.1 ELSE 0 END AS DOUBLE) - CAST(affiliate_malus AS DOUBLE) / 20) - CAST(ad_malus AS DOUBLE) / 25) AS free
-  FROM rel r JOIN filtered USING (query_id, page_id) JOIN kept k USING (page_id) JOIN terms t USING (query_id) JOIN malus USING (page_id) JOIN aff USING (page_id) LEFT JOIN v_domain_votes d ON d.domain = k.domain LEFT JOIN auth ON auth.domain = k.domain),
+  FROM rel r JOIN filtered USING (query_id, page_id) JOIN kept k USING (page_id) JOIN meant t USING (query_id) JOIN malus USING (page_id) JOIN aff USING (page_id) LEFT JOIN v_domain_votes d ON d.domain = k.domain LEFT JOIN auth ON auth.domain = k.domain),
 sig AS (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust, CASE profile WHEN 'YMYL' THEN 25 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 40 WHEN 'ENTERTAINMENT' THEN 40 ELSE 35 END AS w_relevance,
     {', '.join(f"{CLAMP.format(e)} AS s_{n}" for n, e in SIGNAL_SQL.items())} FROM rows),
 valued AS (SELECT *, {' + '.join(f"s_{n} * CAST({w} AS DOUBLE)" for n, w in R.SIGNALS.items())} AS quality FROM sig),
@@ -263,6 +281,8 @@ QUERIES = {
         CASE profile WHEN 'YMYL' THEN 25 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 40 WHEN 'ENTERTAINMENT' THEN 40 ELSE 35 END AS w_relevance
       FROM (SELECT query_id, array_to_string(terms, ' ') AS terms, intent, CASE WHEN regexp_matches(query, '^(wie|was|wer|wo|wann|warum|how|what|who|where|when|why)\\b|\\?$') THEN 'question' WHEN regexp_matches(query, 'kaufen|preis|buy|price|shop') THEN 'shopping' WHEN regexp_matches(query, 'news|aktuell|heute') THEN 'news' ELSE 'general' END AS search_type,
         list_contains(['wer','was','wie','wo','wann','warum','wieso','weshalb','woher','wohin','welche','welcher','welches','who','what','how','where','when','why','which'], string_split(query, ' ')[1]) OR ends_with(query, '?') AS is_question, {PROFILE} AS profile FROM terms))"""),
+    "corrected_intents": (corrected_intents, SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + ",\n" + MEANT + f""" SELECT *, 100 - w_trust - w_relevance AS w_quality FROM (SELECT query_id, intent_before, intent, profile, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust,
+      CASE profile WHEN 'YMYL' THEN 25 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 40 WHEN 'ENTERTAINMENT' THEN 40 ELSE 35 END AS w_relevance FROM (SELECT *, {PROFILE} AS profile FROM meant JOIN (SELECT query_id, intent AS intent_before FROM terms) USING (query_id)))"""),
     "expanded_terms": (expanded_terms, ASKED + ",\n" + EXPANDED + " SELECT query_id, array_to_string(expanded, ' ') AS expanded FROM expanded"),
     "term_counts": (term_counts, SEARCH + " SELECT term, count(*) AS n_pages, CAST(sum(n_title) AS BIGINT) AS in_titles, CAST(sum(n_content) AS BIGINT) AS in_contents FROM idx GROUP BY term"),
     "candidate_pages": (candidate_pages, SEARCH + " SELECT DISTINCT query_id, page_id FROM (SELECT query_id, unnest(terms) AS term FROM terms) JOIN idx USING (term)"),
