@@ -332,8 +332,20 @@ def semantic_scores(query_vectors: DataFrame, page_vectors: DataFrame, block: in
     asked = query_vectors.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
     parts = [pages.join(F.broadcast(asked.where(F.col("block") == i)), (F.size("qv") == F.size("pv")) & (F.col("query_id") != F.col("page_id"))) for i in range(blocks)]
     s = reduce(DataFrame.unionByName, parts).select("query_id", "page_id", dot.alias("s"))
-    score = F.when(F.col("s") >= 0.65, (F.col("s") - 0.65) / 0.35).otherwise(F.greatest(F.lit(0.1), F.col("s") / 0.65 * 0.5))
-    return s.select("query_id", "page_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))
+    return s.select("query_id", "page_id", stretched(F.col("s")).alias("score"))
+
+
+def stretched(s: Column) -> Column:
+    """A dot product of unit vectors as a score from 0 to 1, to four places: 0.65 and more fills the whole range."""
+    score = F.when(s >= 0.65, (s - 0.65) / 0.35).otherwise(F.greatest(F.lit(0.1), s / 0.65 * 0.5))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
+
+
+def pair_similarity(pairs: DataFrame, query_vectors: DataFrame, page_vectors: DataFrame) -> DataFrame:
+    """(query_id, page_id, semantic_score) of given pairs whose vectors have one length; only their own vectors are joined to them."""
+    both = pairs.select("query_id", "page_id").join(query_vectors.select("query_id", F.col("embedding").alias("qv")), "query_id").join(page_vectors.select("page_id", F.col("embedding").alias("pv")), "page_id")
+    dot = F.aggregate(F.zip_with("qv", "pv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return both.where(F.size("qv") == F.size("pv")).withColumn("s", dot).select("query_id", "page_id", stretched(F.col("s")).alias("semantic_score"))
 
 
 def semantic_top(query_vectors: DataFrame, page_vectors: DataFrame, n: int = 10) -> DataFrame:

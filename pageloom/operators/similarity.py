@@ -138,6 +138,13 @@ def repeats(posts: DataFrame, text: str = "body") -> DataFrame:
     return long_.join(first, ["scope", "k"]).where("id > original_id").select("id", "original_id")
 
 
+def originality(pages: DataFrame, text: str = "title") -> DataFrame:
+    """(page_id, originality_score): 1 for the page of the smallest id among those of equal words, a share of 1 / n for the other n - 1. Null counts as no words."""
+    own = pages.select("page_id", F.md5(F.array_join(tokens(F.col(text)), " ")).alias("k"))
+    classes = own.groupBy("k").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    return own.join(classes, "k").select("page_id", F.when(F.col("page_id") == F.col("first"), 1.0).otherwise(1.0 / F.col("n")).alias("originality_score"))
+
+
 def vocabulary(pages: DataFrame) -> DataFrame:
     """(word): words longer than three characters of titles and of the first 100 characters of contents."""
     words = F.array_union(tokens(F.col("title")), tokens(F.left("content", F.lit(100))))

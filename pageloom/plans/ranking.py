@@ -10,6 +10,7 @@ from pageloom.operators import links as L
 from pageloom.operators import page_scores as P
 from pageloom.operators import postings as P2
 from pageloom.operators import ranking as R
+from pageloom.operators.similarity import originality
 from pageloom.operators.topics import PENALTIES, Topic, score_category_mismatch
 from pageloom.operators.votes import user_interests
 from pageloom.plans import pages as G
@@ -88,7 +89,10 @@ def signals(spark, d):
     q = R.named_brand(R.weights(meant)).select("brand", "query_id", "query", "intent", "w_trust", "w_relevance", "w_quality")
     rel = materialised(R.score_relevance(meant.drop("expanded"), pages, terms_of_pages, AS_OF, fit), "relevance")
     authority = L.domain_authority(v.v_edges(spark, d))
+    vectors = v.read(spark, d, "embeddings")
+    near = R.pair_similarity(rel, vectors.withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "page_id"))
     pairs = rel.join(scored, "page_id").join(q, "query_id").withColumn("tags", F.lit(None).cast("array<string>"))
+    pairs = pairs.join(near, ["query_id", "page_id"], "left").join(originality(pages), "page_id", "left").join(G.source_reliability(spark, d).select("page_id", "reliability_net"), "page_id", "left")
     fitting = score_category_mismatch(pairs, TOPICS).drop("tags", "topic", "mismatch_reason")
     return materialised(R.quality_signals(fitting, votes, authority, AS_OF), "signals")
 
@@ -245,7 +249,7 @@ SIGNAL_SQL = {
     "ux": "CASE WHEN mobile_friendly THEN 0.35 ELSE 0 END + CASE WHEN secure THEN 0.2 ELSE 0 END + CASE WHEN load_ms <= 0 THEN 0 WHEN load_ms < 800 THEN 0.45 WHEN load_ms < 2000 THEN 0.25 WHEN load_ms < 3500 THEN 0.05 WHEN load_ms > 3500 THEN -0.2 ELSE 0 END",
     "structure": "CASE WHEN has_table THEN 0.32 ELSE 0 END + CASE WHEN has_steps THEN 0.32 ELSE 0 END + CASE WHEN image_count >= 5 THEN 0.18 ELSE 0 END + CASE WHEN video_count > 0 THEN 0.18 ELSE 0 END + CASE WHEN internal_link_density >= 0.1 THEN 0.08 ELSE 0 END",
     "authority": "coalesce(greatest(CAST(0 AS DOUBLE), domain_trust - CASE WHEN spam_score >= 50 THEN 0.3 ELSE 0 END), least(CAST(1 AS DOUBLE), CAST(coalesce(authority_bonus, 0) AS DOUBLE) / 10))",
-    "reliability": "0.5", "semantic": "0", "originality": "0.5",
+    "reliability": "(coalesce(reliability_net, 0) + 5) / 10", "semantic": "coalesce(semantic_score, 0)", "originality": "coalesce(originality_score, 0.5)",
 }
 RANKED = (SEARCH + ",\n" + EXPANDED + ",\n" + FILTERED + ",\n" + MEANT + ",\n" + RELEVANCE.replace("JOIN terms USING", "JOIN meant USING") + f""",
 {with_views('', 'v_domain_votes', 'v_edges').rstrip().removeprefix('WITH ')},
@@ -254,9 +258,13 @@ malus AS ({G.AD_DENSITY}),
 aff AS ({G.AFFILIATE}),
 auth AS (SELECT domain, CAST(least(10, floor(round(log10(count(*) + 1) * CAST(4.3 AS DOUBLE), 6) + 0.5)) AS BIGINT) AS authority_bonus FROM (SELECT DISTINCT from_url, {{HOST.format('to_url')}} AS domain FROM v_edges WHERE {{HOST.format('from_url')}} <> {{HOST.format('to_url')}}) GROUP BY domain),
 kept AS (SELECT * FROM spam WHERE {G.KEPT}),
-rows AS (SELECT r.*, k.* EXCLUDE (page_id), t.query, t.intent, {PROFILE} AS profile, coalesce(positive, 0) AS pos, coalesce(negative, 0) AS neg, coalesce(neutral, 0) AS neu, authority_bonus,
+reliable AS (SELECT page_id, reliability_net FROM ({G.RELIABILITY})),
+alike AS (SELECT query_id, page_id, round(greatest(0, least(1, CASE WHEN s >= 0.65 THEN (s - CAST(0.65 AS DOUBLE)) / CAST(0.35 AS DOUBLE) ELSE greatest(CAST(0.1 AS DOUBLE), s / CAST(0.65 AS DOUBLE) * CAST(0.5 AS DOUBLE)) END)), 4) AS semantic_score
+  FROM (SELECT f.query_id, f.page_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) AS s FROM filtered f JOIN embeddings a ON a.vec_id = f.query_id JOIN embeddings b ON b.vec_id = f.page_id AND len(a.embedding) = len(b.embedding))),
+original AS (SELECT page_id, CASE WHEN page_id = min(page_id) OVER w THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / count(*) OVER w END AS originality_score FROM v_pages WINDOW w AS (PARTITION BY {TOKENS.format('title')})),
+rows AS (SELECT r.*, k.* EXCLUDE (page_id), t.query, t.intent, {PROFILE} AS profile, coalesce(positive, 0) AS pos, coalesce(negative, 0) AS neg, coalesce(neutral, 0) AS neu, authority_bonus, reliability_net, semantic_score, originality_score,
     greatest(0, greatest(0, CAST(CASE WHEN ad_count < 1 THEN 1 WHEN ad_count < 2 THEN 0.75 WHEN ad_count < 3 THEN 0.5 WHEN ad_count < 4 THEN 0.28 WHEN ad_count < 5 THEN 0.1 ELSE 0 END AS DOUBLE) - CAST(affiliate_malus AS DOUBLE) / 20) - CAST(ad_malus AS DOUBLE) / 25) AS free
-  FROM rel r JOIN filtered USING (query_id, page_id) JOIN kept k USING (page_id) JOIN meant t USING (query_id) JOIN malus USING (page_id) JOIN aff USING (page_id) LEFT JOIN v_domain_votes d ON d.domain = k.domain LEFT JOIN auth ON auth.domain = k.domain),
+  FROM rel r JOIN filtered USING (query_id, page_id) JOIN kept k USING (page_id) JOIN meant t USING (query_id) JOIN malus USING (page_id) JOIN aff USING (page_id) LEFT JOIN v_domain_votes d ON d.domain = k.domain LEFT JOIN auth ON auth.domain = k.domain LEFT JOIN reliable ON reliable.page_id = k.page_id LEFT JOIN alike ON alike.query_id = r.query_id AND alike.page_id = r.page_id LEFT JOIN original ON original.page_id = k.page_id),
 sig AS (SELECT *, CASE profile WHEN 'YMYL' THEN 60 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 30 WHEN 'ENTERTAINMENT' THEN 20 WHEN 'INFORMATIONAL' THEN 35 ELSE 40 END AS w_trust, CASE profile WHEN 'YMYL' THEN 25 WHEN 'NEWS' THEN 30 WHEN 'COMMERCIAL' THEN 40 WHEN 'ENTERTAINMENT' THEN 40 ELSE 35 END AS w_relevance,
     {', '.join(f"{CLAMP.format(e)} AS s_{n}" for n, e in SIGNAL_SQL.items())} FROM rows),
 valued AS (SELECT *, {' + '.join(f"s_{n} * CAST({w} AS DOUBLE)" for n, w in R.SIGNALS.items())} AS quality FROM sig),

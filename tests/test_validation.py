@@ -1,6 +1,6 @@
 """Sentence lists, entries of several fields, and intents that results correct, on hand-made rows."""
 
-from pageloom.operators import moderation, ranking
+from pageloom.operators import moderation, ranking, similarity
 
 
 def test_sentence_list_stops_at_the_first_block(spark):
@@ -39,3 +39,17 @@ def test_results_correct_intents(spark):
     rows = [(q, i, c.lower()) for q, cs in found.items() for i, c in enumerate(cs, 1)]
     got = ranking.correct_intent(asked, spark.createDataFrame(rows, "query_id long, rank int, category string"))
     assert {r.query_id: r.intent for r in got.collect()} == {1: "COMMERCIAL", 2: "NEWS", 3: "GENERAL", 4: "COMMERCIAL", 5: "GENERAL", 6: "INFORMATIONAL"}
+
+
+def test_first_pages_are_originals(spark):
+    pages = spark.createDataFrame([(3, "Ein Titel"), (1, "ein  titel!"), (2, "Anders"), (4, None), (5, ""), (6, "EIN TITEL")], "page_id long, title string")
+    got = {r.page_id: round(r.originality_score, 4) for r in similarity.originality(pages).collect()}
+    assert got == {1: 1, 3: 0.3333, 6: 0.3333, 2: 1, 4: 1, 5: 0.5}
+
+
+def test_similarity_of_pairs(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "query_id long, embedding array<float>")
+    p = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [-1.0, 0.0]), (4, [0.825, 0.0]), (5, None)], "page_id long, embedding array<float>")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 1), (3, 1)], "query_id long, page_id long")
+    got = {(r.query_id, r.page_id): r.semantic_score for r in ranking.pair_similarity(pairs, q, p).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.3846, (1, 3): 0.1, (1, 4): 0.5}
