@@ -63,36 +63,89 @@ def near_duplicates(hashes: DataFrame, id_col: str = "doc_id", bits: int = MAX_B
     return hashes.where("simhash <> 0").join(best, "simhash").where(F.col("duplicate_of") < F.col(id_col)).select(id_col, "duplicate_of")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(scope, node, first) of edges (scope, a, b), nulls in none of them: each node with the smallest one that can be reached from it within its scope. A round takes the smallest label of all neighbours and then that label's own label, so labels travel ever further; each round is a stored table."""
+    both = materialised(edges.select("scope", "a", "b").unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialised(both.groupBy("scope", F.col("a").alias("node")).agg(F.min("b").alias("first")).withColumn("first", F.least("node", "first")), "labels")
+    while True:
+        seen = both.join(labels.withColumnRenamed("node", "b"), ["scope", "b"]).groupBy("scope", F.col("a").alias("node")).agg(F.min("first").alias("near"))
+        least = labels.join(seen, ["scope", "node"]).select("scope", "node", F.col("first").alias("old"), F.least("first", "near").alias("first"))
+        jump = labels.select("scope", F.col("node").alias("first"), F.col("first").alias("next"))
+        moved = materialised(least.join(jump, ["scope", "first"]).select("scope", "node", "old", F.least("first", "next").alias("first")), "labels")
+        labels = moved.drop("old")
+        if moved.where("first <> old").isEmpty():
+            return labels
+
+
 def dedupe_results(ranking: DataFrame, hashes: DataFrame, bits: int = MAX_BITS, most: int = MAX_GROUP) -> DataFrame:
-    """(query_id, rank, url, canonical_url, is_duplicate) of ranked lists: down each list a row goes to the best kept row before it whose fingerprint is near and that has fewer than most rows; else it is kept itself. ranking has query_id, rank and url, hashes has url and simhash; rows with fingerprint zero or none are kept and take no others.
+    """(query_id, rank, url, canonical_url, is_duplicate) of ranked lists: down each list a row goes to the best kept row before it whose fingerprint is near and that has fewer than most rows; else it is kept itself. ranking has query_id, rank and url, hashes has url and simhash, one row a url; rows with fingerprint zero or none are kept and take no others. Equal ranks are ordered by url; a null query_id is a list of its own.
 
-    Lists are judged one at a time, in batches, down their ranks. Kept fingerprints are looked up by blocks of their bits, of which near ones share one.
+    A row's fate hangs on rows of its list that a chain of near fingerprints ties to it, so a list is cut into these components, which are judged apart. A component isn't passed row by row but run by run: neighbours in rank of one fingerprint, cut where a partition of the sorted rows ends, are one row with a count. A run first fills the near kept rows that have room, best first; what is left over keeps every (most + 1)th of its rows. So the pass holds one kept row a fingerprint, and copies by the thousand cost it a few runs.
     """
-    rows = ranking.join(hashes.select("url", "simhash"), "url", "left").select("query_id", "rank", "url", F.coalesce("simhash", F.lit(0)).alias("simhash"))
+    rows = ranking.join(hashes.select("url", "simhash"), "url", "left").select(F.struct("query_id").alias("scope"), "rank", "url", F.coalesce("simhash", F.lit(0)).alias("simhash"))
+    rows = materialised(rows, "ranked-hashes")
+    members = materialised(rows.where("simhash <> 0").select("scope", "simhash").distinct(), "list-hashes")
+    near = near_hashes(members, bits)
+    edges = near.join(members.withColumnRenamed("simhash", "hash_a"), "hash_a").join(members.withColumnRenamed("simhash", "hash_b"), ["scope", "hash_b"])
+    tied = components(edges.select("scope", F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))).select("scope", F.col("node").alias("simhash"), F.col("first").alias("part"))
+    order = ["scope", "part", "rank", "url"]
+    placed = rows.where("simhash <> 0").join(tied, ["scope", "simhash"], "left").withColumn("part", F.coalesce("part", "simhash"))
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    within = Window.partitionBy(F.shiftright("id", 33), "scope", "part").orderBy("id")  # ids number the rows of a partition upwards; their upper bits are the partition
+    placed = placed.withColumn("before", F.lag("simhash").over(within)).withColumn("run", F.max(F.when(F.col("before").isNull() | (F.col("before") != F.col("simhash")), F.col("id"))).over(within))
+    placed = materialised(placed.drop("before"), "ranked-runs")
+    runs = placed.groupBy("scope", "part", "run", "simhash").agg(F.count("*").alias("n"))
     n = bits + 1
-    edges = [64 * i // n for i in range(n + 1)]
+    edges_of = [64 * i // n for i in range(n + 1)]
 
-    def work(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        kept, blocks, to = [], {}, []
-        for url, h in batch.sort_values("rank")[["url", "simhash"]].itertuples(index=False):
-            h = int(h) & ((1 << 64) - 1)
-            own = [(i, (h >> edges[i]) & ((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)] if h else []
-            near = min((k for b in own for k in blocks.get(b, ()) if kept[k][2] < most and (kept[k][1] ^ h).bit_count() <= bits), default=None)
-            to.append(kept[near][0] if near is not None else None)
-            if near is not None:
-                kept[near][2] += 1
-                if kept[near][2] == most:  # full ones need no more looking at
-                    for i in range(n):
-                        blocks[i, (kept[near][1] >> edges[i]) & ((1 << (edges[i + 1] - edges[i])) - 1)].remove(near)
-            elif h:
-                kept.append([url, h, 0])
-                for b in own:
-                    blocks.setdefault(b, []).append(len(kept) - 1)
-        out = batch.sort_values("rank")
-        return out.assign(canonical_url=pd.Series(to, index=out.index, dtype=object), is_duplicate=[x is not None for x in to]).drop(columns="simhash")
-
-    schema = T.StructType([*rows.drop("simhash").schema, T.StructField("canonical_url", T.StringType()), T.StructField("is_duplicate", T.BooleanType())])
-    return rows.groupBy("query_id").applyInPandas(work, schema)
+    def blocks_of(h: int) -> list[tuple[int, int]]:
+        return [(i, (h >> edges_of[i]) & ((1 << (edges_of[i + 1] - edges_of[i])) - 1)) for i in range(n)]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, room, blocks = None, {}, {}  # fingerprint -> (place among the kept, id, rows that still fit), and block -> fingerprints
+        kept = 0
+        for b in batches:
+            out = []
+            for scope, part, run, h, size in b[["scope_key", "part", "run", "simhash", "n"]].itertuples(index=False):
+                if (scope, part) != at:
+                    at, room, blocks, kept = (scope, part), {}, {}, 0
+                h = int(h) & ((1 << 64) - 1)
+                fills, used = [], 0
+                for place, k in sorted((room[k][0], k) for k in {k for x in blocks_of(h) for k in blocks.get(x, ())} if (k ^ h).bit_count() <= bits):
+                    if used == size:
+                        break
+                    _, owner, free = room[k]
+                    took = min(free, size - used)
+                    used += took
+                    fills.append({"upto": used, "owner": owner})
+                    if took < free:
+                        room[k] = (place, owner, free - took)
+                    else:  # full ones need no more looking at
+                        del room[k]
+                        for x in blocks_of(k):
+                            blocks[x].discard(k)
+                if used < size:
+                    last = (size - used - 1) // (most + 1) * (most + 1)
+                    kept += 1
+                    free = most - (size - used - 1 - last)
+                    if free:
+                        room[h] = (kept, run + used + last, free)
+                        for x in blocks_of(h):
+                            blocks.setdefault(x, set()).add(h)
+                if fills:
+                    out.append((run, fills))
+            yield pd.DataFrame(out, columns=["run", "fills"])
+
+    keyed = runs.select(F.to_json("scope").alias("scope_key"), "part", "run", "simhash", "n")
+    passed = keyed.repartition("scope_key", "part").sortWithinPartitions("scope_key", "part", "run").mapInPandas(work, "run long, fills array<struct<upto: long, owner: long>>")
+    i, used = F.col("id") - F.col("run"), F.coalesce(F.element_at("fills", -1)["upto"], F.lit(0))
+    filled = F.filter("fills", lambda f: i < f["upto"])[0]["owner"]
+    owned = placed.join(passed, "run", "left").withColumn("owner", F.when(i < used, filled).otherwise(F.col("id") - (i - used) % (most + 1)))
+    owners = placed.select(F.col("id").alias("owner"), F.col("url").alias("canonical_url"))
+    others = owned.where("owner <> id").join(owners, "owner").select("scope", "rank", "url", "canonical_url", F.lit(True).alias("is_duplicate"))
+    alone = owned.where("owner = id").select("scope", "rank", "url").unionByName(rows.where("simhash = 0").select("scope", "rank", "url"))
+    out = others.unionByName(alone.select("*", F.lit(None).cast("string").alias("canonical_url"), F.lit(False).alias("is_duplicate")))
+    return out.select("scope.query_id", "rank", "url", "canonical_url", "is_duplicate")
 
 
 def shingle_sets(posts: DataFrame, text: str = "body") -> DataFrame:
