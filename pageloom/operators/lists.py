@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.tables import materialised
-
 from pageloom.functions.columns import tokens, yes
+from pageloom.functions.tables import materialised
 
 # Parameters that only track, by name or by prefix.
 TRACKING_NAMES = "fbclid gclid dclid msclkid yclid igshid mc_cid mc_eid ref ref_src source spm".split()
@@ -143,15 +142,39 @@ def star_ratings(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("domain").agg(F.round(F.avg("stars"), 1).alias("mean_stars"), F.count("*").alias("n"), F.count_if("approved").alias("n_approved"))
 
 
+def _grams(text: Column, k: int) -> Column:
+    """Each run of k characters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
+
+
 def autocomplete(queries: DataFrame, pages: DataFrame, n: int = 8) -> DataFrame:
-    """(query_id, title, score, rank): the best n titles that a query's text is, begins, begins a word of, or is in, in any case; shorter titles break ties. Titles are joined by the query's first three characters, or all of a shorter one's, so a query is compared with titles that can match only."""
+    """(query_id, title, score, rank): the best n titles, shorter ones first among equals. A title counts 100 if it is the query, 90 if it begins with it, 80 if one of its words does, 60 if it holds it and 30 if it has its letters in order; below 50 the page's content may count instead, 5 for each time it holds the query and 30 at most. A url that holds the query adds 20. All in any case; of pages with one title the best counts. Empty queries and titles have no rows; null contents and urls are empty. pages has page_id, title, content and url.
+
+    A page that holds a query has all its runs of three characters (or all of a shorter one), and a title with its letters in order has each two of them that follow one another, in that order. So pages are looked up by the one of these that fewest pages have, and only what is found is scored. Of the pages' own runs and pairs only those that some query has are stored.
+    """
     from pageloom.operators.similarity import match_score
 
+    asked = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where("q <> ''")
+    size = F.length("q")
+    rows = pages.where("title <> ''").select("page_id", "title", F.lower(F.coalesce("content", F.lit(""))).alias("content"), F.lower(F.coalesce("url", F.lit(""))).alias("url"))
     low = F.lower(F.trim("title"))
-    grams = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substr(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    by_gram = pages.select("title").where("title <> ''").distinct().select("title", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    q = queries.select("query_id", "query", F.left(F.lower(F.trim("query")), F.lit(3)).alias("gram")).where("gram <> ''")
-    scored = q.join(by_gram, "gram").where(F.contains(low, F.lower(F.trim("query")))).select("query_id", "title", match_score(F.col("query"), F.col("title")).alias("score")).distinct()
+    text = F.concat_ws("\n", low, "content", "url")
+    letters = F.filter(F.split(low, ""), lambda c: c != "")
+    behind = lambda c: F.array_distinct(F.slice("letters", F.array_position("letters", c) + 1, F.size("letters")))
+    pairs = F.flatten(F.transform(F.array_distinct("letters"), lambda c: F.transform(behind(c), lambda d: F.concat(c, d))))
+    marked = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("part")))
+    needs = F.concat(marked("run", F.when(size >= 3, _grams(F.col("q"), 3)).otherwise(F.array("q"))), marked("pair", _grams(F.col("q"), 2)))
+    needs = materialised(asked.select("query_id", "q", F.inline(F.array_distinct(needs))), "completion-needs")
+    runs = rows.select("page_id", F.explode(F.array_distinct(F.concat(*(_grams(text, k) for k in (1, 2, 3))))).alias("part")).withColumn("kind", F.lit("run"))
+    ordered = rows.select("page_id", letters.alias("letters")).select("page_id", F.explode(pairs).alias("part")).withColumn("kind", F.lit("pair"))
+    held = materialised(runs.unionByName(ordered).join(needs.select("kind", "part").distinct(), ["kind", "part"], "left_semi"), "completion-parts")
+    often = held.groupBy("kind", "part").agg(F.count("*").alias("n"))
+    rarest = needs.join(often, ["kind", "part"], "left").groupBy("query_id", "q", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("least"))
+    found = rarest.where("least.n > 0").select("query_id", "q", "kind", "least.part").join(held, ["kind", "part"]).select("query_id", "q", "page_id").distinct()
+    times = F.floor((F.length("content") - F.length(F.replace("content", F.col("q"), F.lit("")))) / size)
+    by_title = match_score(F.col("q"), F.col("title"))
+    score = F.greatest(by_title, F.when(by_title < 50, F.least(F.lit(30), times * 5)).otherwise(0)) + F.when(F.contains("url", F.col("q")), 20).otherwise(0)
+    scored = found.join(rows, "page_id").groupBy("query_id", "title").agg(F.max(score).cast("int").alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("title"), "title")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 

@@ -28,8 +28,8 @@ def word_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = each.select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
     top = counts.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "w"))).where(F.col("i") <= TOP_WORDS)
     half = lambda k: F.conv(F.substring(F.md5("w"), 1 + 8 * k, 8), 16, 10).cast("long")
-    sums = [F.sum(F.when(F.getbit(half(k), F.lit(31 - b)) == 1, 1).otherwise(-1)).alias(f"b{32 * k + b}") for k in (0, 1) for b in range(32)]
-    bits = top.groupBy("id").agg(*sums)
+    sums = [F.sum(F.when(F.getbit(F.col(f"h{k}"), F.lit(31 - b)) == 1, 1).otherwise(-1)).alias(f"b{32 * k + b}") for k in (0, 1) for b in range(32)]
+    bits = top.select("id", half(0).alias("h0"), half(1).alias("h1")).groupBy("id").agg(*sums)  # each word is hashed once, not for every bit
     part = lambda k: F.lpad(F.lower(F.hex(sum((F.when(F.col(f"b{32 * k + b}") > 0, 1 << (31 - b)).otherwise(0).cast("long") for b in range(32)), F.lit(0).cast("long")))), 8, "0")
     found = bits.select("id", F.concat(part(0), part(1)).alias("simhash_hex"))
     out = docs.select(F.col(id_col).alias("id")).join(found, "id", "left").withColumn("simhash_hex", F.coalesce("simhash_hex", F.lit("0" * 16)))

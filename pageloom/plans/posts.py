@@ -413,8 +413,11 @@ QUERIES = {
     "paywall_domains": (paywall_domains, with_views("SELECT domain, count(*) AS n_reports FROM (SELECT DISTINCT domain, url, user_id FROM v_clicks) GROUP BY domain", "v_clicks")),
     "star_ratings": (star_ratings, with_views("SELECT domain, round(avg(id % 5 + 1), 1) AS mean_stars, count(*) AS n, count(*) FILTER (WHERE id % 3 > 0) AS n_approved FROM v_clicks GROUP BY domain", "v_clicks")),
     "autocompletions": (autocompletions, with_views(r"""SELECT query_id, title, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(title), title) AS rank FROM (
-      SELECT query_id, title, CASE WHEN t = query THEN 100 WHEN starts_with(t, query) THEN 90 WHEN len(list_filter(string_split_regex(t, '\s+'), lambda w: starts_with(w, query))) > 0 THEN 80 ELSE 60 END AS score
-      FROM v_queries JOIN (SELECT DISTINCT title, trim(lower(title)) AS t FROM v_pages WHERE title <> '') ON contains(t, query))) WHERE rank <= 8""", "v_pages", "v_queries")),
+      SELECT query_id, title, max(CAST(greatest(named, CASE WHEN named < 50 THEN least(30, 5 * times) ELSE 0 END) + CASE WHEN contains(url, q) THEN 20 ELSE 0 END AS INT)) AS score
+      FROM (SELECT *, (length(content) - length(replace(content, q, ''))) // length(q) AS times, CASE WHEN t = q THEN 100 WHEN starts_with(t, q) THEN 90 WHEN len(list_filter(string_split_regex(t, '\s+'), lambda w: starts_with(w, q))) > 0 THEN 80
+        WHEN contains(t, q) THEN 60 WHEN regexp_matches(t, array_to_string(list_transform(string_split(q, ''), lambda c: regexp_escape(c)), '.*'), 's') THEN 30 ELSE 0 END AS named
+        FROM (SELECT query_id, lower(trim(query)) AS q FROM v_queries), (SELECT title, trim(lower(title)) AS t, lower(coalesce(content, '')) AS content, lower(coalesce(url, '')) AS url FROM v_pages WHERE title <> '') WHERE q <> '')
+      GROUP BY query_id, title HAVING score > 0)) WHERE rank <= 8""", "v_pages", "v_queries")),
     "title_matches": (title_matches, K.SEARCH + ",\n" + G.TRUST + """ SELECT query_id, page_id, CAST(rank AS INT) AS rank FROM (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY trust_score DESC, page_id) AS rank FROM (
       SELECT query_id, page_id FROM (SELECT query_id, len(list_distinct(terms)) AS need, unnest(list_distinct(terms)) AS term FROM terms) JOIN idx USING (term) WHERE n_title > 0 GROUP BY query_id, page_id, need HAVING count(*) = need) JOIN trust USING (page_id)) WHERE rank <= 5"""),
     "top_facts": (top_facts, "WITH " + FACTS + """, u AS (SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY max(ts) DESC NULLS LAST, url) AS u FROM facts GROUP BY host, url) WHERE u <= 10),
