@@ -69,6 +69,40 @@ def test_classifiers_take_odd_tables(spark):
         assert module.train(docs.limit(0), labels.limit(0)) is not None
 
 
+def test_ranker_is_fitted_on_all_labels_and_pairs(spark):
+    """Against sums over all pairs written out, with more than 3,000 rows of each class: the weights are where the whole loss is least, and the cut parts all margins at the share of label 0."""
+    from pageloom.llm import quality
+
+    rng = np.random.default_rng(5)
+    made = [(i, " ".join(rng.choice(["lamp", "river", "Stone", "a,", "b.", "77", "||"], size=int(rng.integers(1, 30)))), int(rng.random() < 0.5)) for i in range(12_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(7 * t.split().count("77") > len(t.split()) if rng.random() < 0.7 else y)) for i, t, y in made], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    given = dict(labels.collect())
+    known = [(quality.features(t), given[i]) for i, t, _ in made if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = quality.expand(np.array([f for f, _ in known])), np.array([c for _, c in known])
+    assert min((y == 1).sum(), (y == 0).sum()) > 3_000
+    varies = x.std(0) > 1e-9
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-6) and np.allclose(model.scale[varies], x.std(0)[varies], rtol=1e-6) and not model.weights[~varies].any()
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    g, b = z[y == 1], z[y == 0]
+    missed = 1 / (1 + np.exp((g @ model.weights)[:, None] - b @ model.weights))
+    gradient = (missed.sum(1) @ g - missed.sum(0) @ b) / missed.size - 1e-3 * model.weights
+    assert np.abs(gradient).max() < 1e-6
+    order = np.sort(z @ model.weights)
+    assert np.isclose(model.cut, (order[len(b) - 1] + order[len(b)]) / 2, rtol=1e-9)
+
+
+def test_ranked_values(spark):
+    from pageloom.llm import quality
+
+    rng = np.random.default_rng(3)
+    for values in ([1.5, 1.5, 1.5], [-2.0, 7.0], [*rng.normal(size=500), *[0.25] * 300, 1e300, -1e-300], [1.0, np.nextafter(1.0, 2), 1e9, 1e9]):
+        table, order = spark.createDataFrame([(float(v),) for v in values], "v double"), sorted(values)
+        for k in {1, len(values) // 3 or 1, len(values) - 1}:
+            assert quality.ranked(table, k) == (order[k - 1], order[k])
+
+
 def test_features_follow_no_script():
     from pageloom.llm import quality
 
