@@ -31,6 +31,10 @@ def test_a_changed_page_has_one_row(spark, folder):
     assert same_as_sql(spark, folder, "changed_documents") == 8
 
 
+def test_a_page_of_a_changed_url_has_one_vector(spark, folder):
+    assert same_as_sql(spark, folder, "embedded_pages") == 12
+
+
 def test_any_row_of_a_key_makes_a_page_known(spark):
     pages = spark.createDataFrame([("u", "t", "new"), ("u", "t", "old"), ("w", "t", "new"), (None, "t", "new")], "url string, title string, content string")
     hashes = similarity.changed_documents(pages, spark.createDataFrame([], "url string, text_hash string")).collect()
