@@ -45,3 +45,12 @@ def test_suggestions_are_those_of_all_pairs(spark):
     # Most pairs that share a trigram can't reach the score, and never leave the join.
     sharing = sum(bool(grams(q) & grams(w)) for _, q in queries for w in words)
     assert similarity.spelling_pairs(df.withColumnRenamed("query", "q"), listed, 60).count() < sharing / 5
+
+
+def test_corrections_need_no_other_suggestions(spark):
+    words = spark.createDataFrame([(w,) for w in ("fenster", "fensterbank", "fensterbrett", "gartenzaun", "gartenzaum", "ähren")], "word string")
+    queries = spark.createDataFrame(list(enumerate(("fensterbankk", "fensterbretl", "gartenzauu", "aehren", "fesnter", "zzz"))), "query_id int, query string")
+    plain = sorted(map(tuple, similarity.autocorrect(similarity.did_you_mean(queries, words)).collect()))
+    assert plain == sorted(map(tuple, similarity.autocorrect(similarity.did_you_mean(queries, words, 1, 90)).collect())) and plain
+    asked = queries.withColumnRenamed("query", "q")
+    assert similarity.spelling_pairs(asked, words, 90).count() < similarity.spelling_pairs(asked, words, 60).count()
