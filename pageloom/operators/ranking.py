@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.columns import half_up, host, tier, tokens, under, yes
 from pageloom.operators.links import domain_family
+from pageloom.operators.vectors import Choice, best, dots
 
 # Words that queries are searched without.
 STOP_WORDS = """der die das den dem des ein eine und oder auf aus bei bis für mit nach von vor zum zur ins ans vom hat ist sind war wird ich wir sie ihr man sich
@@ -324,15 +324,15 @@ def highlight(text: Column, terms: Column) -> Column:
     return F.when(F.size(escaped) > 0, F.regexp_replace(text, pattern, F.lit("<mark>$1</mark>"))).otherwise(text)
 
 
-def semantic_scores(query_vectors: DataFrame, page_vectors: DataFrame, block: int = 5_000) -> DataFrame:
-    """(query_id, page_id, score): dot products of unit vectors, stretched to 0 to 1, of the stated queries with all pages. Tasks hold a block of so many queries at a time; a query is not compared with the page of its own id."""
-    blocks = max(1, -(-query_vectors.count() // block))
-    dot = F.aggregate(F.zip_with("qv", "pv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pages = page_vectors.select("page_id", F.col("embedding").alias("pv"))
-    asked = query_vectors.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    parts = [pages.join(F.broadcast(asked.where(F.col("block") == i)), (F.size("qv") == F.size("pv")) & (F.col("query_id") != F.col("page_id"))) for i in range(blocks)]
-    s = reduce(DataFrame.unionByName, parts).select("query_id", "page_id", dot.alias("s"))
-    return s.select("query_id", "page_id", stretched(F.col("s")).alias("score"))
+def semantic_scores(query_vectors: DataFrame, page_vectors: DataFrame, block: int = 5_000, choose: Choice | None = None) -> DataFrame:
+    """(query_id, page_id, score): dot products of unit vectors, stretched to 0 to 1, of the stated queries with all pages, or with those that choose keeps. Tasks hold a block of so many queries at a time; a query is not compared with the page of its own id."""
+    s = dots(page_vectors.select(F.col("page_id").alias("id"), F.col("embedding").alias("v")), query_vectors.select(F.col("query_id").alias("other_id"), F.col("embedding").alias("o")), block, choose)
+    return s.select(F.col("other_id").alias("query_id"), F.col("id").alias("page_id"), stretched(F.col("dot")).alias("score"))
+
+
+def stretched_products(s: np.ndarray) -> np.ndarray:
+    """stretched before it is rounded."""
+    return np.clip(np.where(s >= 0.65, (s - 0.65) / 0.35, np.maximum(0.1, s / 0.65 * 0.5)), 0, 1)
 
 
 def stretched(s: Column) -> Column:
