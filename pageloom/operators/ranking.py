@@ -351,4 +351,4 @@ def pair_similarity(pairs: DataFrame, query_vectors: DataFrame, page_vectors: Da
 def semantic_top(query_vectors: DataFrame, page_vectors: DataFrame, n: int = 10) -> DataFrame:
     """(query_id, page_id, score, rank): the n best pages for each query by semantic_scores, equal ones by page_id. Every task keeps n rows of a query before anything is shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id")
-    return semantic_scores(query_vectors, page_vectors).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return semantic_scores(query_vectors, page_vectors, choose=best(n, stretched_products)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
