@@ -186,26 +186,35 @@ def qa_fulltext(queries: DataFrame, answers: DataFrame) -> DataFrame:
     count by their closeness c, and the rank is 1 minus the product of all 1 - c: answers that say a query's words together come first. Null texts are
     empty, queries without stems have no row, equal queries the same one.
 
-    Answers are found by the query's rarest stem, so common ones open no long lists. Occurrences meet in stretches of 100 words, so those of a long text are not all paired.
+    Queries of equal stems are asked once. Answers are found by a query's two rarest stems, so common ones open no long lists, and only what has both meets the other stems. Occurrences meet in stretches of 100 words, so those of a long text are not all paired; stems travel as numbers.
     """
-    places = materialised(stem_places(answers, "answer_id", F.concat_ws(" ", "question", "answer")), "stem-places")
-    index = places.groupBy("answer_id", "stem").agg(F.count("*").alias("n"))
+    places = stem_places(answers, "answer_id", F.concat_ws(" ", "question", "answer"))
+    places = materialised(places, "stem-places")
+    often = materialised(places.groupBy("stem").agg(F.countDistinct("answer_id").alias("df")).withColumn("s", F.monotonically_increasing_id()), "stems")
+    places = places.join(often, "stem").select("answer_id", "s", "pos")
+    index = materialised(places.groupBy("answer_id", "s").agg(F.count("*").alias("n")), "stem-index")
     asked = materialised(stem_places(queries, "query_id", F.col("query")).select("query_id", "stem").distinct(), "asked-stems")
-    needs = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    often = index.groupBy("stem").agg(F.count("*").alias("df"))
-    rarest = asked.join(often, "stem", "left").groupBy("query_id").agg(F.min_by("stem", F.struct(F.coalesce("df", F.lit(0)), "stem")).alias("stem"))
-    found = rarest.join(index, "stem").select("query_id", "answer_id")
-    hits = found.join(asked, "query_id").join(index, ["answer_id", "stem"]).groupBy("query_id", "answer_id").agg(F.count("*").alias("have"), F.first("n").alias("n"))
-    full = materialised(hits.join(needs, "query_id").where("have = need").select("query_id", "answer_id", "need", "n"), "full-hits")
+    known = asked.join(often, "stem", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("stems"), F.count_if(F.col("s").isNull()).alias("unknown")).where("unknown = 0")
+    members = materialised(known.select("query_id", F.col("stems.s").alias("stems")), "asked-sets")
+    sets = members.groupBy("stems").agg(F.min("query_id").alias("set"))
+    sets = materialised(sets.withColumn("need", F.size("stems")), "stem-sets")
+    first = sets.select("set", "need", F.col("stems")[0].alias("s"), F.get("stems", F.lit(1)).alias("second")).join(index, "s")
     occurrences = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(1000)).cast("int")), F.lit(0.0), lambda s, k: s + F.lit(RANK_WEIGHT) / (k * k))
-    single = full.where("need = 1").select("query_id", "answer_id", (occurrences / RANK_SCALE).alias("value"))
-    own = full.where("need > 1").select("query_id", "answer_id").join(asked, "query_id").join(places, ["answer_id", "stem"]).withColumn("part", F.expr(f"pos div {FAR}"))
-    a = own.select("query_id", "answer_id", F.col("stem").alias("stem_a"), F.col("pos").alias("pos_a"), F.explode(F.array(*(F.col("part") + i for i in (-1, 0, 1)))).alias("part"))
-    apart = F.abs(F.col("pos_a") - F.col("pos"))
-    pairs = a.join(own, ["query_id", "answer_id", "part"]).where((F.col("stem_a") < F.col("stem")) & (apart <= FAR))
-    several = pairs.groupBy("query_id", "answer_id").agg((1 - F.exp(F.sum(F.log1p(-closeness(apart))))).alias("value"))
+    single = first.where("need = 1").select("set", "answer_id", (occurrences / RANK_SCALE).alias("value"))
+    held = index.select("answer_id", "s")
+    both = materialised(first.where("need > 1").select("set", "answer_id", "need", F.col("second").alias("s")).join(held, ["answer_id", "s"]).drop("s"), "two-stems")
+    others = sets.where("need > 2").select("set", F.explode(F.slice("stems", 3, F.size("stems"))).alias("s"))
+    more = both.where("need > 2").join(others, "set").join(held, ["answer_id", "s"]).groupBy("set", "answer_id", "need").agg(F.count("*").alias("have")).where("have = need - 2")
+    full = materialised(both.where("need = 2").select("set", "answer_id").unionByName(more.select("set", "answer_id")), "full-hits")
+    wanted = sets.where("need > 1").select("set", F.explode("stems").alias("s"))
+    own = full.join(wanted, "set").join(places, ["answer_id", "s"]).select("set", "answer_id", "s", "pos", F.expr(f"pos div {FAR}").alias("part"))
+    a = own.select("set", "answer_id", F.col("s").alias("s_a"), F.col("pos").alias("pos_a"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    apart = F.col("pos") - F.col("pos_a")
+    pairs = a.join(own, ["set", "answer_id", "part"]).where((F.col("s_a") != F.col("s")) & (apart > 0) & (apart <= FAR))
+    several = pairs.groupBy("set", "answer_id").agg((1 - F.exp(F.sum(F.log1p(-closeness(apart))))).alias("value"))
     ranks = single.unionByName(several).withColumn("value", F.round("value", 6)).where(F.col("value") > LEAST_RANK)
-    return first_n(ranks, ["query_id"], [F.desc("value"), "answer_id"], 1).select("query_id", "answer_id", F.col("value").alias("rank"))
+    best = first_n(ranks, ["set"], [F.desc("value"), "answer_id"], 1).select("set", "answer_id", F.col("value").alias("rank"))
+    return members.join(sets.select("stems", "set"), "stems").select("query_id", "set").join(best, "set").select("query_id", "answer_id", "rank")
 
 
 def faq_search(queries: DataFrame, faq: DataFrame, synonyms: DataFrame, n: int = 20, most_terms: int = 10) -> DataFrame:
